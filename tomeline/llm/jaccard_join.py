@@ -10,11 +10,13 @@ global order of shingles is cut into fragments, so no task holds a whole corpus:
    fewer than the least overlap ``ceil(t n)`` has no partner and is done.  The others
    are sorted by the global order (rare first); two linked nodes must have a common
    shingle among the first ``n - ceil(t n) + 1``.
-3. Candidates: nodes that meet in such a prefix shingle.  Large groups of near copies
-   would give all pairs, so each round pairs every node with one leader of each of its
-   shingles only, and only where both are not yet known to be connected; links found
-   connect them.  When rounds find nothing new, all pairs left that meet in a shingle
-   and are not yet connected are tested, so no link between components is lost.
+3. Candidates: nodes that meet in such a prefix shingle, where what is left of both
+   from there on could still reach the least overlap of the pair.  Large groups of near
+   copies would give all pairs, so a round pairs every node with one leader of each of
+   its shingles only (the one with the fewest shingles of its own), and only where both
+   are not yet known to be connected; links found connect them.  As soon as all pairs
+   left that meet in a shingle and are not yet connected are few against the postings,
+   or after the last round, all of them are tested, so no link between components is lost.
 4. A pair's overlap is counted fragment by fragment over its shared shingles, and the
    partial counts are summed per pair.
 
@@ -24,6 +26,8 @@ written to the shared folder, so lost executors cost no more than a stage.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -226,13 +230,25 @@ def gather_bucket(percent: int):
     return run
 
 
+POSTINGS = "h long, node long, n int, own int, ahead int"
+
+
 def prefix_postings(batches):
-    """Each node under each shingle of its prefix."""
+    """Each node under each shingle of its prefix: its size, how many shingles it shares with none, and how many shared ones are ahead, this one included."""
     for batch in batches:
         prefix = batch["prefix"].to_numpy().astype(np.int64)
-        at = pa.array(np.repeat(np.arange(batch.num_rows), prefix))
-        h = [np.frombuffer(x.as_py(), "<i8", int(p)) for x, p in zip(batch["hashes"], prefix, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h) if h else np.zeros(0, np.int64), pa.int64()), batch["node"].take(at), batch["n"].take(at)], ["h", "node", "n"])
+        rows = np.repeat(np.arange(batch.num_rows), prefix)
+        at = pa.array(rows)
+        hashes = [x.as_py() for x in batch["hashes"]]
+        shared = np.array([len(x) // 8 for x in hashes], dtype=np.int64)
+        own = batch["n"].to_numpy() - shared
+        h = [np.frombuffer(x, "<i8", int(p)) for x, p in zip(hashes, prefix, strict=True)]
+        h = np.concatenate(h) if h else np.zeros(0, np.int64)
+        ahead = shared[rows] - ragged(np.zeros(len(prefix), np.int64), prefix)
+        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), batch["node"].take(at), batch["n"].take(at), pa.array(own[rows], pa.int32()), pa.array(ahead, pa.int32())], POSTING_NAMES)
+
+
+POSTING_NAMES = ["h", "node", "n", "own", "ahead"]
 
 
 def node_fragments(fragments: int):
@@ -328,24 +344,28 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
 
 
-def sizes_fit(na: Column, nb: Column, percent: int) -> Column:
-    return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+def may_link(a: Callable[[str], Column], b: Callable[[str], Column], percent: int) -> Column:
+    """Whether two postings under their first common shingle can be a linked pair."""
+    sizes = 100 * F.least(a("n"), b("n")) >= percent * F.greatest(a("n"), b("n"))
+    return sizes & ((100 + percent) * F.least(a("ahead"), b("ahead")) >= percent * (a("n") + b("n")))
 
 
 def leader_pairs(open_: DataFrame, percent: int, round_: int) -> DataFrame:
     """Each node with the leader of each of its shingles; round 0 has the same leader in all, later ones vary it."""
-    rank = F.struct(F.xxhash64(F.lit(round_), "node", *([] if round_ == 0 else ["h"])).alias("r"), "node", "n", "comp")
+    own = [F.col("own")] if round_ == 0 else []
+    rank = F.struct(*own, F.xxhash64(F.lit(round_), "node", *([] if round_ == 0 else ["h"])).alias("r"), "node", "n", "comp", "ahead")
     leaders = open_.groupBy("h").agg(F.min(rank).alias("top"))
-    met = open_.join(leaders, "h").filter((F.col("comp") != F.col("top.comp")) & sizes_fit(F.col("n"), F.col("top.n"), percent))
-    return met.select(F.col("top.node").alias("a"), F.col("node").alias("b"), F.col("top.n").alias("na"), F.col("n").alias("nb")).distinct()
+    top = lambda c: F.col(f"top.{c}")
+    met = open_.join(leaders, "h").filter((F.col("comp") != top("comp")) & may_link(F.col, top, percent))
+    return met.select(top("node").alias("a"), F.col("node").alias("b"), top("n").alias("na"), F.col("n").alias("nb")).distinct()
 
 
 def all_pairs_left(open_: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components that meet in a shingle; a pair once."""
-    left = open_.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    right = open_.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    met = left.join(right, "h").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sizes_fit(F.col("na"), F.col("nb"), percent))
-    return met.select("a", "b", "na", "nb").distinct()
+    side = lambda x: open_.select("h", *[F.col(c).alias(c + x) for c in ("node", "n", "comp", "ahead")])
+    a, b = (lambda c: F.col(c + "_a")), (lambda c: F.col(c + "_b"))
+    met = side("_a").join(side("_b"), "h").filter((a("node") < b("node")) & (a("comp") != b("comp")) & may_link(a, b, percent))
+    return met.select(a("node").alias("a"), b("node").alias("b"), a("n").alias("na"), b("n").alias("nb")).distinct()
 
 
 def jaccard_components(
@@ -354,9 +374,9 @@ def jaccard_components(
     percent: int = 80,
     id_col: str = "doc_id",
     text_col: str = "text",
-    shingles_per_fragment: int = 3_000_000,
+    shingles_per_fragment: int = 2_000_000,
     pair_fragments: int = 4,
-    pairs_per_block: int = 20_000,
+    pairs_per_block: int = 60_000,
     most_leader_rounds: int = 4,
     batch_chars: int = 3_000_000,
 ) -> DataFrame:
@@ -378,21 +398,28 @@ def jaccard_components(
     shared = materialize(segments.groupBy("fragment").applyInArrow(share_fragment(fragments), SHARED), "shared")
     rows = shared.filter("kind = 0").select("doc_id", "n", "node")
     nodes = materialize(shared.filter("kind = 1").groupBy("bucket").applyInArrow(gather_bucket(percent), NODES), "nodes")
-    postings = nodes.mapInArrow(prefix_postings, "h long, node long, n int")
+    postings = nodes.mapInArrow(prefix_postings, POSTINGS)
     met = postings.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
     postings = materialize(postings.join(met, "h"), "postings")
     labels = materialize(nodes.select("node", F.col("node").alias("comp")), "labels")
+    few = 2 * postings.count()
     for round_ in range(most_leader_rounds + 1):
         named = postings.join(labels, "node")
-        live = named.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h")
-        open_ = materialize(named.join(live, "h").select("h", "node", "n", "comp"), "open")
-        if open_.isEmpty():
+        sizes = named.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c"))
+        live = sizes.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("q")).filter("k > 1")
+        live = live.select("h", ((F.col("c") * F.col("c") - F.col("q")) / (2 * F.col("c"))).alias("met"))
+        open_ = materialize(named.join(live, "h").select(*POSTING_NAMES, "comp", "met"), "open")
+        meetings = open_.agg(F.sum("met")).first()[0]
+        if meetings is None:
             break
-        pairs = leader_pairs(open_, percent, round_) if round_ < most_leader_rounds else all_pairs_left(open_, percent)
+        last = round_ == most_leader_rounds or meetings <= few
+        pairs = all_pairs_left(open_, percent) if last else leader_pairs(open_, percent, round_)
         pairs = materialize(pairs, "pairs")
         links = materialize(linked_pairs(pairs, nodes, percent, pair_fragments, pairs_per_block), "links")
         if not links.isEmpty():
             labels = materialize(relabel(labels, links), "labels")
+        if last:
+            break
     least = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
     comps = least.join(labels, "node", "left").select("node", "low", F.coalesce("comp", "node").alias("comp"))
     ids = comps.groupBy("comp").agg(F.min("low").alias("component_id"))
