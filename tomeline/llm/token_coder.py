@@ -157,7 +157,7 @@ class Reader:
 
 
 def lanes_for(n: int) -> int:
-    return max(1, min(4096, n // 64))
+    return max(1, min(4096, n // 256))
 
 
 def encode_ids(ids: np.ndarray) -> tuple[bytes, int]:
