@@ -53,7 +53,7 @@ def test_zero_vectors_score_zero(spark):
 
 def test_retrieve_and_context(spark):
     rows = made()
-    queries = [("a", [1.0, 0, 0, 0, 0, 0], "1", False), ("b", [0, 1.0, 0, 0, 0, 0], "1", True), ("c", [0, 0, 1.0, 0, 0, 0], "nowhere", True)]
+    queries = [(q, [float(i == j) for j in range(6)], c, p) for i, (q, c, p) in enumerate([("a", "1", False), ("b", "1", True), ("c", "nowhere", True)])]
     ranked = ov.retrieve(spark.createDataFrame(queries, QUERIES), spark.createDataFrame(rows, CHUNKS))
     got: dict = {}
     for r in ranked.orderBy("rank").collect():

@@ -178,7 +178,7 @@ def latest_per_key(df: DataFrame, keys: list[str], order_by: str) -> DataFrame:
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order_by: str | None = None) -> DataFrame:
     """``base`` with rows replaced or added by key; with ``order_by`` the last change of a key wins."""
     changes = latest_per_key(changes, keys, order_by) if order_by else changes
-    return base.join(changes.select(*keys), keys, "left_anti").unionByName(changes.select(*base.columns))
+    return base.join(changes.select(*keys), keys, "left_anti").select(*base.columns).unionByName(changes.select(*base.columns))
 
 
 def patch(base: DataFrame, changes: DataFrame, key: str, touched: Column | None = None) -> DataFrame:

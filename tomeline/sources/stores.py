@@ -10,22 +10,29 @@ from tomeline.functions.records import ABILITY_SCORES, ACTION_BUDGET, WORLD_STAT
 from tomeline.functions.text import file_title
 from tomeline.operators.tables import latest_per_key, upsert
 
+
+
+def nested(ddl: str) -> str:
+    """Column definitions as the fields of a struct type."""
+    return "struct<" + ", ".join(":".join(field.split(" ", 1)) for field in ddl.split(", ")) + ">"
+
+
 # The entity tables.
 SCHEMAS = {
-    "campaigns": f"id string, name string, description string, game_system string, world_state struct<{', '.join(f'{p.split()[0]}:{p.split()[1]}' for p in WORLD_STATE.split(', '))}>, created_at timestamp, updated_at timestamp",
+    "campaigns": f"id string, name string, description string, game_system string, world_state {nested(WORLD_STATE)}, created_at timestamp, updated_at timestamp",
     "characters": "id string, campaign_id string, name string, character_type string, class string, race string, level int, max_hp int, current_hp int, armor_class int, speed int, "
-    f"ability_scores struct<{ABILITY_SCORES.replace(' int', ':int')}>, conditions array<string>, "
+    f"ability_scores {nested(ABILITY_SCORES)}, conditions array<string>, "
     "backstory struct<raw_text:string,motivations:array<string>,key_relationships:array<string>,secrets:array<string>>, is_alive boolean, created_at timestamp, updated_at timestamp",
     "sessions": "id string, campaign_id string, session_number int, title string, notes string, started_at timestamp, ended_at timestamp, created_at timestamp, updated_at timestamp",
     "session_events": "id string, session_id string, campaign_id string, event_type string, description string, significance string, is_player_visible boolean, involved_character_ids array<string>, occurred_at timestamp",
     "encounters": "id string, session_id string, campaign_id string, name string, description string, status string, round int, current_turn_index int, created_at timestamp, updated_at timestamp",
     "combat_participants": "id string, encounter_id string, character_id string, name string, initiative_roll int, initiative_modifier int, initiative_total int, current_hp int, max_hp int, armor_class int, conditions array<string>, "
-    f"action_budget struct<{', '.join(f'{p.split()[0]}:{p.split()[1]}' for p in ACTION_BUDGET.split(', '))}>, has_taken_turn boolean, is_defeated boolean",
+    f"action_budget {nested(ACTION_BUDGET)}, has_taken_turn boolean, is_defeated boolean",
     "documents": "id string, campaign_id string, title string, filename string, file_size_bytes long, stored_path string, page_count int, document_kind string, ingestion_status string, ingestion_error string, uploaded_at timestamp, ingested_at timestamp",
     "plot_hooks": "id string, character_id string, campaign_id string, description string, priority string, is_active boolean, llm_extracted boolean",
 }
 META_ENTRY = "doc_id string, doc_name string, filename string, summary string, ingested_at timestamp"
-META = f"scope string, entries array<struct<{META_ENTRY.replace(' string', ':string').replace(' timestamp', ':timestamp')}>>"
+META = f"scope string, entries array<{nested(META_ENTRY)}>"
 
 
 def load_tables(spark: SparkSession, path: str, names: list[str] | None = None) -> dict[str, DataFrame]:
@@ -64,7 +71,7 @@ def read_meta_index(spark: SparkSession, path: str, scope: str) -> tuple[DataFra
     bad = spark.createDataFrame([], "file string, content string")
     if not path_exists(spark, folder):
         return empty, bad
-    schema = f"entries array<struct<{META_ENTRY.replace(' string', ':string').replace(' timestamp', ':timestamp')}>>, _corrupt_record string"
+    schema = f"entries array<{nested(META_ENTRY)}>, _corrupt_record string"
     try:
         files = spark.read.schema(schema).option("mode", "PERMISSIVE").option("multiLine", "true").json(folder).withColumn("file", F.input_file_name())
     except AnalysisException:
