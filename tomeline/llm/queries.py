@@ -96,6 +96,37 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+# shares by largest remainder, one period by earliest deadline first (a slot for each step), then arithmetic
+OP3_SQL = """
+WITH RECURSIVE counts AS (
+  SELECT source, count(*) AS n FROM documents GROUP BY 1
+), exact AS (
+  SELECT source, 1024 * sqrt(n) / sum(sqrt(n)) OVER () AS x FROM counts
+), whole AS (
+  SELECT *, greatest(1, CAST(floor(x) AS BIGINT)) AS f FROM exact
+), shares AS (
+  SELECT source, f + CASE WHEN row_number() OVER (ORDER BY f - x, source) <= 1024 - sum(f) OVER () THEN 1 ELSE 0 END AS share FROM whole
+), s AS (
+  SELECT list(CAST(share AS BIGINT) ORDER BY source) AS share, list(source ORDER BY source) AS names FROM shares
+), e(slot, done, pick) AS (
+  SELECT CAST(-1 AS BIGINT), list_transform(share, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM s
+  UNION ALL
+  SELECT slot + 1, list_transform(done, lambda x, i: x + CASE WHEN i = p THEN 1 ELSE 0 END), p
+  FROM (
+    SELECT slot, done, list_sort(list_filter(
+      list_transform(share, lambda c, i: {'due': ((done[i] + 1) * 1024 + c - 1) // c, 'at': CAST(i AS BIGINT), 'open': done[i] * 1024 // c <= slot + 1 AND done[i] < c}),
+      lambda j: j.open))[1].at AS p
+    FROM e, s WHERE slot < 1023
+  )
+), placed AS (
+  SELECT names[pick] AS source, done[pick] - 1 AS i, slot FROM e, s WHERE slot >= 0
+), ranked AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), CAST(doc_id AS VARCHAR)) - 1 AS k FROM documents
+)
+SELECT r.doc_id, r.source AS mix_source, CAST(r.k // 16 AS BIGINT) AS mix_block, CAST(r.k // 16 // h.share * 1024 + p.slot AS BIGINT) AS mix_slot, CAST(r.k % 16 AS BIGINT) AS mix_offset
+FROM ranked r JOIN shares h USING (source) JOIN placed p ON p.source = r.source AND p.i = r.k // 16 % h.share
+"""
+
 # lengths of the template: start mark, line break, end mark with its line break; escapes add one character each
 OP4_SQL = r"""
 WITH t AS (
@@ -141,4 +172,4 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(reached) AS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": OP2_SQL, "op4_chat": OP4_SQL, "op10_jaccard": OP10_SQL}
+    return {"op2_exact_topk": OP2_SQL, "op3_mixing": OP3_SQL, "op4_chat": OP4_SQL, "op10_jaccard": OP10_SQL}
