@@ -15,14 +15,19 @@ from tomeline.llm.common import materialize, table
 from tomeline.llm.queries import PIECE_MODEL
 
 
+def whole_rows(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns and each whole row as ``row``, so that no column of ``docs`` meets one that a stage adds."""
+    return docs.select(*columns, F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a margin; what the language ID rejects goes.
 
     The dictionaries are learnt from the labelled rows of ``docs`` itself.
     """
     learned = language_id.fit_dictionaries(language_id.training_rows(docs))
-    found = language_id.predict(docs, learned, keep=docs.columns)
-    return found.filter(~F.col("rejected")).select(*docs.columns)
+    found = language_id.predict(whole_rows(docs, "text"), learned, keep=["row"])
+    return found.filter(~F.col("rejected")).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,15 +37,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     groups = jaccard_join.jaccard_components(docs)
     first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    rows = whole_rows(docs, "doc_id", "text")
+    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
     text = F.xxhash64("text", F.length("text"))
     order = Window.partitionBy("doc_id").orderBy(text)
-    return kept.withColumn("_t", text).withColumn("_p", F.lag("_t").over(order)).filter(~F.col("_t").eqNullSafe(F.col("_p"))).select(*docs.columns)
+    return kept.withColumn("_t", text).withColumn("_p", F.lag("_t").over(order)).filter(~F.col("_t").eqNullSafe(F.col("_p"))).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture: partitions and rows follow the schedule."""
-    return mixing.in_mixed_order(mixing.mix(docs)).select(*docs.columns)
+    return mixing.in_mixed_order(mixing.mix(whole_rows(docs, "doc_id", "source"))).select("row.*")
 
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_texts import components
 from tomeline.llm.common import materialize, table
@@ -34,8 +36,11 @@ def test_odd_rows_pass_through(spark):
     text = "the cat and the dog are in the house with the other one"
     rows = [(1, text, "en", None, 1), (1, text, "en", "a", 1), (2, None, "en", "a", None), (None, text + " x", None, "a", 3), (4, "", None, None, None), (5, "le chat et le chien sont dans la maison avec les autres", "fr", "b", 1)]
     docs = spark.createDataFrame(rows, kinds)
+    for name in ("row", "score", "rejected", "mix_slot", "component_id", "node", "_t"):
+        docs = docs.withColumn(name, F.lit("mine"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = materialize(stage(spark, docs, ""), "odd")
+    assert {r.row + r.score + r.rejected + r.mix_slot + r._t for r in docs.collect()} == {"mine" * 5}
     assert sorted((r.doc_id is None, r.doc_id) for r in docs.collect()) == [(False, 1), (False, 5)]
     empty = spark.createDataFrame([], kinds)
     for _, stage in corpus_pipeline.STAGES:
