@@ -21,10 +21,14 @@ RESULT = "query_id long, vec_id long, score long"
 EXACT_DOUBLE, LONG = 2**53, 2**63
 
 
-def integer_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+def fits_double(vectors: np.ndarray, query: np.ndarray) -> bool:
+    """Whether all inner products of whole numbers are exact in double precision."""
+    return float(np.abs(vectors).max(initial=0)) * float(np.abs(query).sum()) < EXACT_DOUBLE
+
+
+def integer_scores(vectors: np.ndarray, query: np.ndarray, plain: bool | None = None) -> np.ndarray:
     """Integer inner products, exact at any size; those beyond a long end at its range."""
-    reach = float(np.abs(vectors).max(initial=0)) * float(np.abs(query).max(initial=0)) * max(1, len(query))
-    if reach < EXACT_DOUBLE:
+    if fits_double(vectors, query) if plain is None else plain:
         return (vectors @ query).astype(np.int64)
     big = [int(x) for x in query]
     return np.array([min(max(sum(int(a) * b for a, b in zip(row, big, strict=True)), 1 - LONG), LONG - 1) for row in vectors], dtype=np.int64)
@@ -42,33 +46,37 @@ class SortedLists:
         self.ids, self.vectors = ids, vectors[self.starts]
         self.rows = np.argsort(self.vectors, axis=0, kind="stable")
         self.values = np.take_along_axis(self.vectors, self.rows, axis=0)
+        self.widest = np.abs(self.vectors).max(axis=0, initial=0)[None]
 
     def search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows: highest score first, ties to smaller ids."""
-        n = len(self.vectors)
-        dims = np.flatnonzero(query)
-        seen = np.zeros(n, dtype=bool)
-        best = np.zeros(0, dtype=np.int64)
-        score = np.zeros(0, dtype=np.int64)
-        rows, values = self.rows[:, dims], self.values[:, dims]
-        down = query[dims] > 0
+        n, dims = len(self.vectors), np.flatnonzero(query)
+        plain = fits_double(self.widest, query)
+        unseen = np.ones(n, dtype=bool)
+        best, score = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        down, up = dims[query[dims] > 0], dims[query[dims] < 0]
         at, step = 0, 8
         while at < n:
             to = min(n, at + step)
-            met = np.concatenate([rows[n - to : n - at][:, down].ravel(), rows[at:to][:, ~down].ravel()]) if len(dims) else np.arange(n)
-            met = np.unique(met)
-            met = met[~seen[met]]
-            seen[met] = True
+            if len(dims):
+                met = np.zeros(n, dtype=bool)
+                met[self.rows[n - to : n - at, down]] = True
+                met[self.rows[at:to, up]] = True
+                met = np.flatnonzero(met & unseen)
+            else:
+                met, to = np.arange(n), n
+            unseen[met] = False
             if len(met):
-                best = np.concatenate([best, met])
-                score = np.concatenate([score, integer_scores(self.vectors[met], query)])
+                found = integer_scores(self.vectors[met], query, plain)
+                best, score = np.concatenate([best, met]), np.concatenate([score, found])
+                if len(score) > 4 * k:
+                    good = score >= np.partition(score, -k)[-k]
+                    best, score = best[good], score[good]
                 keep = np.lexsort((self.ids[self.starts[best]], -score))[:k]
                 best, score = best[keep], score[keep]
-            if not len(dims):
-                break
-            edge = np.where(down, values[n - to], values[to - 1])
-            bound = integer_scores(edge[None], query[dims])[0]
-            if len(best) >= k and bound < score[-1]:
+            bound = np.concatenate([self.values[n - to, down], self.values[to - 1, up]])
+            bound = integer_scores(bound[None], np.concatenate([query[down], query[up]]), plain)[0]
+            if len(best) >= k and bound < score[-1] or not unseen.any():
                 break
             at, step = to, step * 2
         ids = [self.ids[self.starts[b] : min(self.ends[b], self.starts[b] + k)] for b in best]
