@@ -284,3 +284,50 @@ def involved_characters(spark: SparkSession, d: str) -> DataFrame:
     uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
     rows = v.table(spark, d, "events").select(F.col("event_id").alias("id"), F.concat(F.lit('["'), uuid, F.lit('","nobody"]')).alias("involved_character_ids"))
     return orp.involved_bridge(rows)
+
+
+@query("""SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS page_num, CASE turn % 4 WHEN 3 THEN '' WHEN 2 THEN 'plain ' || turn ELSE 'page ' || conv_id END AS raw_text,
+  CASE WHEN turn % 4 < 2 THEN 1 ELSE 0 END AS n_headings, turn % 4 = 1 AS is_dm_only FROM conversations""")
+def page_responses(spark: SparkSession, d: str) -> DataFrame:
+    """S3: pages from OCR replies; plain replies are text, failed ones empty."""
+    c = v.table(spark, d, "conversations")
+    page = F.concat(F.lit('{"raw_text":"page '), F.col("conv_id").cast("string"), F.lit('","headings":["h"],"is_dm_only":'), F.when(F.col("turn") % 4 == 1, "true").otherwise("false"), F.lit("}"))
+    reply = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("```json\n"), page, F.lit("\n```"))).when(F.col("turn") % 4 == 1, page).when(F.col("turn") % 4 == 2, F.concat(F.lit(" plain "), F.col("turn").cast("string")))
+    rows = orp.parse_page_responses(c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_num"), reply.alias("content")))
+    return rows.select("doc_id", "page_num", "raw_text", F.size("headings").alias("n_headings"), "is_dm_only")
+
+
+@query("""SELECT c_custkey AS character_id, CAST(c_nationkey AS BIGINT) AS campaign_id, 'find ' || c_name AS description, CASE c_mktsegment WHEN 'MACHINERY' THEN 'high' WHEN 'BUILDING' THEN 'critical' ELSE 'low' END AS priority
+FROM customer WHERE c_custkey % 3 > 0""")
+def backstory_hooks(spark: SparkSession, d: str) -> DataFrame:
+    """Backstories parsed and joined to their characters, as hook rows."""
+    c = v.table(spark, d, "customer")
+    characters = c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("campaign_id"), F.struct(F.col("c_name").alias("raw_text")).alias("backstory"))
+    priority = F.when(F.col("c_mktsegment") == "MACHINERY", "high").when(F.col("c_mktsegment") == "BUILDING", "critical").otherwise("someday")
+    story = F.to_json(F.struct(F.array(F.lit("m")).alias("motivations"), F.array(F.lit("k")).alias("key_relationships"), F.array(F.lit("s")).alias("secrets"), F.array(F.struct(F.concat(F.lit("find "), F.col("c_name")).alias("description"), priority.alias("priority"))).alias("plot_hooks")))
+    replies = c.select(F.col("c_custkey").alias("character_id"), F.when(F.col("c_custkey") % 3 > 0, story).otherwise("none").alias("content"))
+    stories, _ = orp.parse_backstories(replies, characters)
+    return orp.plot_hooks(stories).select("character_id", "campaign_id", "description", "priority")
+
+
+@query()
+def uploads(spark: SparkSession, d: str) -> DataFrame:
+    """Files of a folder as pending documents; their contents are not read."""
+    from tomeline.sources.stores import scan_uploads
+
+    return scan_uploads(spark, d).select("filename", "title", "file_size_bytes", "document_kind", "ingestion_status")
+
+
+@query("""SELECT CASE WHEN label < 8 THEN 'campaign_' || label || '_lore' ELSE 'global_rules' END AS collection, count(*) AS n_chunks, CAST(sum(CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_new
+FROM embeddings JOIN documents ON vec_id = doc_id GROUP BY 1""")
+def chunk_store(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks written by collection, a second write replaces some by id, then read back."""
+    import uuid
+
+    from tomeline.sources.stores import read_chunks, shared_dir, write_chunks
+
+    path = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    rows = v.chunks(spark, d).select("id", "collection", "content").withColumn("chunk_ix", F.lit(0)).withColumn("version", F.lit(1))
+    write_chunks(rows, path)
+    write_chunks(rows.filter("id % 3 = 0").withColumn("version", F.lit(2)), path)
+    return read_chunks(spark, path).groupBy("collection").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.when(F.col("version") == 2, 1).otherwise(0)).alias("n_new"))
