@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeline.llm import ann, chat, exact_topk, jaccard_join, language_id, licenses, mixing, pieces, token_files, url_filter
-from tomeline.llm.common import shared_dir, table
+from tomeline.llm.common import table
+from tomeline.sources.stores import shared_dir
 
 RULES = [
     url_filter.Rule("com", "/", "allow"),
