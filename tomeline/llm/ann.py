@@ -3,8 +3,13 @@
 Centroids and codebooks are fitted on a bounded sample (``sample_rows`` rows, those
 with the smallest hash of their id); every row is indexed.  A query visits its
 ``probe`` share of the cells; there an asymmetric distance table per query gives each
-row a score from its codes, the best ``rerank`` rows are scored again with their
-original vectors in double precision, and the best k of all visited cells remain.
+row a score from its codes, scaled by how the row's code falls short of it.  The best
+of these are scored with their original vectors in double precision, then every row
+whose score from codes comes within ``spread`` standard errors of the kth; so groups
+of near copies that share their codes are scored whole, however large.
+
+Cells are packed into groups of bounded size, which are the tasks; a cell larger than
+that is dealt over several groups by a hash of the id.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from pyspark.sql import functions as F
 from tomeline.llm.common import matrix, one_row_per_id, usable_vectors
 
 INDEX = "id long, v array<double>, code binary, cell int"
-PROBES = "id long, v array<double>, cell int"
+VISITS = "id long, v array<double>, part int"
 RESULT = "query_id long, vec_id long, score double"
 
 
@@ -96,45 +101,101 @@ def indexer(dims: int, model: Quantizer):
     return run
 
 
-def prober(dims: int, model: Quantizer, probes: int):
+def pack_cells(sizes: dict[int, int], most: int) -> dict[int, tuple[int, int]]:
+    """For each cell its first group and the number of groups it is dealt over; neighbours share a group while they fit."""
+    placed, group, filled = {}, 0, 0
+    for cell, size in sorted(sizes.items()):
+        if filled and filled + size > most:
+            group, filled = group + 1, 0
+        parts_of = max(1, -(-size // most))
+        placed[cell] = (group, parts_of)
+        group, filled = (group, filled + size) if parts_of == 1 else (group + parts_of, 0)
+    return placed
+
+
+def visited(vectors: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarray:
+    """Queries x cells: which cells each query visits."""
+    order = np.argsort(-(vectors @ centroids.T), axis=1, kind="stable")[:, :probes]
+    visit = np.zeros((len(vectors), len(centroids)), dtype=bool)
+    np.put_along_axis(visit, order, True, axis=1)
+    return visit
+
+
+def prober(dims: int, model: Quantizer, probes: int, placed: dict[int, tuple[int, int]]):
+    """Each query once for every group that holds a cell it visits."""
+
     def run(batches):
+        groups = max((g + n for g, n in placed.values()), default=0)
+        holds = np.zeros((len(model.centroids), groups), dtype=bool)
+        for cell, (first, n) in placed.items():
+            holds[cell, first : first + n] = True
         for batch in batches:
-            scores = matrix(batch["v"], dims) @ model.centroids.T
-            visit = np.argsort(-scores, axis=1, kind="stable")[:, :probes]
-            rows = np.repeat(np.arange(len(visit)), visit.shape[1])
-            table = pa.Table.from_batches([batch]).take(pa.array(rows)).append_column("cell", pa.array(visit.ravel(), pa.int32()))
-            yield from table.select(["id", "v", "cell"]).to_batches()
+            visit = visited(matrix(batch["v"], dims), model.centroids, probes)
+            rows, part = np.nonzero(visit.astype(np.float32) @ holds.astype(np.float32) > 0)
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([batch["id"].take(at), batch["v"].take(at), pa.array(part, pa.int32())], ["id", "v", "part"])
 
     return run
 
 
-def cell_search(dims: int, model: Quantizer, k: int, rerank: int):
-    """The task of one part of one cell: all queries that visit it."""
+def shortfall(vectors: np.ndarray, cell: np.ndarray, code: np.ndarray, model: Quantizer) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the factor from a code's inner product to the row's, and the spread of what remains.
+
+    With ``a`` the share of the row in its code's vector and ``b`` the length of the
+    rest, a query's product with the code over ``a`` misses the true one by ``b / a``
+    times the query's part along that rest, a random direction beside the row.
+    """
+    coded = np.concatenate([book[code[:, p]] for p, book in enumerate(model.books)], axis=1)[:, : vectors.shape[1]] + model.centroids[cell]
+    size = (vectors * vectors).sum(1)
+    a = (coded * vectors).sum(1) / size
+    b = np.sqrt(np.maximum((coded * coded).sum(1) - a * a * size, 0))
+    sound = a > 0.05
+    return np.where(sound, 1 / np.where(sound, a, 1), 1.0), np.where(sound, b / np.where(sound, a, 1), np.inf) / np.sqrt(max(1, vectors.shape[1] - 1))
+
+
+def group_search(dims: int, model: Quantizer, probes: int, k: int, spread: float):
+    """The task of one group of cells: all queries that visit one of them."""
 
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if rows.num_rows and queries.num_rows:
             ids, vectors = one_row_per_id(rows["id"].to_numpy(), matrix(rows["v"], dims))
-            code = encode(vectors, np.full(len(ids), rows["cell"][0].as_py()), model) if len(ids) < rows.num_rows else None
-            if code is None:
+            if len(ids) == rows.num_rows:
                 order = np.argsort(rows["id"].to_numpy(), kind="stable")
+                cell = rows["cell"].to_numpy()[order]
                 code = np.frombuffer(b"".join(rows["code"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)[order]
+            else:
+                cell = nearest_cell(vectors, model.centroids)
+                code = encode(vectors, cell, model)
             asked, wanted = one_row_per_id(queries["id"].to_numpy(), matrix(queries["v"], dims))
-            tables = np.einsum("qpw,pcw->pqc", parts(wanted, model.width), model.books, optimize=True)
+            visit = visited(wanted, model.centroids, probes)
+            coarse = (wanted @ model.centroids.T).astype(np.float32)
+            tables = np.einsum("qpw,pcw->pqc", parts(wanted, model.width), model.books, optimize=True).astype(np.float32)
+            factor, beside = (x.astype(np.float32) for x in shortfall(vectors, cell, code, model))
+            size = (vectors * vectors).sum(1).astype(np.float32)
             kept: list[list[np.ndarray]] = [[], [], []]
-            for at in range(0, len(asked), 256):
-                part = slice(at, at + 256)
-                rough = np.zeros((len(asked[part]), len(ids)))
+            for at in range(0, len(asked), 128):
+                part = slice(at, at + 128)
+                open_ = visit[part][:, cell] & (asked[part][:, None] != ids[None, :])
+                rough = coarse[part][:, cell]
                 for p, book in enumerate(tables):
                     rough += book[part][:, code[:, p]]
-                rough[asked[part][:, None] == ids[None, :]] = -np.inf
-                best = np.argsort(-rough, axis=1, kind="stable")[:, :rerank]
-                score = double_scores(vectors[best], wanted[part][:, None, :])
-                score[np.take_along_axis(rough, best, 1) == -np.inf] = -np.inf
-                first = np.lexsort((ids[best], -score), axis=1)[:, :k]
-                best, score = np.take_along_axis(best, first, 1), np.take_along_axis(score, first, 1)
-                real = score > -np.inf
-                for to, value in zip(kept, (np.repeat(asked[part], best.shape[1]).reshape(best.shape)[real], ids[best][real], score[real]), strict=True):
+                rough *= factor
+                rough[~open_] = -np.inf
+                first = np.argpartition(-rough, min(k, len(ids)) - 1, axis=1)[:, :k]
+                score = double_scores(vectors[first], wanted[part][:, None, :])
+                score[np.take_along_axis(rough, first, 1) == -np.inf] = -np.inf
+                least = score.min(axis=1) if score.shape[1] == k else np.full(len(score), -np.inf)
+                with np.errstate(invalid="ignore"):
+                    apart = np.sqrt(np.maximum((wanted[part] ** 2).sum(1)[:, None].astype(np.float32) - rough * rough / size, 0))
+                    near = rough + spread * apart * beside >= least[:, None]
+                q, row = np.nonzero((near | ~np.isfinite(beside)) & open_)
+                score = double_scores(vectors[row], wanted[part][q])
+                order = np.lexsort((ids[row], -score, q))
+                q, row, score = q[order], row[order], score[order]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                best = place < k
+                for to, value in zip(kept, (asked[part][q[best]], ids[row[best]], score[best]), strict=True):
                     to.append(value)
             out = [np.concatenate(x) for x in kept]
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
@@ -154,15 +215,15 @@ def ann_search(
     probe: float = 0.75,
     width: int = 4,
     codes: int = 256,
-    rerank: int = 80,
+    spread: float = 2.0,
     part_rows: int = 4096,
     seed: int = 7,
 ) -> DataFrame:
     """The k nearest rows found for every query, by inner product in double precision.
 
-    ``sample_rows`` bounds what the quantiser is fitted on; every row is indexed.  A
-    cell with more than ``part_rows`` rows is dealt by a hash of the id into parts that
-    are searched apart, so nothing in a large cell is left out.  Returns ``query_id
+    ``sample_rows`` bounds what the quantiser is fitted on; every row is indexed.
+    A group has about ``part_rows`` rows; a larger cell is dealt over several groups, so
+    nothing in it is left out, and there is no cap on the rows scored exactly.  Returns ``query_id
     long, rank int, vec_id long, score double``, nearest first, ties to the smaller id.
 
     Null, empty or zero vectors, those with null or non-finite components, and null
@@ -180,14 +241,13 @@ def ann_search(
     cells = max(1, min(most_cells, n // rows_per_cell, sample.num_rows // 8))
     model = fit(matrix(sample["v"], dims), cells, width, min(codes, sample.num_rows), seed)
     cells = len(model.centroids)
+    probes = max(1, -(-int(probe * 1000) * cells // 1000))
     index = rows.mapInArrow(indexer(dims, model), INDEX)
-    probes = asked.mapInArrow(prober(dims, model, max(1, -(-int(probe * 1000) * cells // 1000))), PROBES)
-    sizes = rows.mapInArrow(indexer(dims, model), INDEX).groupBy("cell").count()  # at most a row for each cell
-    n_parts = {r["cell"]: -(-r["count"] // part_rows) for r in sizes.collect()}
-    split = F.element_at(F.create_map(*[F.lit(x) for pair in n_parts.items() for x in pair]), F.col("cell"))
-    split = F.coalesce(split, F.lit(1)).cast("int")
-    left = index.withColumn("part", F.pmod(F.xxhash64("id"), split).cast("int"))
-    right = probes.withColumn("part", F.explode(F.sequence(F.lit(0), split - 1)))
-    found = left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInArrow(cell_search(dims, model, k, rerank), RESULT)
+    sizes = index.groupBy("cell").count().collect()  # at most a row for each cell
+    placed = pack_cells({r["cell"]: r["count"] for r in sizes}, part_rows)
+    place = lambda i: F.element_at(F.create_map(*[F.lit(x) for c, p in placed.items() for x in (c, p[i])]), F.col("cell"))
+    left = index.withColumn("part", (place(0) + F.pmod(F.xxhash64("id"), place(1))).cast("int"))
+    right = asked.mapInArrow(prober(dims, model, probes, placed), VISITS)
+    found = left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(group_search(dims, model, probes, k, spread), RESULT)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
