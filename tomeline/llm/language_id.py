@@ -8,7 +8,8 @@ A text is encoded with every dictionary, in pieces of ``piece_bytes`` so that a
 text cannot drown the dictionary in its own repetitions; the sizes of all pieces are
 summed and the smallest sum wins.  A narrow relative margin to the second is rejected.
 Texts of up to ``short_bytes`` whose margin is narrow are measured again at the highest
-level, whose matches may be three bytes long.
+level, whose matches may be three bytes long, and behind a piece of each dictionary whose
+own size is taken off: alone, a few words would be stored as they are, whatever matches.
 """
 
 from __future__ import annotations
@@ -66,6 +67,8 @@ class Sizer:
         self.languages = sorted(dictionaries)
         self.piece_bytes, self.short_bytes, self.narrow = piece_bytes, short_bytes, narrow
         self.usual, self.fine = ([self.compressor(dictionaries[n], x) for n in self.languages] for x in (level, zstandard.MAX_COMPRESSION_LEVEL))
+        self.lead = [dictionaries[n][-2048:-1536] or dictionaries[n][:512] for n in self.languages]
+        self.base = [len(c.compress(x)) for c, x in zip(self.fine, self.lead, strict=True)]
 
     @staticmethod
     def compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -82,7 +85,9 @@ class Sizer:
         """Language and relative margin; ties go to the first language by name."""
         raw = text.encode("utf-8", "replace")
         first = self.margin(self.sizes(raw, self.usual))
-        return self.margin(self.sizes(raw, self.fine)) if len(raw) <= self.short_bytes and first[1] < self.narrow else first
+        if len(raw) > self.short_bytes or first[1] >= self.narrow:
+            return first
+        return self.margin([max(1, len(c.compress(x + raw)) - b) for c, x, b in zip(self.fine, self.lead, self.base, strict=True)])
 
     def margin(self, sizes: list[int]) -> tuple[str, float]:
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
