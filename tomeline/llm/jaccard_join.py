@@ -375,6 +375,7 @@ def jaccard_components(
     id_col: str = "doc_id",
     text_col: str = "text",
     shingles_per_fragment: int = 2_000_000,
+    least_fragments: int = 64,
     pair_fragments: int = 4,
     pairs_per_block: int = 60_000,
     most_leader_rounds: int = 4,
@@ -393,7 +394,7 @@ def jaccard_components(
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    fragments = max(1, min(1 << 20, -(-chars // (6 * shingles_per_fragment))))
+    fragments = max(least_fragments, min(1 << 20, -(-chars // (6 * shingles_per_fragment))))
     segments = texts.mapInArrow(cut_texts(words, fragments, batch_chars), SEGMENTS)
     shared = materialize(segments.groupBy("fragment").applyInArrow(share_fragment(fragments), SHARED), "shared")
     rows = shared.filter("kind = 0").select("doc_id", "n", "node")
