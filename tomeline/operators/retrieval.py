@@ -59,24 +59,32 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", ident: str = "id")
 
 
 def score_pairs(queries: DataFrame, chunks: DataFrame, on: list[str] | None = None, block: int = 64) -> DataFrame:
-    """Cosine of every query with every chunk, or with those that agree in ``on``.
+    """``query_id, id, score``: cosine of every query with every chunk, or with those that agree in ``on``.
 
-    ``queries(query_id, vector)`` are dealt into blocks by hash; each chunk row goes to
-    each block once, and a block's queries come to it as one array.  So pairs are made
-    where they are scored, and no side needs to fit in a broadcast.
+    ``queries(query_id, vector)`` are dealt into blocks by hash; each chunk's id and
+    vector go to each block once, and a block's queries come to them as one array.  So
+    pairs are made where they are scored, no side needs to fit in a broadcast, and no
+    text is copied for pairs that do not make the top.
     """
     on = on or []
     n = max(1, -(-queries.count() // block))
     asked = queries.select("query_id", *on, unit(F.col("vector")).alias("_q")).withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int"))
     asked = asked.groupBy("_block", *on).agg(F.collect_list(F.struct("query_id", "_q")).alias("_queries"))
-    rows = chunks.withColumn("_v", unit(F.col("vector"))).drop("vector").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    met = rows.join(asked, ["_block", *on]).withColumn("_one", F.explode("_queries"))
-    return met.withColumns({"query_id": F.col("_one.query_id"), "score": dot(F.col("_one._q"), F.col("_v"))}).drop("_block", "_queries", "_one", "_v")
+    rows = chunks.select("id", *on, unit(F.col("vector")).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_block"))
+    scores = F.transform("_queries", lambda q: F.struct(q["query_id"].alias("query_id"), dot(q["_q"], F.col("_v")).alias("score")))
+    met = rows.join(asked, ["_block", *on]).select("id", F.explode(scores).alias("_s"))
+    return met.select("_s.query_id", "id", "_s.score")
+
+
+def with_payload(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Ranked ids with their chunks' columns, without the vectors; ids are unique in a store."""
+    return ranked.join(chunks.drop("vector"), "id")
 
 
 def knn(queries: DataFrame, chunks: DataFrame, k: int, on: list[str] | None = None, **filters) -> DataFrame:
     """The k nearest chunks by cosine for each query, exactly, with payload, ``score`` and ``rank``."""
-    return top_k(score_pairs(queries, hits(payload_filter(chunks, **filters)), on), k)
+    rows = hits(payload_filter(chunks, **filters))
+    return with_payload(top_k(score_pairs(queries, rows, on), k), rows)
 
 
 def ann(queries: DataFrame, chunks: DataFrame, k: int, tables: int = 24, bucket: float = 1.0, reach: float = 1.4, seed: int = 11, **filters) -> DataFrame:
@@ -110,7 +118,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, campaign_k: int = 5, global_
         parts.append(top_k(score_pairs(asked, payload_filter(lore, visible=player), ["collection"]), campaign_k))
     shared = top_k(score_pairs(queries.select("query_id", "vector"), rules), global_k)
     merged = parts[0].unionByName(parts[1]).unionByName(shared).drop("rank")
-    return top_k(merged, campaign_k + global_k)
+    return with_payload(top_k(merged, campaign_k + global_k), hits(chunks))
 
 
 def assemble_context(ranked: DataFrame, n: int = 5) -> DataFrame:
