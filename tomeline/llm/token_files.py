@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,42 +29,66 @@ CODERS: dict[str, WordCoder] = {}
 class WordCoder:
     """The tokenizers library, asked once for each distinct word.
 
-    Only for tokenizers that treat white space as a word boundary and drop it, as the
-    files' ``word_`` kind does: then a text's ids are its words' ids in turn.  At most
-    ``most_words`` words are remembered.
+    Only for tokenizers that treat white space as a word boundary and drop it and letter
+    case, as the files' ``word_`` kind does: then a text's ids are its words' ids in turn,
+    and a word of plain letters with punctuation after it has the ids of both in turn.
+    Words are remembered up to ``most_words``, word stems up to ``most_stems``.
     """
 
-    def __init__(self, path: str, most_words: int = 500_000):
+    def __init__(self, path: str, most_words: int = 1_500_000, most_stems: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most_words = Tokenizer.from_file(path), most_words
+        self.tokenizer, self.most_words, self.most_stems = Tokenizer.from_file(path), most_words, most_stems
+        self.stems: dict[str, list[int]] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.flat, self.ends = array("i"), array("q")
+        self.words = pa.array([], pa.large_string())
+        self.flat, self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    @staticmethod
+    def split(word: str) -> tuple[str, str]:
+        """Letters below U+0130 (whose lower case no neighbour changes) and the punctuation after them; else the whole word."""
+        stem = word.rstrip(".,;:!?|)")
+        if stem and stem.isalpha() and max(stem) < "\u0130":
+            return stem.lower(), word[len(stem) :]
+        return word, ""
+
+    def learn(self, words: pa.Array) -> None:
+        parts = [self.split(w) for w in words.to_pylist()]
+        if len(self.stems) > self.most_stems:
+            self.stems = {}
+        new = [p for p in dict.fromkeys(p for pair in parts for p in pair) if p not in self.stems]
+        for at in range(0, len(new), 20_000):
+            for stem, found in zip(new[at : at + 20_000], self.tokenizer.encode_batch_fast(new[at : at + 20_000], add_special_tokens=False), strict=True):
+                self.stems[stem] = found.ids
+        ids = [self.stems[a] + self.stems[b] if b else self.stems[a] for a, b in parts]
+        length = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(length.sum()))])
+        self.words = pa.concat_arrays([self.words, words])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the number of each text's ids."""
         words = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
         coded = words.values.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.slot) + len(distinct) > self.most_words:
+        if len(self.words) + len(coded.dictionary) > self.most_words:
             self.forget()
-        new = [w for w in distinct if w not in self.slot]
-        for at in range(0, len(new), 20_000):
-            for word, found in zip(new[at : at + 20_000], self.tokenizer.encode_batch(new[at : at + 20_000], add_special_tokens=False), strict=True):
-                self.slot[word] = len(self.ends)
-                self.flat.extend(found.ids)
-                self.ends.append(len(self.flat))
-        slots = np.fromiter(map(self.slot.__getitem__, distinct), dtype=np.int64, count=len(distinct))
-        ends = np.array(self.ends, dtype=np.int64)
-        length = np.diff(ends, prepend=0)[slots]
-        start = ends[slots] - length
-        index = coded.indices.to_numpy()
-        lengths = length[index]
-        ids = np.array(self.flat, dtype=np.int32)[ragged(start[index], lengths)]
+        slots = pc.index_in(coded.dictionary, value_set=self.words)
+        if slots.null_count:
+            known = len(self.words)
+            self.learn(coded.dictionary.filter(slots.is_null()))
+            slots = slots.to_numpy(zero_copy_only=False)
+            fresh = np.isnan(slots)
+            slots[fresh] = known + np.arange(int(fresh.sum()))
+            slots = slots.astype(np.int64)
+        else:
+            slots = slots.to_numpy()
+        index = slots[coded.indices.to_numpy()]
+        lengths = self.length[index]
+        ids = self.flat[ragged(self.start[index], lengths)]
         total = np.concatenate([[0], np.cumsum(lengths)])
         return ids, np.diff(total[words.offsets.to_numpy()])
 
@@ -106,7 +130,7 @@ def encode_partition(path: str, end_id: int, block_ids: int, batch_chars: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1_000_000, batch_chars: int = 3_000_000) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1_000_000, batch_chars: int = 6_000_000) -> None:
     """Encode every whole text, append ``end_id``, and write all ids in ascending order of ``id_col``.
 
     Null texts are empty (the end id alone); null ids come first; rows that share an id
