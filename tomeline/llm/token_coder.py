@@ -38,8 +38,8 @@ class Model:
         self.next2 = np.zeros(CONTEXTS, dtype=np.int32)
         self.right = np.tile(np.array([8, 4, 8, 8], dtype=np.int64), (64, 1))
         self.count0 = np.zeros(LIMIT, dtype=np.int64)
-        self.frequency = np.zeros(LIMIT, dtype=np.int64)
-        self.start = np.zeros(LIMIT, dtype=np.int64)
+        self.seen = np.zeros(LIMIT, dtype=np.int32)
+        self.frequency, self.start = np.ones(LIMIT, dtype=U), np.arange(LIMIT).astype(U)  # those of a new id; see refresh
         self.of_slot = np.zeros(LIMIT, dtype=np.int32)
         self.recent: list[np.ndarray] = []
         self.weigh()
@@ -48,30 +48,31 @@ class Model:
         """The mixture's probabilities, in units of 1/4096."""
         share = 1 + self.right * 4088 // self.right.sum(1, keepdims=True)
         share[:, 2] += 4096 - share.sum(1)
-        self.share = share
         self.below = np.cumsum(share, 1) - share
+        self.flat_share, self.flat_below = share.ravel().astype(U), self.below.ravel().astype(U)
 
     def predict(self, before: np.ndarray, last: np.ndarray):
         self.at2 = (before * 40503 + last * 30011 + (before >> 5)) & (CONTEXTS - 1)
         self.at1 = last
-        self.entry2, self.entry1 = self.next2[self.at2], self.next1[last]
+        self.entry2, self.entry1 = self.next2.take(self.at2), self.next1.take(last)
         id2, id1 = self.entry2 >> 3, self.entry1 >> 3
         self.sure2, self.sure1 = self.entry2 & 7, self.entry1 & 7
-        self.mix = self.sure2 * 8 + np.where(id1 == id2, 0, self.sure1)
+        self.mix = self.sure2 * 8 + self.sure1 * (id1 != id2)
         return id2, id1
 
     def outcome(self, ids: np.ndarray, id2: np.ndarray, id1: np.ndarray) -> np.ndarray:
-        known = np.where(self.frequency[ids] > 0, 2, 3)
+        known = 3 - self.seen.take(ids)
         known[(id1 == ids) & (self.sure1 > 0)] = 1
         known[(id2 == ids) & (self.sure2 > 0)] = 0
         return known
 
     def learn(self, ids: np.ndarray, which: np.ndarray) -> None:
+        """Take in the ids of a step; ``which`` is four times the mixture's context plus what was right."""
         fresh = (ids << 3) | 1
         for table, at, entry, sure in ((self.next2, self.at2, self.entry2, self.sure2), (self.next1, self.at1, self.entry1, self.sure1)):
             same = (entry >> 3) == ids
             table[at] = np.where(same & (sure > 0), entry + (sure < 7), np.where(sure <= 1, fresh, entry - (sure >> 1)))
-        self.right += np.bincount(self.mix * 4 + which, minlength=256).reshape(64, 4)
+        self.right += np.bincount(which, minlength=256).reshape(64, 4)
         if self.right.max() > 1 << 24:
             self.right = (self.right + 1) >> 1
         self.weigh()
@@ -80,13 +81,18 @@ class Model:
             self.refresh()
 
     def refresh(self) -> None:
-        """Order-0 frequencies in units of 1/65536; each id seen has one at least."""
+        """Order-0 frequencies in units of 1/65536; each id seen has one at least.
+
+        A new id keeps the interval of size one at its own number, which the outcome
+        "not seen yet" selects.
+        """
         self.count0 += np.bincount(np.concatenate(self.recent), minlength=LIMIT)
         self.recent = []
         seen = np.flatnonzero(self.count0)
         count = self.count0[seen]
         share = 1 + count * (LIMIT - len(seen)) // count.sum()
         share[count.argmax()] += LIMIT - share.sum()
+        self.seen[seen] = 1
         self.frequency[seen] = share
         self.start[seen] = np.cumsum(share) - share
         self.of_slot = np.repeat(seen.astype(np.int32), share)
@@ -97,39 +103,40 @@ class Writer:
 
     def __init__(self, lanes: int, steps: int):
         self.low, self.range = np.zeros(lanes, U), np.full(lanes, MASK, U)
-        self.words, self.count = np.zeros((2 * steps + 3, lanes), np.int64), np.zeros(lanes, np.int64)
+        self.words, self.count = np.zeros((2 * steps + 3, lanes), np.int32), np.zeros(lanes, np.int64)
+        self.lanes = np.arange(lanes)
 
     def put(self, lane, start: np.ndarray, size: np.ndarray, bits: int) -> None:
         """Code the interval [start, start + size) of 2**bits; ``lane``: a slice or indices."""
         unit = self.range[lane] >> U(bits)
-        low, wide = self.low[lane] + unit * start.astype(U), unit * size.astype(U)
+        low, wide = self.low[lane] + unit * start, unit * size
         over = np.flatnonzero(low > MASK)
-        lanes = np.arange(len(self.low)) if isinstance(lane, slice) else lane
+        lanes = self.lanes if isinstance(lane, slice) else lane
         if len(over):
             hit = lanes[over]
             self.words[self.count[hit] - 1, hit] += 1
             low[over] &= MASK
         out = np.flatnonzero(wide < TOP)
         to = lanes[out]
-        self.words[self.count[to], to] = (low[out] >> U(32)).astype(np.int64)
-        self.count[to] += 1
-        low[out] = (low[out] << U(16)) & MASK
+        count, part = self.count[to], low[out]
+        self.words[count, to] = (part >> U(32)).astype(np.int32)
+        self.count[to] = count + 1
+        low[out] = (part << U(16)) & MASK
         wide[out] <<= U(16)
         self.low[lane], self.range[lane] = low, wide
 
     def finish(self) -> tuple[np.ndarray, np.ndarray]:
         """Words of each lane, one lane after the other, and their numbers."""
-        every = np.arange(len(self.low))
         for shift in (32, 16, 0):
-            self.words[self.count, every] = ((self.low >> U(shift)) & U(0xFFFF)).astype(np.int64)
+            self.words[self.count, self.lanes] = ((self.low >> U(shift)) & U(0xFFFF)).astype(np.int32)
             self.count += 1
-        carry = np.zeros(len(every), np.int64)
+        carry = np.zeros(len(self.lanes), np.int32)
         for row in self.words[::-1]:
             row += carry
             carry = row >> 16
             row &= 0xFFFF
-        inside = np.arange(len(self.words))[:, None] < self.count[None, :]
-        return self.words.T[inside.T].astype("<u2"), self.count
+        inside = np.arange(len(self.words))[None, :] < self.count[:, None]
+        return np.ascontiguousarray(self.words.T)[inside].astype("<u2"), self.count
 
 
 class Reader:
@@ -147,7 +154,7 @@ class Reader:
         return np.minimum(self.code[lane] // self.unit, U((1 << bits) - 1)).astype(np.int64)
 
     def take(self, lane, start: np.ndarray, size: np.ndarray) -> None:
-        code, wide = self.code[lane] - self.unit * start.astype(U), self.unit * size.astype(U)
+        code, wide = self.code[lane] - self.unit * start, self.unit * size
         out = np.flatnonzero(wide < TOP)
         to = out if isinstance(lane, slice) else lane[out]
         code[out] = (code[out] << U(16)) | self.words[self.at[to]]
@@ -171,11 +178,12 @@ def encode_ids(ids: np.ndarray) -> tuple[bytes, int]:
     before = last = np.zeros(lanes, dtype=np.int32)
     for now in grid:
         which = model.outcome(now, *model.predict(before, last))
-        writer.put(whole, model.below[model.mix, which], model.share[model.mix, which], 12)
         rest = np.flatnonzero(which >= 2)
+        which += model.mix * 4
+        writer.put(whole, model.flat_below.take(which), model.flat_share.take(which), 12)
         if len(rest):
-            left, new = now[rest], which[rest] == 3
-            writer.put(rest, np.where(new, left, model.start[left]), np.where(new, 1, model.frequency[left]), 16)
+            left = now.take(rest)
+            writer.put(rest, model.start.take(left), model.frequency.take(left), 16)
         model.learn(now, which)
         before, last = last, now
     words, count = writer.finish()
@@ -191,15 +199,17 @@ def decode_ids(coded: bytes, n: int, lanes: int) -> np.ndarray:
     grid = np.zeros((steps, lanes), dtype=np.int32)
     for t in range(steps):
         id2, id1 = model.predict(before, last)
-        slot, below = reader.slot(whole, 12), model.below[model.mix]
-        which = (slot >= below[:, 1]).astype(np.int64) + (slot >= below[:, 2]) + (slot >= below[:, 3])
-        reader.take(whole, model.below[model.mix, which], model.share[model.mix, which])
+        slot, below = reader.slot(whole, 12), model.below.take(model.mix, axis=0)
+        which = (slot[:, None] >= below[:, 1:]).sum(1)
         now = np.where(which == 0, id2, id1).astype(np.int32)
         rest = np.flatnonzero(which >= 2)
+        new = which.take(rest) == 3
+        which += model.mix * 4
+        reader.take(whole, model.flat_below.take(which), model.flat_share.take(which))
         if len(rest):
-            slot, new = reader.slot(rest, 16), which[rest] == 3
-            left = np.where(new, slot, model.of_slot[slot] if len(model.of_slot) else slot)
-            reader.take(rest, np.where(new, left, model.start[left]), np.where(new, 1, model.frequency[left]))
+            slot = reader.slot(rest, 16)
+            left = np.where(new, slot, model.of_slot.take(slot))
+            reader.take(rest, model.start.take(left), model.frequency.take(left))
             now[rest] = left
         grid[t] = now
         model.learn(now, which)
