@@ -106,7 +106,7 @@ class Lattices:
         code = chars[bare]
         width = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
         weight = np.concatenate([vocab.weight[ids], width * vocab.byte_weight])
-        frm, to, ids = np.concatenate([frm, bare]), np.concatenate([to, bare + 1]), np.concatenate([ids, BYTE_EDGE + code])
+        frm, to, ids = (np.concatenate(x).astype(np.int32) for x in ((frm, bare), (to, bare + 1), (ids, BYTE_EDGE + code)))
         order = np.argsort(frm, kind="stable")
         self.frm, self.to, self.ids, weight = frm[order], to[order], ids[order], weight[order]
         beta = self.backward(places, end, weight)
@@ -363,14 +363,15 @@ def log_inclusion(logp: np.ndarray, threshold: np.ndarray) -> np.ndarray:
         return np.where(x < -30, x, np.log(-np.expm1(-np.exp(np.maximum(x, -40.0)))))
 
 
-def sample_texts(path: str, k: int, batch_chars: int):
+def sample_texts(path: str, k: int, batch_chars: int, decode: bool):
     def run(batches):
         vocab = vocabulary(path)
         for batch in batches:
-            texts = ["" if t is None else t for t in batch["text"].to_pylist()]
+            lengths = pc.fill_null(pc.utf8_length(batch["text"]), 0).to_numpy()
             seeds = batch["seed"].to_numpy()
-            for lo, hi in slices_by_chars(np.array([len(t) for t in texts]), batch_chars):
-                work = Batch(texts[lo:hi], seeds[lo:hi], vocab)
+            for lo, hi in slices_by_chars(lengths, batch_chars):
+                texts = ["" if t is None else t for t in batch["text"].slice(lo, hi - lo).to_pylist()]
+                work = Batch(texts, seeds[lo:hi], vocab)
                 rounds, threshold = work.topk(k)
                 for r, (docs, offset, flat, logp, value) in enumerate(rounds):
                     ids, offset = work.piece_ids(flat, offset)
@@ -378,12 +379,17 @@ def sample_texts(path: str, k: int, batch_chars: int):
                     packed = [raw[4 * a : 4 * b] for a, b in zip(offset[docs].tolist(), offset[docs + 1].tolist(), strict=True)]
                     columns = [np.full(len(docs), r + 1, np.int32), packed, logp, value, log_inclusion(logp, threshold[docs])]
                     rest = [pa.array(c, t) for c, t in zip(columns, KINDS, strict=True)]
-                    yield pa.RecordBatch.from_arrays([batch["key"].take(pa.array(docs + lo)), batch["text_crc"].take(pa.array(docs + lo)), *rest], ["key", "text_crc", *NAMES])
+                    if decode:
+                        rest.append(pa.array([decoded(vocab, b) for b in packed], pa.string()))
+                    at = pa.array(docs + lo)
+                    yield pa.RecordBatch.from_arrays([batch["key"].take(at), batch["text_crc"].take(at), *rest], ["key", "text_crc", *NAMES, *["decoded"] * decode])
 
     return run
 
 
-def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 4_000_000) -> DataFrame:
+def sample_segmentations(
+    docs: DataFrame, model_path: str, k: int = 2, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1_000_000, decode: bool = False
+) -> DataFrame:
     """Up to k distinct segmentations of every text, drawn without replacement, likeliest perturbed first.
 
     Returns ``id_col, text_crc, sample int, ids binary, log_prob, perturbed,
@@ -391,6 +397,7 @@ def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, seed: int
     ``sample`` counts from 1, ``perturbed`` falls with it, ``log_inclusion`` is the log
     of the chance to be among the top k given the threshold (0 where all
     segmentations were drawn), ``text_crc`` the CRC-32 of the text for checking a decode.
+    With ``decode`` also ``decoded``, the text of the ids, in the same pass.
 
     A null text counts as empty; an empty text has one segmentation, of no pieces.
     Rows with the same id draw the same random numbers, so repeated rows repeat their
@@ -399,15 +406,19 @@ def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, seed: int
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("key"), text.alias("text"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("seed"), F.crc32(text.cast("binary")).alias("text_crc"))
     kind = rows.schema["key"].dataType.simpleString()
-    schema = f"key {kind}, text_crc long, sample int, ids binary, log_prob double, perturbed double, log_inclusion double"
-    return rows.mapInArrow(sample_texts(model_path, k, batch_chars), schema).withColumnRenamed("key", id_col)
+    schema = f"key {kind}, text_crc long, sample int, ids binary, log_prob double, perturbed double, log_inclusion double" + ", decoded string" * decode
+    return rows.mapInArrow(sample_texts(model_path, k, batch_chars, decode), schema).withColumnRenamed("key", id_col)
+
+
+def decoded(vocab: Vocabulary, ids: bytes | None) -> str:
+    return vocab.decode(np.frombuffer(ids or b"", dtype="<u4").astype(np.int64)).decode("utf-8", "replace")
 
 
 def decode_batches(path: str):
     def run(batches):
         vocab = vocabulary(path)
         for batch in batches:
-            texts = [vocab.decode(np.frombuffer(b or b"", dtype="<u4").astype(np.int64)).decode("utf-8", "replace") for b in batch["ids"].to_pylist()]
+            texts = [decoded(vocab, b) for b in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return run
@@ -422,6 +433,6 @@ def decode_segmentations(samples: DataFrame, model_path: str) -> DataFrame:
 
 def segmentation_digests(docs: DataFrame, model_path: str, k: int = 2) -> DataFrame:
     """Samples of every document, decoded again: counts, scores, CRC-32 of the ids, and whether the text came back."""
-    decoded = decode_segmentations(sample_segmentations(docs, model_path, k), model_path)
+    samples = sample_segmentations(docs, model_path, k, decode=True)
     back = F.crc32(F.col("decoded").cast("binary")) == F.col("text_crc")
-    return decoded.select("doc_id", "sample", (F.length("ids") / 4).cast("long").alias("n_pieces"), "log_prob", "perturbed", "log_inclusion", F.crc32("ids").alias("ids_crc32"), back.alias("decoded_ok"))
+    return samples.select("doc_id", "sample", (F.length("ids") / 4).cast("long").alias("n_pieces"), "log_prob", "perturbed", "log_inclusion", F.crc32("ids").alias("ids_crc32"), back.alias("decoded_ok"))
