@@ -379,7 +379,7 @@ def jaccard_components(
     pair_fragments: int = 4,
     pairs_per_block: int = 60_000,
     most_leader_rounds: int = 4,
-    batch_chars: int = 3_000_000,
+    batch_chars: int = 1_500_000,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row: the size of its set of distinct
     ``words``-word shingles, and the smallest id reachable over links, where two
