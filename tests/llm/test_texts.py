@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,31 @@ def test_components_odd_rows(spark):
     assert jaccard_join.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_pairs_of_one_leader_are_dealt_over_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i in range(600) for k in [rng.choice([0, 59])]]
+    count = jaccard_join.count_fragment
+
+    def bounded(nodes, pairs):
+        assert pairs.num_rows <= 200 and nodes.num_rows <= 201, (nodes.num_rows, pairs.num_rows)
+        return count(nodes, pairs)
+
+    monkeypatch.setattr(jaccard_join, "count_fragment", bounded)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.jaccard_components(df, pairs_per_block=50)
+    assert sorted(tuple(r) for r in got.collect()) == components(rows)
+    few = spark.createDataFrame([(1, b, 100, 100) for b in range(2, 402)], "a long, b long, na int, nb int")
+    placed = [r["count"] for r in jaccard_join.place_pairs(few, 10_000, 4_000).groupBy("block").count().collect()]
+    assert sum(placed) == 400 and max(placed) <= 120
+
+
+def test_copies_of_a_text_are_dealt_over_fragments():
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([*range(400), None], pa.int64()), "text": ["a b c d e f"] * 401})
+    rows = [r for b in jaccard_join.cut_texts(5, 8, 10_000)([batch]) for r in b.to_pylist() if r["nodes"] is None]
+    assert len(rows) == 401 and max(Counter(r["fragment"] for r in rows).values()) < 100
+
+
 def test_shingle_sets_hash_like_sets():
     texts = ["a b c d e f", "A b C d e", "a  b\tc\nd e", "", "é b", "x\x0by", " lead", "same same same same same same same"]
     hashes, counts = jaccard_join.shingle_sets([t.encode() for t in texts], 5)

@@ -18,7 +18,8 @@ global order of shingles is cut into fragments, so no task holds a whole corpus:
    left that meet in a shingle and are not yet connected are few against the postings,
    or after the last round, all of them are tested, so no link between components is lost.
 4. A pair's overlap is counted fragment by fragment over its shared shingles, and the
-   partial counts are summed per pair.
+   partial counts are summed per pair.  Pairs are dealt into blocks of bounded pairs
+   and shingles; a leader's pairs go to as many blocks as they need.
 
 Components come from links by repeated star contraction.  All tables between steps are
 written to the shared folder, so lost executors cost no more than a stage.
@@ -135,7 +136,9 @@ def cut_texts(words: int, fragments: int, batch_chars: int):
                 nodes = set_nodes(hashes, counts)
                 m = hi - lo
                 none = pa.nulls(m, pa.binary())
-                home = pa.array((nodes.view(U) % U(fragments)).astype(np.int32))
+                # dealt by id and set, so that copies of one text do not meet in one fragment
+                ids = keys.slice(lo, m).fill_null(0).to_numpy().view(U)
+                home = pa.array((mixed(ids ^ mixed(nodes.view(U))) % U(fragments)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([home, keys.slice(lo, m), pa.array(counts, pa.int32()), pa.array(nodes, pa.int64()), none, none, none], NAMES)
                 # one copy of each set of this batch
                 _, once = np.unique(nodes, return_index=True)
@@ -300,10 +303,26 @@ def count_fragment(nodes: pa.Table, pairs: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "count": pa.array(count, pa.int64())})
 
 
-def linked_pairs(pairs: DataFrame, nodes: DataFrame, percent: int, fragments: int, pairs_per_block: int) -> DataFrame:
+def place_pairs(pairs: DataFrame, pairs_per_block: int, shingles_per_block: int) -> DataFrame:
+    """``pairs`` with a ``block``, of about ``pairs_per_block`` pairs and ``shingles_per_block`` shingles at most.
+
+    Pairs of one ``a`` stay together, as they need its shingles once; one with many (the
+    leader of a large group of near copies) is dealt into parts of an eighth of a block.
+    """
+    total = pairs.agg(F.count(F.lit(1)), F.sum(F.col("na").cast("long") + F.col("nb"))).first()
+    load = lambda count, size: F.greatest(count / F.lit(pairs_per_block), size / F.lit(shingles_per_block))
+    blocks = max(1, -(-total[0] // pairs_per_block), -(-(total[1] or 0) // shingles_per_block))
+    sizes = pairs.groupBy("a").agg(load(F.count(F.lit(1)), F.sum(F.col("nb").cast("long"))).alias("load"))
+    # at most 8 rows for each block
+    parts = sizes.filter("8 * load > 1").select("a", F.ceil(8 * F.col("load")).alias("parts"))
+    part = F.pmod(F.xxhash64(F.lit(1), "b"), F.coalesce("parts", F.lit(1)))
+    placed = pairs.join(F.broadcast(parts), "a", "left").withColumn("block", F.pmod(F.xxhash64("a", part), F.lit(blocks)).cast("int"))
+    return placed.drop("parts")
+
+
+def linked_pairs(pairs: DataFrame, nodes: DataFrame, percent: int, fragments: int, pairs_per_block: int, shingles_per_block: int = 24_000_000) -> DataFrame:
     """Of ``pairs(a, b, na, nb)`` those whose Jaccard similarity reaches ``percent``: partial overlaps summed per pair."""
-    blocks = max(1, -(-pairs.count() // pairs_per_block))
-    placed = pairs.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int"))
+    placed = place_pairs(pairs, pairs_per_block, shingles_per_block)
     wanted = placed.select(F.col("a").alias("node"), "block").union(placed.select(F.col("b").alias("node"), "block")).distinct()
     cut = wanted.join(nodes.select("node", "hashes"), "node").mapInArrow(node_fragments(fragments), "f int, block int, node long, hashes binary")
     spread = placed.select("block", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("f"))
