@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tomeline.llm import jaccard_join, language_id, licenses, mixing, pieces
+from tomeline.llm import jaccard_join, language_id, licenses, mixing, pieces, queries
 from tomeline.llm.common import table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -176,6 +176,28 @@ def test_license_scan_matches_plain_scan(spark):
     assert best[0] is None and sum(b is not None for b in best.values()) >= 2 * len(licenses.TEMPLATES)
 
 
+def test_licenses_are_told_apart(spark, tmp_path):
+    templates, telling = licenses.all_templates()
+    assert set(templates) == set(telling)
+    want = [(text, name) for name, text in templates.items()]
+    want += [("so\n".join(["the work under license "] * 20) + text + " and the rest of the work" * 9, name) for text, name in want]
+    want += [
+        ("Released under the Zlib License", None),
+        ("Released under the BSD License", "BSD"),
+        ("Licensed under the Eclipse Public License, Version 2.0", "EPL-2.0"),
+        ("Licensed under the Apache License 2.0", "Apache-2.0"),
+        ("Licensed under the Apache License, Version 1.1", None),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0-words"),
+        ("Licensed under CC BY 4.0", "CC-BY-4.0-short"),
+        ("Licensed surely a b c d under e f the Apache License, Version 2.0", None),
+    ]
+    spark.createDataFrame([(i, t) for i, (t, _) in enumerate(want)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.license for r in queries.op7_licenses(spark, str(tmp_path)).collect()}
+    assert [(t[:80], got[i]) for i, (t, _) in enumerate(want)] == [(t[:80], name) for t, name in want]
+
+
 def test_schedule_deviates_less_than_a_block():
     rng = random.Random(3)
     for _ in range(30):

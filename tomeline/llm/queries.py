@@ -56,7 +56,8 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.best_license(licenses.scan_licenses(table(spark, sf_dir, "documents")))
+    templates, telling = licenses.all_templates()
+    return licenses.best_license(licenses.scan_licenses(table(spark, sf_dir, "documents"), templates, telling=telling))
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
