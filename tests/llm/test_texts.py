@@ -132,6 +132,24 @@ def test_language_accuracy_and_odd_rows(spark):
     assert language_id.fit_dictionaries(spark.createDataFrame([], "doc_id long, text string, lang string")) == {}
 
 
+def test_dictionaries_are_cut_before_the_driver(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, "é" * rng.choice([30, 150, 400, 5000]) + f" {'ab' * (i % 7)}", "en") for i in range(40)] + [(99, "x" * 9000, "fr"), (98, "ö" * 700, "de"), (97, "kurz", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    joined, on_driver = language_id.joined, []
+    order = df.select("lang", language_id.letters_only(F.col("text")).alias("text"), F.xxhash64(F.lit("dictionary"), "doc_id").alias("h")).orderBy("h", "text").collect()
+    want = {n: joined([r.text for r in order if r.lang == n][:20], 1000) for n in ("de", "en", "fr")}
+
+    def bounded(texts, limit):
+        on_driver.append(len(texts))
+        assert all(len(t) <= limit for t in texts)
+        return joined(texts, limit)
+
+    monkeypatch.setattr(language_id, "joined", bounded)
+    assert language_id.fit_dictionaries(df, 1000, 20) == want
+    assert not on_driver and all(len(x) <= 1000 for x in want.values())
+
+
 def lcs_like(text: list, template: list) -> int:
     return len(licenses.patience(text, template))
 

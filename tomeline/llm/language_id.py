@@ -36,16 +36,20 @@ def fit_dictionaries(labelled: DataFrame, dict_bytes: int = 112_640, sample_docs
     id, and at most ``dict_bytes`` of them: a bounded sample, so that the driver holds
     at most ``MOST_LANGUAGES * dict_bytes``.  Rows with null text or language, and
     texts without a letter, are left out.  Only whole texts are taken, save that the
-    first one is cut where it alone exceeds the bound.
+    first one is cut where it alone exceeds the bound.  Texts that cannot fit are left
+    out or cut before a task gathers a language's, and only dictionaries reach the driver.
     """
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
     rows = rows.select("lang", letters_only(F.col("text")).alias("text"), F.xxhash64(F.lit("dictionary"), "doc_id").alias("h"))
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
-    chosen = ranked.filter(F.col("r") <= sample_docs).groupBy("lang")
-    texts = chosen.agg(F.sort_array(F.collect_list(F.struct("h", "text"))).alias("texts")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(texts) > MOST_LANGUAGES:
+    fits = (F.col("r") == 1) | (F.octet_length("text") < dict_bytes)
+    chosen = ranked.filter((F.col("r") <= sample_docs) & fits).withColumn("text", F.left("text", F.lit(dict_bytes))).groupBy("lang")
+    texts = chosen.agg(F.sort_array(F.collect_list(F.struct("h", "text"))).alias("texts"))
+    dictionary = F.udf(lambda found: joined(found, dict_bytes), "binary")
+    learned = texts.select("lang", dictionary("texts.text").alias("dictionary")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
+    if len(learned) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    return {r["lang"]: joined([x["text"] for x in r["texts"]], dict_bytes) for r in texts}
+    return {r["lang"]: bytes(r["dictionary"]) for r in learned}
 
 
 def joined(texts: list[str], limit: int) -> bytes:
