@@ -72,7 +72,7 @@ def family(rng: random.Random) -> list[tuple]:
 def test_components_match_brute_force(spark, seed):
     rows = family(random.Random(seed))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("clash"))
-    got = jaccard_join.jaccard_components(df, shingles_per_fragment=400 * 1, pairs_per_block=50, batch_chars=2000, most_leader_rounds=seed)
+    got = jaccard_join.jaccard_components(df, shingles_per_fragment=400 * 1, pairs_per_block=50, batch_chars=2000, common_nodes=2 + 2 * seed)
     assert sorted(tuple(r) for r in got.collect()) == components(rows)
 
 
@@ -104,10 +104,35 @@ def test_pairs_of_one_leader_are_dealt_over_blocks(spark, monkeypatch):
 
 def test_copies_of_a_text_are_dealt_over_fragments():
     batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([*range(400), None], pa.int64()), "text": ["a b c d e f"] * 401})
-    rows = [r for b in jaccard_join.cut_texts(5, 8, 10_000)([batch]) for r in b.to_pylist() if r["nodes"] is None]
+    rows = [r for b in jaccard_join.cut_texts(5, 8, 10_000, 16)([batch]) for r in b.to_pylist() if r["node"] is not None]
     assert len(rows) == 401 and max(Counter(r["fragment"] for r in rows).values()) < 100
 
 
+def test_structured_and_long_words(spark):
+    morse = ["a"]
+    while len(morse[-1]) < 4096:
+        morse.append(morse[-1] + morse[-1].translate(str.maketrans("ab", "ba")))
+    flip = str.maketrans("ab", "ba")
+    words = [w for m in morse for w in (m, m.translate(flip))] + ["a" * n for n in (7, 8, 9, 15, 16, 17, 63, 64, 65, 66)] + ["x" * 300_000, "x" * 299_999 + "y"]
+    raw = np.frombuffer((" ".join(words) + " ").encode(), np.uint8)
+    size = np.array([len(w) for w in words])
+    first = np.cumsum(size + 1) - size - 1
+    assert len(set(jaccard_join.word_hashes(raw, first, first + size - 1).tolist())) == len(set(words))
+    rows = list(enumerate([*words, words[-1], words[3] + " q r s t u", "z " * 40_000]))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == components(rows)
+
+
+def test_a_shingle_of_most_documents_is_dealt_over_fragments():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(300)], k=40)) + " one two three four five six" for _ in range(400)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(400), pa.int64()), "text": texts})
+    rows = [r for b in jaccard_join.cut_texts(5, 8, 10**6, 16)([batch]) for r in b.to_pylist()]
+    packed = [len(r["entries"]) // jaccard_join.ENTRY.itemsize for r in rows if r["entries"]]
+    assert sum(packed) == 800 and max(packed) < 200
+    assert sum(len(r["common"]) // 6 for r in rows if r["common"]) == 2
+
+
 def test_shingle_sets_hash_like_sets():
     texts = ["a b c d e f", "A b C d e", "a  b\tc\nd e", "", "é b", "x\x0by", " lead", "same same same same same same same"]
     hashes, counts = jaccard_join.shingle_sets([t.encode() for t in texts], 5)

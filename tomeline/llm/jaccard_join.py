@@ -13,10 +13,12 @@ global order of shingles is cut into fragments, so no task holds a whole corpus:
 3. Candidates: nodes that meet in such a prefix shingle, where what is left of both
    from there on could still reach the least overlap of the pair.  Large groups of near
    copies would give all pairs, so a round pairs every node with one leader of each of
-   its shingles only (the one with the fewest shingles of its own), and only where both
-   are not yet known to be connected; links found connect them.  As soon as all pairs
-   left that meet in a shingle and are not yet connected are few against the postings,
-   or after the last round, all of them are tested, so no link between components is lost.
+   its shingles (at first the one with the fewest shingles of its own; 2, 4, 8, ...
+   leaders in later rounds), and only where both are not yet known to be connected; links
+   found connect them.  A leader leaves the lists it has led, and a list that holds one
+   component only is done, so all lists come to an end.  As soon as all pairs left that
+   are not yet connected are few against the postings, they are tested at once.  No link
+   between components is lost.
 4. A pair's overlap is counted fragment by fragment over its shared shingles, and the
    partial counts are summed per pair.  Pairs are dealt into blocks of bounded pairs
    and shingles; a leader's pairs go to as many blocks as they need.
@@ -27,6 +29,7 @@ written to the shared folder, so lost executors cost no more than a stage.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomeline.llm.common import materialize, ragged, slices_by_chars
+from tomeline.llm.common import discard, materialize, ragged, slices_by_chars
 
 U = np.uint64
 LOW48 = U((1 << 48) - 1)
@@ -50,15 +53,23 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, dtype=U)
-    out[:1] = 1
-    done = 1
-    while done < n:
-        step = min(done, n - done)
-        out[done : done + step] = out[:step] * (U(pow(base, done, 1 << 64)))
-        done += step
-    return out
+def word_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes ``first..last``.
+
+    Eight bytes at a time go through a bijective mix, so runs of up to eight bytes and
+    equal length never collide; runs over 64 bytes are hashed by BLAKE2b.
+    """
+    size = last - first + 1
+    data = raw.tobytes() + bytes(8)
+    eight = np.ndarray(len(raw), "<u8", data, strides=(1,))  # the eight bytes from each place on
+    h = mixed(size.astype(U) * U(0xD1B54A32D192ED03))
+    for at in range(0, min(64, int(size.max(initial=0))), 8):
+        some = np.flatnonzero(size > at)
+        left = np.minimum(size[some] - at, 8).astype(U)
+        h[some] = mixed(h[some] ^ eight[first[some] + at] & ((U(1) << left * U(8) - U(1)) * U(2) - U(1))) * U(0xE7037ED1A0B428DB)
+    for i in np.flatnonzero(size > 64).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[first[i] : last[i] + 1], digest_size=8).digest(), "little")
+    return h
 
 
 def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,13 +86,7 @@ def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray
     last = np.flatnonzero(inside & np.r_[space[1:], True])
     if not len(first):
         return np.zeros(0, U), np.zeros(len(texts), np.int64)
-    # a word's hash: a polynomial of its bytes, by differences of running sums
-    longest = int((last - first).max()) + 1
-    at = np.arange(len(raw)) - np.repeat(first, np.diff(np.r_[first, len(raw)])) if first[0] == 0 else np.r_[np.zeros(first[0], np.int64), np.arange(first[0], len(raw)) - np.repeat(first, np.diff(np.r_[first, len(raw)]))]
-    power = powers(0x9E3779B97F4A7C15, longest)
-    value = (raw.astype(U) + U(1)) * power[np.minimum(at, longest - 1)]
-    value[space] = 0
-    word = mixed(np.add.reduceat(value, first) + (last - first + 1).astype(U) * U(0xD1B54A32D192ED03))
+    word = word_hashes(raw, first, last)
     doc = np.searchsorted(np.cumsum(lengths), first, side="right")
     count = np.bincount(doc, minlength=len(texts))
     begin = np.cumsum(count) - count
@@ -93,8 +98,8 @@ def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray
     for i in range(words):
         h = mixed(h * U(0xE7037ED1A0B428DB) + np.where(i < size, padded[start + i], U(0)))
     of = np.repeat(np.arange(len(texts)), shingles)
-    order = np.argsort(h, kind="stable")
-    order = order[np.argsort(of[order], kind="stable")]
+    order = np.argsort(h)
+    order = order[np.argsort(of[order].astype(np.uint16 if len(texts) < 1 << 16 else np.int64), kind="stable")]
     h, of = h[order], of[order]
     fresh = np.r_[True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])]
     return h[fresh], np.bincount(of[fresh], minlength=len(texts))
@@ -117,15 +122,40 @@ def unpack48(data: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(U)
 
 
-SEGMENTS = "fragment int, doc_id long, n int, node long, nodes binary, counts binary, hashes binary"
+SEGMENTS = "fragment int, doc_id long, n int, node long, nodes binary, counts binary, hashes binary, common binary, entries binary"
+NAMES = ["fragment", "doc_id", "n", "node", "nodes", "counts", "hashes", "common", "entries"]
+KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+ENTRY = np.dtype([("node", "<i8"), ("n", "<i4"), ("df", "<i4"), ("h", "<u8")])
+COMMON = (1 << 31) - 1  # stands for the number of nodes of a shingle that many nodes of one batch have
 
 
 def fragment_of(hashes: np.ndarray, fragments: int) -> np.ndarray:
     return ((hashes >> U(40)) * U(fragments) >> U(24)).astype(np.int64)
 
 
-def cut_texts(words: int, fragments: int, batch_chars: int):
-    """For each batch of texts: a row for each document, and for each fragment a packed row of its nodes' shingles."""
+def global_id(low: np.ndarray, fragment) -> np.ndarray:
+    """A shingle's number from its fragment and its low 48 bits."""
+    return mixed(low ^ ((fragment + U(1)) << U(48)))
+
+
+def rows_of(columns: dict, count: int) -> pa.RecordBatch:
+    """A batch of SEGMENTS; columns that are not given are null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[n], k) if n in columns else pa.nulls(count, k) for n, k in zip(NAMES, KINDS, strict=True)], NAMES)
+
+
+def by_group(group: np.ndarray, groups: int):
+    """For rising group numbers: (group, first row, row after the last) of each that has rows."""
+    bounds = np.searchsorted(group, np.arange(groups + 1))
+    return [(g, bounds[g], bounds[g + 1]) for g in np.flatnonzero(np.diff(bounds)).tolist()]
+
+
+def cut_texts(words: int, fragments: int, batch_chars: int, common_nodes: int):
+    """For each batch of texts: a row for each document, and for each fragment a packed row of its nodes' shingles.
+
+    A shingle of ``common_nodes`` or more nodes of the batch is known to be shared: its
+    fragment is told once that it is common, and the nodes' entries are dealt by node
+    and shingle, so that no shingle brings all its nodes to one fragment's task.
+    """
 
     def run(batches):
         for batch in batches:
@@ -135,75 +165,109 @@ def cut_texts(words: int, fragments: int, batch_chars: int):
                 hashes, counts = shingle_sets(texts[lo:hi], words)
                 nodes = set_nodes(hashes, counts)
                 m = hi - lo
-                none = pa.nulls(m, pa.binary())
                 # dealt by id and set, so that copies of one text do not meet in one fragment
                 ids = keys.slice(lo, m).fill_null(0).to_numpy().view(U)
-                home = pa.array((mixed(ids ^ mixed(nodes.view(U))) % U(fragments)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([home, keys.slice(lo, m), pa.array(counts, pa.int32()), pa.array(nodes, pa.int64()), none, none, none], NAMES)
+                home = (mixed(ids ^ mixed(nodes.view(U))) % U(fragments)).astype(np.int32)
+                yield rows_of({"fragment": home, "doc_id": keys.slice(lo, m), "n": counts, "node": nodes}, m)
                 # one copy of each set of this batch
                 _, once = np.unique(nodes, return_index=True)
                 once = once[counts[once] > 0]
                 begin = np.cumsum(counts) - counts
                 h = hashes[ragged(begin[once], counts[once])]
                 of = np.repeat(np.arange(len(once)), counts[once])
+                name, size = nodes[once], counts[once]
+                order = np.argsort(h)
+                sorted_h = h[order]
+                starts = np.flatnonzero(np.r_[True, sorted_h[1:] != sorted_h[:-1]]) if len(h) else np.zeros(0, np.int64)
+                many = np.diff(np.r_[starts, len(h)])
+                common = sorted_h[starts[many >= common_nodes]]
+                is_common = np.zeros(len(h), dtype=bool)
+                is_common[order] = np.repeat(many >= common_nodes, many)
+                if len(common):
+                    part = fragment_of(common, fragments)
+                    order = np.argsort(part, kind="stable")
+                    common, part = common[order], part[order]
+                    rows = [(f, pack48(common[a:b] & LOW48)) for f, a, b in by_group(part, fragments)]
+                    yield rows_of({"fragment": [r[0] for r in rows], "common": [r[1] for r in rows]}, len(rows))
+                    entry = np.empty(int(is_common.sum()), ENTRY)
+                    hot, who = h[is_common], of[is_common]
+                    entry["node"], entry["n"], entry["df"] = name[who], size[who], COMMON
+                    entry["h"] = global_id(hot & LOW48, fragment_of(hot, fragments).astype(U))
+                    part = (mixed(entry["node"].view(U) ^ hot) % U(fragments)).astype(np.int64)
+                    order = np.argsort(part, kind="stable")
+                    entry, part = entry[order], part[order]
+                    rows = [(f, entry[a:b].tobytes()) for f, a, b in by_group(part, fragments)]
+                    yield rows_of({"fragment": [r[0] for r in rows], "entries": [r[1] for r in rows]}, len(rows))
+                h, of = h[~is_common], of[~is_common]
                 part = fragment_of(h, fragments)
-                order = np.argsort(part, kind="stable")
+                order = np.argsort(part.astype(np.uint16 if fragments <= 1 << 16 else np.int64), kind="stable")
                 h, of, part = h[order], of[order], part[order]
-                bounds = np.searchsorted(part, np.arange(fragments + 1))
                 rows = []
-                for f in np.flatnonzero(np.diff(bounds)).tolist():
-                    a, b = bounds[f], bounds[f + 1]
-                    who, many = np.unique(of[a:b], return_counts=True)  # `of` rises within a fragment
-                    info = np.stack([nodes[once][who], counts[once][who]]).astype("<i8")
-                    rows.append((f, info.tobytes(), many.astype("<u4").tobytes(), pack48(h[a:b] & LOW48)))
+                for f, a, b in by_group(part, fragments):
+                    fresh = np.flatnonzero(np.r_[True, of[a + 1 : b] != of[a : b - 1]])  # `of` rises within a fragment
+                    who, share = of[a:b][fresh], np.diff(np.r_[fresh, b - a])
+                    wide = "<u2" if share.max() < 1 << 16 else "<u4"
+                    rows.append((f, name[who].tobytes() + size[who].astype("<i4").tobytes(), share.astype(wide).tobytes(), pack48(h[a:b] & LOW48)))
                 if rows:
-                    f, info, many, packed = zip(*rows, strict=True)
-                    k = len(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(info, pa.binary()), pa.array(many, pa.binary()), pa.array(packed, pa.binary())], NAMES)
+                    yield rows_of({"fragment": [r[0] for r in rows], "nodes": [r[1] for r in rows], "counts": [r[2] for r in rows], "hashes": [r[3] for r in rows]}, len(rows))
 
     return run
 
 
-NAMES = ["fragment", "doc_id", "n", "node", "nodes", "counts", "hashes"]
 SHARED = "kind int, doc_id long, n int, node long, bucket int, packed binary"
 SHARED_NAMES = ["kind", "doc_id", "n", "node", "bucket", "packed"]
-ENTRY = np.dtype([("node", "<i8"), ("n", "<i4"), ("df", "<i4"), ("h", "<u8")])
+
+
+def present(table: pa.Table, column: str) -> list[bytes]:
+    return [x for x in table[column].to_pylist() if x is not None]
 
 
 def share_fragment(buckets: int):
     """The task of a fragment: counts nodes for each shingle and passes shared ones on, packed by bucket of node."""
 
     def run(table: pa.Table) -> pa.Table:
-        fragment = table["fragment"][0].as_py()
-        docs = table.filter(pa.compute.is_null(table["nodes"]))
-        blobs = table.filter(pa.compute.is_valid(table["nodes"]))
+        fragment = U(table["fragment"][0].as_py())
+        docs = table.filter(pa.compute.is_valid(table["node"]))
         m = docs.num_rows
         out = [pa.table([pa.array(np.zeros(m, np.int32)), docs["doc_id"], docs["n"], docs["node"], pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], SHARED_NAMES)]
-        if blobs.num_rows:
-            info = [np.frombuffer(x.as_py(), "<i8").reshape(2, -1) for x in blobs["nodes"]]
-            node, n = np.concatenate([x[0] for x in info]), np.concatenate([x[1] for x in info])
-            many = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in blobs["counts"]]).astype(np.int64)
-            h = np.concatenate([unpack48(x.as_py()) for x in blobs["hashes"]])
+        found = [np.frombuffer(x, ENTRY) for x in present(table, "entries")]
+        if found:  # batches repeat the entries of copies
+            entry = np.concatenate(found)
+            entry = entry[np.lexsort((entry["h"], entry["node"]))]
+            found = [entry[np.r_[True, (entry["h"][1:] != entry["h"][:-1]) | (entry["node"][1:] != entry["node"][:-1])]]]
+        blobs = present(table, "nodes")
+        if blobs:
+            each = [len(x) // 12 for x in blobs]
+            node = np.concatenate([np.frombuffer(x, "<i8", k) for x, k in zip(blobs, each, strict=True)])
+            n = np.concatenate([np.frombuffer(x, "<i4", k, 8 * k) for x, k in zip(blobs, each, strict=True)])
+            many = np.concatenate([np.frombuffer(x, "<u2" if len(x) == 2 * k else "<u4") for x, k in zip(present(table, "counts"), each, strict=True)]).astype(np.int64)
+            h = unpack48(b"".join(present(table, "hashes")))
             # batches repeat the sets of copies: keep each node once
             names, once = np.unique(node, return_index=True)
             begin = np.cumsum(many) - many
-            h = h[ragged(begin[once], many[once])]
-            of = np.repeat(np.arange(len(once)), many[once])
+            # a copy may have left other shingles out as common: keep every pair of node and shingle once
+            h = h[ragged(begin, many)]
+            of = np.repeat(np.searchsorted(names, node).astype(np.int32), many)
             n = n[once]
-            order = np.argsort(h, kind="stable")
+            order = np.lexsort((of, h))
             h, of = h[order], of[order]
+            fresh = np.r_[True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])]
+            h, of = h[fresh], of[fresh]
             starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             df = np.diff(np.r_[starts, len(h)])
-            df = np.repeat(df, df)
+            df[np.isin(h[starts], unpack48(b"".join(present(table, "common"))))] = COMMON
+            df = np.repeat(df, np.diff(np.r_[starts, len(h)]))
             h, of, df = h[df > 1], of[df > 1], df[df > 1]
             entry = np.empty(len(h), ENTRY)
             entry["node"], entry["n"], entry["df"] = names[of], n[of], df
-            entry["h"] = mixed(h ^ (U(fragment + 1) << U(48)))
-            bucket = (entry["node"].view(U) >> U(8)) % U(buckets) if len(entry) else np.zeros(0, U)
-            order = np.lexsort((of, bucket))
-            entry, bucket = entry[order], bucket[order]
-            bounds = np.searchsorted(bucket, np.arange(buckets + 1).astype(U))
-            rows = [(b, entry[bounds[b] : bounds[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(bounds)).tolist()]
+            entry["h"] = global_id(h, fragment)
+            found.append(entry)
+        if found:
+            entry = np.concatenate(found)
+            bucket = (entry["node"].view(U) >> U(8)) % U(buckets)
+            order = np.lexsort((entry["node"], bucket))
+            entry, bucket = entry[order], bucket[order].astype(np.int64)
+            rows = [(g, entry[a:b].tobytes()) for g, a, b in by_group(bucket, buckets)]
             k = len(rows)
             if k:
                 out.append(pa.table([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], SHARED_NAMES))
@@ -221,6 +285,7 @@ def gather_bucket(percent: int):
     def run(table: pa.Table) -> pa.Table:
         entry = np.concatenate([np.frombuffer(x.as_py(), ENTRY) for x in table["packed"]])
         entry = entry[np.lexsort((entry["h"], entry["df"], entry["node"]))]
+        entry = entry[np.r_[True, (entry["h"][1:] != entry["h"][:-1]) | (entry["node"][1:] != entry["node"][:-1])]]
         starts = np.flatnonzero(np.r_[True, entry["node"][1:] != entry["node"][:-1]])
         shared = np.diff(np.r_[starts, len(entry)])
         n = entry["n"][starts].astype(np.int64)
@@ -346,7 +411,8 @@ def connected(edges: DataFrame) -> DataFrame:
         large = large.filter(F.col("v") != F.col("m")).distinct()
         low = large.groupBy("v").agg(F.min("m").alias("low"))
         small = large.join(low, "v").select(F.when(F.col("m") == F.col("low"), F.col("v")).otherwise(F.col("m")).alias("v"), F.col("low").alias("m"))
-        now = materialize(small.filter(F.col("v") != F.col("m")).distinct(), "edges")
+        old, now = now, materialize(small.filter(F.col("v") != F.col("m")).distinct(), "edges")
+        discard(old)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -369,13 +435,18 @@ def may_link(a: Callable[[str], Column], b: Callable[[str], Column], percent: in
     return sizes & ((100 + percent) * F.least(a("ahead"), b("ahead")) >= percent * (a("n") + b("n")))
 
 
-def leader_pairs(open_: DataFrame, percent: int, round_: int) -> DataFrame:
-    """Each node with the leader of each of its shingles; round 0 has the same leader in all, later ones vary it."""
-    own = [F.col("own")] if round_ == 0 else []
-    rank = F.struct(*own, F.xxhash64(F.lit(round_), "node", *([] if round_ == 0 else ["h"])).alias("r"), "node", "n", "comp", "ahead")
-    leaders = open_.groupBy("h").agg(F.min(rank).alias("top"))
-    top = lambda c: F.col(f"top.{c}")
-    met = open_.join(leaders, "h").filter((F.col("comp") != top("comp")) & may_link(F.col, top, percent))
+def round_leaders(open_: DataFrame, round_: int) -> DataFrame:
+    """The ``2 ** round_`` leaders of each shingle: round 0 has the same one in all, later ones vary them."""
+    order = [F.col("own"), F.xxhash64(F.lit(0), "node")] if round_ == 0 else [F.xxhash64(F.lit(round_), "node", "h")]
+    place = F.row_number().over(Window.partitionBy("h").orderBy(*order, "node"))
+    return open_.withColumn("place", place).filter(F.col("place") <= 1 << round_).drop("place")
+
+
+def leader_pairs(open_: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
+    """Each node with the leaders of each of its shingles that are not yet connected with it."""
+    top = lambda c: F.col(f"t_{c}")
+    named = leaders.select("h", *[F.col(c).alias(f"t_{c}") for c in ("node", "n", "comp", "ahead")])
+    met = open_.join(named, "h").filter((F.col("comp") != top("comp")) & may_link(F.col, top, percent))
     return met.select(top("node").alias("a"), F.col("node").alias("b"), top("n").alias("na"), F.col("n").alias("nb")).distinct()
 
 
@@ -387,6 +458,14 @@ def all_pairs_left(open_: DataFrame, percent: int) -> DataFrame:
     return met.select(a("node").alias("a"), b("node").alias("b"), a("n").alias("na"), b("n").alias("nb")).distinct()
 
 
+def still_open(postings: DataFrame) -> DataFrame:
+    """Of postings with ``comp`` those under shingles of several components, and for each its share ``met`` of the pairs left."""
+    sizes = postings.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c"))
+    live = sizes.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("q")).filter("k > 1")
+    live = live.select("h", ((F.col("c") * F.col("c") - F.col("q")) / (2 * F.col("c"))).alias("met"))
+    return postings.join(live, "h").select(*POSTING_NAMES, "comp", "met")
+
+
 def jaccard_components(
     docs: DataFrame,
     words: int = 5,
@@ -397,8 +476,8 @@ def jaccard_components(
     least_fragments: int = 64,
     pair_fragments: int = 4,
     pairs_per_block: int = 60_000,
-    most_leader_rounds: int = 4,
     batch_chars: int = 1_500_000,
+    common_nodes: int = 16,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row: the size of its set of distinct
     ``words``-word shingles, and the smallest id reachable over links, where two
@@ -409,37 +488,44 @@ def jaccard_components(
     an empty set and is linked with nothing.  Equal sets always link.  Rows that share
     an id each have their own set; they are one component only if their sets are
     linked.  A null id stands after all others: a component of null ids only has a
-    null id.  An empty table gives an empty result.
+    null id.  An empty table gives an empty result; other columns are not read.
+
+    Sets are compared by 64-bit hashes of their shingles, of which a fragment keeps the
+    low 48 bits besides its own number.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     fragments = max(least_fragments, min(1 << 20, -(-chars // (6 * shingles_per_fragment))))
-    segments = texts.mapInArrow(cut_texts(words, fragments, batch_chars), SEGMENTS)
+    segments = texts.mapInArrow(cut_texts(words, fragments, batch_chars, common_nodes), SEGMENTS)
     shared = materialize(segments.groupBy("fragment").applyInArrow(share_fragment(fragments), SHARED), "shared")
     rows = shared.filter("kind = 0").select("doc_id", "n", "node")
     nodes = materialize(shared.filter("kind = 1").groupBy("bucket").applyInArrow(gather_bucket(percent), NODES), "nodes")
-    postings = nodes.mapInArrow(prefix_postings, POSTINGS)
-    met = postings.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
-    postings = materialize(postings.join(met, "h"), "postings")
     labels = materialize(nodes.select("node", F.col("node").alias("comp")), "labels")
-    few = 2 * postings.count()
-    for round_ in range(most_leader_rounds + 1):
-        named = postings.join(labels, "node")
-        sizes = named.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c"))
-        live = sizes.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("q")).filter("k > 1")
-        live = live.select("h", ((F.col("c") * F.col("c") - F.col("q")) / (2 * F.col("c"))).alias("met"))
-        open_ = materialize(named.join(live, "h").select(*POSTING_NAMES, "comp", "met"), "open")
-        meetings = open_.agg(F.sum("met")).first()[0]
-        if meetings is None:
+    postings = nodes.mapInArrow(prefix_postings, POSTINGS).withColumn("comp", F.col("node"))
+    spent, round_, few = [], 0, None
+    while True:
+        open_ = materialize(still_open(postings), "open")
+        discard(*spent)
+        count, meetings = open_.agg(F.count(F.lit(1)), F.sum("met")).first()
+        if not count:
             break
-        last = round_ == most_leader_rounds or meetings <= few
-        pairs = all_pairs_left(open_, percent) if last else leader_pairs(open_, percent, round_)
-        pairs = materialize(pairs, "pairs")
+        few = few or 2 * count
+        last = meetings <= few
+        leaders = None if last else materialize(round_leaders(open_, round_), "leaders")
+        pairs = materialize(all_pairs_left(open_, percent) if last else leader_pairs(open_, leaders, percent), "pairs")
         links = materialize(linked_pairs(pairs, nodes, percent, pair_fragments, pairs_per_block), "links")
+        discard(pairs)
         if not links.isEmpty():
-            labels = materialize(relabel(labels, links), "labels")
+            old, labels = labels, materialize(relabel(labels, links), "labels")
+            discard(old)
+        discard(links)
         if last:
+            discard(open_)
             break
+        # a leader's own posting is done with: every pair it is in has been tested
+        left = open_.drop("comp", "met").join(leaders.select("h", "node"), ["h", "node"], "left_anti")
+        postings, spent, round_ = left.join(labels, "node"), [open_, leaders], round_ + 1
+    discard(nodes)
     least = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
     comps = least.join(labels, "node", "left").select("node", "low", F.coalesce("comp", "node").alias("comp"))
     ids = comps.groupBy("comp").agg(F.min("low").alias("component_id"))
