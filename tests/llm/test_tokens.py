@@ -19,7 +19,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 65535) | st.integers(0, 3), max_size=400))
+@given(st.lists(st.integers(0, token_coder.MOST_IDS - 1) | st.integers(0, 65535) | st.integers(0, 3), max_size=400))
 def test_blocks_round_trip(values):
     ids = np.array(values, dtype=np.int32)
     block = token_coder.write_block([7, None], [len(values), 0], ids)
@@ -45,7 +45,73 @@ def test_damage_and_range():
     with pytest.raises(ValueError, match="damaged"):
         token_coder.read_block(bytes(block))
     with pytest.raises(ValueError, match="ids must be"):
-        token_coder.write_block([1], [1], np.array([1 << 16]))
+        token_coder.write_block([1], [1], np.array([token_coder.MOST_IDS]))
+
+
+def test_orders_are_mixed():
+    """A text that repeats its pairs is coded far below its single-id entropy, and any id may still come."""
+    rng = np.random.default_rng(5)
+    follow = rng.permutation(3000)
+    ids = [0]
+    for _ in range(60_000):
+        ids.append(int(follow[ids[-1]]) if rng.random() < 0.9 else int(rng.integers(3000)))
+    ids = np.array([*ids, 200_000], dtype=np.int32)
+    block = token_coder.write_block([1], [len(ids)], ids)
+    assert token_coder.read_block(block)[2].tolist() == ids.tolist()
+    assert 8 * len(block) / len(ids) < 0.7 * np.log2(3000)
+
+
+def test_intervals_tile_the_whole_range():
+    rng = np.random.default_rng(6)
+    model = token_coder.Model(300)
+    before = last = np.zeros(64, np.int32)
+    for _ in range(40):
+        model.predict(before, last)
+        every = [model.interval(np.full(64, i, np.int32)) for i in range(300)]
+        starts, sizes = np.array([x[0] for x in every], np.int64), np.array([x[1] for x in every], np.int64)
+        assert (sizes > 0).all() and (starts[0] == 0).all() and (starts[1:] == starts[:-1] + sizes[:-1]).all()
+        assert (starts[-1] + sizes[-1] == 1 << token_coder.BITS).all()
+        now = np.minimum(rng.zipf(1.5, 64) - 1, 299).astype(np.int32)
+        model.prepare_slots()
+        start, size = model.interval(now)
+        for slot in (start, start + size - 1, start + size // 2):
+            assert (model.ids_at(slot) == now).all()
+        model.interval(now)
+        model.learn(now)
+        before, last = last, now
+
+
+def test_other_tokenizers_are_asked_for_whole_texts(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_files.WordCoder.fits(PATH) and not token_files.WordCoder.fits(path)
+    texts = ["Hello  World", None, "a\n\n b", "über"]
+    token_files.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(tmp_path / "t"), path)
+    tokenizer = Tokenizer.from_file(path)
+    want = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert {r.doc_id: list(struct.unpack(f"<{r.n_tokens}I", r.ids)) for r in token_files.read_tokens(spark, str(tmp_path / "t")).collect()} == want
+
+
+def test_words_equal_the_library():
+    import random
+
+    rng = random.Random(8)
+    marks = ["a", "B", "é", "É", "ª", "µ", "ß", "\u0130", "\u0131", "ſ", "K", "'s", "'", "'LL", ".", "***", "&&&", "_", "~", "1", "23", "\u0301", "\u00a0", "\u2028", "\t", " ", " ", " ", "\n", "<|endoftext|>", "<|", "|>", "日", "𝄞", "\x00", "×", "÷", "Ω"]
+    texts = ["".join(rng.choices(marks, k=rng.randint(0, 12))) for _ in range(4000)]
+    tokenizer = Tokenizer.from_file(PATH)
+    coder = token_files.WordCoder(PATH, most_words=2000, most_parts=500)
+    for lo in range(0, 4000, 500):
+        ids, count = coder.encode(texts[lo : lo + 500])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts[lo : lo + 500]]
+
+
+def test_rows_of_one_id_are_dealt_over_tasks(spark, tmp_path):
+    rows = [(7, f"text {i}") for i in range(400)] + [(None, f"none {i}") for i in range(400)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "t"), PATH)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(str(tmp_path / "t")).select("part").distinct().count() > 2
+    got = token_files.read_tokens(spark, str(tmp_path / "t"), want_ids=False).orderBy("start").collect()
+    assert [tuple(r) for r in got] == expected(rows)
 
 
 def expected(rows, end=2):

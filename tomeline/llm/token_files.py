@@ -8,9 +8,11 @@ Parquet dataset ``part int, block int, ids long, data binary``, which any store
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,86 +25,140 @@ from tomeline.llm.common import ragged, slices_by_chars
 from tomeline.llm.token_coder import read_block, write_block
 
 BLOCKS = "part int, block int, ids long, data binary"
-CODERS: dict[str, WordCoder] = {}
+CODERS: dict[str, TextCoder] = {}
 
 
-class WordCoder:
-    """The tokenizers library, asked once for each distinct word.
+# The parts of a tokenizer file under which words can be coded apart.
+WORD_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
-    Only for tokenizers that treat white space as a word boundary and drop it and letter
-    case, as the files' ``word_`` kind does: then a text's ids are its words' ids in turn,
-    and a word of plain letters with punctuation after it has the ids of both in turn.
-    Words are remembered up to ``most_words``, word stems up to ``most_stems``.
-    """
 
-    def __init__(self, path: str, most_words: int = 1_500_000, most_stems: int = 400_000):
+class TextCoder:
+    """The tokenizers library, asked for every text."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most_words, self.most_stems = Tokenizer.from_file(path), most_words, most_stems
-        self.stems: dict[str, list[int]] = {}
-        self.forget()
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, one text after the other, and the number of each text's ids."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        count = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(count.sum())), count
 
-    def forget(self) -> None:
-        self.words = pa.array([], pa.large_string())
+
+class Known:
+    """Strings and their ids."""
+
+    def __init__(self):
+        self.strings = pa.array([], pa.large_string())
         self.flat, self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    @staticmethod
-    def split(word: str) -> tuple[str, str]:
-        """Letters below U+0130 (whose lower case no neighbour changes) and the punctuation after them; else the whole word."""
-        stem = word.rstrip(".,;:!?|)")
-        if stem and stem.isalpha() and max(stem) < "\u0130":
-            return stem.lower(), word[len(stem) :]
-        return word, ""
-
-    def learn(self, words: pa.Array) -> None:
-        parts = [self.split(w) for w in words.to_pylist()]
-        if len(self.stems) > self.most_stems:
-            self.stems = {}
-        new = [p for p in dict.fromkeys(p for pair in parts for p in pair) if p not in self.stems]
-        for at in range(0, len(new), 20_000):
-            for stem, found in zip(new[at : at + 20_000], self.tokenizer.encode_batch_fast(new[at : at + 20_000], add_special_tokens=False), strict=True):
-                self.stems[stem] = found.ids
-        ids = [self.stems[a] + self.stems[b] if b else self.stems[a] for a, b in parts]
-        length = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+    def add(self, strings: pa.Array, ids: np.ndarray, length: np.ndarray) -> None:
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(length.sum()))])
-        self.words = pa.concat_arrays([self.words, words])
+        self.length, self.flat = np.concatenate([self.length, length]), np.concatenate([self.flat, ids])
+        self.strings = pa.concat_arrays([self.strings, strings])
+
+    def places(self, strings: pa.Array, learn) -> np.ndarray:
+        """The place of each string; ``learn`` gives ids and lengths of unknown ones."""
+        coded = strings.dictionary_encode()
+        found = pc.index_in(coded.dictionary, value_set=self.strings)
+        place = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        fresh = np.flatnonzero(place < 0)
+        if len(fresh):
+            place[fresh] = len(self.strings) + np.arange(len(fresh))
+            new = coded.dictionary.take(pa.array(fresh))
+            self.add(new, *learn(new))
+        return place[coded.indices.to_numpy()]
+
+
+class WordCoder(TextCoder):
+    """The library, asked once for each distinct word.
+
+    Only for tokenizers that treat white space as a word boundary and drop it and letter
+    case, as the files' ``word_`` kind does (``fits`` tells): then a text's ids are its
+    words' ids in turn.  A word of letters below U+0130 (whose lower case no neighbour
+    changes) with ASCII punctuation after it has the ids of both in turn, and each of
+    the two ends in an id with the mark of a word's end, so many can be asked for at once.
+    Words are remembered up to ``most_words``, their parts up to ``most_parts``.
+    """
+
+    PARTS = "^(?P<stem>[A-Za-zªµºÀ-ÖØ-öø-į]+)(?P<tail>[!-&(-/:-@\\[-`{-~]*)$"
+
+    def __init__(self, path: str, most_words: int = 600_000, most_parts: int = 600_000):
+        super().__init__(path)
+        self.most_words, self.most_parts = most_words, most_parts
+        vocab = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.closes[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
+        self.words, self.parts = Known(), Known()
+
+    @staticmethod
+    def fits(path: str) -> bool:
+        spec = json.loads(Path(path).read_text())
+        split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+        return (
+            (spec.get("normalizer") or {}).get("normalizers") == WORD_NORMALIZER
+            and (split.get("pattern"), split.get("behavior"), split.get("invert")) == ({"Regex": WORD_PATTERN}, "Removed", True)
+            and spec["model"].get("end_of_word_suffix") == "</w>"
+        )
+
+    def learn_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts that end in one closing id each, asked for 400 at a time; an empty part has none."""
+        names = parts.to_pylist()
+        filled = [n for n in names if n]
+        ids, _ = super().encode([" ".join(filled[at : at + 400]) for at in range(0, len(filled), 400)])
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(filled) or (len(ends) and ends[-1] != len(ids)):
+            ids, count = super().encode(filled)
+        else:
+            count = np.diff(np.r_[0, ends])
+        length = np.zeros(len(names), dtype=np.int64)
+        length[[i for i, n in enumerate(names) if n]] = count
+        return ids, length
+
+    def learn_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = pc.extract_regex(words, pattern=self.PARTS)
+        plain = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        other = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+        if len(self.parts.strings) > self.most_parts:
+            self.parts = Known()
+        found = found.take(pa.array(plain))
+        stem, tail = (self.parts.places(x, self.learn_parts) for x in (pc.utf8_lower(pc.struct_field(found, 0)), pc.struct_field(found, 1)))
+        rest, count = super().encode(words.take(pa.array(other)).to_pylist())
+        first, second = self.parts.length[stem], self.parts.length[tail]
+        length = np.empty(len(words), dtype=np.int64)
+        length[plain], length[other] = first + second, count
+        start = np.cumsum(length) - length
+        ids = np.empty(int(length.sum()), dtype=np.int32)
+        ids[ragged(start[plain], first)] = self.parts.flat[ragged(self.parts.start[stem], first)]
+        ids[ragged(start[plain] + first, second)] = self.parts.flat[ragged(self.parts.start[tail], second)]
+        ids[ragged(start[other], count)] = rest
+        return ids, length
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, one text after the other, and the number of each text's ids."""
         words = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
-        coded = words.values.dictionary_encode()
-        if len(self.words) + len(coded.dictionary) > self.most_words:
-            self.forget()
-        slots = pc.index_in(coded.dictionary, value_set=self.words)
-        if slots.null_count:
-            known = len(self.words)
-            self.learn(coded.dictionary.filter(slots.is_null()))
-            slots = slots.to_numpy(zero_copy_only=False)
-            fresh = np.isnan(slots)
-            slots[fresh] = known + np.arange(int(fresh.sum()))
-            slots = slots.astype(np.int64)
-        else:
-            slots = slots.to_numpy()
-        index = slots[coded.indices.to_numpy()]
-        lengths = self.length[index]
-        ids = self.flat[ragged(self.start[index], lengths)]
+        if len(self.words.strings) > self.most_words:
+            self.words = Known()
+        place = self.words.places(words.values, self.learn_words)
+        lengths = self.words.length[place]
+        ids = self.words.flat[ragged(self.words.start[place], lengths)]
         total = np.concatenate([[0], np.cumsum(lengths)])
         return ids, np.diff(total[words.offsets.to_numpy()])
 
 
-def word_coder(path: str) -> WordCoder:
+def text_coder(path: str) -> TextCoder:
     """One coder for each worker process, kept from task to task."""
     if path not in CODERS:
-        CODERS[path] = WordCoder(path)
+        CODERS[path] = WordCoder(path) if WordCoder.fits(path) else TextCoder(path)
     return CODERS[path]
 
 
 def encode_partition(path: str, end_id: int, block_ids: int, batch_chars: int):
     def run(batches):
-        coder, part, number = word_coder(path), TaskContext.get().partitionId(), 0
+        coder, part, number = text_coder(path), TaskContext.get().partitionId(), 0
         docs: list[int | None] = []
         counts: list[np.ndarray] = []
         held: list[np.ndarray] = []
@@ -130,15 +186,18 @@ def encode_partition(path: str, end_id: int, block_ids: int, batch_chars: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1_000_000, batch_chars: int = 6_000_000) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 2_000_000, batch_chars: int = 6_000_000) -> None:
     """Encode every whole text, append ``end_id``, and write all ids in ascending order of ``id_col``.
 
     Null texts are empty (the end id alone); null ids come first; rows that share an id
-    are ordered by text.  An empty table writes an empty dataset.  A block holds about
-    ``block_ids`` ids, more only where a single batch of texts has more.
+    are ordered by text, and many such rows are dealt over several tasks.  An empty table
+    writes an empty dataset.  A block holds about ``block_ids`` ids, more only where a
+    single batch of texts has more.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
+    # a prefix of the text keeps the order and lets the rows of one id spread over partitions
+    rows = rows.withColumn("start", F.left(F.coalesce("text", F.lit("")), F.lit(64)))
+    ordered = rows.repartitionByRange("key", "start").sortWithinPartitions("key", "start", "text").select("key", "text")
     ordered.mapInArrow(encode_partition(tokenizer_path, end_id, block_ids, batch_chars), BLOCKS).write.parquet(path)
 
 
