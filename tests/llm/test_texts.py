@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -277,9 +278,8 @@ def test_mix_keeps_all_rows_and_follows_weights(spark):
 
 
 def test_all_segmentations_are_drawn_with_their_probabilities():
-    vocab = pieces.vocabulary(MODEL)
     n = 20_000
-    batch = pieces.Batch(["ab c"] * n, np.arange(n) * 7919 + 1, vocab)
+    batch = pieces.Batch(["ab c"] * n, np.arange(n) * 7919 + 1, pieces.lattices(MODEL))
     rounds, _ = batch.topk(3)
     paths = [[tuple(flat[offset[d] : offset[d + 1]]) for d in range(n)] for _, offset, flat, _, _ in rounds]
     prob = {p: math.exp(x) for r, (_, _, _, logp, _) in enumerate(rounds) for p, x in zip(paths[r], logp, strict=True)}
@@ -307,12 +307,78 @@ def test_sampling_is_repeatable_and_decodes(spark):
     assert pieces.segmentation_digests(spark.createDataFrame([], "doc_id long, text string"), MODEL).count() == 0
 
 
+def all_segmentations(text: str, store) -> dict[tuple, float]:
+    """Probability of every segmentation of a text, by plain enumeration."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    ids = {sp.id_to_piece(i): i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    whole = "▁" + text.replace(" ", "▁")
+    ways = {0: {(): 0.0}}
+    for end in range(1, len(whole) + 1):
+        ways[end] = {}
+        for start in range(end):
+            if whole[start:end] in ids:
+                i = ids[whole[start:end]]
+                ways[end] |= {(*path, i): w + store.vocab.weight[i] for path, w in ways[start].items()}
+    total = math.log(sum(math.exp(w) for w in ways[len(whole)].values()))
+    return {path: w - total for path, w in ways[len(whole)].items()}
+
+
+@pytest.mark.parametrize("text", ["if  a:   b", "ab ", "  x", "    "])
+def test_probabilities_match_enumeration(text):
+    store = pieces.lattices(MODEL)
+    want = all_segmentations(text, store)
+    n = 300
+    batch = pieces.Batch([text] * n, np.arange(n) * 104_729 + 5, store)
+    rounds, threshold = batch.topk(2)
+    for docs, offset, flat, logp, _ in rounds:
+        ids, offset = batch.piece_ids(flat, offset)
+        for d, x in zip(docs, logp, strict=True):
+            assert want[tuple(ids[offset[d] : offset[d + 1]].tolist())] == pytest.approx(x, abs=1e-9)
+    if len(want) > 2:
+        x = pieces.log_inclusion(rounds[0][3], threshold)
+        assert np.allclose(np.exp(x), 1 - np.exp(-np.exp(rounds[0][3] - threshold)))
+
+
+def test_kept_lattices_and_long_words_change_nothing(monkeypatch):
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("abcde fé\n", k=rng.randint(0, 900))) for _ in range(40)] + ["q" * 3000 + " x", " " * 700 + "y"]
+
+    def sampled(store):
+        out = []
+        for lo in range(0, len(texts), 7):
+            batch = pieces.Batch(texts[lo : lo + 7], np.arange(lo, min(lo + 7, len(texts))) + 1, store)
+            for docs, offset, flat, logp, _ in batch.topk(3)[0]:
+                ids, offset = batch.piece_ids(flat, offset)
+                out += [(lo + int(d), ids[offset[d] : offset[d + 1]].tolist(), round(float(x), 6)) for d, x in zip(docs, logp, strict=True)]
+        return out
+
+    vocab = pieces.lattices(MODEL).vocab
+    first = sampled(pieces.Lattices(vocab))
+    assert sampled(pieces.Lattices(vocab, most_edges=300, most_met=50)) == first
+    store = pieces.Lattices(vocab)
+    assert sampled(store) == first and sampled(store) == first and len(store.known) > 100
+    monkeypatch.setattr(pieces, "LONG", 3)
+    assert sampled(pieces.Lattices(vocab)) == first
+    assert len({d for d, _, _ in first}) == len(texts)
+
+
+def test_a_very_long_word():
+    began = time.process_time()
+    batch = pieces.Batch(["".join(random.Random(2).choices("etaoin", k=320_000))], np.array([3]), pieces.Lattices(pieces.lattices(MODEL).vocab))
+    rounds, _ = batch.topk(2)
+    ids, _ = batch.piece_ids(rounds[0][2], rounds[0][1])
+    assert len(pieces.decoded(batch.vocab, ids.astype("<u4").tobytes())) == 320_000
+    assert time.process_time() - began < 10
+
+
 def test_pieces_are_those_of_the_file():
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     text = "The quick brown fox, über 12 ▁"
-    batch = pieces.Batch([text], np.array([1]), pieces.vocabulary(MODEL))
+    batch = pieces.Batch([text], np.array([1]), pieces.lattices(MODEL))
     docs, offset, flat, _, _ = batch.topk(1)[0][0]
     ids, offset = batch.piece_ids(flat, offset)
     assert sp.decode(ids[offset[0] : offset[1]].tolist()) == text.replace("▁", " ") or sp.decode(ids.tolist()) == text

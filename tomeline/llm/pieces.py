@@ -4,8 +4,9 @@ The lattice of a text has an edge for every piece of a vocabulary file that fits
 place; characters without a piece fall back to their bytes.  A piece's weight follows
 Zipf's law on its place in the vocabulary (the files hold merge ranks, no
 probabilities), and a segmentation's probability is the product of its pieces' weights,
-normalised over all segmentations.  Pieces never cross a space or line break, so a text
-is a chain of units, and the lattice of a unit is built once for all its copies in a batch.
+normalised over all segmentations.  A piece may begin with spaces or be a run of them, but
+none crosses into a space or line break, so a text is a chain of units (a word with the
+spaces before it), and a worker builds the lattice of a unit once for many batches.
 
 Sampling without replacement is an A-star search over perturbed log-probabilities.  The
 set of all segmentations gets a Gumbel number as its perturbed maximum.  The best set is
@@ -21,7 +22,7 @@ hashes of the row's key and the place, so a row gives the same samples anywhere.
 from __future__ import annotations
 
 import heapq
-from functools import lru_cache
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ from tomeline.llm.common import ragged, slices_by_chars
 
 SPACE = "▁"
 MARK = "\ud800"  # no text of Spark's holds a lone surrogate
+LONG = 512  # units of more characters are walked one by one
 BYTE_EDGE = 1 << 20  # ids from here on stand for the bytes of one character
 U = np.uint64
 
@@ -60,8 +62,8 @@ class Vocabulary:
                 raw[-1] = bytes([int(text[3:5], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 raw[-1] = text.replace(SPACE, " ").encode()
-                if SPACE in text[1:]:
-                    continue  # runs of spaces are never merged
+                if text.strip(SPACE) and SPACE in text[1:]:
+                    continue  # a piece that would cross a unit's end
                 node = 0
                 for c in text:
                     node = children.setdefault((node, ord(c)), len(piece_of))
@@ -82,46 +84,101 @@ class Vocabulary:
         return self.raw[at][1:].tobytes()
 
 
-@lru_cache(maxsize=4)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
-
-
 class Lattices:
-    """The lattices of distinct units, as edges sorted by the place they leave."""
+    """The lattices of distinct units, as edges sorted by the place they leave.
+
+    A worker keeps those of units it meets again from batch to batch, up to ``most_edges``
+    edges (24 bytes each), and starts anew when they are more.  The others stay for one
+    batch, behind the kept ones.
+    """
 
-    def __init__(self, units: list[str], vocab: Vocabulary):
+    KINDS = {"frm": np.int32, "to": np.int32, "ids": np.int32, "logp": np.float64, "share": np.float32, "begin": np.int32, "first": np.int32, "last": np.int32}
+
+    def __init__(self, vocab: Vocabulary, most_edges: int = 3_000_000, most_met: int = 1_000_000):
+        self.vocab, self.most_edges, self.most_met = vocab, most_edges, most_met
+        self.met: set[int] = set()
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.used = dict.fromkeys(self.KINDS, 0)
+        for n, kind in self.KINDS.items():
+            setattr(self, n, np.zeros(1, kind))
+
+    def add(self, built: dict[str, np.ndarray]) -> None:
+        """Append lattices; arrays grow by a half, and what follows the used part stands for the end."""
+        place, edge = self.used["begin"], self.used["frm"]
+        for name, values in built.items():
+            old, used = getattr(self, name), self.used[name]
+            if used + len(values) + 1 > len(old):
+                grown = np.empty((used + len(values) + 1) * 3 // 2, old.dtype)
+                grown[:used] = old[:used]
+                setattr(self, name, grown)
+            getattr(self, name)[used : used + len(values)] = values + {"frm": place, "to": place, "first": place, "last": place, "begin": edge}.get(name, 0)
+            self.used[name] = used + len(values)
+        self.begin[self.used["begin"]] = self.used["frm"]
+
+    def find(self, keys: pa.Array) -> np.ndarray:
+        """The numbers of distinct units by their keys (see ``unit_of``), until the next call; lattices of unknown ones are built."""
+        if self.used["frm"] > self.most_edges:
+            self.forget()
+        if len(self.met) > self.most_met:
+            self.met = set()
+        number = pc.fill_null(pc.index_in(keys, value_set=self.known), -1).to_numpy().astype(np.int64)
+        missing = np.flatnonzero(number < 0)
+        units = [unit_of(k) for k in keys.take(pa.array(missing)).to_numpy(zero_copy_only=False)]
+        names = list(map(hash, units))
+        again = np.fromiter((h in self.met for h in names), dtype=bool, count=len(names))
+        self.met.update(names)
+        for some in (again, ~again):
+            found = np.flatnonzero(some)
+            start, kept = self.used["first"], dict(self.used)
+            for at in range(0, len(found), 16_384):
+                self.add(self.build([units[i] for i in found[at : at + 16_384].tolist()]))
+            number[missing[found]] = start + np.arange(len(found))
+            if some is again:
+                self.known = pa.concat_arrays([self.known, keys.take(pa.array(missing[found]))])
+            else:
+                self.used = kept
+        return number
+
+    def build(self, units: list[str]) -> dict[str, np.ndarray]:
+        """First and last place of each unit, each place's first edge, and all edges."""
+        vocab = self.vocab
         lengths = np.array([len(u) for u in units], dtype=np.int64)
         # every unit has a place before each character and one after the last
-        self.first = np.cumsum(lengths + 1) - (lengths + 1)
-        self.last = self.first + lengths
+        first = np.cumsum(lengths + 1) - (lengths + 1)
+        last = first + lengths
         places = int((lengths + 1).sum())
         chars = np.frombuffer(("\0".join(units) + "\0").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-        end = np.repeat(self.last, lengths + 1)
+        end = np.repeat(last, lengths + 1)
         frm, to, ids = self.fit(chars, end, vocab)
         bare = np.ones(places, dtype=bool)
-        bare[self.last] = False
+        bare[last] = False
         bare[frm[to == frm + 1]] = False
         bare = np.flatnonzero(bare)
         code = chars[bare]
         width = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
         weight = np.concatenate([vocab.weight[ids], width * vocab.byte_weight])
         frm, to, ids = (np.concatenate(x).astype(np.int32) for x in ((frm, bare), (to, bare + 1), (ids, BYTE_EDGE + code)))
-        order = np.argsort(frm, kind="stable")
-        self.frm, self.to, self.ids, weight = frm[order], to[order], ids[order], weight[order]
-        beta = self.backward(places, end, weight)
-        logp = weight + beta[self.to] - beta[self.frm]
-        order = np.argsort(self.frm - 0.99 * np.exp(logp), kind="stable")  # a place's likeliest edge first: draws take few steps
-        self.to, self.ids, logp = self.to[order], self.ids[order], logp[order]
-        self.begin = np.searchsorted(self.frm, np.arange(places + 1))
+        order = order_by(frm)
+        frm, to, ids, weight = frm[order], to[order], ids[order], weight[order]
+        long = np.flatnonzero(lengths > LONG)
+        beta = self.backward(places, end, frm, to, weight, np.repeat(lengths <= LONG, lengths + 1))
+        for i in long.tolist():
+            at = slice(*np.searchsorted(frm, (first[i], last[i])))
+            beta[first[i] : last[i] + 1] = self.backward_one(int(lengths[i]), frm[at] - first[i], to[at] - first[i], weight[at])
+        logp = weight + beta[to] - beta[frm]
+        order = order_by(frm, 1 - np.minimum(np.exp(logp), 1.0))  # a place's likeliest edge first: draws take few steps
+        to, ids, logp = to[order], ids[order], logp[order]
+        begin = np.searchsorted(frm, np.arange(places + 1))
         p = np.exp(logp)
         total = np.cumsum(p)
-        before = np.concatenate([[0.0], total])[self.begin[self.frm]]
-        share = total - before
-        closing = self.begin[self.frm + 1] - 1
+        share = total - np.concatenate([[0.0], total])[begin[frm]]
+        closing = begin[frm + 1] - 1
         share /= share[closing]
         share[closing] = 1.0
-        self.p, self.logp, self.share = np.minimum(p, 1.0), np.minimum(logp, 0.0), share
+        return {"frm": frm, "to": to, "ids": ids, "logp": np.minimum(logp, 0.0), "share": share, "begin": begin[:-1], "first": first, "last": last}
 
     def draw(self, place: np.ndarray, u: np.ndarray) -> np.ndarray:
         """For each place the first edge whose summed probability exceeds a number below 1."""
@@ -132,6 +189,19 @@ class Lattices:
             todo = todo[self.share[edge[todo]] <= u[todo]]
         return edge
 
+    def draw_on(self, place: int, stop: int, u: list[float]) -> list[int]:
+        """The edges of one long unit from a place on; ``u`` has a number for each place."""
+        start, base = place, int(self.begin[place])
+        share, to = self.share[base : self.begin[stop]].tolist(), self.to[base : self.begin[stop]].tolist()
+        begin, out = self.begin[place:stop].tolist(), []
+        while place < stop:
+            e = begin[place - start] - base
+            while share[e] <= u[place - start]:
+                e += 1
+            out.append(e + base)
+            place = to[e]
+        return out
+
     @staticmethod
     def fit(chars: np.ndarray, end: np.ndarray, vocab: Vocabulary):
         """Edges of all pieces: one walk down the trie from every place at once."""
@@ -150,23 +220,65 @@ class Lattices:
             start, node = start[more], node[more]
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
-    def backward(self, places: int, end: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def backward(places: int, end: np.ndarray, frm: np.ndarray, to: np.ndarray, weight: np.ndarray, among: np.ndarray) -> np.ndarray:
         """Log of the summed weights of all ways from each place to its unit's end, by distance from it."""
         beta = np.zeros(places)
-        away = (end - np.arange(places))[self.frm]
+        away = np.where(among, end - np.arange(places), 0)[frm]
         order = np.argsort(away, kind="stable")
         bounds = np.searchsorted(away[order], np.arange(1, int(away.max(initial=0)) + 2))
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             edges = order[lo:hi]
             if not len(edges):
                 continue
-            value, frm = weight[edges] + beta[self.to[edges]], self.frm[edges]
-            fresh = np.flatnonzero(np.r_[True, frm[1:] != frm[:-1]])
+            value, start = weight[edges] + beta[to[edges]], frm[edges]
+            fresh = np.flatnonzero(np.r_[True, start[1:] != start[:-1]])
             top = np.maximum.reduceat(value, fresh)
             total = np.add.reduceat(np.exp(value - np.repeat(top, np.diff(np.r_[fresh, len(value)]))), fresh)
-            beta[frm[fresh]] = top + np.log(total)
+            beta[start[fresh]] = top + np.log(total)
         return beta
 
+    @staticmethod
+    def backward_one(length: int, frm: np.ndarray, to: np.ndarray, weight: np.ndarray) -> list[float]:
+        """The same for one long unit, place by place."""
+        beta, exp = [0.0] * (length + 1), math.exp
+        bounds, to, weight = np.searchsorted(frm, np.arange(length + 1)).tolist(), to.tolist(), weight.tolist()
+        for place in range(length - 1, -1, -1):
+            value = [weight[e] + beta[to[e]] for e in range(bounds[place], bounds[place + 1])]
+            top = max(value)
+            beta[place] = top + math.log(sum([exp(v - top) for v in value]))
+        return beta
+
+
+def unit_of(key: str) -> str:
+    """The text of a unit from its key: a word, a line break with what follows, or (after two
+    line breaks) the number of spaces before a word.  A mark in the text itself becomes
+    ``MARK``, which has no piece and is coded by its bytes; only a unit's own marks are pieces."""
+    if key.startswith("\n\n"):
+        spaces, _, key = key[2:].partition(" ")
+        return SPACE * int(spaces) + key.replace(SPACE, MARK)
+    return key.replace(SPACE, MARK) if key[:1] == "\n" else SPACE + key.replace(SPACE, MARK)
+
+
+def order_by(major: np.ndarray, minor: np.ndarray | None = None) -> np.ndarray:
+    """The order by ``major``, then by ``minor`` (from 0 to 1, to a millionth part), then by place."""
+    if len(major) >= 1 << 22:
+        return np.argsort(major if minor is None else major + minor * 0.99, kind="stable")
+    key = major.astype(np.int64) << 42 | np.arange(len(major))
+    if minor is not None:
+        key |= (minor * ((1 << 20) - 1)).astype(np.int64) << 22
+    return np.sort(key) & ((1 << 22) - 1)
+
+
+STORES: dict[str, Lattices] = {}
+
+
+def lattices(path: str) -> Lattices:
+    """One store for each worker process, kept from task to task."""
+    if path not in STORES:
+        STORES[path] = Lattices(Vocabulary(path))
+    return STORES[path]
+
 
 def uniform(seed: np.ndarray, a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     """Numbers in (0, 1) that depend on a row's seed and two counters only."""
@@ -185,23 +297,47 @@ def truncated(location: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndar
 class Batch:
     """Texts of a batch as chains of units, and the search over them."""
 
-    def __init__(self, texts: list[str], seeds: np.ndarray, vocab: Vocabulary):
-        self.vocab, self.seeds = vocab, seeds.astype(U)
+    def __init__(self, texts: list[str], seeds: np.ndarray, store: Lattices):
+        self.vocab, self.lattices, self.seeds = store.vocab, store, seeds.astype(U)
         words = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
         counts = np.diff(words.offsets.to_numpy())
         coded = words.values.dictionary_encode()
-        # a mark in the text itself is coded by its bytes; only a unit's own mark is a piece
-        units = [u if u[:1] == "\n" else SPACE + u for u in (w.replace(SPACE, MARK) for w in coded.dictionary.to_pylist())]
-        empty = np.array([not t for t in texts], dtype=bool)
-        unit = coded.indices.to_numpy().astype(np.int64)
-        keep = ~np.repeat(empty, counts)
-        counts = np.where(empty, 0, counts)
-        self.unit = unit[keep]
-        self.lattices = Lattices(units, vocab)
+        keys, word = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        doc = np.repeat(np.arange(len(texts)), counts)
+        keep = ~np.repeat(np.array([not t for t in texts], dtype=bool), counts)
+        word, doc = word[keep], doc[keep]
+        bare = pc.index(keys, "").as_py()
+        if bare >= 0 and len(word):
+            word, doc, keys = self.join_spaces(word, doc, keys, bare)
         self.docs = len(texts)
-        self.doc_of = np.repeat(np.arange(self.docs), counts)
-        self.unit_end = np.cumsum(counts)
-        self.unit_begin = self.unit_end - counts
+        self.unit = store.find(keys)[word]
+        self.doc_of = doc
+        self.unit_end = np.cumsum(np.bincount(doc, minlength=self.docs))
+        self.unit_begin = np.r_[0, self.unit_end[:-1]]
+
+    @staticmethod
+    def join_spaces(word: np.ndarray, doc: np.ndarray, keys: pa.Array, empty: int):
+        """Runs of spaces join the word after them, or stand alone before a line break or the end."""
+        bare = word == empty
+        fresh = np.flatnonzero(np.r_[True, (bare[1:] != bare[:-1]) | (doc[1:] != doc[:-1])])
+        run = np.zeros(len(word), dtype=np.int64)  # the bare words right before each word
+        size = np.diff(np.r_[fresh, len(word)])
+        after = fresh + size
+        inner = bare[fresh] & (after < len(word))
+        inner[inner] = doc[after[inner]] == doc[fresh[inner]]
+        broken = pc.starts_with(keys, "\n").to_numpy(zero_copy_only=False)
+        inner[inner] = ~broken[word[after[inner]]]
+        run[after[inner]] = size[inner]
+        alone = fresh[bare[fresh] & ~inner]
+        run[alone] = size[bare[fresh] & ~inner] - 1
+        keep = ~bare
+        keep[alone] = True
+        word, doc, run = word[keep], doc[keep], run[keep]
+        some = np.flatnonzero(run)
+        pairs, number = np.unique(np.stack([word[some], run[some]]), axis=1, return_inverse=True)
+        word[some] = len(keys) + number
+        joined = [f"\n\n{n + 1} {keys[w].as_py()}" for w, n in pairs.T.tolist()]
+        return word, doc, pa.concat_arrays([keys, pa.array(joined, pa.large_string())])
 
     def walk(self, occurrences: np.ndarray, places: np.ndarray, round_: int):
         """Draw each unit's edges from a place to its end: (edges, occurrences) in reading order."""
@@ -211,20 +347,29 @@ class Batch:
         place = places[index]
         within = occurrences - self.unit_begin[self.doc_of[occurrences]]
         seed = self.seeds[self.doc_of[occurrences]]
-        while len(index):
-            u = uniform(seed[index], within[index], place - lat.first[self.unit[occurrences[index]]], 2 * round_)
+        first = lat.first[self.unit[occurrences]].astype(np.int64)
+        count = np.zeros(len(occurrences), dtype=np.int64)
+        while len(index) and len(steps) < LONG:
+            u = uniform(seed[index], within[index], place - first[index], 2 * round_)
             edge = lat.draw(place, u)
             steps.append((index, edge))
+            count[index] += 1
             place = lat.to[edge]
             more = place < stop[index]
             index, place = index[more], place[more]
-        count = np.zeros(len(occurrences), dtype=np.int64)
-        for index, _ in steps:
-            count[index] += 1
+        rest = []
+        for i, at in zip(index.tolist(), place.tolist(), strict=True):
+            there = np.arange(at, stop[i]) - first[i]
+            u = uniform(np.full(len(there), seed[i]), np.full(len(there), within[i]), there, 2 * round_)
+            rest.append((i, int(count[i]), lat.draw_on(at, int(stop[i]), u.tolist())))
+        for i, _, found in rest:
+            count[i] += len(found)
         start = np.cumsum(count) - count
         edges = np.empty(int(count.sum()), dtype=np.int64)
         for i, (index, edge) in enumerate(steps):
             edges[start[index] + i] = edge
+        for i, done, found in rest:
+            edges[start[i] + done : start[i] + count[i]] = found
         return edges, np.repeat(occurrences, count)
 
     def alternatives(self, doc: np.ndarray, edges: np.ndarray, occ: np.ndarray, lead: np.ndarray, bound: np.ndarray, begin: np.ndarray, round_: int) -> np.ndarray:
@@ -237,7 +382,7 @@ class Batch:
         total = np.cumsum(own) - own
         prefix = total - total[begin[doc]] + lead[doc] if len(edges) else total
         with np.errstate(divide="ignore"):
-            location = prefix + np.log1p(-np.minimum(lat.p[edges], 1.0))
+            location = prefix + np.log1p(-np.exp(own))
         only = lat.begin[lat.frm[edges] + 1] - lat.begin[lat.frm[edges]] == 1
         place = lat.frm[edges] - lat.first[self.unit[occ]]
         u = uniform(self.seeds[doc], occ - self.unit_begin[doc], place, 2 * round_ + 1)
@@ -315,27 +460,32 @@ class Batch:
 
     def next_turns(self, active, heaps, paths, r: int, last: bool):
         """Take each document's best set, draw the edge by which it leaves, and put the rest of the set back."""
-        lat, out = self.lattices, []
-        for d in [] if last else active.tolist():
-            if not heaps[d]:
-                continue
-            value, parent, j, excluded = heapq.heappop(heaps[d])
-            flat, offset, occ = paths[parent]
+        lat = self.lattices
+        doc = [] if last else [d for d in active.tolist() if heaps[d]]
+        taken = [heapq.heappop(heaps[d]) for d in doc]
+        doc, bound = np.array(doc, np.int64), np.array([-t[0] for t in taken])
+        parent, cut = (np.array([t[i] for t in taken], np.int64) for i in (1, 2))
+        edge, unit, lead = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64), np.zeros(len(doc))
+        for i, (d, p, j) in enumerate(zip(doc.tolist(), parent.tolist(), cut.tolist(), strict=True)):
+            flat, offset, occ = paths[p]
             a = offset[d]
-            place = lat.frm[flat[a + j]]
-            options = [e for e in range(lat.begin[place], lat.begin[place + 1]) if e not in excluded]
-            p = lat.p[options]
-            here = np.array([occ[a + j] - self.unit_begin[d]])
-            u, v = (float(uniform(self.seeds[d : d + 1], here, np.array([len(excluded) + 64 * (place - lat.first[self.unit[occ[a + j]]])]), 40 + i + 2 * min(r, 9))[0]) for i in (0, 1))
-            pick = min(int(np.searchsorted(np.cumsum(p), u * p.sum(), side="right")), len(options) - 1)
-            lead = float(lat.logp[flat[a : a + j]].sum())
-            rest = float(p.sum() - p[pick])
-            if len(options) > 1 and rest > 0:
-                again = float(truncated(np.array([lead + np.log(rest)]), np.array([-value]), np.array([v]))[0])
-                heapq.heappush(heaps[d], (-again, parent, j, (*excluded, options[pick])))
-            out.append((d, -value, lead, j, parent, options[pick]))
-        columns = list(zip(*out, strict=True)) or [()] * 6
-        return tuple(np.array(c, dtype=np.float64 if i in (1, 2) else np.int64) for i, c in enumerate(columns))
+            edge[i], unit[i], lead[i] = flat[a + j], occ[a + j], lat.logp[flat[a : a + j]].sum()
+        place = lat.frm[edge]
+        left_out = np.array([len(t[3]) for t in taken], np.int64)
+        at = left_out + 64 * (place - lat.first[self.unit[unit]]).astype(np.int64)
+        u, v = (uniform(self.seeds[doc], unit - self.unit_begin[doc], at, 40 + i + 2 * min(r, 9)) for i in (0, 1))
+        pick, rest = np.zeros(len(doc), np.int64), np.zeros(len(doc))
+        for i, (lo, hi) in enumerate(zip(lat.begin[place].tolist(), lat.begin[place + 1].tolist(), strict=True)):
+            options = [e for e in range(lo, hi) if e not in taken[i][3]]
+            p = np.exp(lat.logp[options])
+            one = min(int(np.searchsorted(np.cumsum(p), u[i] * p.sum(), side="right")), len(options) - 1)
+            pick[i] = options[one]
+            rest[i] = p.sum() - p[one] if len(options) > 1 else 0
+        some = np.flatnonzero(rest > 0)
+        again = truncated(lead[some] + np.log(rest[some]), bound[some], v[some])
+        for i, value in zip(some.tolist(), again.tolist(), strict=True):
+            heapq.heappush(heaps[doc[i]], (-value, int(parent[i]), int(cut[i]), (*taken[i][3], int(pick[i]))))
+        return doc, bound, lead, cut, parent, pick
 
     def piece_ids(self, edges: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Vocabulary ids of edges, bytes written out, and the new offsets."""
@@ -365,13 +515,13 @@ def log_inclusion(logp: np.ndarray, threshold: np.ndarray) -> np.ndarray:
 
 def sample_texts(path: str, k: int, batch_chars: int, decode: bool):
     def run(batches):
-        vocab = vocabulary(path)
+        store = lattices(path)
         for batch in batches:
             lengths = pc.fill_null(pc.utf8_length(batch["text"]), 0).to_numpy()
             seeds = batch["seed"].to_numpy()
             for lo, hi in slices_by_chars(lengths, batch_chars):
                 texts = ["" if t is None else t for t in batch["text"].slice(lo, hi - lo).to_pylist()]
-                work = Batch(texts, seeds[lo:hi], vocab)
+                work = Batch(texts, seeds[lo:hi], store)
                 rounds, threshold = work.topk(k)
                 for r, (docs, offset, flat, logp, value) in enumerate(rounds):
                     ids, offset = work.piece_ids(flat, offset)
@@ -380,9 +530,11 @@ def sample_texts(path: str, k: int, batch_chars: int, decode: bool):
                     columns = [np.full(len(docs), r + 1, np.int32), packed, logp, value, log_inclusion(logp, threshold[docs])]
                     rest = [pa.array(c, t) for c, t in zip(columns, KINDS, strict=True)]
                     if decode:
-                        rest.append(pa.array([decoded(vocab, b) for b in packed], pa.string()))
+                        rest.append(pa.array([decoded(store.vocab, b) for b in packed], pa.string()))
                     at = pa.array(docs + lo)
                     yield pa.RecordBatch.from_arrays([batch["key"].take(at), batch["text_crc"].take(at), *rest], ["key", "text_crc", *NAMES, *["decoded"] * decode])
+                work = rounds = packed = rest = texts = None
+                pa.default_memory_pool().release_unused()
 
     return run
 
@@ -416,7 +568,7 @@ def decoded(vocab: Vocabulary, ids: bytes | None) -> str:
 
 def decode_batches(path: str):
     def run(batches):
-        vocab = vocabulary(path)
+        vocab = lattices(path).vocab
         for batch in batches:
             texts = [decoded(vocab, b) for b in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
