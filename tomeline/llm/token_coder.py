@@ -37,9 +37,11 @@ REFRESH = 16
 RIGHT, ASKED = np.arange(256) >> 4, np.arange(256) & 15
 ESTIMATE = np.where(ASKED > 0, (2 * RIGHT + 1) * WEIGHT // (2 * ASKED + 2), 0).astype(np.int32)
 FULL = ASKED == 15
-HIT = ((np.where(FULL, (RIGHT + 1) >> 1, RIGHT) + 1) << 4 | np.where(FULL, 8, ASKED) + 1).astype(np.int32)
-MISS = (np.where(FULL, RIGHT >> 1, RIGHT) << 4 | np.where(FULL, 8, ASKED) + 1).astype(np.int32)
-REPLACED = 2 * RIGHT < ASKED + 1
+HIT = (np.where(FULL, (RIGHT + 1) >> 1, RIGHT) + 1) << 4 | np.where(FULL, 8, ASKED) + 1
+MISS = np.where(FULL, RIGHT >> 1, RIGHT) << 4 | np.where(FULL, 8, ASKED) + 1
+# the next counts after a miss, then after a hit; an id that is mostly wrong gives way to the one that came
+GIVES_WAY = 1 << 8
+NEXT = np.concatenate([np.where(2 * RIGHT < ASKED + 1, GIVES_WAY, MISS), HIT]).astype(np.int32)
 FRESH = 1 << 4 | 1
 CLASS = np.where(ASKED == 0, 0, 1 + np.minimum(6, ESTIMATE * 7 // WEIGHT)).astype(np.int32)
 CLASS8 = CLASS * 8
@@ -114,13 +116,16 @@ class Model:
         """Take in the ids of a step, after ``interval`` of the same ids."""
         fresh = ids << 8 | FRESH
         for table, at, entry, state, hit in ((self.next2, self.at2, self.entry2, self.state2, self.hit2), (self.next1, self.at1, self.entry1, self.state1, self.hit1)):
-            held = entry - state
-            table[at] = np.where(hit, held | HIT.take(state), np.where(REPLACED.take(state), fresh, held | MISS.take(state)))
-        for credit, wanted, own, asked in ((self.credit[0], self.wanted[0], self.own2, self.asked2), (self.credit[1], self.wanted[1], self.own1, self.asked1)):
+            now = NEXT.take(state + (hit.astype(np.int32) << 8))
+            table[at] = np.where(now == GIVES_WAY, fresh, entry - state + now)
+        self.turn = (self.turn + 1) % 4  # the weights learn from a quarter of the lanes in turn
+        some = slice(self.turn, None, 4)
+        context, size = self.context[some], self.size[some]
+        for credit, wanted, own, asked in ((self.credit[0], self.wanted[0], self.own2[some], self.asked2[some]), (self.credit[1], self.wanted[1], self.own1[some], self.asked1[some])):
             hit = np.flatnonzero(own)
             # whole numbers below 2**53, so the sums are the same in any order
-            credit += np.bincount(self.context.take(hit), np.floor(own.take(hit) * float(1 << BITS) / self.size.take(hit)), 128)
-            wanted += np.bincount(self.context, asked, 128)
+            credit += np.bincount(context.take(hit), np.floor(own.take(hit) * float(1 << BITS) / size.take(hit)), 128)
+            wanted += np.bincount(context, asked, 128)
         if self.wanted.max() > 1 << 40:
             self.credit, self.wanted = np.ceil(self.credit / 2), np.ceil(self.wanted / 2)
         self.weigh()
@@ -131,7 +136,7 @@ class Model:
             self.spread()
             self.refreshed = True
 
-    refreshed = True
+    refreshed, turn = True, 0
 
     def prepare_slots(self) -> None:
         """For decoding: the id of every order-0 slot."""

@@ -50,27 +50,52 @@ class TextCoder:
 
 
 class Known:
-    """Strings and their ids."""
+    """Strings and their ids: those kept, and behind them those of one call that were not met before.
 
-    def __init__(self):
+    With ``again`` a string is kept when it is met in a second call, else in its first
+    one.  Once more than ``most`` are kept (or met), all are forgotten.
+    """
+
+    def __init__(self, most: int, again: bool):
+        self.most, self.again = most, again
+        self.met: set[int] = set()
+        self.forget()
+
+    def forget(self) -> None:
         self.strings = pa.array([], pa.large_string())
         self.flat, self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def add(self, strings: pa.Array, ids: np.ndarray, length: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, length: np.ndarray) -> None:
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
         self.length, self.flat = np.concatenate([self.length, length]), np.concatenate([self.flat, ids])
-        self.strings = pa.concat_arrays([self.strings, strings])
 
     def places(self, strings: pa.Array, learn) -> np.ndarray:
-        """The place of each string; ``learn`` gives ids and lengths of unknown ones."""
+        """The place of each string, until the next call; ``learn`` gives ids and lengths of unknown ones."""
+        kept = len(self.strings)
+        used = int(self.start[kept - 1] + self.length[kept - 1]) if kept else 0
+        self.start, self.length, self.flat = self.start[:kept], self.length[:kept], self.flat[:used]
+        if kept > self.most:
+            self.forget()
+        if len(self.met) > 2 * self.most:
+            self.met = set()
         coded = strings.dictionary_encode()
         found = pc.index_in(coded.dictionary, value_set=self.strings)
         place = pc.fill_null(found, -1).to_numpy().astype(np.int64)
         fresh = np.flatnonzero(place < 0)
-        if len(fresh):
-            place[fresh] = len(self.strings) + np.arange(len(fresh))
-            new = coded.dictionary.take(pa.array(fresh))
-            self.add(new, *learn(new))
+        if self.again and len(fresh):
+            names = list(map(hash, coded.dictionary.take(pa.array(fresh)).to_numpy(zero_copy_only=False)))
+            twice = np.fromiter((h in self.met for h in names), dtype=bool, count=len(names))
+            self.met.update(names)
+            rounds = (fresh[twice], True), (fresh[~twice], False)
+        else:
+            rounds = ((fresh, True),)
+        for some, keep in rounds:
+            if len(some):
+                place[some] = len(self.start) + np.arange(len(some))
+                new = coded.dictionary.take(pa.array(some))
+                self.add(*learn(new))
+                if keep:
+                    self.strings = pa.concat_arrays([self.strings, new])
         return place[coded.indices.to_numpy()]
 
 
@@ -82,18 +107,17 @@ class WordCoder(TextCoder):
     words' ids in turn.  A word of letters below U+0130 (whose lower case no neighbour
     changes) with ASCII punctuation after it has the ids of both in turn, and each of
     the two ends in an id with the mark of a word's end, so many can be asked for at once.
-    Words are remembered up to ``most_words``, their parts up to ``most_parts``.
+    Words met twice are remembered up to ``most_words``, parts of words up to ``most_parts``.
     """
 
     PARTS = "^(?P<stem>[A-Za-zªµºÀ-ÖØ-öø-į]+)(?P<tail>[!-&(-/:-@\\[-`{-~]*)$"
 
-    def __init__(self, path: str, most_words: int = 600_000, most_parts: int = 600_000):
+    def __init__(self, path: str, most_words: int = 300_000, most_parts: int = 1_000_000):
         super().__init__(path)
-        self.most_words, self.most_parts = most_words, most_parts
         vocab = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.closes[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
-        self.words, self.parts = Known(), Known()
+        self.words, self.parts = Known(most_words, True), Known(most_parts, False)
 
     @staticmethod
     def fits(path: str) -> bool:
@@ -107,26 +131,25 @@ class WordCoder(TextCoder):
 
     def learn_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of parts that end in one closing id each, asked for 400 at a time; an empty part has none."""
-        names = parts.to_pylist()
-        filled = [n for n in names if n]
+        some = np.flatnonzero(pc.binary_length(parts).to_numpy())
+        filled = parts.take(pa.array(some)).to_numpy(zero_copy_only=False).tolist()
         ids, _ = super().encode([" ".join(filled[at : at + 400]) for at in range(0, len(filled), 400)])
         ends = np.flatnonzero(self.closes[ids]) + 1
         if len(ends) != len(filled) or (len(ends) and ends[-1] != len(ids)):
             ids, count = super().encode(filled)
         else:
             count = np.diff(np.r_[0, ends])
-        length = np.zeros(len(names), dtype=np.int64)
-        length[[i for i, n in enumerate(names) if n]] = count
+        length = np.zeros(len(parts), dtype=np.int64)
+        length[some] = count
         return ids, length
 
     def learn_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         found = pc.extract_regex(words, pattern=self.PARTS)
         plain = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
         other = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
-        if len(self.parts.strings) > self.most_parts:
-            self.parts = Known()
         found = found.take(pa.array(plain))
-        stem, tail = (self.parts.places(x, self.learn_parts) for x in (pc.utf8_lower(pc.struct_field(found, 0)), pc.struct_field(found, 1)))
+        both = self.parts.places(pa.concat_arrays([pc.utf8_lower(pc.struct_field(found, 0)), pc.struct_field(found, 1)]), self.learn_parts)
+        stem, tail = both[: len(plain)], both[len(plain) :]
         rest, count = super().encode(words.take(pa.array(other)).to_pylist())
         first, second = self.parts.length[stem], self.parts.length[tail]
         length = np.empty(len(words), dtype=np.int64)
@@ -140,8 +163,6 @@ class WordCoder(TextCoder):
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         words = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
-        if len(self.words.strings) > self.most_words:
-            self.words = Known()
         place = self.words.places(words.values, self.learn_words)
         lengths = self.words.length[place]
         ids = self.words.flat[ragged(self.words.start[place], lengths)]
