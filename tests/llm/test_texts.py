@@ -277,6 +277,45 @@ def test_mix_keeps_all_rows_and_follows_weights(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_many_sources_share_a_place(spark):
+    rows = [(i, "t", "en", "big" if i % 2 else f"s{i % 60}", 1) for i in range(6000)]
+    mixed = mixing.mix(spark.createDataFrame(rows, DOCS), block_docs=4, most_sources=8)
+    got = mixed.collect()
+    assert Counter((r.doc_id, r.mix_source) for r in got) == Counter((r[0], r[3]) for r in rows)
+    assert len({(r.mix_slot, r.mix_offset) for r in got}) == len(got)
+    counts = Counter(r[3] for r in rows)
+    alone = {s for s, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:7]}
+    others = sorted((r.mix_slot, r.mix_offset, r.mix_source) for r in got if r.mix_source not in alone)
+    for s in set(counts) - alone:  # each is spread evenly over what the others share
+        for part in range(4):
+            here = sum(1 for x in others[part * len(others) // 4 : (part + 1) * len(others) // 4] if x[2] == s)
+            assert abs(here - counts[s] / 4) <= 2
+    with pytest.raises(ValueError, match="more than"):
+        mixing.mix(mixed, weights={str(i): 1.0 for i in range(9)}, most_sources=8)
+
+
+def test_rows_of_one_id_are_numbered_by_many_tasks(spark):
+    docs = spark.range(2000).select(F.lit(7).alias("doc_id"), F.col("id").alias("x"), F.lit("a").alias("source"))
+    row = F.xxhash64("doc_id", "x", "source")
+    plain = mixing.source_rank(docs, F.col("source"), [F.md5(F.lit("7")), F.col("doc_id"), row]).select("x", "_n")
+    cut = mixing.source_rank(docs, F.col("source"), [F.md5(F.lit("7")), F.col("doc_id"), row], bucket_rows=20).select("x", "_n")
+    want = {r.x: i for i, r in enumerate(docs.withColumn("w", row).orderBy("w").collect())}
+    assert {r.x: r._n for r in plain.collect()} == {r.x: r._n for r in cut.collect()} == want
+
+
+def test_many_languages_and_odd_texts(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, " ".join(letters[(i % 300) % 26] + letters[(i % 300) // 26] + w for w in ("an", "do", "it", "en")) * 3, f"l{i % 300:03}", "s", 1) for i in range(600)]
+    learned = language_id.fit_dictionaries(spark.createDataFrame(rows, DOCS), most_bytes=300 * 300)
+    assert len(learned) == 300 and max(map(len, learned.values())) <= 300
+    texts = [(1, rows[5][1], None, "s", 1), (1, rows[5][1], None, "s", 1), (2, rows[5][1] * 20_000, None, "s", 1), (None, None, None, None, None), (3, "", None, None, None)]
+    few = dict(list(learned.items())[:8])
+    got = language_id.predict(spark.createDataFrame(texts, DOCS), few).collect()
+    assert [r.lang_pred for r in sorted(got, key=lambda r: (r.doc_id is None, r.doc_id))] == ["l005"] * 3 + ["und"] * 2
+    assert language_id.predict(spark.createDataFrame([], DOCS), few).count() == 0
+    assert language_id.fit_dictionaries(spark.createDataFrame([], DOCS)) == {}
+
+
 def test_all_segmentations_are_drawn_with_their_probabilities():
     n = 20_000
     batch = pieces.Batch(["ab c"] * n, np.arange(n) * 7919 + 1, pieces.lattices(MODEL))

@@ -78,7 +78,7 @@ def test_ann_recall_and_scores(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], SCHEMA)
     asked = df.filter("vec_id % 20 = 0")
-    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.ann_search(df, asked, part_rows=100, rows_per_cell=60).collect())
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.ann_search(df, asked, part_rows=100).collect())
     want = brute(rows, [r for r in rows if r[0] % 20 == 0], 20, straight)
     recall = len({x[::2] for x in got} & {x[::2] for x in want}) / len(want)
     assert recall >= 0.9
@@ -91,10 +91,52 @@ def test_ann_odd_rows(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.ann_search(df, df.filter("vec_id % 20 = 0")).collect())
     assert got == [(0, 1, 20, 4.0), (20, 1, 0, 4.0)]
+    both = spark.createDataFrame([*rows, (40, [3.0], "c"), (60, [1.0], "c"), (60, [9.0, 9.0], "c")], SCHEMA)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.ann_search(both, both.filter("vec_id % 20 = 0")).collect())
+    assert got == [(0, 1, 20, 4.0), (20, 1, 0, 4.0), (40, 1, 21, 6.0), (40, 2, 60, 3.0), (60, 1, 40, 3.0), (60, 2, 21, 2.0)]
     none = spark.createDataFrame([], SCHEMA)
     assert ann.ann_search(none, none).count() == 0 and ann.ann_search(df, none).count() == 0
 
 
+def test_ann_repeated_ids(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(800, 8)))] + [(i, v.tolist()) for i, v in zip(range(0, 400, 3), rng.normal(size=(200, 8)), strict=False)]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], SCHEMA)
+    got = [(r.query_id, r.vec_id) for r in ann.ann_search(df, df.filter("vec_id % 20 = 0"), part_rows=100).collect()]
+    assert len(got) == len(set(got)) == 40 * 20
+    least = {i: min(v for j, v in rows if j == i) for i, _ in rows}
+    want = brute(list(least.items()), [(q, v) for q, v in least.items() if q % 20 == 0], 20, straight)
+    assert len(set(got) & {(q, v) for q, _, v, _ in want}) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_ann_recall_on_the_given_tables(spark, size):
+    df = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet")
+    rows = [(r.vec_id, np.array(r.embedding)) for r in df.collect()]
+    ids, vectors = np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=np.float64)
+    score = vectors[ids % 20 == 0] @ vectors.T
+    score[np.arange(len(score)), np.flatnonzero(ids % 20 == 0)] = -np.inf
+    want = {(q, ids[j]) for q, row in zip(ids[ids % 20 == 0].tolist(), score, strict=True) for j in np.argsort(-row)[:20].tolist()}
+    got = {(r.query_id, r.vec_id) for r in ann.ann_search(df, df.filter("vec_id % 20 = 0")).collect()}
+    assert len(got) == len(want) and len(got & want) >= 0.93 * len(want)
+
+
+def test_probes_follow_the_data():
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(40, 16)) * 4
+    clustered = centers[rng.integers(0, 40, 4000)] + 0.3 * rng.normal(size=(4000, 16))
+    noise = rng.normal(size=(4000, 16))
+    few, many = (ann.probes_for(x, ann.fit(x, 60, 4, 64, 1), 20, 0.95) for x in (clustered, noise))
+    assert few <= 12 < many
+
+
+def test_exact_topk_lengths_and_repeated_ids(spark):
+    rows = [(0, [1.0, 2.0], "a"), (50, [1.0], "a"), (1, [2.0], "a"), (2, [3.0, 1.0], "a"), (3, [5.0], "a"), (3, [1.0, 1.0], "a"), (3, [4.0, 0.0], "b")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score // 65536) for r in exact_topk.exact_topk(df, df.filter("vec_id % 50 = 0")).collect())
+    assert got == [(0, 1, 2, 5), (0, 2, 3, 3), (50, 1, 1, 2)]
+
+
 @pytest.mark.parametrize("k", [1, 3])
 def test_kmeans_keeps_all_points(k):
     points = np.repeat(np.array([[0.0, 0.0], [5.0, 5.0]]), 20, axis=0)

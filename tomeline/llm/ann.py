@@ -1,12 +1,15 @@
 """Approximate nearest neighbours: inverted file of coarse centroids with product-quantised residuals.
 
 Centroids and codebooks are fitted on a bounded sample (``sample_rows`` rows, those
-with the smallest hash of their id); every row is indexed.  A query visits its
-``probe`` share of the cells; there an asymmetric distance table per query gives each
-row a score from its codes, scaled by how the row's code falls short of it.  The best
-of these are scored with their original vectors in double precision, then every row
-whose score from codes comes within ``spread`` standard errors of the kth; so groups
-of near copies that share their codes are scored whole, however large.
+with the smallest hash of their id); every row is indexed.  The vectors are turned by a
+random rotation before they are cut into parts, so no part has all of the spread.  A
+query visits the cells nearest to it: how many is read off the sample too, as the least
+share of the cells that holds ``target`` of the sample's own nearest neighbours.  In a
+visited cell an asymmetric distance table per query gives each row a score from its
+codes, scaled by how the row's code falls short of it.  The best of these are scored with
+their original vectors in double precision, then every row whose score from codes comes
+within ``spread`` standard errors of the kth; so groups of near copies that share their
+codes are scored whole, however large.
 
 Cells are packed into groups of bounded size, which are the tasks; a cell larger than
 that is dealt over several groups by a hash of the id.
@@ -14,6 +17,8 @@ that is dealt over several groups by a hash of the id.
 
 from __future__ import annotations
 
+from functools import reduce
+from math import isqrt
 from typing import NamedTuple
 
 import numpy as np
@@ -21,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomeline.llm.common import matrix, one_row_per_id, usable_vectors
+from tomeline.llm.common import materialize, matrix, usable_vectors
 
 INDEX = "id long, v array<double>, code binary, cell int"
 VISITS = "id long, v array<double>, part int"
@@ -29,9 +34,10 @@ RESULT = "query_id long, vec_id long, score double"
 
 
 class Quantizer(NamedTuple):
-    """``centroids`` cells x dims; ``books`` parts x codes x width; dims are padded to a multiple."""
+    """``centroids`` cells x dims; ``turn`` dims x dims; ``books`` parts x codes x width; dims are padded to a multiple."""
 
     centroids: np.ndarray
+    turn: np.ndarray
     books: np.ndarray
     width: int
 
@@ -60,13 +66,31 @@ def parts(vectors: np.ndarray, width: int) -> np.ndarray:
     return np.pad(vectors, ((0, 0), (0, pad))).reshape(len(vectors), -1, width)
 
 
+def rotation(dims: int, seed: int) -> np.ndarray:
+    """A random rotation."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dims, dims)))
+    return q * np.sign(np.diag(r))
+
+
 def fit(sample: np.ndarray, cells: int, width: int, codes: int, seed: int) -> Quantizer:
-    """Coarse centroids, then a codebook for each part of the residuals."""
-    centroids = kmeans(sample, cells, 12, seed)
-    residual = parts(sample - centroids[nearest_cell(sample, centroids)], width)
+    """Coarse centroids, then a codebook for each part of the turned residuals."""
+    centroids, turn = kmeans(sample, cells, 12, seed), rotation(sample.shape[1], seed)
+    residual = parts((sample - centroids[nearest_cell(sample, centroids)]) @ turn, width)
     books = [kmeans(residual[:, p], codes, 8, seed + 1 + p) for p in range(residual.shape[1])]
     books = [np.pad(b, ((0, codes - len(b)), (0, 0)), mode="edge") for b in books]
-    return Quantizer(centroids, np.stack(books), width)
+    return Quantizer(centroids, turn, np.stack(books), width)
+
+
+def probes_for(sample: np.ndarray, model: Quantizer, k: int, target: float, most_queries: int = 256) -> int:
+    """The number of cells to visit so that ``target`` of the sample's own nearest neighbours are in them."""
+    asked = sample[:: max(1, len(sample) // most_queries)][:most_queries]
+    score = asked @ sample.T
+    score[score >= (asked * asked).sum(1)[:, None] - 1e-12] = -np.inf  # the row itself and its copies
+    nearest = np.argpartition(-score, min(k, len(sample) - 1), axis=1)[:, :k]
+    order = np.argsort(-(asked @ model.centroids.T), axis=1, kind="stable")
+    rank = np.argsort(order, axis=1, kind="stable")
+    visits = np.take_along_axis(rank, nearest_cell(sample, model.centroids)[nearest], axis=1)
+    return int(np.quantile(visits, target, method="higher")) + 1
 
 
 def nearest_cell(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -75,7 +99,7 @@ def nearest_cell(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 def encode(vectors: np.ndarray, cell: np.ndarray, model: Quantizer) -> np.ndarray:
     """A byte for each part of each row's residual."""
-    residual = parts(vectors - model.centroids[cell], model.width)
+    residual = parts((vectors - model.centroids[cell]) @ model.turn, model.width)
     code = np.empty(residual.shape[:2], dtype=np.uint8)
     for p, book in enumerate(model.books):
         code[:, p] = ((book * book).sum(1) - 2 * residual[:, p] @ book.T).argmin(1)
@@ -145,7 +169,7 @@ def shortfall(vectors: np.ndarray, cell: np.ndarray, code: np.ndarray, model: Qu
     rest, a query's product with the code over ``a`` misses the true one by ``b / a``
     times the query's part along that rest, a random direction beside the row.
     """
-    coded = np.concatenate([book[code[:, p]] for p, book in enumerate(model.books)], axis=1)[:, : vectors.shape[1]] + model.centroids[cell]
+    coded = np.concatenate([book[code[:, p]] for p, book in enumerate(model.books)], axis=1)[:, : vectors.shape[1]] @ model.turn.T + model.centroids[cell]
     size = (vectors * vectors).sum(1)
     a = (coded * vectors).sum(1) / size
     b = np.sqrt(np.maximum((coded * coded).sum(1) - a * a * size, 0))
@@ -159,42 +183,47 @@ def group_search(dims: int, model: Quantizer, probes: int, k: int, spread: float
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if rows.num_rows and queries.num_rows:
-            ids, vectors = one_row_per_id(rows["id"].to_numpy(), matrix(rows["v"], dims))
-            if len(ids) == rows.num_rows:
-                order = np.argsort(rows["id"].to_numpy(), kind="stable")
-                cell = rows["cell"].to_numpy()[order]
-                code = np.frombuffer(b"".join(rows["code"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)[order]
-            else:
-                cell = nearest_cell(vectors, model.centroids)
-                code = encode(vectors, cell, model)
-            asked, wanted = one_row_per_id(queries["id"].to_numpy(), matrix(queries["v"], dims))
-            visit = visited(wanted, model.centroids, probes)
-            coarse = (wanted @ model.centroids.T).astype(np.float32)
-            tables = np.einsum("qpw,pcw->pqc", parts(wanted, model.width), model.books, optimize=True).astype(np.float32)
+            cell = rows["cell"].to_numpy()
+            order = np.lexsort((rows["id"].to_numpy(), cell))
+            ids, cell = rows["id"].to_numpy()[order], cell[order]
+            vectors = matrix(rows["v"], dims)[order]
+            code = np.frombuffer(b"".join(rows["code"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)[order]
+            asked, wanted = queries["id"].to_numpy(), matrix(queries["v"], dims)
+            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            ends = np.r_[starts[1:], len(cell)]
+            visit = visited(wanted, model.centroids, probes)[:, cell[starts]]
+            coarse = (wanted @ model.centroids[cell[starts]].T).astype(np.float32)
+            tables = np.einsum("qpw,pcw->pqc", parts(wanted @ model.turn, model.width), model.books, optimize=True).astype(np.float32)
             factor, beside = (x.astype(np.float32) for x in shortfall(vectors, cell, code, model))
-            size = (vectors * vectors).sum(1).astype(np.float32)
+            size, reach = (vectors * vectors).sum(1).astype(np.float32), (wanted * wanted).sum(1).astype(np.float32)
             kept: list[list[np.ndarray]] = [[], [], []]
             for at in range(0, len(asked), 128):
                 part = slice(at, at + 128)
-                open_ = visit[part][:, cell] & (asked[part][:, None] != ids[None, :])
-                rough = coarse[part][:, cell]
-                for p, book in enumerate(tables):
-                    rough += book[part][:, code[:, p]]
-                rough *= factor
-                rough[~open_] = -np.inf
+                rough = np.full((len(asked[part]), len(ids)), -np.inf, np.float32)
+                for i, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+                    who = np.flatnonzero(visit[part][:, i])
+                    if not len(who):
+                        continue
+                    found = np.repeat(coarse[part][who, i][:, None], e - s, axis=1)
+                    for p, book in enumerate(tables):
+                        found += book[at + who].take(code[s:e, p], axis=1)
+                    rough[who, s:e] = found * factor[s:e]
+                own = np.flatnonzero(np.isin(asked[part], ids))
+                for q in own.tolist():
+                    rough[q, ids == asked[at + q]] = -np.inf
                 first = np.argpartition(-rough, min(k, len(ids)) - 1, axis=1)[:, :k]
                 score = double_scores(vectors[first], wanted[part][:, None, :])
                 score[np.take_along_axis(rough, first, 1) == -np.inf] = -np.inf
                 least = score.min(axis=1) if score.shape[1] == k else np.full(len(score), -np.inf)
-                with np.errstate(invalid="ignore"):
-                    apart = np.sqrt(np.maximum((wanted[part] ** 2).sum(1)[:, None].astype(np.float32) - rough * rough / size, 0))
-                    near = rough + spread * apart * beside >= least[:, None]
-                q, row = np.nonzero((near | ~np.isfinite(beside)) & open_)
+                # rows that could come near even for a query that lies wholly beside them, then those that do
+                q, row = np.nonzero((rough + spread * np.sqrt(reach[part])[:, None] * beside >= least[:, None]) & (rough > -np.inf))
+                apart = np.sqrt(np.maximum(reach[part][q] - rough[q, row] ** 2 / size[row], 0))
+                near = ~np.isfinite(beside[row]) | (rough[q, row] + spread * apart * beside[row] >= least[q])
+                q, row = q[near], row[near]
                 score = double_scores(vectors[row], wanted[part][q])
                 order = np.lexsort((ids[row], -score, q))
                 q, row, score = q[order], row[order], score[order]
-                place = np.arange(len(q)) - np.searchsorted(q, q)
-                best = place < k
+                best = np.arange(len(q)) - np.searchsorted(q, q) < k
                 for to, value in zip(kept, (asked[part][q[best]], ids[row[best]], score[best]), strict=True):
                     to.append(value)
             out = [np.concatenate(x) for x in kept]
@@ -210,9 +239,8 @@ def ann_search(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     sample_rows: int = 16_384,
-    rows_per_cell: int = 160,
     most_cells: int = 1024,
-    probe: float = 0.75,
+    target: float = 0.95,
     width: int = 4,
     codes: int = 256,
     spread: float = 2.0,
@@ -221,33 +249,39 @@ def ann_search(
 ) -> DataFrame:
     """The k nearest rows found for every query, by inner product in double precision.
 
-    ``sample_rows`` bounds what the quantiser is fitted on; every row is indexed.
-    A group has about ``part_rows`` rows; a larger cell is dealt over several groups, so
-    nothing in it is left out, and there is no cap on the rows scored exactly.  Returns ``query_id
-    long, rank int, vec_id long, score double``, nearest first, ties to the smaller id.
+    ``sample_rows`` bounds what the quantiser and the number of visits are fitted on;
+    every row is indexed.  There are as many cells as the root of the rows, up to
+    ``most_cells``.  A group has about ``part_rows`` rows; a larger cell is dealt over
+    several groups, so nothing in it is left out, and there is no cap on the rows scored
+    exactly.  Returns ``query_id long, rank int, vec_id long, score double``, nearest
+    first, ties to the smaller id.
 
     Null, empty or zero vectors, those with null or non-finite components, and null
-    ids take no part; rows that share an id count as one, with its smallest vector
-    among those of its cell; empty tables give an empty result.
+    ids take no part; rows that share an id count as one, with its smallest vector; a
+    query is answered from the rows of its own length, each length with an index of its
+    own; empty tables give an empty result.
     """
-    spark = vectors.sparkSession
-    rows, n, dims = usable_vectors(vectors, id_col, vector_col)
-    asked, m, query_dims = usable_vectors(queries, id_col, vector_col)
     nonzero = F.exists("v", lambda x: x != 0)
-    rows, asked = rows.filter(nonzero), asked.filter(nonzero & (F.size("v") == dims))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").toArrow() if n and m else None
-    if sample is None or not sample.num_rows:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    cells = max(1, min(most_cells, n // rows_per_cell, sample.num_rows // 8))
-    model = fit(matrix(sample["v"], dims), cells, width, min(codes, sample.num_rows), seed)
-    cells = len(model.centroids)
-    probes = max(1, -(-int(probe * 1000) * cells // 1000))
-    index = rows.mapInArrow(indexer(dims, model), INDEX)
+    rows, asked = (usable_vectors(df.filter(F.coalesce(F.exists(vector_col, lambda x: x != 0), F.lit(False))), id_col, vector_col).filter(nonzero) for df in (vectors, queries))
+    lengths = asked.select("d").distinct().join(rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")), "d").orderBy("d").collect()
+    found = [search_length(rows.filter(F.col("d") == x["d"]), asked.filter(F.col("d") == x["d"]), x["d"], x["n"], k, sample_rows, most_cells, target, width, codes, spread, part_rows, seed) for x in lengths]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def search_length(rows: DataFrame, asked: DataFrame, dims: int, n: int, k: int, sample_rows: int, most_cells: int, target: float, width: int, codes: int, spread: float, part_rows: int, seed: int) -> DataFrame:
+    """The best rows of every group for every query, all vectors having one length."""
+    sample = matrix(rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").toArrow()["v"], dims)
+    cells = max(1, min(most_cells, isqrt(n), len(sample) // 8))
+    model = fit(sample, cells, width, min(codes, len(sample)), seed)
+    probes = probes_for(sample, model, k, target)
+    # written, so that a row keeps its cell on whatever machine it is read
+    index = materialize(rows.select("id", "v").mapInArrow(indexer(dims, model), INDEX), "ann-index")
     sizes = index.groupBy("cell").count().collect()  # at most a row for each cell
     placed = pack_cells({r["cell"]: r["count"] for r in sizes}, part_rows)
     place = lambda i: F.element_at(F.create_map(*[F.lit(x) for c, p in placed.items() for x in (c, p[i])]), F.col("cell"))
     left = index.withColumn("part", (place(0) + F.pmod(F.xxhash64("id"), place(1))).cast("int"))
-    right = asked.mapInArrow(prober(dims, model, probes, placed), VISITS)
-    found = left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(group_search(dims, model, probes, k, spread), RESULT)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    right = asked.select("id", "v").mapInArrow(prober(dims, model, probes, placed), VISITS)
+    return left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(group_search(dims, model, probes, k, spread), RESULT)

@@ -40,18 +40,20 @@ def finite_vector(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & ok, F.lit(False))
 
 
-def usable_vectors(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int, int]:
-    """Rows ``(id, v)`` that can be searched, their count and their dimension.
+def usable_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """Rows ``(id, v, d)`` that can be searched, one for each id; ``d`` is the vector's length.
 
-    Vectors that are null, empty or hold null or non-finite numbers are left out.
-    Where lengths differ, the commonest length is kept (ties: the greater one).
+    Null ids and vectors that are null, empty or hold null or non-finite numbers are left
+    out.  Of rows that share an id, the one with the smallest vector stays; only the
+    vectors of such ids are shuffled for it.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.filter(F.col("id").isNotNull() & finite_vector(F.col("v")))
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    if not sizes:
-        return rows, 0, 0
-    return rows.filter(F.size("v") == sizes[0]["d"]), sizes[0]["count"], sizes[0]["d"]
+    repeated = rows.groupBy("id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("id")
+    if not repeated.isEmpty():
+        once = rows.join(repeated, "id", "left_semi").groupBy("id").agg(F.min("v").alias("v"))
+        rows = rows.join(repeated, "id", "left_anti").unionByName(once)
+    return rows.withColumn("d", F.size("v"))
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
@@ -60,14 +62,6 @@ def matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
     return np.asarray(whole.flatten(), dtype=np.float64).reshape(-1, dims)
 
 
-def one_row_per_id(ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows ascending by id; of rows that share an id, the one with the smallest vector."""
-    order = np.lexsort((*vectors.T[::-1], ids))
-    ids, vectors = ids[order], vectors[order]
-    first = np.r_[True, ids[1:] != ids[:-1]] if len(ids) else np.zeros(0, bool)
-    return ids[first], vectors[first]
-
-
 def block_of(key: Column, blocks: int) -> Column:
     """A block number from a uniform hash of a key."""
     return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomeline.llm.common import block_of, matrix, one_row_per_id, usable_vectors
+from tomeline.llm.common import block_of, matrix, usable_vectors
 
 RESULT = "query_id long, vec_id long, score long"
 EXACT_DOUBLE, LONG = 2**53, 2**63
@@ -88,16 +88,15 @@ class SortedLists:
         return ids[order], scores[order]
 
 
-def block_search(dims: int, k: int):
-    """The task of one (candidate block, query block)."""
+def block_search(k: int):
+    """The task of one (candidate block, query block); all vectors of a task have one length."""
 
     def run(candidates: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if candidates.num_rows and queries.num_rows:
-            ids, vectors = one_row_per_id(candidates["id"].to_numpy(), matrix(candidates["v"], dims))
-            asked, wanted = one_row_per_id(queries["id"].to_numpy(), matrix(queries["v"], dims))
-            lists = SortedLists(ids, vectors)
-            for query_id, query in zip(asked, wanted, strict=True):
+            dims = candidates["d"][0].as_py()
+            lists = SortedLists(candidates["id"].to_numpy(), matrix(candidates["v"], dims))
+            for query_id, query in zip(queries["id"].to_numpy(), matrix(queries["v"], dims), strict=True):
                 found, scores = lists.search(query, k + 1)
                 mine = found != query_id
                 out += zip([int(query_id)] * int(mine.sum()), found[mine].tolist(), scores[mine].tolist(), strict=True)
@@ -124,17 +123,15 @@ def exact_topk(
     to the smaller id; fewer rows where there are fewer candidates.
 
     Null or empty vectors, those with null or non-finite components, and null ids
-    take no part; rows that share an id count as one, with its smallest vector;
-    empty tables give an empty result; other columns are not looked at.
+    take no part; rows that share an id count as one, with its smallest vector; a
+    query is answered from the candidates of its own length; empty tables give an
+    empty result; other columns are not looked at.
     """
-    rows, n, dims = usable_vectors(vectors, id_col, vector_col)
-    asked, m, query_dims = usable_vectors(queries, id_col, vector_col)
-    if n and m and dims != query_dims:
-        asked = asked.filter(F.size("v") == dims)
-    blocks, query_blocks = -(-n // block_rows) or 1, -(-m // query_rows) or 1
+    rows, asked = usable_vectors(vectors, id_col, vector_col), usable_vectors(queries, id_col, vector_col)
+    blocks, query_blocks = -(-rows.count() // block_rows) or 1, -(-asked.count() // query_rows) or 1
     whole = F.transform("v", lambda x: F.floor(F.lit(scale) * x).cast("double"))
-    left = rows.select("id", whole.alias("v"), block_of(F.col("id"), blocks).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"))
-    right = asked.select("id", whole.alias("v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), block_of(F.col("id"), query_blocks).alias("q"))
-    found = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInArrow(block_search(dims, k), RESULT)
+    left = rows.select("id", "d", whole.alias("v"), block_of(F.col("id"), blocks).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"))
+    right = asked.select("id", "d", whole.alias("v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), block_of(F.col("id"), query_blocks).alias("q"))
+    found = left.groupBy("b", "q", "d").cogroup(right.groupBy("b", "q", "d")).applyInArrow(block_search(k), RESULT)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -14,6 +14,8 @@ own size is taken off: alone, a few words would be stored as they are, whatever
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -21,7 +23,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
-MOST_LANGUAGES = 256
 
 
 def letters_only(text: Column) -> Column:
@@ -29,26 +30,27 @@ def letters_only(text: Column) -> Column:
     return F.regexp_replace(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), "[^\\p{L}\\p{M}]+", " ")
 
 
-def fit_dictionaries(labelled: DataFrame, dict_bytes: int = 112_640, sample_docs: int = 96) -> dict[str, bytes]:
+def fit_dictionaries(labelled: DataFrame, dict_bytes: int = 112_640, sample_docs: int = 96, most_bytes: int = 1 << 26) -> dict[str, bytes]:
     """A raw-content dictionary for each language of ``labelled(doc_id, text, lang)``.
 
     At most ``sample_docs`` texts of a language, those with the smallest hash of their
-    id, and at most ``dict_bytes`` of them: a bounded sample, so that the driver holds
-    at most ``MOST_LANGUAGES * dict_bytes``.  Rows with null text or language, and
-    texts without a letter, are left out.  Only whole texts are taken, save that the
-    first one is cut where it alone exceeds the bound.  Texts that cannot fit are left
-    out or cut before a task gathers a language's, and only dictionaries reach the driver.
+    id, and at most ``dict_bytes`` of them: a bounded sample.  All dictionaries together
+    have at most ``most_bytes``: where there are more languages than that allows, each
+    gets an equal share of it.  Rows with null text or language, and texts without a
+    letter, are left out.  Only whole texts are taken, save that the first one is cut
+    where it alone exceeds the bound.  Texts that cannot fit are left out or cut before
+    a task gathers a language's, and only dictionaries reach the driver.
     """
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
+    languages = rows.select("lang").distinct().count()
+    dict_bytes = max(256, min(dict_bytes, most_bytes // max(1, languages)))
     rows = rows.select("lang", letters_only(F.col("text")).alias("text"), F.xxhash64(F.lit("dictionary"), "doc_id").alias("h"))
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
     fits = (F.col("r") == 1) | (F.octet_length("text") < dict_bytes)
     chosen = ranked.filter((F.col("r") <= sample_docs) & fits).withColumn("text", F.left("text", F.lit(dict_bytes))).groupBy("lang")
     texts = chosen.agg(F.sort_array(F.collect_list(F.struct("h", "text"))).alias("texts"))
     dictionary = F.udf(lambda found: joined(found, dict_bytes), "binary")
-    learned = texts.select("lang", dictionary("texts.text").alias("dictionary")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(learned) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    learned = texts.select("lang", dictionary("texts.text").alias("dictionary")).orderBy("lang").collect()
     return {r["lang"]: bytes(r["dictionary"]) for r in learned}
 
 
@@ -70,9 +72,17 @@ class Sizer:
     def __init__(self, dictionaries: dict[str, bytes], level: int, piece_bytes: int, short_bytes: int = 512, narrow: float = 0.05):
         self.languages = sorted(dictionaries)
         self.piece_bytes, self.short_bytes, self.narrow = piece_bytes, short_bytes, narrow
-        self.usual, self.fine = ([self.compressor(dictionaries[n], x) for n in self.languages] for x in (level, zstandard.MAX_COMPRESSION_LEVEL))
+        self.dictionaries = dictionaries
+        self.usual = [self.compressor(dictionaries[n], level) for n in self.languages]
         self.lead = [dictionaries[n][-2048:-1536] or dictionaries[n][:512] for n in self.languages]
-        self.base = [len(c.compress(x)) for c, x in zip(self.fine, self.lead, strict=True)]
+
+    @cached_property
+    def fine(self) -> list:
+        return [self.compressor(self.dictionaries[n], zstandard.MAX_COMPRESSION_LEVEL) for n in self.languages]
+
+    @cached_property
+    def base(self) -> list[int]:
+        return [len(c.compress(x)) for c, x in zip(self.fine, self.lead, strict=True)]
 
     @staticmethod
     def compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -129,7 +139,7 @@ def predict(
     letter, or where no language was learned; such rows score 0 and are rejected.
     ``rejected`` also marks margins under ``min_margin``.  Every row gives one row;
     columns other than ``keep`` and ``text`` are not read, and clashing names among
-    them do no harm.
+    them do no harm.  An empty table gives an empty result.
     """
     keep = ["doc_id"] if keep is None else keep
     letters = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))

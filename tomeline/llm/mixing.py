@@ -19,8 +19,7 @@ from heapq import heappop, heappush
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_SOURCES = 4096
-NO_SOURCE = "\x00none"
+NO_SOURCE, POOL = "\x00none", "\x00others"
 
 
 def whole_shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -60,21 +59,29 @@ def schedule(shares: dict[str, int], period: int) -> list[tuple[str, int, int]]:
 def source_rank(docs: DataFrame, source: Column, order: list[Column], bucket_rows: int = 8192) -> DataFrame:
     """``docs`` with ``_s`` (source) and ``_n`` (place in its source, from 0) by the order columns.
 
-    ``order[0]`` is a hex hash.  Its leading digits cut every source into buckets of
-    even size; rows are numbered within a bucket and buckets by their counts, so a
-    source with most of the rows is numbered by many tasks.
+    ``order`` is a hex string of evenly spread digits, a tie-break, and a 64-bit hash of
+    the row.  The hex string's leading digits cut every source into buckets of even size;
+    rows are numbered within a bucket and buckets by their counts, so a source with most
+    of the rows is numbered by many tasks.  Where many rows have one hex string, their
+    bucket is cut further by the row's hash.
     """
-    rows = docs.withColumn("_s", source).withColumn("_h", order[0])
+    rows = docs.withColumn("_s", source).withColumn("_h", order[0]).withColumn("_w", order[2])
     total = docs.count()
     digits = 1
     while 16**digits * bucket_rows < total:
         digits += 1
     rows = rows.withColumn("_b", F.substring("_h", 1, digits))
-    counts = rows.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_c"))
-    before = counts.withColumn("_o", F.sum("_c").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
-    numbered = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", *order[1:])) - 1)
+    count = lambda: rows.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    large = count().filter(F.col("_c") > 8 * bucket_rows).select("_s", "_b", F.lit(True).alias("_large"))
+    if not large.isEmpty():
+        # 16 hex digits of the row's hash, in the order of the signed number
+        row = F.lpad(F.lower(F.hex(F.col("_w").bitwiseXOR(F.lit(-(1 << 63))))), 16, "0")
+        finer = F.concat("_h", F.substring(row, 1, digits))
+        rows = rows.join(large, ["_s", "_b"], "left").withColumn("_b", F.when(F.col("_large"), finer).otherwise(F.col("_b"))).drop("_large")
+    before = count().withColumn("_o", F.sum("_c").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
+    numbered = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", order[1], "_w")) - 1)
     joined = numbered.join(before.select("_s", "_b", "_o"), ["_s", "_b"])
-    return joined.withColumn("_n", F.coalesce("_o", F.lit(0)) + F.col("_r")).drop("_h", "_b", "_r", "_o")
+    return joined.withColumn("_n", F.coalesce("_o", F.lit(0)) + F.col("_r")).drop("_h", "_w", "_b", "_r", "_o")
 
 
 def temperature_weights(sizes: dict[str, float], power: float) -> dict[str, float]:
@@ -88,15 +95,18 @@ def mix(
     power: float = 0.5,
     block_docs: int = 16,
     period: int = 1024,
+    most_sources: int = 4096,
     id_col: str = "doc_id",
     source_col: str = "source",
 ) -> DataFrame:
     """All columns of ``docs`` with ``mix_source, mix_block, mix_slot, mix_offset``.
 
-    Reading by (mix_slot, mix_offset) gives the mixture.  ``weights`` maps sources to
-    target weights; without it they follow the sources' row counts to ``power``.
-    Sources without a weight come after all others.  ``period`` is raised to at least
-    four slots for each source, of which there may be ``MOST_SOURCES``.
+    Reading by (mix_slot, mix_offset) gives the mixture.  ``weights`` maps at most
+    ``most_sources`` sources to target weights; without it they follow the sources' row
+    counts to ``power``.  Sources without a weight come after all others.  ``period`` is
+    raised to at least four slots for each source.  Of more than ``most_sources`` sources
+    the heaviest are scheduled each on its own; the others share one place in the
+    schedule with their summed weight, inside which each is spread evenly over its rows.
 
     A null source is a source of its own.  The order within a source is that of
     ``md5(id)``, then id, then a hash of the row, so repeated rows keep their number.
@@ -104,21 +114,38 @@ def mix(
     """
     added = ["mix_source", "mix_block", "mix_slot", "mix_offset"]
     docs = docs.drop(*added)
+    spark = docs.sparkSession
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))
+    own = F.col(id_col).cast("string")
+    whole_row = F.xxhash64(*[F.to_json(F.struct(F.col(c))) if "map" in t or "variant" in t else F.col(c) for c, t in docs.dtypes])
+    order = [F.md5(F.coalesce(own, F.lit(""))), own, whole_row]
+    rows = docs.withColumn("_name", source)
+    pooled = None
     if weights is None:
-        counts = docs.groupBy(source.alias("s")).count().limit(MOST_SOURCES + 1).collect()
-        weights = temperature_weights({r["s"]: r["count"] for r in counts}, power)
-    if len(weights) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+        counts = rows.groupBy(F.col("_name").alias("s")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "s")
+        found = counts.limit(most_sources + 1).collect()
+        heavy = {r["s"]: r["c"] for r in (found if len(found) <= most_sources else found[: most_sources - 1])}
+        weights = temperature_weights(heavy, power)
+        if len(found) > most_sources:
+            named = spark.createDataFrame([(s,) for s in heavy], "_name string")
+            pooled = counts.withColumnRenamed("s", "_name").join(F.broadcast(named), "_name", "left_anti")
+            weights[POOL] = pooled.agg(F.sum(F.pow("c", F.lit(power)))).first()[0]
+    elif len(weights) > most_sources:
+        raise ValueError(f"weights for more than {most_sources} sources")
     period = max(period, 4 * len(weights))
     shares = whole_shares(weights, period) if any(w > 0 for w in weights.values()) else {}
-    spark = docs.sparkSession
     plan = [(s, i, slot, shares[s]) for s, i, slot in schedule(shares, period)]
     slots = spark.createDataFrame(plan, "_s string, _i long, _slot long, _share long")
     share = spark.createDataFrame(sorted(shares.items()), "_s string, _share long")
-    own = F.col(id_col).cast("string")
-    whole_row = F.xxhash64(*[F.to_json(F.struct(F.col(c))) if "map" in t or "variant" in t else F.col(c) for c, t in docs.dtypes])
-    ranked = source_rank(docs, source, [F.md5(F.coalesce(own, F.lit(""))), own, whole_row])
+    if pooled is None:
+        ranked = source_rank(rows, F.col("_name"), order)
+    else:
+        # a pooled row's place among its source's rows, from 0 to 1, as hex digits
+        first = source_rank(rows, F.col("_name"), order).drop("_s").join(pooled, "_name", "left")
+        spread = F.lpad(F.lower(F.hex(F.floor((F.col("_n") + 0.5) / F.col("c") * F.lit(float(1 << 52))).cast("long"))), 13, "0")
+        place = F.when(F.col("c").isNotNull(), F.col("_name"))
+        rows = first.withColumn("_at", F.coalesce(spread, order[0])).withColumn("_tie", F.concat_ws("/", place, own)).drop("_n")
+        ranked = source_rank(rows, F.when(F.col("c").isNotNull(), F.lit(POOL)).otherwise(F.col("_name")), [F.col("_at"), F.col("_tie"), order[2]])
     ranked = ranked.join(F.broadcast(share), "_s", "left").withColumn("_k", F.floor(F.col("_n") / block_docs))
     ranked = ranked.withColumn("_i", F.col("_k") % F.col("_share"))
     # at most `period` rows, a bound that the data cannot move
@@ -127,7 +154,7 @@ def mix(
     late = F.lit(1 << 62) + F.col("_k")
     return placed.select(
         *[F.col(c) for c in docs.columns],
-        F.when(F.col("_s") != NO_SOURCE, F.col("_s")).alias("mix_source"),
+        F.when(F.col("_name") != NO_SOURCE, F.col("_name")).alias("mix_source"),
         F.col("_k").cast("long").alias("mix_block"),
         F.coalesce(slot, late).cast("long").alias("mix_slot"),
         (F.col("_n") % block_docs).cast("long").alias("mix_offset"),
