@@ -519,6 +519,7 @@ def sample_texts(path: str, k: int, batch_chars: int, decode: bool):
         for batch in batches:
             lengths = pc.fill_null(pc.utf8_length(batch["text"]), 0).to_numpy()
             seeds = batch["seed"].to_numpy()
+            kept = [c for c in batch.schema.names if c not in ("text", "seed")]
             for lo, hi in slices_by_chars(lengths, batch_chars):
                 texts = ["" if t is None else t for t in batch["text"].slice(lo, hi - lo).to_pylist()]
                 work = Batch(texts, seeds[lo:hi], store)
@@ -532,7 +533,7 @@ def sample_texts(path: str, k: int, batch_chars: int, decode: bool):
                     if decode:
                         rest.append(pa.array([decoded(store.vocab, b) for b in packed], pa.string()))
                     at = pa.array(docs + lo)
-                    yield pa.RecordBatch.from_arrays([batch["key"].take(at), batch["text_crc"].take(at), *rest], ["key", "text_crc", *NAMES, *["decoded"] * decode])
+                    yield pa.RecordBatch.from_arrays([*(batch[c].take(at) for c in kept), *rest], [*kept, *NAMES, *["decoded"] * decode])
                 work = rounds = packed = rest = texts = None
                 pa.default_memory_pool().release_unused()
 
@@ -540,7 +541,7 @@ def sample_texts(path: str, k: int, batch_chars: int, decode: bool):
 
 
 def sample_segmentations(
-    docs: DataFrame, model_path: str, k: int = 2, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1_000_000, decode: bool = False
+    docs: DataFrame, model_path: str, k: int = 2, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1_000_000, decode: bool = False, keep: list[str] | None = None
 ) -> DataFrame:
     """Up to k distinct segmentations of every text, drawn without replacement, likeliest perturbed first.
 
@@ -549,17 +550,20 @@ def sample_segmentations(
     ``sample`` counts from 1, ``perturbed`` falls with it, ``log_inclusion`` is the log
     of the chance to be among the top k given the threshold (0 where all
     segmentations were drawn), ``text_crc`` the CRC-32 of the text for checking a decode.
-    With ``decode`` also ``decoded``, the text of the ids, in the same pass.
+    With ``decode`` also ``decoded``, the text of the ids, in the same pass; the
+    columns of ``keep`` go along.
 
     A null text counts as empty; an empty text has one segmentation, of no pieces.
     Rows with the same id draw the same random numbers, so repeated rows repeat their
     samples.  ``batch_chars`` bounds the memory of a task, save for a longer single text.
+    An empty table gives an empty result; columns not named are not read.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("key"), text.alias("text"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("seed"), F.crc32(text.cast("binary")).alias("text_crc"))
-    kind = rows.schema["key"].dataType.simpleString()
-    schema = f"key {kind}, text_crc long, sample int, ids binary, log_prob double, perturbed double, log_inclusion double" + ", decoded string" * decode
-    return rows.mapInArrow(sample_texts(model_path, k, batch_chars, decode), schema).withColumnRenamed("key", id_col)
+    text, keep = F.coalesce(F.col(text_col), F.lit("")), keep or []
+    rows = docs.select(F.col(id_col).alias("key"), F.crc32(text.cast("binary")).alias("text_crc"), *[F.col(c).alias(f"k_{c}") for c in keep], text.alias("text"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("seed"))
+    kept = ", ".join(f"`{n}` {t}" for n, t in rows.drop("text", "seed").dtypes)
+    schema = f"{kept}, sample int, ids binary, log_prob double, perturbed double, log_inclusion double" + ", decoded string" * decode
+    sampled = rows.mapInArrow(sample_texts(model_path, k, batch_chars, decode), schema)
+    return sampled.withColumnsRenamed({"key": id_col} | {f"k_{c}": c for c in keep})
 
 
 def decoded(vocab: Vocabulary, ids: bytes | None) -> str:
@@ -583,8 +587,8 @@ def decode_segmentations(samples: DataFrame, model_path: str) -> DataFrame:
     return samples.mapInArrow(decode_batches(model_path), f"{schema}, decoded string")
 
 
-def segmentation_digests(docs: DataFrame, model_path: str, k: int = 2) -> DataFrame:
+def segmentation_digests(docs: DataFrame, model_path: str, k: int = 2, keep: list[str] | None = None) -> DataFrame:
     """Samples of every document, decoded again: counts, scores, CRC-32 of the ids, and whether the text came back."""
-    samples = sample_segmentations(docs, model_path, k, decode=True)
+    samples = sample_segmentations(docs, model_path, k, decode=True, keep=keep)
     back = F.crc32(F.col("decoded").cast("binary")) == F.col("text_crc")
-    return samples.select("doc_id", "sample", (F.length("ids") / 4).cast("long").alias("n_pieces"), "log_prob", "perturbed", "log_inclusion", F.crc32("ids").alias("ids_crc32"), back.alias("decoded_ok"))
+    return samples.select("doc_id", *(keep or []), "sample", (F.length("ids") / 4).cast("long").alias("n_pieces"), "log_prob", "perturbed", "log_inclusion", F.crc32("ids").alias("ids_crc32"), back.alias("decoded_ok"))
