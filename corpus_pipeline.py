@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tomeline.llm import jaccard_join, language_id, mixing, pieces
-from tomeline.llm.common import materialize, table
+from tomeline.llm.common import discard, materialize, table
 from tomeline.llm.queries import PIECE_MODEL
 
 
@@ -50,8 +50,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of every document, checked by decoding."""
-    return pieces.segmentation_digests(docs, public_tokenizers.path(PIECE_MODEL))
+    """Sampled segmentations of every document, checked by decoding, with its place in the mixture.
+
+    The place (slot and row within it) follows from the ids and sources alone, so it is
+    that of the stage before, which the order of its files shows only to who reads them in turn.
+    """
+    placed = mixing.mix(whole_rows(docs, "doc_id", "source")).select("doc_id", "row.text", "mix_slot", "mix_offset")
+    return pieces.segmentation_digests(placed, public_tokenizers.path(PIECE_MODEL), keep=["mix_slot", "mix_offset"])
 
 
 STAGES = [
@@ -65,9 +70,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = materialize(docs, name)
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
