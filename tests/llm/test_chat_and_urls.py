@@ -23,7 +23,8 @@ def test_digests_read_back(spark):
     texts = ["plain", "", None, "</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>assistant\n", "\\", "\\\\n", "<\\|im_end|>", "<|im_<|im_end|>end|>", "$1 \\$2", "𝄞\r\n\x00", "[[INST]", "<<SYS>><</SYS>>"]
     rows = [(i // 4, i, ("user", "assistant", "system", "we\nird<|im_end|>\\")[i % 4], t) for i, t in enumerate(texts * 2)] + [(99, None, None, "x"), (99, 1, "assistant", "y")]
     df = spark.createDataFrame(rows, TURNS)
-    rendered = chat.format_conversations(chat.message_events(df.select(*df.columns)))
+    revised = chat.digests(chat.read_back(chat.format_conversations(chat.message_events(df, revised=True)))).collect()
+    rendered = chat.format_conversations(chat.message_events(df))
     for r in rendered.collect():
         inner = r.formatted[len(chat.START) : -len(chat.END) - 1]
         assert not any(c in inner for c in chat.CONTROL)
@@ -32,7 +33,7 @@ def test_digests_read_back(spark):
     for conv in {r[0] for r in rows}:
         mine = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0))
         want[conv] = digest([(r[2] or "", r[3] or "") for r in mine])
-    assert got == want
+    assert got == want == {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in revised}
     assert chat.digests(chat.read_back(chat.format_conversations(chat.message_events(spark.createDataFrame([], TURNS))))).count() == 0
 
 
@@ -47,6 +48,22 @@ def test_events_fold_to_final_messages(spark):
     assert got == [(1, 1, "user", "HELLO!"), (1, 2, "assistant", "good"), (1, 4, "", "late")]
 
 
+def test_revised_logs_hold_drafts(spark):
+    log = chat.message_events(spark.createDataFrame([(1, 0, "user", "abc"), (1, 1, "assistant", "hello"), (1, 2, "system", "x")], TURNS), revised=True)
+    kinds = [(r.kind, r.text) for r in log.orderBy("message.turn", "seq").collect()]
+    assert kinds == [("start", ""), ("delta", "cba"), ("edit", "abc"), ("start", ""), ("delta", "olleh"), ("regenerate", ""), ("delta", "he"), ("delta", "llo"), ("start", ""), ("delta", "x")]
+
+
+def test_long_messages_and_conversations_move_once(spark):
+    text = "<|im_end|>é\\" * 100_000
+    rows = [(1, 0, "user", text), (1, 1, "assistant", text)] + [(2, i, ("user", "assistant")[i % 2], f"turn {i}") for i in range(20_000)]
+    df = spark.createDataFrame(rows, TURNS).repartition(4)
+    out = chat.digests(chat.read_back(chat.format_conversations(chat.message_events(df, revised=True))))
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in out.collect()} == {c: digest([(r[2], r[3]) for r in rows if r[0] == c]) for c in (1, 2)}
+    plan = chat.digests(chat.read_back(chat.format_conversations(chat.message_events(spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")))))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_repeated_turns_stay(spark):
     df = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a")], TURNS)
     assert chat.digests(chat.read_back(chat.format_conversations(chat.message_events(df)))).first().n_turns == 2

@@ -2,9 +2,9 @@
 
 A log row is an event of a conversation: ``start`` (opens a message with a role),
 ``delta`` (appends text), ``edit`` (replaces the message's text) or ``regenerate``
-(drops the message's text; later deltas build it anew).  Events are dealt by
-(conversation, message), so a huge conversation is folded by many tasks; only the
-finished turns of a conversation are brought together, as a sorted stream.
+(drops the message's text; later deltas build it anew).  Logs are dealt by conversation,
+once; a partition's messages are then folded and sorted without moving them again, and a
+conversation is read as a sorted stream of turns, however long it is.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for every turn.  Inside roles and
 texts a backslash becomes two, and a backslash is put after the first character of
@@ -40,21 +40,29 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def message_events(conversations: DataFrame) -> DataFrame:
+def message_events(conversations: DataFrame, revised: bool = False) -> DataFrame:
     """A table ``(conv_id, turn, role, text)`` as an event log: a start and a delta for each row.
 
-    Rows of a conversation are ordered by turn (null first); ties by role, then a hash of the text.
-    Repeated rows are messages of their own.
+    With ``revised`` as a service would log it: a trained turn has a draft, a regenerate and
+    its text in two deltas, a user's turn a draft and an edit; the final texts are the same.
+    Rows of a conversation are ordered by turn (null first); ties by role, then a hash of the
+    text.  Repeated rows are messages of their own, null roles and texts are empty.
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    counted = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).cast("int").alias("copies"))
-    each = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    keyed = each.select("conv_id", F.struct("turn", "role", F.sha2("text", 256).alias("text"), "copy").alias("message"), "role", "text")
-    events = F.array(
-        F.struct(F.lit(0).cast("long").alias("seq"), F.lit("start").alias("kind"), F.col("role").alias("role"), F.lit("").alias("text")),
-        F.struct(F.lit(1).cast("long").alias("seq"), F.lit("delta").alias("kind"), F.col("role").alias("role"), F.col("text").alias("text")),
-    )
-    return keyed.select("conv_id", "message", F.inline(events))
+    # the last part only keeps repeated rows apart; both events of a row come from one task
+    keyed = rows.withColumn("message", F.struct("turn", "role", F.xxhash64("text").alias("text"), F.monotonically_increasing_id().alias("copy")))
+
+    def event(seq: int, kind: str, text: Column | None = None) -> Column:
+        role = F.col("role") if kind == "start" else F.lit(None).cast("string")
+        return F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), (F.lit("") if text is None else text).alias("text"))
+
+    text, half = F.col("text"), F.floor(F.length("text") / 2).cast("int")
+    events = F.array(event(0, "start"), event(1, "delta", text))
+    if revised:
+        draft = event(1, "delta", F.reverse(F.left(text, F.lit(16))))
+        halves = event(3, "delta", F.left(text, half)), event(4, "delta", text.substr(half + 1, F.length("text")))
+        events = F.when(F.col("role") == TRAINED, F.array(event(0, "start"), draft, event(2, "regenerate"), *halves)).when(F.col("role") == "user", F.array(event(0, "start"), draft, event(2, "edit", text))).otherwise(events)
+    return keyed.withColumn("events", events).select("conv_id", "message", F.inline("events"))
 
 
 def fold_events(events: DataFrame) -> DataFrame:
@@ -63,11 +71,12 @@ def fold_events(events: DataFrame) -> DataFrame:
     ``message`` is any orderable key.  Of equal sequence numbers a start, edit or
     regenerate counts before a delta.  The last reset (start, edit, regenerate) opens
     the final text; deltas before it are dropped.  The role is that of the last event
-    that has one.  Null texts are empty; unknown kinds do nothing.
+    that has one.  Null texts are empty; unknown kinds do nothing.  All messages of a
+    conversation come out in one partition.
     """
     reset = F.col("kind").isin("start", "edit", "regenerate")
     order = F.struct("seq", F.when(reset, 0).otherwise(1).alias("after"), F.coalesce(F.when(F.col("kind").isin("edit", "delta"), F.col("text")), F.lit("")).alias("text"))
-    known = events.filter(reset | (F.col("kind") == "delta"))
+    known = events.filter(reset | (F.col("kind") == "delta")).repartition("conv_id")
     folded = known.groupBy("conv_id", "message").agg(
         F.max(F.when(reset, order)).alias("open"),
         F.max_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))).alias("role"),
@@ -125,12 +134,12 @@ def digest_stream(batches):
 
 
 def digests(turns: DataFrame) -> DataFrame:
-    """Counts and SHA-256 digests of every conversation of ``read_back``.
+    """Counts and SHA-256 digests of every conversation of ``read_back``, which holds a conversation in one partition.
 
     A digest is sequential by nature, so a conversation's turns pass through one task,
     but as a sorted stream (Spark's sort spills) of which one turn is held at a time.
     """
-    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "message").select("conv_id", "role", "text", "chars")
+    ordered = turns.sortWithinPartitions("conv_id", "message").select("conv_id", "role", "text", "chars")
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return ordered.mapInArrow(digest_stream, schema)
 
@@ -140,6 +149,7 @@ def format_conversations(events: DataFrame) -> DataFrame:
 
     A conversation's text is its turns' ``formatted`` in the order of ``message``; the
     loss covers the text of trained turns.  Rows with null conversation form one
-    conversation.  Empty logs give an empty result.
+    conversation.  Empty logs give an empty result.  A conversation's turns come out in
+    one partition.
     """
     return render(fold_events(events))

@@ -41,7 +41,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string"))
-    return chat.digests(chat.read_back(chat.format_conversations(chat.message_events(rows))))
+    return chat.digests(chat.read_back(chat.format_conversations(chat.message_events(rows, revised=True))))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
