@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tomeline.llm import chat, url_filter
+from tomeline.llm import chat, queries, url_filter, url_labels
 from tomeline.llm.queries import RULES
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -91,7 +93,6 @@ def test_url_parts_and_rules(spark):
         judged = {r.page_id: r.verdict for r in url_filter.filter_urls(parts, model).collect()}
         assert judged == {i: c[3] or ("block" if model else "allow") for i, c in enumerate(cases.values())}
     assert url_filter.filter_urls(parts.limit(0), None).count() == 0
-    assert url_filter.labelled_sample(parts.limit(0)).empty
 
 
 def test_classifier_learns_and_repeats(spark):
@@ -104,3 +105,45 @@ def test_classifier_learns_and_repeats(spark):
     out = url_filter.filter_urls(df, model).collect()
     assert sum((r.verdict == "block") == (r.page_id == 1) for r in out) / len(out) > 0.97
     assert (url_filter.fit(train.sample(frac=1, random_state=1)).weights == model.weights).all()
+
+
+def plain_score(host: str, path: str, model: url_filter.Model) -> float:
+    """The logistic score, n-gram by n-gram."""
+    found = []
+    for salt, text in ((1, host), (2, path)):
+        raw = b"^" + text.encode() + b"$"
+        for n in url_filter.SIZES:
+            for at in range(len(raw) - n + 1):
+                h = salt * 97 + n
+                for byte in raw[at : at + n]:
+                    h = (h ^ byte) * 0x9E3779B97F4A7C15 % (1 << 64)
+                    h ^= h >> 29
+                found.append(h >> (64 - model.bits))
+    z = sum(float(model.weights[b]) for b in found) / math.sqrt(max(1, len(found))) + model.bias
+    return 1 / (1 + math.exp(-z))
+
+
+def test_labelled_urls_hold_out_and_pages(spark):
+    labels = url_labels.labelled_urls()
+    assert 1500 < len(labels) < 3000 and 0.15 < labels.block.mean() < 0.35
+    held = np.arange(len(labels)) % 5 == 1
+    model = url_filter.fit(labels[~held])
+    got = np.array([plain_score(h, p, model) >= 0.5 for h, p in zip(labels.host[held], labels.path[held], strict=True)])
+    want = labels.block[held].to_numpy() == 1
+    assert (got & want).sum() >= 0.95 * got.sum() and (got & want).sum() >= 0.9 * want.sum()
+    rows = queries.op5_url_filter(spark, "/root/testdata/sf0.1").collect()
+    model = url_filter.fit(labels)
+    spam = ("casino", "bets", "pills", "adult", "spam", "ads-")
+    unruled = [r for r in rows if r.rule is None and r.host]
+    blocked, bad = {r.host for r in unruled if r.verdict == "block"}, {r.host for r in unruled if any(s in r.host for s in spam)}
+    assert len(unruled) > 1000 and len(blocked & bad) >= 0.9 * len(blocked) and len(blocked & bad) >= 0.6 * len(bad)
+    assert all(abs(r.block_score - plain_score(r.host, r.path, model)) < 1e-9 for r in rows[:300])
+
+
+def test_very_long_and_repeated_urls(spark):
+    model = url_filter.fit(url_labels.labelled_urls())
+    urls = ["http://casino-win.org/" + "a" * 300_000, "http://" + "x" * 100_000, "http://casino-win.org/" + "a" * 300_000, "", "://", "http://ü.org/é"]
+    pages = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    got = {r.page_id: r for r in url_filter.filter_urls(url_filter.judged_urls(pages, RULES), model).collect()}
+    assert len(got) == 6 and got[0].block_score == got[2].block_score
+    assert all(abs(r.block_score - plain_score(r.host, r.path, model)) < 1e-9 for r in got.values())

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeline.llm import ann, chat, exact_topk, jaccard_join, language_id, licenses, mixing, pieces, token_files, url_filter
+from tomeline.llm import ann, chat, exact_topk, jaccard_join, language_id, licenses, mixing, pieces, token_files, url_filter, url_labels
 from tomeline.llm.common import table
 from tomeline.sources.stores import shared_dir
 
@@ -46,7 +46,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = url_filter.judged_urls(table(spark, sf_dir, "pages"), RULES)
-    return url_filter.filter_urls(urls, url_filter.fit(url_filter.labelled_sample(urls)))
+    return url_filter.filter_urls(urls, url_filter.fit(url_labels.labelled_urls()))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

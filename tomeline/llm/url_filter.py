@@ -1,8 +1,9 @@
 """URL filter: host and path rules, and for the rest a logistic regression on hashed n-grams.
 
 Features are the character n-grams (3 to 5 bytes) of host and path, hashed apart into
-``2 ** bits`` buckets.  The model is fitted on a small labelled URL table of bounded
-size; scoring is one Arrow pass over host and path with no shuffle.
+``2 ** bits`` buckets.  The model is fitted on a small labelled URL table
+(``url_labels``, or the caller's own) that has nothing to do with the rules; scoring is
+one Arrow pass over host and path with no shuffle.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tomeline.llm.common import slices_by_chars
+
 SIZES = (3, 4, 5)
 
 
@@ -89,7 +92,7 @@ def design(hosts: list[str], paths: list[str], bits: int) -> tuple[np.ndarray, n
     return row, bucket, 1.0 / np.sqrt(np.maximum(count[row], 1))
 
 
-def fit(labelled: pd.DataFrame, bits: int = 15, rounds: int = 200, rate: float = 2.0, decay: float = 1e-4) -> Model | None:
+def fit(labelled: pd.DataFrame, bits: int = 15, rounds: int = 300, rate: float = 20.0, decay: float = 1e-5) -> Model | None:
     """Full-batch gradient descent on ``labelled(host, path, block)``; the same rows give the same model.
 
     None where the table is empty; a constant model where it has one class only.
@@ -102,7 +105,7 @@ def fit(labelled: pd.DataFrame, bits: int = 15, rounds: int = 200, rate: float =
         return Model(np.zeros(1 << bits), 30.0 if y[0] else -30.0, bits)
     row, bucket, value = design(labelled["host"].tolist(), labelled["path"].tolist(), bits)
     weights, bias = np.zeros(1 << bits), 0.0
-    weight_of = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
+    weight_of = 1 / len(y)
     for _ in range(rounds):
         z = np.bincount(row, weights[bucket] * value, len(y)) + bias
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight_of
@@ -119,10 +122,10 @@ def scorer(model: Model | None):
             hosts, paths = batch["host"].to_pylist(), batch["path"].to_pylist()
             p = np.zeros(len(hosts))
             if model is not None:
-                for at in range(0, len(hosts), 2000):
-                    row, bucket, value = design(hosts[at : at + 2000], paths[at : at + 2000], model.bits)
-                    z = np.bincount(row, model.weights[bucket] * value, len(hosts[at : at + 2000])) + model.bias
-                    p[at : at + 2000] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                for lo, hi in slices_by_chars(np.array([len(h) + len(q) for h, q in zip(hosts, paths, strict=True)]), 400_000):
+                    row, bucket, value = design(hosts[lo:hi], paths[lo:hi], model.bits)
+                    z = np.bincount(row, model.weights[bucket] * value, hi - lo) + model.bias
+                    p[lo:hi] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "block_score"])
 
     return run
@@ -134,17 +137,6 @@ def judged_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
     return parts.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
 
 
-def labelled_sample(parts: DataFrame, most_rows: int = 20_000) -> pd.DataFrame:
-    """A small labelled URL table: URLs that rules decide, labelled by them.
-
-    Bounded by ``most_rows`` distinct (host, path) pairs, those with the smallest
-    hash, half from each verdict at most.
-    """
-    rows = parts.filter(F.col("found").isNotNull()).select("host", "path", (F.col("found.verdict") == "block").cast("int").alias("block"))
-    halves = [rows.filter(F.col("block") == b).distinct().orderBy(F.xxhash64("host", "path"), "host", "path").limit(most_rows // 2) for b in (0, 1)]
-    return halves[0].unionByName(halves[1]).toPandas()
-
-
 def filter_urls(parts: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
     """``page_id, host, path, rule, verdict, block_score`` for every row of ``judged_urls``.
 
