@@ -220,6 +220,62 @@ def test_license_scan_matches_plain_scan(spark):
     assert best[0] is None and sum(b is not None for b in best.values()) >= 2 * len(licenses.TEMPLATES)
 
 
+def longest_common(text: list, template: list) -> int:
+    row = [0] * (len(template) + 1)
+    for w in text:
+        before = 0
+        for j, t in enumerate(template, 1):
+            before, row[j] = row[j], before + 1 if w == t else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_matches_equal_the_longest_common_words(spark):
+    """Every license passage with few changes is found with as many words as any alignment can match; nothing else is found."""
+    rng = random.Random(5)
+    templates, telling = licenses.all_templates()
+    short = {n: t for n, t in templates.items() if len(licenses.words_of(t)) < 120}
+    filler = [f"f{i}" for i in range(200)]
+    rows = []
+    for name, text in short.items():
+        words = text.split()
+        for change in (0, 1, 2):
+            now = list(words)
+            for _ in range(change * len(words) // 20):
+                now[rng.randrange(len(now))] = rng.choice(filler)
+            rows.append((len(rows), " ".join([*rng.choices(filler, k=rng.randint(0, 300)), *now, *rng.choices(filler, k=rng.randint(0, 300))]), name))
+        rows.append((len(rows), " ".join(rng.sample(words, len(words))), None))
+    got = {r.doc_id: {x.license: x for x in r.licenses} for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, license string"), short, telling=telling).collect()}
+    scanner = licenses.Scanner(short, 0.8, telling)
+    missed = 0
+    for i, text, _ in rows:
+        words = licenses.words_of(text)
+        told = {n for n in short if scanner.told(n, b" %s " % b" ".join(words))}
+        assert set(got[i]) <= told
+        for n in told:
+            template = licenses.words_of(short[n])
+            inside = [j for j, w in enumerate(words) if w in set(template)]
+            span = inside[-1] - inside[0] + 1 if inside else 0
+            best = longest_common(words, template)
+            if n in got[i]:
+                assert got[i][n].matched <= best and got[i][n].coverage >= 0.8 - 1e-9
+            elif span and best / (len(template) + span - best) >= 0.8:
+                missed += 1
+    assert missed == 0
+    for i, _, name in rows:
+        if name and i % 4 == 0:
+            assert got[i][name].matched == len(licenses.words_of(short[name])) and got[i][name].coverage == 1
+
+
+def test_license_scan_odd_rows(spark):
+    templates, telling = licenses.all_templates()
+    text = "word " * 200_000 + licenses.TEMPLATES["MIT-notice"] + " word" * 200_000
+    rows = [(1, text), (1, text), (None, None), (2, ""), (None, "Released under the MIT License.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("mine") for c in ("license", "licenses", "coverage", "key")})
+    got = licenses.best_license(licenses.scan_licenses(df, templates, telling=telling)).collect()
+    assert sorted((str(r.doc_id), str(r.license)) for r in got) == [("1", "MIT-notice"), ("1", "MIT-notice"), ("2", "None"), ("None", "MIT"), ("None", "None")]
+    assert licenses.scan_licenses(df.limit(0), templates, telling=telling).count() == 0
+
+
 def test_licenses_are_told_apart(spark, tmp_path):
     templates, telling = licenses.all_templates()
     assert set(templates) == set(telling)

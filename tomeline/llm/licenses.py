@@ -1,7 +1,8 @@
 """License scans by patience alignment.
 
 A text is read in windows of twice a template's length, every half length, so that
-each passage of up to one and a half times its length lies whole in one of them.  In
+each passage of up to one and a half times its length lies whole in one of them; where
+inserted words count against coverage, a longer one cannot reach 0.8.  In
 a window, words unique to both the text and the template are anchors; the longest
 run of anchors that keeps both orders stands, and the gaps between them are aligned
 in the same way.  Coverage is the share of the template's words that found their place.
