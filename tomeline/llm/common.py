@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +65,40 @@ def matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
     return np.asarray(whole.flatten(), dtype=np.float64).reshape(-1, dims)
 
 
+class Met:
+    """Which strings were met before, in a table of bits: a chance hit in it is taken for one that was met.
+
+    Once a quarter of the bits are set, all are cleared.
+    """
+
+    def __init__(self, bits: int = 23):
+        self.seen, self.count = np.zeros(1 << bits, dtype=bool), 0
+
+    def again(self, strings) -> np.ndarray:
+        """For each string whether it was met in an earlier call."""
+        if self.count > len(self.seen) // 4:
+            self.seen[:], self.count = False, 0
+        at = np.fromiter(map(hash, strings), dtype=np.int64, count=len(strings)) & (len(self.seen) - 1)
+        found = self.seen[at]
+        self.seen[at] = True
+        self.count += int((~found).sum())
+        return found
+
+
+@lru_cache(maxsize=1)
+def c_library():
+    name = ctypes.util.find_library("c")
+    return ctypes.CDLL(name) if name else None
+
+
+def release_memory() -> None:
+    """Give what a task no longer holds back to the machine, as its worker lives on."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(c_library(), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def block_of(key: Column, blocks: int) -> Column:
     """A block number from a uniform hash of a key."""
     return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")

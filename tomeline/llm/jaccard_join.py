@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomeline.llm.common import discard, materialize, ragged, slices_by_chars
+from tomeline.llm.common import discard, materialize, ragged, release_memory, slices_by_chars
 
 U = np.uint64
 LOW48 = U((1 << 48) - 1)
@@ -210,6 +210,7 @@ def cut_texts(words: int, fragments: int, batch_chars: int, common_nodes: int):
                     rows.append((f, name[who].tobytes() + size[who].astype("<i4").tobytes(), share.astype(wide).tobytes(), pack48(h[a:b] & LOW48)))
                 if rows:
                     yield rows_of({"fragment": [r[0] for r in rows], "nodes": [r[1] for r in rows], "counts": [r[2] for r in rows], "hashes": [r[3] for r in rows]}, len(rows))
+        release_memory()
 
     return run
 
@@ -242,21 +243,19 @@ def share_fragment(buckets: int):
             n = np.concatenate([np.frombuffer(x, "<i4", k, 8 * k) for x, k in zip(blobs, each, strict=True)])
             many = np.concatenate([np.frombuffer(x, "<u2" if len(x) == 2 * k else "<u4") for x, k in zip(present(table, "counts"), each, strict=True)]).astype(np.int64)
             h = unpack48(b"".join(present(table, "hashes")))
-            # batches repeat the sets of copies: keep each node once
+            # batches repeat the sets of copies, each without what was common there: keep every pair of node and shingle once
             names, once = np.unique(node, return_index=True)
-            begin = np.cumsum(many) - many
-            # a copy may have left other shingles out as common: keep every pair of node and shingle once
-            h = h[ragged(begin, many)]
             of = np.repeat(np.searchsorted(names, node).astype(np.int32), many)
             n = n[once]
             order = np.lexsort((of, h))
             h, of = h[order], of[order]
             fresh = np.r_[True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])]
             h, of = h[fresh], of[fresh]
+            del order, fresh, node, many
             starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             df = np.diff(np.r_[starts, len(h)])
             df[np.isin(h[starts], unpack48(b"".join(present(table, "common"))))] = COMMON
-            df = np.repeat(df, np.diff(np.r_[starts, len(h)]))
+            df = np.repeat(df.astype(np.int32), np.diff(np.r_[starts, len(h)]))
             h, of, df = h[df > 1], of[df > 1], df[df > 1]
             entry = np.empty(len(h), ENTRY)
             entry["node"], entry["n"], entry["df"] = names[of], n[of], df
@@ -271,6 +270,8 @@ def share_fragment(buckets: int):
             k = len(rows)
             if k:
                 out.append(pa.table([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], SHARED_NAMES))
+        found = entry = None
+        release_memory()
         return pa.concat_tables(out)
 
     return run

@@ -22,6 +22,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tomeline.llm.common import release_memory
+
 UNDETERMINED = "und"
 
 
@@ -120,6 +122,8 @@ def judge_texts(dictionaries: dict[str, bytes], level: int, piece_bytes: int):
                 [*(batch[n] for n in batch.schema.names), pa.array([x[0] for x in found], pa.string()), pa.array(np.array([x[1] for x in found], dtype=np.float64))],
                 [*batch.schema.names, "lang_pred", "score"],
             )
+        sizer = None
+        release_memory()
 
     return run
 

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeline.llm.common import ragged, slices_by_chars
+from tomeline.llm.common import Met, ragged, release_memory, slices_by_chars
 
 SPACE = "▁"
 MARK = "\ud800"  # no text of Spark's holds a lone surrogate
@@ -94,9 +94,8 @@ class Lattices:
 
     KINDS = {"frm": np.int32, "to": np.int32, "ids": np.int32, "logp": np.float64, "share": np.float32, "begin": np.int32, "first": np.int32, "last": np.int32}
 
-    def __init__(self, vocab: Vocabulary, most_edges: int = 3_000_000, most_met: int = 1_000_000):
-        self.vocab, self.most_edges, self.most_met = vocab, most_edges, most_met
-        self.met: set[int] = set()
+    def __init__(self, vocab: Vocabulary, most_edges: int = 1_500_000):
+        self.vocab, self.most_edges, self.met = vocab, most_edges, Met()
         self.forget()
 
     def forget(self) -> None:
@@ -122,14 +121,10 @@ class Lattices:
         """The numbers of distinct units by their keys (see ``unit_of``), until the next call; lattices of unknown ones are built."""
         if self.used["frm"] > self.most_edges:
             self.forget()
-        if len(self.met) > self.most_met:
-            self.met = set()
         number = pc.fill_null(pc.index_in(keys, value_set=self.known), -1).to_numpy().astype(np.int64)
         missing = np.flatnonzero(number < 0)
         units = [unit_of(k) for k in keys.take(pa.array(missing)).to_numpy(zero_copy_only=False)]
-        names = list(map(hash, units))
-        again = np.fromiter((h in self.met for h in names), dtype=bool, count=len(names))
-        self.met.update(names)
+        again = self.met.again(units)
         for some in (again, ~again):
             found = np.flatnonzero(some)
             start, kept = self.used["first"], dict(self.used)
@@ -535,7 +530,7 @@ def sample_texts(path: str, k: int, batch_chars: int, decode: bool):
                     at = pa.array(docs + lo)
                     yield pa.RecordBatch.from_arrays([*(batch[c].take(at) for c in kept), *rest], [*kept, *NAMES, *["decoded"] * decode])
                 work = rounds = packed = rest = texts = None
-                pa.default_memory_pool().release_unused()
+        release_memory()
 
     return run
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tomeline.llm.common import ragged, slices_by_chars
+from tomeline.llm.common import Met, ragged, release_memory, slices_by_chars
 from tomeline.llm.token_coder import read_block, write_block
 
 BLOCKS = "part int, block int, ids long, data binary"
@@ -53,12 +53,11 @@ class Known:
     """Strings and their ids: those kept, and behind them those of one call that were not met before.
 
     With ``again`` a string is kept when it is met in a second call, else in its first
-    one.  Once more than ``most`` are kept (or met), all are forgotten.
+    one.  Once more than ``most`` are kept, all are forgotten.
     """
 
     def __init__(self, most: int, again: bool):
-        self.most, self.again = most, again
-        self.met: set[int] = set()
+        self.most, self.met = most, Met() if again else None
         self.forget()
 
     def forget(self) -> None:
@@ -76,16 +75,12 @@ class Known:
         self.start, self.length, self.flat = self.start[:kept], self.length[:kept], self.flat[:used]
         if kept > self.most:
             self.forget()
-        if len(self.met) > 2 * self.most:
-            self.met = set()
         coded = strings.dictionary_encode()
         found = pc.index_in(coded.dictionary, value_set=self.strings)
         place = pc.fill_null(found, -1).to_numpy().astype(np.int64)
         fresh = np.flatnonzero(place < 0)
-        if self.again and len(fresh):
-            names = list(map(hash, coded.dictionary.take(pa.array(fresh)).to_numpy(zero_copy_only=False)))
-            twice = np.fromiter((h in self.met for h in names), dtype=bool, count=len(names))
-            self.met.update(names)
+        if self.met and len(fresh):
+            twice = self.met.again(coded.dictionary.take(pa.array(fresh)).to_numpy(zero_copy_only=False))
             rounds = (fresh[twice], True), (fresh[~twice], False)
         else:
             rounds = ((fresh, True),)
@@ -203,6 +198,7 @@ def encode_partition(path: str, end_id: int, block_ids: int, batch_chars: int):
                     docs, counts, held, size, number = [], [], [], 0, number + 1
         if docs:
             yield block()
+        release_memory()
 
     return run
 
