@@ -88,8 +88,9 @@ def clamp_hp(hp: Column, most: Column) -> Column:
 
 
 def d20(*keys: Column, seed: int = 0) -> Column:
-    """A repeatable roll from 1 to 20 for a key."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(20)) + 1).cast("int")
+    """A repeatable roll from 1 to 20 for a key: the first 32 bits of the MD5 of ``seed:key:...``."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 20 + 1).cast("int")
 
 
 def condition_add(conditions: Column, name: Column) -> Column:

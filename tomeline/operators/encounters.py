@@ -121,9 +121,50 @@ def fold_ops(ops: DataFrame, participants: DataFrame, key: str = "id") -> DataFr
     return folded.withColumns({"current_hp": F.col("_s.hp"), "is_defeated": F.col("_s.out"), "conditions": F.col("_s.conditions")}).drop("_s", "_ops")
 
 
-def hp_ledger(ops: DataFrame, participants: DataFrame) -> DataFrame:
-    """``id, current_hp, is_defeated`` after the HP operations."""
-    return fold_ops(ops.filter(F.col("op").isin("hp_delta", "set_hp")), participants).select("id", "current_hp", "is_defeated")
+def hp_ledger(ops: DataFrame, participants: DataFrame, ops_per_part: int = 100_000) -> DataFrame:
+    """``id, current_hp, is_defeated`` after the HP operations.
+
+    Each operation maps hit points x to ``min(max(x + add, low), high)``, and so does any run of
+    them; a run takes x to 0 somewhere exactly where x is at most ``down``.  So the log is
+    folded in parts of ``seq``, each by its own task, and the parts are joined: no
+    participant's whole log is gathered.
+    """
+    log = ops.filter(F.col("op").isin("hp_delta", "set_hp") & F.col("amount").isNotNull())
+    ends = log.agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high")).first()
+    width = max(1, ((ends["high"] or 0) - (ends["low"] or 0)) // max(1, -(-ends["n"] // ops_per_part)) + 1)
+    most = participants.select(F.col("id").alias("participant_id"), F.col("max_hp").cast("long").alias("most"))
+    fixed = F.col("op") == "set_hp"
+    to = F.greatest(F.lit(0).cast("long"), F.least("most", F.col("amount").cast("long")))
+    rows = log.join(most, "participant_id").select(
+        "participant_id",
+        F.floor((F.col("seq") - F.lit(ends["low"] or 0)) / width).alias("part"),
+        "seq",
+        F.struct(
+            F.when(fixed, F.lit(0)).otherwise(F.col("amount")).cast("long").alias("add"),
+            F.when(fixed, to).otherwise(F.lit(0)).cast("long").alias("low"),
+            F.when(fixed, to).otherwise(F.col("most")).alias("high"),
+            F.lit(None).cast("long").alias("down"),
+        ).alias("run"),
+    )
+    never, always = F.lit(-(1 << 62)).cast("long"), F.lit(1 << 62).cast("long")
+    same = F.struct(F.lit(0).cast("long").alias("add"), never.alias("low"), always.alias("high"), never.alias("down"))
+
+    def after(first: Column, then: Column) -> Column:
+        add = first["add"] + then["add"]
+        low, high = (F.least(F.greatest(first[x] + then["add"], then["low"]), then["high"]) for x in ("low", "high"))
+        # an operation's own ``down`` follows from what the run makes of x; a run brings its own, seen through the run before it
+        ended = F.when(low > 0, never).when(high <= 0, always).otherwise(-add)
+        inner = F.when(first["low"] > then["down"], never).when(first["high"] <= then["down"], always).otherwise(then["down"] - first["add"])
+        return F.struct(add.alias("add"), low.alias("low"), high.alias("high"), F.greatest(first["down"], F.when(then["down"].isNull(), ended).otherwise(inner)).alias("down"))
+
+    def folded(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+        runs = F.transform(F.array_sort(F.collect_list(F.struct(order, "run"))), lambda x: x["run"])
+        return df.groupBy(*keys).agg(F.aggregate(runs, same, after).alias("run"))
+
+    whole = folded(folded(rows, ["participant_id", "part"], "seq"), ["participant_id"], "part").withColumnRenamed("participant_id", "id")
+    start = F.col("current_hp").cast("long")
+    hp = F.coalesce(F.least(F.greatest(start + F.col("run.add"), F.col("run.low")), F.col("run.high")), start)
+    return participants.join(whole, "id", "left").select("id", hp.cast("int").alias("current_hp"), (F.col("is_defeated") | F.coalesce(start <= F.col("run.down"), F.lit(False))).alias("is_defeated"))
 
 
 def condition_ledger(ops: DataFrame) -> DataFrame:

@@ -2,27 +2,46 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
+from collections import Counter
 from collections.abc import Callable
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomeline.functions.text import CONTEXT_BREAK, collection_name, render_chunk
 
 Embedder = Callable[[Column], Column]
+WORDS = re.compile(r"[^\W_]+")
+
+
+def hashed_words(text: pd.Series, dims: int) -> pd.Series:
+    """Counts of words by the first 32 bits of their MD5, at length 1."""
+    places: dict[str, int] = {}
+    out = np.zeros((len(text), dims))
+    for i, t in enumerate(text):
+        for word, count in Counter(WORDS.findall((t or "").lower())).items():
+            at = places.get(word)
+            if at is None:
+                at = places[word] = int.from_bytes(hashlib.md5(word.encode("utf-8", "replace")).digest()[:4], "big") % dims
+            out[i, at] += count
+    length = np.sqrt((out * out).sum(1, keepdims=True))
+    return pd.Series(list((out / np.where(length > 0, length, 1)).astype(np.float32)))
 
 
 def embed_text(df: DataFrame, text: str, out: str = "vector", dims: int = 768, fn: Embedder | None = None) -> DataFrame:
-    """A unit vector for every text: hashed words, or ``fn`` (an Arrow or pandas UDF on the column)."""
-    if fn is not None:
-        return df.withColumn(out, fn(F.col(text)))
-    rows = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    stages = [RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"\W+"), HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims), Normalizer(inputCol="_tf", outputCol="_unit")]
-    for stage in stages:
-        rows = stage.transform(rows)
-    return rows.withColumn(out, vector_to_array("_unit", "float32")).drop("_text", "_words", "_tf", "_unit")
+    """A unit vector for every text: hashed words, or ``fn`` (an Arrow or pandas UDF on the column).
+
+    Words are runs of letters and digits of any script, lower-cased; a null text, or one
+    without a word, has the zero vector.
+    """
+    hashed = F.pandas_udf(lambda texts: hashed_words(texts, dims), "array<float>")
+    return df.withColumn(out, (fn or hashed)(F.col(text)))
 
 
 def unit(vector: Column) -> Column:
@@ -32,10 +51,6 @@ def unit(vector: Column) -> Column:
     return F.transform(wide, lambda x: F.when(length > 0, x / length).otherwise(F.lit(0.0)))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def payload_filter(chunks: DataFrame, visible: bool = False, scopes: list[str] | None = None, doc_ids: list[str] | None = None) -> DataFrame:
     """Chunks that may be searched; applied before any scoring, so it reaches the scan."""
     if visible:
@@ -58,22 +73,50 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", ident: str = "id")
     return ranked.filter(F.col("rank") <= k)
 
 
-def score_pairs(queries: DataFrame, chunks: DataFrame, on: list[str] | None = None, block: int = 64) -> DataFrame:
+def scored_tile(k: int | None):
+    """The task of one (candidate tile, query tile): cosines by one matrix product; with ``k`` what may be among the k best."""
+
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        out = pa.table({"query_id": pa.nulls(0, asked.schema.field("query_id").type), "id": pa.nulls(0, rows.schema.field("id").type), "score": pa.array([], pa.float64())})
+        if not rows.num_rows or not asked.num_rows:
+            return out
+        wide = lambda table, name: np.asarray(table[name].combine_chunks().flatten(), dtype=np.float64).reshape(table.num_rows, -1)
+        v, q = wide(rows, "_v"), wide(asked, "_v")
+        found = []
+        for at in range(0, len(q), 256):
+            rough = q[at : at + 256] @ v.T
+            if k is None or k >= len(v):
+                one, row = np.nonzero(np.ones_like(rough, dtype=bool))
+            else:
+                one, row = np.nonzero(rough >= np.partition(rough, len(v) - k, axis=1)[:, len(v) - k, None] - 1e-9)
+            # components added in their order, so that equal vectors score alike in any tile
+            score = np.zeros(len(one))
+            for d in range(v.shape[1]):
+                score += q[at + one, d] * v[row, d]
+            found.append(pa.table({"query_id": asked["query_id"].take(pa.array(at + one)), "id": rows["id"].take(pa.array(row)), "score": pa.array(score)}))
+        return pa.concat_tables([out, *found])
+
+    return run
+
+
+def score_pairs(queries: DataFrame, chunks: DataFrame, on: list[str] | None = None, k: int | None = None, query_rows: int = 1024, chunk_rows: int = 8192) -> DataFrame:
     """``query_id, id, score``: cosine of every query with every chunk, or with those that agree in ``on``.
 
-    ``queries(query_id, vector)`` are dealt into blocks by hash; each chunk's id and
-    vector go to each block once, and a block's queries come to them as one array.  So
-    pairs are made where they are scored, no side needs to fit in a broadcast, and no
-    text is copied for pairs that do not make the top.
+    Both sides are dealt into tiles by a hash; a chunk's id and vector go once to each
+    tile of ``query_rows`` queries, and no text goes along.  With ``k`` a tile gives only
+    what may be among a query's k best.  No side needs to fit in a broadcast.  Vectors of
+    other lengths than a query's are not compared with it; null vectors are left out.
     """
     on = on or []
-    n = max(1, -(-queries.count() // block))
-    asked = queries.select("query_id", *on, unit(F.col("vector")).alias("_q")).withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int"))
-    asked = asked.groupBy("_block", *on).agg(F.collect_list(F.struct("query_id", "_q")).alias("_queries"))
-    rows = chunks.select("id", *on, unit(F.col("vector")).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_block"))
-    scores = F.transform("_queries", lambda q: F.struct(q["query_id"].alias("query_id"), dot(q["_q"], F.col("_v")).alias("score")))
-    met = rows.join(asked, ["_block", *on]).select("id", F.explode(scores).alias("_s"))
-    return met.select("_s.query_id", "id", "_s.score")
+    n, m = (max(1, -(-df.count() // size)) for df, size in ((queries, query_rows), (chunks, chunk_rows)))
+    side = lambda df, ident: df.select(F.col(ident), *on, unit(F.col("vector")).alias("_v"), F.size("vector").alias("_d")).filter("_d > 0")
+    part = lambda ident, of: F.pmod(F.xxhash64(ident), F.lit(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    asked = side(queries, "query_id").withColumn("_b", part("query_id", n)).withColumn("_c", each(m))
+    rows = side(chunks, "id").withColumn("_c", part("id", m)).withColumn("_b", each(n))
+    keys = ["_b", "_c", "_d", *on]
+    kinds = dict(asked.dtypes)["query_id"], dict(rows.dtypes)["id"]
+    return rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(scored_tile(k), f"query_id {kinds[0]}, id {kinds[1]}, score double")
 
 
 def with_payload(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -84,23 +127,57 @@ def with_payload(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
 def knn(queries: DataFrame, chunks: DataFrame, k: int, on: list[str] | None = None, **filters) -> DataFrame:
     """The k nearest chunks by cosine for each query, exactly, with payload, ``score`` and ``rank``."""
     rows = hits(payload_filter(chunks, **filters))
-    return with_payload(top_k(score_pairs(queries, rows, on), k), rows)
+    return with_payload(top_k(score_pairs(queries, rows, on, k), k), rows)
+
 
+def centroids_of(sample: np.ndarray, cells: int, rounds: int = 10) -> np.ndarray:
+    """Lloyd's algorithm on unit vectors."""
+    centers = sample[np.random.default_rng(3).permutation(len(sample))[:cells]]
+    for _ in range(rounds):
+        near = (sample @ centers.T).argmax(1)
+        sums = np.stack([np.bincount(near, sample[:, d], len(centers)) for d in range(sample.shape[1])], 1)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centers = np.where(length > 0, sums / np.where(length > 0, length, 1), centers)
+    return centers
 
-def ann(queries: DataFrame, chunks: DataFrame, k: int, tables: int = 24, bucket: float = 1.0, reach: float = 1.4, seed: int = 11, **filters) -> DataFrame:
-    """The k nearest chunks among those that share a random-projection bucket with the query.
 
-    On unit vectors the squared distance is 2 - 2 cosine; ``reach`` is the largest
-    distance kept.  Candidates are scored again by their exact cosine.
+def ann(queries: DataFrame, chunks: DataFrame, k: int, recall: float = 0.95, sample_rows: int = 16_384, part_rows: int = 8192, **filters) -> DataFrame:
+    """The k nearest chunks among those in the cells nearest to the query, by their exact cosine.
+
+    Cells are fitted on a bounded sample of ``sample_rows`` chunks, those with the
+    smallest hash of their id, and are as many as the root of it.  How many a query
+    visits is read off the sample too, so that ``recall`` of its own nearest ones are
+    met.  Zero vectors are no hits; every other chunk is in one cell.
     """
-    rows = hits(payload_filter(chunks, **filters))
-    right = rows.withColumn("_v", unit(F.col("vector"))).filter(F.exists("_v", lambda x: x != 0)).withColumn("features", array_to_vector("_v")).drop("vector", "_v")
-    left = queries.select("query_id", unit(F.col("vector")).alias("_q")).filter(F.exists("_q", lambda x: x != 0)).withColumn("features", array_to_vector("_q")).drop("_q")
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed)
-    near = lsh.fit(right).approxSimilarityJoin(left, right, reach, distCol="distance")
-    payload = [F.col(f"datasetB.{c}").alias(c) for c in right.columns if c != "features"]
-    score = dot(vector_to_array("datasetA.features"), vector_to_array("datasetB.features"))
-    return top_k(near.select(F.col("datasetA.query_id").alias("query_id"), *payload, score.alias("score")), k)
+    rows = hits(payload_filter(chunks, **filters)).filter(F.exists("vector", lambda x: x != 0))
+    asked = queries.filter(F.exists("vector", lambda x: x != 0))
+    sampled = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select(unit(F.col("vector")).alias("v")).toPandas()["v"]
+    if not len(sampled):
+        return with_payload(top_k(score_pairs(asked, rows, None, k), k), rows)
+    sample = np.stack(sampled.to_list())
+    centers = centroids_of(sample, max(1, math.isqrt(len(sample))))
+    trial = sample[:256]
+    near = trial @ sample.T
+    near[np.arange(len(trial)), np.arange(len(trial))] = -2
+    best = np.argpartition(-near, min(k, len(sample) - 1), axis=1)[:, :k]
+    place = np.argsort(np.argsort(-(trial @ centers.T), axis=1), axis=1)
+    visits = int(np.quantile(np.take_along_axis(place, (sample @ centers.T).argmax(1)[best], axis=1), recall, method="higher")) + 1
+
+    def nearest(many: int):
+        def cells(vectors: pd.Series) -> pd.Series:
+            scores = np.stack(vectors.to_list()).astype(np.float64) @ centers.T
+            return pd.Series(list(np.argsort(-scores, axis=1, kind="stable")[:, :many].astype(np.int32)))
+
+        return F.pandas_udf(cells, "array<int>")
+
+    dealt = rows.withColumn("_cell", nearest(1)(F.col("vector"))[0])
+    sizes = dict(dealt.groupBy("_cell").count().collect())  # at most a row for each cell
+    parts = F.element_at(F.array(*[F.lit(max(1, -(-sizes.get(i, 0) // part_rows))) for i in range(len(centers))]), F.col("_cell") + 1)
+    # a query meets a chunk in one cell only, so no pair is made twice; a large cell is dealt over several parts
+    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    spread = asked.select("query_id", "vector", F.explode(nearest(visits)(F.col("vector"))).alias("_cell"))
+    spread = spread.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return with_payload(top_k(score_pairs(spread, dealt, ["_cell", "_part"], k, query_rows=1 << 62, chunk_rows=1 << 62), k), rows)
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, campaign_k: int = 5, global_k: int = 3) -> DataFrame:
@@ -115,8 +192,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, campaign_k: int = 5, global_
     parts = []
     for player in (False, True):
         asked = own.filter(F.coalesce(F.col("player_only"), F.lit(False)) == player).select("query_id", "vector", "collection")
-        parts.append(top_k(score_pairs(asked, payload_filter(lore, visible=player), ["collection"]), campaign_k))
-    shared = top_k(score_pairs(queries.select("query_id", "vector"), rules), global_k)
+        parts.append(top_k(score_pairs(asked, payload_filter(lore, visible=player), ["collection"], campaign_k), campaign_k))
+    shared = top_k(score_pairs(queries.select("query_id", "vector"), rules, None, global_k), global_k)
     merged = parts[0].unionByName(parts[1]).unionByName(shared).drop("rank")
     return with_payload(top_k(merged, campaign_k + global_k), hits(chunks))
 

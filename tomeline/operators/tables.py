@@ -170,8 +170,12 @@ def ordered(df: DataFrame, entity: str, key: str = "id") -> DataFrame:
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order_by: str) -> DataFrame:
-    """Of rows that share keys the one with the greatest ``order_by`` (partial aggregation, no window)."""
-    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in df.columns]), F.col(order_by)).alias("_row"))
+    """Of rows that share keys the one with the greatest ``order_by`` (partial aggregation, no window).
+
+    Of rows that tie, the one with the greatest hash of its columns (maps excepted) stays.
+    """
+    tie = F.xxhash64(*[F.col(c) for c, t in df.dtypes if "map<" not in t])
+    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(F.col(order_by), tie)).alias("_row"))
     return newest.select("_row.*")
 
 

@@ -60,16 +60,18 @@ def nested_participants(spark: SparkSession, d: str) -> DataFrame:
     return nested.select("id", F.size("participants").alias("n_participants"), F.array_join(F.transform("participants", lambda p: p["id"]), ",").alias("in_order"))
 
 
-@query("""SELECT o_orderkey AS encounter_id, c_custkey AS character_id, CAST(floor((c_custkey % 21 - 10) / 2.0) AS INTEGER) AS initiative_modifier, CAST(c_nationkey + 1 AS INTEGER) AS max_hp, CAST(25 + c_custkey % 3 * 5 AS INTEGER) AS movement
+@query("""SELECT o_orderkey AS encounter_id, c_custkey AS character_id, CAST(floor((c_custkey % 21 - 10) / 2.0) AS INTEGER) AS initiative_modifier,
+  CAST(CAST(('0x' || substr(md5('0:' || o_orderkey || ':' || c_custkey), 1, 8)) AS BIGINT) % 20 + 1 AS INTEGER) AS initiative_roll,
+  CAST(CAST(('0x' || substr(md5('0:' || o_orderkey || ':' || c_custkey), 1, 8)) AS BIGINT) % 20 + 1 + floor((c_custkey % 21 - 10) / 2.0) AS INTEGER) AS initiative_total, CAST(c_nationkey + 1 AS INTEGER) AS max_hp, CAST(25 + c_custkey % 3 * 5 AS INTEGER) AS movement
 FROM orders JOIN customer ON c_custkey IN (o_custkey, o_custkey + 1)""")
 def built_participants(spark: SparkSession, d: str) -> DataFrame:
-    """Participants of requested characters (rolls are checked in the tests)."""
+    """Participants of requested characters, with their rolls."""
     c = v.campaigns(spark, d)
     hp = (F.col("nation") + 1).cast("int")
     characters = c.select("id", "name", hp.alias("current_hp"), hp.alias("max_hp"), F.lit(10).alias("armor_class"), F.array().cast("array<string>").alias("conditions"), (25 + F.col("id") % 3 * 5).cast("int").alias("speed"), F.struct((F.col("id") % 21).cast("int").alias("dexterity")).alias("ability_scores"))
     requests = v.sessions(spark, d).select(F.col("id").alias("encounter_id"), F.array("campaign_id", F.col("campaign_id") + 1).alias("participant_character_ids"))
     rows = oe.build_participants(requests, characters)
-    return rows.select("encounter_id", "character_id", "initiative_modifier", "max_hp", F.col("action_budget.movement_remaining").alias("movement"))
+    return rows.select("encounter_id", "character_id", "initiative_modifier", "initiative_roll", "initiative_total", "max_hp", F.col("action_budget.movement_remaining").alias("movement"))
 
 
 OPS = """(SELECT user_id, event_id AS seq, CASE WHEN event_type IN ('click', 'purchase') THEN 'hp_delta' ELSE 'set_hp' END AS op,
@@ -98,9 +100,20 @@ def condition_ledger(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("participant_id", F.array_join("conditions", ",").alias("conditions"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (
+  SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_type AS t, CAST(floor(value) AS INTEGER) AS x, ['prone', 'stunned', 'poisoned', 'charmed'][event_id % 4 + 1] AS c FROM events
+), s(id, i, hp, most, down, held) AS (
+  SELECT DISTINCT user_id, 0::BIGINT, CAST(user_id % 40 + 20 AS INTEGER), CAST(user_id % 40 + 20 AS INTEGER), false, CAST([] AS VARCHAR[]) FROM events
+  UNION ALL
+  SELECT id, i, to_hp, most, down OR (moves AND to_hp = 0), CASE WHEN moves AND to_hp = 0 AND NOT list_contains(held, 'unconscious') THEN list_append(held, 'unconscious') WHEN moves THEN held
+    WHEN t = 'view' AND NOT list_contains(held, c) THEN list_append(held, c) WHEN t = 'view' THEN held ELSE list_filter(held, lambda y: y <> c) END
+  FROM (SELECT s.id, o.i, most, down, held, t, c, t IN ('click', 'purchase', 'error') AS moves,
+      CASE WHEN t IN ('click', 'purchase', 'error') THEN greatest(0, least(most, CASE t WHEN 'click' THEN hp - x WHEN 'purchase' THEN hp + x ELSE x % 60 END)) ELSE hp END AS to_hp
+    FROM s JOIN o ON o.user_id = s.id AND o.i = s.i + 1)
+)
+SELECT id, CAST(max_by(hp, i) AS INTEGER) AS current_hp, bool_or(down) AS is_defeated, array_to_string(max_by(held, i), ',') AS conditions FROM s GROUP BY id""")
 def full_ledger(spark: SparkSession, d: str) -> DataFrame:
-    """W8 and W9 in one fold, as the stream keeps it (compared with it in the tests)."""
+    """W8 and W9 in one fold, as the stream keeps it."""
     folded = oe.fold_ops(v.log_ops(spark, d), v.log_users(spark, d))
     return folded.select("id", "current_hp", "is_defeated", F.array_join("conditions", ",").alias("conditions"))
 
@@ -123,23 +136,50 @@ SECTIONS = rf"""WITH l AS (
 ), h AS (SELECT doc_id, pos, regexp_replace(trim(t), '^(###? )+', '') AS title FROM m WHERE lv IS NOT NULL)
 SELECT g.doc_id, CAST(section AS INTEGER) AS section, concat_ws(' > ', a.title, b.title) AS section_path, CAST(page_start AS INTEGER) AS page_start, page_end, visible AS is_player_visible, md5(content) AS content_md5
 FROM g LEFT JOIN h a ON a.doc_id = g.doc_id AND a.pos = root LEFT JOIN h b ON b.doc_id = g.doc_id AND b.pos = leaf"""
+# the same with the texts; documents of headings only are one section of all their pages
+SECTIONS_WITH_TEXT = SECTIONS.replace("WITH l AS", "WITH RECURSIVE l AS", 1).replace("SELECT g.doc_id, CAST(section", ", sec AS (SELECT g.doc_id, CAST(section").replace("md5(content) AS content_md5", "content") + f"""
+), whole AS (
+  SELECT * FROM sec UNION ALL
+  SELECT doc_id, 0, '', 0, max(page_num), NOT bool_or(dm), string_agg(coalesce(raw, ''), chr(10) || chr(10) ORDER BY page_num) FROM {PAGES} WHERE doc_id NOT IN (SELECT doc_id FROM sec) GROUP BY doc_id
+)"""
 
 
-@query(SECTIONS)
+@query(SECTIONS_WITH_TEXT + " SELECT doc_id, section, section_path, page_start, page_end, is_player_visible, md5(content) AS content_md5 FROM whole")
 def sections(spark: SparkSession, d: str) -> DataFrame:
     """Sections with path, page span and visibility."""
     rows = oc.sectionize(v.pages(spark, d))
     return rows.select("doc_id", "section", "section_path", "page_start", "page_end", "is_player_visible", F.md5("content").alias("content_md5"))
 
 
-@query()
+# sections, then their sentences packed into pieces of 600 characters, numbered by document, each after the end of the one before
+CHUNKED = SECTIONS_WITH_TEXT + """, pieces AS (
+  SELECT *, length(content) > 600 AS split, CASE WHEN length(content) <= 600 THEN [content] ELSE list_transform(string_split(list_reduce(
+    list_filter(regexp_extract_all(content, '[^.?!]*[.?!]|[^.?!]+$'), lambda x: x <> ''),
+    lambda a, x: a || CASE WHEN length(string_split(a, chr(1))[-1]) + length(x) > 600 THEN chr(1) ELSE '' END || x), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) END AS parts FROM whole
+), n AS (
+  SELECT doc_id, section, section_path, page_start, page_end, is_player_visible, split, unnest(parts) AS content, generate_subscripts(parts, 1) AS piece, len(parts) AS many FROM pieces
+), k AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section, piece) - 1 AS INTEGER) AS ix FROM n WHERE NOT (split AND piece = many AND content = '')
+), o(doc_id, ix, text, tail, section_path, page_start, page_end, is_player_visible, content) AS (
+  SELECT doc_id, ix, content, right(content, 64), section_path, page_start, page_end, is_player_visible, content FROM k WHERE ix = 0
+  UNION ALL
+  SELECT doc_id, ix, now, right(CASE WHEN split THEN now ELSE content END, 64), section_path, page_start, page_end, is_player_visible, content
+  FROM (SELECT k.*, CASE WHEN o.tail <> '' THEN '[continued from previous section]' || chr(10) || o.tail || chr(10) || chr(10) || k.content ELSE k.content END AS now FROM o JOIN k ON k.doc_id = o.doc_id AND k.ix = o.ix + 1)
+)"""
+UUID5 = """(SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(h, 17, 1)) AS INTEGER) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)
+  FROM (SELECT sha1(unhex(replace({document}, '-', '')) || encode(section_path || ':' || left(text, 64))) AS h))"""
+
+
+@query(CHUNKED + " SELECT doc_id, ix AS chunk_ix, section_path, page_start, page_end, is_player_visible, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS content_md5, " + UUID5.format(document="""(SELECT substr(h, 1, 8) || substr(h, 9, 4) || '5' || substr(h, 14, 3) || substr('89ab', CAST(('0x' || substr(h, 17, 1)) AS INTEGER) % 4 + 1, 1) || substr(h, 18, 15)
+  FROM (SELECT sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(CAST(doc_id AS VARCHAR))) AS h))""") + " AS chunk_id FROM o")
 def page_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of 600 characters with an overlap of 64 and their ids."""
     rows = oc.with_chunk_ids(oc.chunk_pages(v.pages(spark, d), 600, 64), ft.uuid5(F.lit("6ba7b810-9dad-11d1-80b4-00c04fd430c8"), F.col("doc_id").cast("string")))
-    return rows.select("doc_id", "chunk_ix", "section_path", "page_start", "page_end", "is_player_visible", F.length("content").alias("n_chars"), "chunk_id")
+    return rows.select("doc_id", "chunk_ix", "section_path", "page_start", "page_end", "is_player_visible", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"), "chunk_id")
 
 
-@query()
+@query(CHUNKED + """ SELECT d.doc_id, md5(coalesce(left(content, 2000), '')) AS excerpt_md5, CAST(length(coalesce(left(content, 2000), '')) AS INTEGER) AS n_chars
+FROM (SELECT DISTINCT conv_id AS doc_id FROM conversations) d LEFT JOIN k ON k.doc_id = d.doc_id AND ix = 0""")
 def doc_excerpts(spark: SparkSession, d: str) -> DataFrame:
     """The start of each document's first chunk."""
     p = v.pages(spark, d)

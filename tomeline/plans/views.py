@@ -68,7 +68,7 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     e, docs = table(spark, d, "embeddings"), table(spark, d, "documents")
     rows = e.join(docs, e["vec_id"] == docs["doc_id"])
     collection = F.when(F.col("label") < 8, F.concat(F.lit("campaign_"), F.col("label").cast("string"), F.lit("_lore"))).otherwise("global_rules")
-    return rows.select(F.col("vec_id").alias("id"), "doc_id", collection.alias("collection"), F.col("source").alias("section_path"), F.left("text", F.lit(200)).alias("content"), (F.col("vec_id") % 4 != 1).alias("is_player_visible"), F.col("source").alias("scope"), F.col("embedding").alias("vector"))
+    return rows.select(F.col("vec_id").alias("id"), "doc_id", collection.alias("collection"), F.col("source").alias("section_path"), F.col("text").alias("content"), (F.col("vec_id") % 4 != 1).alias("is_player_visible"), F.col("source").alias("scope"), F.col("embedding").alias("vector"))
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:

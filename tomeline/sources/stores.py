@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import time
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeline.functions.records import ABILITY_SCORES, ACTION_BUDGET, WORLD_STATE
 from tomeline.functions.text import file_title
-from tomeline.operators.tables import latest_per_key, upsert
-
+from tomeline.operators.tables import latest_per_key
 
 
 def nested(ddl: str) -> str:
@@ -61,10 +61,14 @@ def scan_uploads(spark: SparkSession, path: str, kind: str = "campaign") -> Data
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is unset (tests on one machine) a temporary folder is chosen.
+    Only where the setting is unset and Spark runs in one process (as in tests) a
+    temporary folder is chosen; on a cluster a folder of the driver's machine would be
+    of no use to the executors, so there an unset setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="tomeline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -85,14 +89,10 @@ def read_meta_index(spark: SparkSession, path: str, scope: str) -> tuple[DataFra
     bad = spark.createDataFrame([], "file string, content string")
     if not path_exists(spark, folder):
         return empty, bad
-    schema = f"entries array<{nested(META_ENTRY)}>, _corrupt_record string"
-    try:
-        files = spark.read.schema(schema).option("mode", "PERMISSIVE").option("multiLine", "true").json(folder).withColumn("file", F.input_file_name())
-    except AnalysisException:
-        return empty, bad
-    files = files.cache()  # Spark refuses to query the corrupt column alone from files
-    broken = files.filter("_corrupt_record IS NOT NULL").select("file", F.col("_corrupt_record").alias("content"))
-    entries = files.filter("_corrupt_record IS NULL").select(F.lit(scope).alias("scope"), F.explode("entries").alias("e"))
+    files = spark.read.option("wholetext", "true").text(folder).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
+    read = files.withColumn("entries", F.from_json("content", f"entries array<{nested(META_ENTRY)}>")["entries"])
+    broken = read.filter("entries IS NULL").select("file", "content")
+    entries = read.filter("entries IS NOT NULL").select(F.lit(scope).alias("scope"), F.explode("entries").alias("e"))
     return entries.select("scope", "e.*"), broken
 
 
@@ -103,26 +103,28 @@ def write_meta_index(entries: DataFrame, path: str) -> None:
     index.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scope").json(path)
 
 
-def write_chunks(chunks: DataFrame, path: str, order_by: str = "chunk_ix") -> None:
-    """Chunks into their collections; the last row of an id wins, also over stored rows.
+def write_chunks(chunks: DataFrame, path: str, order_by: str = "chunk_ix", version: int | None = None) -> None:
+    """Append chunks to their collections; the last row of an id wins, also over stored rows.
 
-    Only collections that receive chunks are rewritten, from a copy of their old rows
-    under ``<path>_next``, so that a job that fails leaves the store as it was.
+    Nothing that is stored is read or written again: ``read_chunks`` shows the row of an
+    id with the highest version.  A write's version is the time unless it is given; a
+    write that is run again with the same rows changes nothing that a reader sees.
+    ``compact_chunks`` drops what is superseded.
     """
-    spark = chunks.sparkSession
-    new = latest_per_key(chunks, ["collection", "id"], order_by)
-    if path_exists(spark, path):
-        touched = new.select("collection").distinct()
-        old = spark.read.parquet(path).join(touched, "collection", "left_semi").select(*chunks.columns)
-        new = upsert(old, new, ["collection", "id"])
-    new.write.mode("overwrite").parquet(f"{path}_next")
-    spark.read.schema(new.schema).parquet(f"{path}_next").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(path)
+    number = F.lit(time.time_ns() if version is None else version).cast("long")
+    latest_per_key(chunks, ["collection", "id"], order_by).withColumn("_version", number).write.mode("append").partitionBy("collection").parquet(path)
 
 
 def read_chunks(spark: SparkSession, path: str, collection: str | None = None) -> DataFrame:
-    """Stored chunks; one collection is one folder, so others are not listed."""
+    """Stored chunks, one row for each id; one collection is one folder, so others are not listed."""
     chunks = spark.read.parquet(path)
-    return chunks if collection is None else chunks.filter(F.col("collection") == collection)
+    chunks = chunks if collection is None else chunks.filter(F.col("collection") == collection)
+    return latest_per_key(chunks, ["collection", "id"], "_version").drop("_version")
+
+
+def compact_chunks(spark: SparkSession, path: str, to: str) -> None:
+    """The rows that a reader of ``path`` sees, as a new store."""
+    latest_per_key(spark.read.parquet(path), ["collection", "id"], "_version").write.partitionBy("collection").parquet(to)
 
 
 def write_requests(requests: DataFrame, path: str) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException, ArithmeticException, DateTimeException, IllegalArgumentException, NumberFormatException, PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -13,6 +14,7 @@ from tomeline.operators.ingest import lore_chunks, status_log
 from tomeline.operators.tables import normalized, with_defaults
 from tomeline.sources.stores import write_chunks
 
+DATA_ERRORS = (AnalysisException, ArithmeticException, DateTimeException, IllegalArgumentException, NumberFormatException, PythonException)
 PAGES = "doc_id string, page_num int, raw_text string, is_dm_only boolean"
 LEDGER_STATE = "hp int, out boolean, conditions array<string>"
 LEDGER = "id string, seq long, current_hp int, is_defeated boolean, conditions array<string>"
@@ -21,21 +23,22 @@ LEDGER = "id string, seq long, current_hp int, is_defeated boolean, conditions a
 def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str, docs: DataFrame, dims: int = 768):
     """Ingest newly landed page files (JSON lines) once each, and end when none is left.
 
-    All pages of a document must land in one file.  Chunk ids are repeatable and the store
-    upserts by id, so a batch that is run again changes nothing.  Each batch appends its
-    documents' status to ``<out>/status``; a batch that fails records its documents as
-    failed with the error and goes on.
+    All pages of a document must land in one file.  Chunk ids are repeatable, the store
+    keeps the last row of an id, and a batch's status has a folder of its own, so a batch
+    that is run again changes nothing.  A batch whose documents cannot be read records
+    them as failed with the error and goes on; failures of machines or storage end the
+    stream, which takes the batch up again when it is started anew.
     """
 
     def batch(pages: DataFrame, number: int) -> None:
         pages.persist()
         landed = docs.join(pages.select("doc_id").distinct(), "doc_id", "left_semi")
         try:
-            write_chunks(lore_chunks(pages, landed, dims=dims), f"{out}/chunks")
+            write_chunks(lore_chunks(pages, landed, dims=dims), f"{out}/chunks", version=number)
             log = status_log(pages, landed, number, F.current_timestamp())
-        except Exception as error:  # recorded for each document, as the log's reader expects
+        except DATA_ERRORS as error:  # recorded for each document, as the log's reader expects
             log = status_log(pages, landed, number, F.current_timestamp()).withColumns({"status": F.lit("failed"), "error": F.lit(str(error)[:500]), "page_count": F.lit(None).cast("int")})
-        log.write.mode("append").parquet(f"{out}/status")
+        log.write.mode("overwrite").parquet(f"{out}/status/batch={number}")
         pages.unpersist()
 
     stream = spark.readStream.schema(PAGES).json(landing)
