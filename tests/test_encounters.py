@@ -100,3 +100,21 @@ def test_apply_state(spark):
     e, p = oe.apply_state(old_e, old_p, new_e, new_p)
     assert [tuple(r) for r in e.collect()] == [("e", "active", 1, 0, "n")]
     assert sorted(tuple(r) for r in p.collect()) == [("a", 0, True, "x"), ("b", 6, False, "y")]
+
+
+def test_hit_points_in_parts_of_the_log(spark):
+    rng = random.Random(11)
+    people = [(f"p{i}", rng.randint(1, 30), 30, i == 3) for i in range(8)]
+    ops = [(f"p{rng.randrange(7)}", i * 3, rng.choice(["hp_delta", "hp_delta", "hp_delta", "set_hp", "add_condition"]), rng.choice([-40, -9, -3, 0, 2, 5, 60, None]), "x") for i in range(700)]
+    log = spark.createDataFrame(ops, "participant_id string, seq long, op string, amount int, condition string")
+    rows = spark.createDataFrame(people, "id string, current_hp int, max_hp int, is_defeated boolean")
+    want = {}
+    for name, hp, most, out in people:
+        for who, _, op, amount, _ in ops:
+            if who == name and op != "add_condition" and amount is not None:
+                hp = min(max(0, amount if op == "set_hp" else hp + amount), most)
+                out = out or hp == 0
+        want[name] = (hp, out)
+    for size in (100_000, 50, 1):
+        assert {r.id: (r.current_hp, r.is_defeated) for r in oe.hp_ledger(log, rows, size).collect()} == want
+    assert oe.hp_ledger(log.limit(0), rows).filter("current_hp > 0").count() == 8

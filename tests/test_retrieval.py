@@ -79,9 +79,24 @@ def test_ann_recall(spark):
     assert all(abs(s - cosine(vectors[q], vectors[c])) < 1e-9 for (q, c), s in near.items())
 
 
+def test_tiles_give_the_same_top(spark):
+    rows, rng = made(400, seed=4), random.Random(6)
+    rows = [(*r[:7], rows[0][7]) if i % 5 == 0 else r for i, r in enumerate(rows)]
+    queries = [(f"q{i}", [rng.gauss(0, 1) for _ in range(6)]) for i in range(40)]
+    chunks, asked = spark.createDataFrame(rows, CHUNKS), spark.createDataFrame(queries, "query_id string, vector array<double>")
+    one = ov.top_k(ov.score_pairs(asked, chunks, None, 7), 7).select("query_id", "rank", "id", "score").collect()
+    many = ov.top_k(ov.score_pairs(asked, chunks, None, 7, query_rows=9, chunk_rows=30), 7).select("query_id", "rank", "id", "score").collect()
+    assert sorted(one) == sorted(many) and len(one) == 280
+    assert ov.score_pairs(asked, chunks).count() == 40 * 400
+    assert ov.ann(asked, chunks.limit(0), 3).count() == 0
+
+
 def test_embedding(spark):
     df = spark.createDataFrame([("a", "the old tower"), ("b", "The OLD tower!"), ("c", ""), ("d", None)], "id string, text string")
     got = {r.id: r.vector for r in ov.embed_text(df, "text", dims=64).collect()}
+    words = ["über", "ber", "日本語", "Привет мир", "snake_case", "snake case", "É", "é"]
+    v = [r.vector for r in ov.embed_text(spark.createDataFrame(list(enumerate(words)), "i int, text string"), "text").orderBy("i").collect()]
+    assert v[0] != v[1] and sum(x != 0 for x in v[2]) == 1 and sum(x != 0 for x in v[3]) == 2 and v[4] == v[5] and v[6] == v[7]
     assert got["a"] == got["b"] and abs(sum(x * x for x in got["a"]) - 1) < 1e-5 and set(got["c"]) == {0.0} == set(got["d"])
 
     @F.pandas_udf("array<float>")

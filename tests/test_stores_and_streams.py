@@ -6,6 +6,7 @@ import json
 import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tomeline.operators import encounters as oe
@@ -70,6 +71,34 @@ def test_ingest_and_store(spark, tmp_path):
     assert log == {"1": ("completed", 2, None), "2": ("completed", 1, None), "3": ("completed", 1, None), "4": ("failed", None, "no pages")}
 
 
+def test_chunk_versions(spark, tmp_path):
+    path, to = str(tmp_path / "chunks"), str(tmp_path / "compact")
+    rows = lambda *r: spark.createDataFrame([(i, c, t, 0) for i, c, t in r], "id long, collection string, content string, chunk_ix int")
+    stores.write_chunks(rows((1, "a", "old"), (2, "a", "kept"), (3, "b", "other")), path, version=1)
+    for _ in range(2):  # the same write again changes nothing
+        stores.write_chunks(rows((1, "a", "new")), path, version=2)
+    want = {(1, "a", "new"), (2, "a", "kept"), (3, "b", "other")}
+    assert {(r.id, r.collection, r.content) for r in stores.read_chunks(spark, path).collect()} == want and stores.read_chunks(spark, path).count() == 3
+    stores.compact_chunks(spark, path, to)
+    assert {(r.id, r.collection, r.content) for r in stores.read_chunks(spark, to).collect()} == want and spark.read.parquet(to).count() == 3
+
+
+def test_shared_dir_must_be_set_on_a_cluster(spark):
+    class Conf(dict):
+        def set(self, key, value):
+            self[key] = value
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        stores.shared_dir(Session)
+    Session.conf["spark.checkpoint.dir"] = "s3://x"
+    assert stores.shared_dir(Session) == "s3://x"
+    Session.conf = Conf({"spark.master": "local[4]"})
+    assert stores.shared_dir(Session) == Session.conf["spark.checkpoint.dir"]
+
+
 def test_stream_ingest(spark, tmp_path):
     landing = tmp_path / "landing"
     landing.mkdir()

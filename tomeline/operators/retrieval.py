@@ -4,34 +4,33 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
-from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomeline.functions.text import CONTEXT_BREAK, collection_name, render_chunk
 
 Embedder = Callable[[Column], Column]
-WORDS = re.compile(r"[^\W_]+")
-
-
-def hashed_words(text: pd.Series, dims: int) -> pd.Series:
-    """Counts of words by the first 32 bits of their MD5, at length 1."""
-    places: dict[str, int] = {}
-    out = np.zeros((len(text), dims))
-    for i, t in enumerate(text):
-        for word, count in Counter(WORDS.findall((t or "").lower())).items():
-            at = places.get(word)
-            if at is None:
-                at = places[word] = int.from_bytes(hashlib.md5(word.encode("utf-8", "replace")).digest()[:4], "big") % dims
-            out[i, at] += count
+NO_WORD = r"[^\p{L}\p{N}]+"
+
+
+def hashed_words(texts: pa.Array, dims: int) -> pa.Array:
+    """Counts of words by the first 32 bits of their MD5, at length 1; each distinct word is hashed once."""
+    words = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), NO_WORD)
+    coded = words.values.dictionary_encode()
+    names = coded.dictionary.to_numpy(zero_copy_only=False)
+    place = np.fromiter((int.from_bytes(hashlib.md5(w.encode("utf-8", "replace")).digest()[:4], "big") % dims if w else -1 for w in names), dtype=np.int64, count=len(names))
+    at = place[coded.indices.to_numpy()]
+    row = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))[at >= 0]
+    out = np.bincount(row * dims + at[at >= 0], minlength=len(texts) * dims).reshape(len(texts), dims)
     length = np.sqrt((out * out).sum(1, keepdims=True))
-    return pd.Series(list((out / np.where(length > 0, length, 1)).astype(np.float32)))
+    unit = (out / np.where(length > 0, length, 1)).astype(np.float32).ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dims), pa.array(unit))
 
 
 def embed_text(df: DataFrame, text: str, out: str = "vector", dims: int = 768, fn: Embedder | None = None) -> DataFrame:
@@ -40,7 +39,10 @@ def embed_text(df: DataFrame, text: str, out: str = "vector", dims: int = 768, f
     Words are runs of letters and digits of any script, lower-cased; a null text, or one
     without a word, has the zero vector.
     """
-    hashed = F.pandas_udf(lambda texts: hashed_words(texts, dims), "array<float>")
+    @F.arrow_udf("array<float>")
+    def hashed(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([hashed_words(texts.slice(at, 1000), dims) for at in range(0, max(1, len(texts)), 1000)])
+
     return df.withColumn(out, (fn or hashed)(F.col(text)))
 
 

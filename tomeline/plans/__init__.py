@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomeline.plans import folds, records, retrieval
+from tomeline.plans import folds, records, retrieval, stored
 
-MODULES = (records, folds, retrieval)
+MODULES = (records, folds, retrieval, stored)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -310,12 +310,37 @@ def backstory_hooks(spark: SparkSession, d: str) -> DataFrame:
     return orp.plot_hooks(stories).select("character_id", "campaign_id", "description", "priority")
 
 
-@query()
-def uploads(spark: SparkSession, d: str) -> DataFrame:
-    """Files of a folder as pending documents; their contents are not read."""
-    from tomeline.sources.stores import scan_uploads
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber % 3 <> 0 AS is_marked FROM lineitem""")
+def number_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers as flags."""
+    rows = v.table(spark, d, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", fr.flag(F.col("l_linenumber") % 3).alias("is_marked"))
 
-    return scan_uploads(spark, d).select("filename", "title", "file_size_bytes", "document_kind", "ingestion_status")
+
+@query("""SELECT c_custkey AS id, '{"current_location":"' || c_mktsegment || '","active_quests":["' || c_name || '","b"],"level":' || c_nationkey || '}' AS stored, c_name AS first_quest FROM customer""")
+def encoded_states(spark: SparkSession, d: str) -> DataFrame:
+    """nested values as JSON columns, and read back."""
+    c = v.table(spark, d, "customer")
+    state = F.struct(F.col("c_mktsegment").alias("current_location"), F.array("c_name", F.lit("b")).alias("active_quests"), F.col("c_nationkey").alias("level"))
+    rows = c.select(F.col("c_custkey").alias("id"), fr.encode_json(state).alias("stored"))
+    return rows.select("id", "stored", fr.decode_world_state(F.col("stored"))["active_quests"][0].alias("first_quest"))
+
+
+TASK_ROWS = " UNION ALL ".join(f"SELECT '{name}' AS task, '{str(t['system']).replace(chr(39), chr(39) * 2)}' AS system, CAST({t['temperature']} AS DOUBLE) AS temperature, {t['max_tokens']} AS max_tokens" for name, t in orp.TASKS.items())
+
+
+@query(f"""SELECT r_regionkey AS request_id, task, md5(system || CASE WHEN n % 2 = 0 THEN chr(10) || chr(10) || names ELSE '' END) AS system_md5, 'about ' || r_name AS content, temperature, max_tokens
+FROM (SELECT r_regionkey, r_name, count(*) AS n, string_agg(c_name, ',' ORDER BY c_custkey) AS names FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2), ({TASK_ROWS})""")
+def task_requests(spark: SparkSession, d: str) -> DataFrame:
+    """The request of every task, with a context (the names of a region's customers) where there is one."""
+    joined = v.table(spark, d, "customer").join(v.table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(v.table(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: x["c_name"]), ",")
+    rows = joined.groupBy("r_regionkey", "r_name").agg(F.count(F.lit(1)).alias("n"), names.alias("names"))
+    built = [orp.build_requests(rows, task, F.concat(F.lit("about "), F.col("r_name")), F.when(F.col("n") % 2 == 0, F.col("names")), "r_regionkey") for task in orp.TASKS]
+    every = built[0]
+    for more in built[1:]:
+        every = every.union(more)
+    return every.select("request_id", "task", F.md5(F.col("messages")[0]["content"]).alias("system_md5"), F.col("messages")[1]["content"].alias("content"), F.col("temperature").cast("double").alias("temperature"), "max_tokens")
 
 
 @query("""SELECT CASE WHEN label < 8 THEN 'campaign_' || label || '_lore' ELSE 'global_rules' END AS collection, count(*) AS n_chunks, CAST(sum(CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_new

@@ -20,7 +20,7 @@ LEDGER_STATE = "hp int, out boolean, conditions array<string>"
 LEDGER = "id string, seq long, current_hp int, is_defeated boolean, conditions array<string>"
 
 
-def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str, docs: DataFrame, dims: int = 768):
+def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str, docs: DataFrame, dims: int = 768, limit: int = 2048, overlap: int = 64):
     """Ingest newly landed page files (JSON lines) once each, and end when none is left.
 
     All pages of a document must land in one file.  Chunk ids are repeatable, the store
@@ -34,7 +34,7 @@ def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str,
         pages.persist()
         landed = docs.join(pages.select("doc_id").distinct(), "doc_id", "left_semi")
         try:
-            write_chunks(lore_chunks(pages, landed, dims=dims), f"{out}/chunks", version=number)
+            write_chunks(lore_chunks(pages, landed, limit, overlap, dims), f"{out}/chunks", version=number)
             log = status_log(pages, landed, number, F.current_timestamp())
         except DATA_ERRORS as error:  # recorded for each document, as the log's reader expects
             log = status_log(pages, landed, number, F.current_timestamp()).withColumns({"status": F.lit("failed"), "error": F.lit(str(error)[:500]), "page_count": F.lit(None).cast("int")})
