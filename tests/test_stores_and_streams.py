@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tomeline.operators import encounters as oe
-from tomeline.operators.ingest import lore_chunks, status_log
+from tomeline.operators.ingest import ingest, lore_chunks, status_log
 from tomeline.sources import stores
 from tomeline.streaming import flows
 
@@ -117,6 +117,13 @@ def test_stream_ingest(spark, tmp_path):
     flows.stream_ingest(spark, str(landing), out, mark, docs, dims=16).awaitTermination()
     assert stores.read_chunks(spark, f"{out}/chunks").count() == 3
     assert {(r.id[-1], r.status) for r in spark.read.parquet(f"{out}/status").collect()} == {("1", "completed"), ("2", "completed"), ("3", "completed")}
+    assert {(r.scope, r.doc_id[-1], r.doc_name, r.summary) for r in spark.read.parquet(f"{out}/meta").collect()} == {("7", "1", "One", ""), ("global", "2", "Two", ""), ("7", "3", "Three", "")}
+    counts = spark.read.parquet(f"{out}/status").count(), stores.read_chunks(spark, f"{out}/chunks").count()
+    one = ids(spark.createDataFrame([p for p in PAGES if p[0] == "d1"], flows.PAGES))
+    for _ in range(2):  # a batch that is run again changes nothing
+        ingest(one, docs.filter(F.col("doc_id") == name("d1")), out, 0, spark.createDataFrame([(name("d1"), "<think>x</think> short")], "request_id string, content string"), dims=16)
+    assert counts == (spark.read.parquet(f"{out}/status").count(), stores.read_chunks(spark, f"{out}/chunks").count())
+    assert {r.summary for r in spark.read.parquet(f"{out}/meta").collect()} == {"", "short"}
 
 
 def run(stream, mode, name):

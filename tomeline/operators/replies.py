@@ -162,10 +162,12 @@ def entries_of(index: DataFrame) -> DataFrame:
     return index.select("scope", F.explode("entries").alias("e")).select("scope", "e.*")
 
 
-def index_of(entries: DataFrame) -> DataFrame:
-    """Entries as one document per scope, ordered by id."""
+def index_of(entries: DataFrame, per_document: int = 10_000) -> DataFrame:
+    """Entries as index documents ``scope, entries``, ordered by id; a scope of more than ``per_document`` entries has several."""
     fields = [c for c in entries.columns if c != "scope"]
-    return entries.groupBy("scope").agg(F.sort_array(F.collect_list(F.struct("doc_id", *[c for c in fields if c != "doc_id"]))).alias("entries"))
+    most = entries.groupBy("scope").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-most // per_document)))).alias("_part")
+    return entries.groupBy("scope", part).agg(F.sort_array(F.collect_list(F.struct("doc_id", *[c for c in fields if c != "doc_id"]))).alias("entries")).drop("_part")
 
 
 def numbered_events(events: DataFrame) -> DataFrame:

@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tomeline.operators.ingest import lore_chunks, status_log
+from tomeline.operators.ingest import ingest, status_log
 from tomeline.operators.tables import normalized, with_defaults
-from tomeline.sources.stores import write_chunks
 
 DATA_ERRORS = (AnalysisException, ArithmeticException, DateTimeException, IllegalArgumentException, NumberFormatException, PythonException)
 PAGES = "doc_id string, page_num int, raw_text string, is_dm_only boolean"
@@ -34,11 +33,10 @@ def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str,
         pages.persist()
         landed = docs.join(pages.select("doc_id").distinct(), "doc_id", "left_semi")
         try:
-            write_chunks(lore_chunks(pages, landed, limit, overlap, dims), f"{out}/chunks", version=number)
-            log = status_log(pages, landed, number, F.current_timestamp())
+            ingest(pages, landed, out, number, None, limit, overlap, dims)
         except DATA_ERRORS as error:  # recorded for each document, as the log's reader expects
             log = status_log(pages, landed, number, F.current_timestamp()).withColumns({"status": F.lit("failed"), "error": F.lit(str(error)[:500]), "page_count": F.lit(None).cast("int")})
-        log.write.mode("overwrite").parquet(f"{out}/status/batch={number}")
+            log.write.mode("overwrite").parquet(f"{out}/status/batch={number}")
         pages.unpersist()
 
     stream = spark.readStream.schema(PAGES).json(landing)
