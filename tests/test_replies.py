@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tomeline.operators import replies as orp
+from tomeline.sources.stores import write_requests
 
 GOOD = {"title": "Ambush", "description": "d", "encounter_type": "combat", "challenge_rating": None, "suggested_enemies": [{"name": "wolf", "count": 2, "cr": 0.25}], "narrative_hook": "h", "alternative": None}
 
@@ -73,3 +74,18 @@ def test_summaries(spark):
     entries = orp.doc_summaries(docs, replies)
     assert sorted((r.doc_id, r.summary) for r in entries.collect()) == [("d1", "sum"), ("d2", "")]
     assert sorted(r.doc_id for r in orp.entries_of(orp.index_of(entries)).collect()) == ["d1", "d2"]
+
+
+def test_request_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "how?\n"), (2, None)], "request_id long, text string")
+    write_requests(orp.build_requests(rows, "chat", F.col("text")), str(tmp_path / "requests"))
+    back = {r.request_id: r for r in spark.read.json(str(tmp_path / "requests")).collect()}
+    assert set(back) == {1, 2} and back[1].messages[1].content == "how?\n" and back[1].task == "chat" and back[1].max_tokens == orp.TASKS["chat"]["max_tokens"]
+
+
+def test_index_documents_of_bounded_size(spark):
+    rows = spark.createDataFrame([("big", f"d{i:03}", "s") for i in range(100)] + [("small", "d", "s")], "scope string, doc_id string, summary string")
+    index = orp.index_of(rows, per_document=15)
+    sizes = [(r.scope, len(r.entries), [e.doc_id for e in r.entries]) for r in index.collect()]
+    assert sum(n for s, n, _ in sizes if s == "big") == 100 and max(n for _, n, _ in sizes) <= 40 and all(x == sorted(x) for _, _, x in sizes)
+    assert orp.entries_of(index).count() == 101 and orp.index_of(rows.limit(0)).count() == 0
