@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tomeline.functions.text import CONTEXT_BREAK, collection_name, render_chunk
 
 Embedder = Callable[[Column], Column]
+RULES = "global_rules"
 NO_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -68,18 +69,19 @@ def hits(chunks: DataFrame) -> DataFrame:
     return chunks.filter(F.col("content").isNotNull()).withColumns(fill) if fill else chunks.filter(F.col("content").isNotNull())
 
 
-def top_k(scored: DataFrame, k: int, query: str = "query_id", ident: str = "id") -> DataFrame:
+def top_k(scored: DataFrame, k: int, query: str | list[str] = "query_id", ident: str = "id") -> DataFrame:
     """The k best rows of each query: highest score first (null and NaN last), ties by id; with ``rank``."""
     score = F.when(F.isnan("score"), None).otherwise(F.col("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(score.desc_nulls_last(), ident)))
     return ranked.filter(F.col("rank") <= k)
 
 
-def scored_tile(k: int | None):
+def scored_tile(k: int | None, keep: list[str]):
     """The task of one (candidate tile, query tile): cosines by one matrix product; with ``k`` what may be among the k best."""
 
     def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        out = pa.table({"query_id": pa.nulls(0, asked.schema.field("query_id").type), "id": pa.nulls(0, rows.schema.field("id").type), "score": pa.array([], pa.float64())})
+        side = lambda one, row, score: pa.table({**{c: asked[c].take(pa.array(one)) for c in ("query_id", *keep)}, "id": rows["id"].take(pa.array(row)), "score": pa.array(score)})
+        out = side(*(np.zeros(0, t) for t in (np.int64, np.int64, np.float64)))
         if not rows.num_rows or not asked.num_rows:
             return out
         wide = lambda table, name: np.asarray(table[name].combine_chunks().flatten(), dtype=np.float64).reshape(table.num_rows, -1)
@@ -95,30 +97,31 @@ def scored_tile(k: int | None):
             score = np.zeros(len(one))
             for d in range(v.shape[1]):
                 score += q[at + one, d] * v[row, d]
-            found.append(pa.table({"query_id": asked["query_id"].take(pa.array(at + one)), "id": rows["id"].take(pa.array(row)), "score": pa.array(score)}))
+            found.append(side(at + one, row, score))
         return pa.concat_tables([out, *found])
 
     return run
 
 
-def score_pairs(queries: DataFrame, chunks: DataFrame, on: list[str] | None = None, k: int | None = None, query_rows: int = 1024, chunk_rows: int = 8192) -> DataFrame:
+def score_pairs(queries: DataFrame, chunks: DataFrame, on: list[str] | None = None, k: int | None = None, query_rows: int | None = 1024, chunk_rows: int | None = 8192, keep: list[str] | None = None) -> DataFrame:
     """``query_id, id, score``: cosine of every query with every chunk, or with those that agree in ``on``.
 
     Both sides are dealt into tiles by a hash; a chunk's id and vector go once to each
-    tile of ``query_rows`` queries, and no text goes along.  With ``k`` a tile gives only
-    what may be among a query's k best.  No side needs to fit in a broadcast.  Vectors of
+    tile of ``query_rows`` queries (None: the rows that agree in ``on`` are few enough
+    for one tile), and no text goes along.  With ``k`` a tile gives only
+    what may be among a query's k best; columns of ``queries`` named in ``keep`` go along.  No side needs to fit in a broadcast.  Vectors of
     other lengths than a query's are not compared with it; null vectors are left out.
     """
-    on = on or []
-    n, m = (max(1, -(-df.count() // size)) for df, size in ((queries, query_rows), (chunks, chunk_rows)))
-    side = lambda df, ident: df.select(F.col(ident), *on, unit(F.col("vector")).alias("_v"), F.size("vector").alias("_d")).filter("_d > 0")
+    on, keep = on or [], keep or []
+    n, m = (1 if size is None else max(1, -(-df.count() // size)) for df, size in ((queries, query_rows), (chunks, chunk_rows)))
+    side = lambda df, *idents: df.select(*idents, *on, unit(F.col("vector")).alias("_v"), F.size("vector").alias("_d")).filter("_d > 0")
     part = lambda ident, of: F.pmod(F.xxhash64(ident), F.lit(of)).cast("int")
     each = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    asked = side(queries, "query_id").withColumn("_b", part("query_id", n)).withColumn("_c", each(m))
+    asked = side(queries, "query_id", *keep).withColumn("_b", part("query_id", n)).withColumn("_c", each(m))
     rows = side(chunks, "id").withColumn("_c", part("id", m)).withColumn("_b", each(n))
     keys = ["_b", "_c", "_d", *on]
-    kinds = dict(asked.dtypes)["query_id"], dict(rows.dtypes)["id"]
-    return rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(scored_tile(k), f"query_id {kinds[0]}, id {kinds[1]}, score double")
+    schema = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c, df in (*((c, asked) for c in ("query_id", *keep)), ("id", rows)))
+    return rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(scored_tile(k, keep), f"{schema}, score double")
 
 
 def with_payload(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -179,7 +182,7 @@ def ann(queries: DataFrame, chunks: DataFrame, k: int, recall: float = 0.95, sam
     dealt = dealt.withColumn("_part", F.pmod(F.xxhash64("id"), parts).cast("int"))
     spread = asked.select("query_id", "vector", F.explode(nearest(visits)(F.col("vector"))).alias("_cell"))
     spread = spread.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return with_payload(top_k(score_pairs(spread, dealt, ["_cell", "_part"], k, query_rows=1 << 62, chunk_rows=1 << 62), k), rows)
+    return with_payload(top_k(score_pairs(spread, dealt, ["_cell", "_part"], k, query_rows=None, chunk_rows=None), k), rows)
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, campaign_k: int = 5, global_k: int = 3) -> DataFrame:
@@ -188,16 +191,18 @@ def retrieve(queries: DataFrame, chunks: DataFrame, campaign_k: int = 5, global_
     ``queries(query_id, vector, campaign_id, player_only)``.  The shared rules are never
     filtered.  A campaign without chunks adds nothing.
     """
-    own = queries.withColumn("collection", collection_name(F.col("campaign_id")))
-    lore = hits(chunks.filter(F.col("collection") != "global_rules"))
-    rules = hits(chunks.filter(F.col("collection") == "global_rules"))
-    parts = []
-    for player in (False, True):
-        asked = own.filter(F.coalesce(F.col("player_only"), F.lit(False)) == player).select("query_id", "vector", "collection")
-        parts.append(top_k(score_pairs(asked, payload_filter(lore, visible=player), ["collection"], campaign_k), campaign_k))
-    shared = top_k(score_pairs(queries.select("query_id", "vector"), rules, None, global_k), global_k)
-    merged = parts[0].unionByName(parts[1]).unionByName(shared).drop("rank")
-    return with_payload(top_k(merged, campaign_k + global_k), hits(chunks))
+    # each question asks twice: its campaign, as a player or not, and the rules
+    player = F.coalesce(F.col("player_only"), F.lit(False)).alias("_player")
+    own = F.struct(F.lit(False).alias("_rules"), collection_name(F.col("campaign_id")).alias("collection"), player)
+    rules = F.struct(F.lit(True).alias("_rules"), F.lit(RULES).alias("collection"), F.lit(False).alias("_player"))
+    asked = queries.select("query_id", "vector", F.inline(F.array(own, rules))).filter(F.col("_rules") | (F.col("collection") != RULES))
+    # and a visible chunk of a campaign answers both kinds of questions
+    both = F.coalesce((F.col("collection") != RULES) & F.col("is_player_visible"), F.lit(False))
+    rows = hits(chunks).select("id", "vector", "collection", F.explode(F.when(both, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("_player"))
+    most = max(campaign_k, global_k)
+    scored = score_pairs(asked, rows, ["collection", "_player"], most, keep=["_rules"])
+    best = top_k(scored, most, ["query_id", "_rules"]).filter(F.col("rank") <= F.when(F.col("_rules"), global_k).otherwise(campaign_k))
+    return with_payload(top_k(best.select("query_id", "id", "score"), campaign_k + global_k), hits(chunks))
 
 
 def assemble_context(ranked: DataFrame, n: int = 5) -> DataFrame:
