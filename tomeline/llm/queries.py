@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeline.llm import ann, chat, exact_topk, jaccard_join, language_id, licenses, mixing, pieces, token_files, url_filter, url_labels
+from tomeline.llm import alignment, ann, chat, exact_topk, jaccard_join, language_id, lexical, licenses, mixing, pieces, repeats, token_files, url_filter, url_labels
 from tomeline.llm.common import table
 from tomeline.sources.stores import shared_dir
 
@@ -20,7 +20,7 @@ RULES = [
     url_filter.Rule("net", "/es/", "block"),
     url_filter.Rule("net", "/fr/", "block"),
 ]
-WORD_TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
+WORD_TOKENIZER, BYTE_TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
@@ -77,8 +77,22 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_MODEL), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_sentencepiece, op2_exact_topk, op3_mixing, op4_chat, op5_url_filter, op6_token_files, op7_licenses, op8_ann, op9_language, op10_jaccard]
+    found = [op1_sentencepiece, op2_exact_topk, op3_mixing, op4_chat, op5_url_filter, op6_token_files, op7_licenses, op8_ann, op9_language, op10_jaccard, op11_alignment, op12_ranked_search, op13_substring_dedup]
     return {f.__name__: f for f in found}
 
 
@@ -172,6 +186,44 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
 """
 
+OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL
+), l AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY doc_id
+), c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM l
+), w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, c GROUP BY term
+), i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), s AS (
+  SELECT item_id, doc_id, CAST(sum(w * (1000000000 * tf // (1000 * tf + 8 * (10 + 90 * n * docs // total)))) AS BIGINT) AS score
+  FROM i JOIN p USING (term) JOIN w USING (term) JOIN l USING (doc_id), c GROUP BY item_id, doc_id
+), r AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+# windows as lists of words; each word is gone if it is among the 13 from the start of one that a smaller id holds
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS s FROM d
+), f AS (SELECT s, min(doc_id) AS low FROM g GROUP BY s
+), m AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM g JOIN f USING (s), range(13) AS t(k) WHERE low < doc_id
+), x AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d
+), k AS (
+  SELECT x.doc_id, count(*) AS n, count(m.i) AS gone, string_agg(word, ' ' ORDER BY x.i) FILTER (WHERE m.i IS NULL) AS kept
+  FROM x LEFT JOIN m ON x.doc_id = m.doc_id AND x.i = m.i GROUP BY x.doc_id
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": OP2_SQL, "op3_mixing": OP3_SQL, "op4_chat": OP4_SQL, "op10_jaccard": OP10_SQL}
+    return {"op2_exact_topk": OP2_SQL, "op3_mixing": OP3_SQL, "op4_chat": OP4_SQL, "op10_jaccard": OP10_SQL, "op12_ranked_search": OP12_SQL, "op13_substring_dedup": OP13_SQL}
