@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from tomeline.functions.text import collection_name
 from tomeline.operators.chunking import chunk_pages, with_chunk_ids
 from tomeline.operators.replies import doc_summaries
 from tomeline.operators.retrieval import Embedder, embed_text
-from tomeline.sources.stores import write_chunks
+from tomeline.sources.stores import add_meta_entries, claim_number, write_chunks
 
 
 def lore_chunks(pages: DataFrame, docs: DataFrame, limit: int = 2048, overlap: int = 64, dims: int = 768, fn: Embedder | None = None) -> DataFrame:
@@ -42,17 +44,21 @@ def status_log(pages: DataFrame, docs: DataFrame, seq: int, at) -> DataFrame:
 
 
 def ingest(pages: DataFrame, docs: DataFrame, out: str, seq: int, replies: DataFrame | None = None, limit: int = 2048, overlap: int = 64, dims: int = 768, fn: Embedder | None = None) -> None:
-    """Ingest a batch: chunks to ``<out>/chunks``, and to a folder of the batch's own each under ``<out>/status`` and ``<out>/meta``.
+    """Ingest a batch: chunks to ``<out>/chunks``, meta entries to the index ``<out>/index``, and to a folder of the batch's own each under ``<out>/status`` and ``<out>/meta``.
 
     Every document of ``docs`` gets a status; each that has pages gets a meta row, with
     the summary of ``replies(request_id, content)`` where there is one.  The same batch
-    (``seq``) run again leaves the same rows behind.
+    (``seq``) run again leaves the same rows behind: chunks and index entries keep the
+    version of its first attempt.
     """
-    write_chunks(lore_chunks(pages, docs, limit, overlap, dims, fn), f"{out}/chunks", version=seq)
+    spark = pages.sparkSession
+    version = claim_number(spark, f"{out}/chunks/_versions", str(seq), time.time_ns())
+    write_chunks(lore_chunks(pages, docs, limit, overlap, dims, fn), f"{out}/chunks", version=version)
     log = status_log(pages, docs, seq, F.current_timestamp())
     log.write.mode("overwrite").parquet(f"{out}/status/batch={seq}")
     scope = F.coalesce(F.col("campaign_id").cast("string"), F.lit("global"))
     file = F.col("filename") if "filename" in docs.columns else F.col("title")
     done = docs.select(scope.alias("scope"), "doc_id", "title", file.alias("filename"), F.current_timestamp().alias("ingested_at")).join(pages.select("doc_id").distinct(), "doc_id", "left_semi")
-    said = done.sparkSession.createDataFrame([], "request_id string, content string") if replies is None else replies
+    said = spark.createDataFrame([], "request_id string, content string") if replies is None else replies
     doc_summaries(done, said).write.mode("overwrite").parquet(f"{out}/meta/batch={seq}")
+    add_meta_entries(spark.read.parquet(f"{out}/meta/batch={seq}"), f"{out}/index", version)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 import tempfile
 import time
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tomeline.functions.records import ABILITY_SCORES, ACTION_BUDGET, WORLD_STATE
 from tomeline.functions.text import file_title
+from tomeline.operators.replies import index_of
 from tomeline.operators.tables import latest_per_key
 
 
@@ -74,13 +78,47 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where, fs = hadoop_path(spark, path)
+    return fs.exists(where)
+
+
+def folder_entries(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Names and sizes of what lies in a folder; nothing where there is none."""
+    where, fs = hadoop_path(spark, path)
+    return [(s.getPath().getName(), s.getLen()) for s in fs.listStatus(where)] if fs.exists(where) else []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    where, fs = hadoop_path(spark, path)
+    fs.delete(where, True)
+
+
+def claim_number(spark: SparkSession, folder: str, batch: str, least: int) -> int:
+    """The number of a batch: its own if it was claimed before, else ``least`` or one more than any claimed in the folder.
+
+    A claim is an empty file ``<number>-<hash of batch>``, so all writers of a folder
+    count on, whatever each calls its batches.
+    """
+    name = hashlib.md5(batch.encode()).hexdigest()
+    taken = [n.split("-", 1) for n, _ in folder_entries(spark, folder) if "-" in n]
+    own = [int(n) for n, b in taken if b == name]
+    if own:
+        return min(own)
+    number = max([least, *(int(n) + 1 for n, _ in taken)])
+    where, fs = hadoop_path(spark, f"{folder}/{number}-{name}")
+    fs.create(where, False).close()
+    return number
 
 
 def read_meta_index(spark: SparkSession, path: str, scope: str) -> tuple[DataFrame, DataFrame]:
-    """Entries of a scope's index, and its files that could not be read.
+    """Entries of a scope's index, one for each document (the latest added), and its files that could not be read.
 
     A missing index has no entries, nor has a corrupt file.
     """
@@ -90,41 +128,105 @@ def read_meta_index(spark: SparkSession, path: str, scope: str) -> tuple[DataFra
     if not path_exists(spark, folder):
         return empty, bad
     files = spark.read.option("wholetext", "true").text(folder).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
-    read = files.withColumn("entries", F.from_json("content", f"entries array<{nested(META_ENTRY)}>")["entries"])
-    broken = read.filter("entries IS NULL").select("file", "content")
-    entries = read.filter("entries IS NOT NULL").select(F.lit(scope).alias("scope"), F.explode("entries").alias("e"))
-    return entries.select("scope", "e.*"), broken
+    parsed = lambda text: F.from_json(text, f"version long, entries array<{nested(META_ENTRY)}>")
+    # a document a line, or else the whole file is one
+    lines = F.transform(F.filter(F.split("content", "\n"), lambda x: F.trim(x) != ""), parsed)
+    docs = F.when(F.forall(lines, lambda x: x["entries"].isNotNull()) & (F.size(lines) > 0), lines).otherwise(F.array(parsed(F.col("content"))))
+    read = files.select("file", "content", F.explode(docs).alias("_doc"))
+    broken = read.filter("_doc.entries IS NULL").select("file", "content")
+    entries = read.filter("_doc.entries IS NOT NULL").select(F.lit(scope).alias("scope"), F.coalesce("_doc.version", F.lit(0)).alias("_version"), F.explode("_doc.entries").alias("e"))
+    return latest_per_key(entries.select("scope", "e.*", "_version"), ["scope", "doc_id"], "_version").drop("_version"), broken
 
 
 def write_meta_index(entries: DataFrame, path: str) -> None:
-    """One JSON document per scope; scopes that are not among ``entries`` stay as they are."""
-    fields = [c for c in entries.columns if c != "scope"]
-    index = entries.groupBy("scope").agg(F.sort_array(F.collect_list(F.struct("doc_id", *[c for c in fields if c != "doc_id"]))).alias("entries"))
-    index.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scope").json(path)
+    """JSON documents of bounded size for each scope; scopes that are not among ``entries`` stay as they are."""
+    index_of(entries).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scope").json(path)
+
+
+def add_meta_entries(entries: DataFrame, path: str, version: int) -> None:
+    """Entries added to an index: a reader sees a document's entry of the highest version.
+
+    Nothing stored is read or written again, so writers of one scope do not lose each
+    other's entries; the same batch added again (same version) changes nothing that a
+    reader sees.
+    """
+    index_of(entries).withColumn("version", F.lit(version).cast("long")).write.mode("append").partitionBy("scope").json(path)
 
 
-def write_chunks(chunks: DataFrame, path: str, order_by: str = "chunk_ix", version: int | None = None) -> None:
+def write_chunks(chunks: DataFrame, path: str, order_by: str = "chunk_ix", version: int | None = None, batch: str | None = None) -> None:
     """Append chunks to their collections; the last row of an id wins, also over stored rows.
 
     Nothing that is stored is read or written again: ``read_chunks`` shows the row of an
-    id with the highest version.  A write's version is the time unless it is given; a
-    write that is run again with the same rows changes nothing that a reader sees.
-    ``compact_chunks`` drops what is superseded.
+    id with the highest version.  Versions follow the time and rise over all writers of
+    the store; a ``batch`` keeps the version of its first attempt, so a batch that is
+    run again, even after others, changes nothing that a reader sees.  (``version`` sets
+    one by hand.)  ``merge_small_files`` and ``compact_chunks`` drop what is superseded.
+    """
+    if version is None:
+        version = claim_number(chunks.sparkSession, f"{path}/_versions", batch or uuid.uuid4().hex, time.time_ns())
+    latest_per_key(chunks, ["collection", "id"], order_by).withColumn("_version", F.lit(version).cast("long")).write.mode("append").partitionBy("collection").parquet(path)
+
+
+def superseded(stored: DataFrame) -> DataFrame:
+    """``_file, _row`` of stored rows that a reader does not see, from ids, versions and places alone.
+
+    Of rows of one version (a batch that ran twice) the first place stays.
+    """
+    place = stored.select("collection", "id", "_version", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    newest = F.row_number().over(Window.partitionBy("collection", "id").orderBy(F.desc("_version"), "_file", "_row"))
+    return place.withColumn("_place", newest).filter("_place > 1").select("_file", "_row")
+
+
+def current_rows(stored: DataFrame, most_broadcast: int = 500_000) -> DataFrame:
+    """The rows of a chunk table that a reader sees.
+
+    Superseded rows are found on narrow columns, then dropped by their places.  Few of
+    them go to every task, so the chunks stay where they are read; many (over
+    ``most_broadcast``) are met by a hash of the place.  Chunks are never sorted.
     """
-    number = F.lit(time.time_ns() if version is None else version).cast("long")
-    latest_per_key(chunks, ["collection", "id"], order_by).withColumn("_version", number).write.mode("append").partitionBy("collection").parquet(path)
+    gone = superseded(stored)
+    many = gone.limit(most_broadcast + 1).count()
+    rows = stored.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    if many:
+        rows = rows.join(F.broadcast(gone) if many <= most_broadcast else gone.hint("shuffle_hash"), ["_file", "_row"], "left_anti")
+    return rows.drop("_file", "_row", "_version")
 
 
 def read_chunks(spark: SparkSession, path: str, collection: str | None = None) -> DataFrame:
     """Stored chunks, one row for each id; one collection is one folder, so others are not listed."""
     chunks = spark.read.parquet(path)
-    chunks = chunks if collection is None else chunks.filter(F.col("collection") == collection)
-    return latest_per_key(chunks, ["collection", "id"], "_version").drop("_version")
+    return current_rows(chunks if collection is None else chunks.filter(F.col("collection") == collection))
 
 
 def compact_chunks(spark: SparkSession, path: str, to: str) -> None:
     """The rows that a reader of ``path`` sees, as a new store."""
-    latest_per_key(spark.read.parquet(path), ["collection", "id"], "_version").write.partitionBy("collection").parquet(to)
+    current_rows(spark.read.parquet(path)).withColumn("_version", F.lit(time.time_ns())).write.partitionBy("collection").parquet(to)
+
+
+def merge_small_files(spark: SparkSession, path: str, fan: int = 4, least_bytes: int = 1 << 20, most_bytes: int = 1 << 28) -> int:
+    """Merge a collection's files of like size (within a factor of ``fan``) once there are ``fan`` of them; returns the files merged.
+
+    A merge writes the rows of these files that no other of them supersedes, with their
+    versions, and then removes the files.  A reader between the two steps sees the same
+    rows, as the copies tie.  So each row is written again a number of times that grows
+    with the logarithm of its collection only.
+    """
+    merged = 0
+    for folder, _ in folder_entries(spark, path):
+        if not folder.startswith("collection="):
+            continue
+        tiers: dict[int, list[str]] = {}
+        for name, size in folder_entries(spark, f"{path}/{folder}"):
+            if name.endswith(".parquet") and size < most_bytes:
+                tiers.setdefault(int(math.log(max(1, size / least_bytes), fan)), []).append(f"{path}/{folder}/{name}")
+        for files in (f for f in tiers.values() if len(f) >= fan):
+            rows = spark.read.option("basePath", path).parquet(*files)
+            kept = rows.join(superseded(rows).hint("shuffle_hash"), (F.col("_metadata.file_path") == F.col("_file")) & (F.col("_metadata.row_index") == F.col("_row")), "left_anti")
+            kept.coalesce(1).write.mode("append").partitionBy("collection").parquet(path)
+            for file in files:
+                delete_path(spark, file)
+            merged += len(files)
+    return merged
 
 
 def write_requests(requests: DataFrame, path: str) -> None:

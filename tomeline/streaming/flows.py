@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tomeline.operators.ingest import ingest, status_log
+from tomeline.operators.ingest import ingest, lore_chunks, status_log
 from tomeline.operators.tables import normalized, with_defaults
+from tomeline.sources.stores import claim_number, folder_entries
 
 DATA_ERRORS = (AnalysisException, ArithmeticException, DateTimeException, IllegalArgumentException, NumberFormatException, PythonException)
 PAGES = "doc_id string, page_num int, raw_text string, is_dm_only boolean"
@@ -24,25 +25,55 @@ def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str,
 
     All pages of a document must land in one file.  Chunk ids are repeatable, the store
     keeps the last row of an id, and a batch's status has a folder of its own, so a batch
-    that is run again changes nothing.  A batch whose documents cannot be read records
-    them as failed with the error and goes on; failures of machines or storage end the
-    stream, which takes the batch up again when it is started anew.
+    that is run again changes nothing.  Batches are numbered on over checkpoints: a
+    stream with a new checkpoint counts from the next million.  Where
+    the data of a batch give an error, its documents are taken one half after the other,
+    until those that cannot be read are alone: they are recorded as failed with their
+    error, the others are ingested.  Failures of machines or storage end the stream,
+    which takes the batch up again when it is started anew.
     """
 
+    def first_number() -> int:
+        told = spark.read.text(f"{checkpoint}/metadata").first()[0]  # names the checkpoint
+        return claim_number(spark, f"{out}/_streams", told, 0) * 1_000_000
+
     def batch(pages: DataFrame, number: int) -> None:
+        seq = first_number() + number
         pages.persist()
         landed = docs.join(pages.select("doc_id").distinct(), "doc_id", "left_semi")
         try:
-            ingest(pages, landed, out, number, None, limit, overlap, dims)
-        except DATA_ERRORS as error:  # recorded for each document, as the log's reader expects
-            log = status_log(pages, landed, number, F.current_timestamp()).withColumns({"status": F.lit("failed"), "error": F.lit(str(error)[:500]), "page_count": F.lit(None).cast("int")})
-            log.write.mode("overwrite").parquet(f"{out}/status/batch={number}")
+            ingest(pages, landed, out, seq, None, limit, overlap, dims)
+        except DATA_ERRORS:
+            failed = failing_documents(pages, landed, limit, overlap, dims)
+            bad = spark.createDataFrame(failed, "doc_id string, error string")
+            ingest(pages.join(bad, "doc_id", "left_anti"), landed.join(bad, "doc_id", "left_anti"), out, seq, None, limit, overlap, dims)
+            log = status_log(pages, landed.join(bad, "doc_id", "left_semi"), seq, F.current_timestamp()).drop("error").join(bad.withColumnRenamed("doc_id", "id"), "id")
+            log = log.withColumns({"status": F.lit("failed"), "page_count": F.lit(None).cast("int")}).select("id", "seq", "status", "error", "page_count", "at")
+            log.write.mode("append").parquet(f"{out}/status/batch={seq}")
         pages.unpersist()
 
     stream = spark.readStream.schema(PAGES).json(landing)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def failing_documents(pages: DataFrame, docs: DataFrame, limit: int, overlap: int, dims: int) -> list[tuple[str, str]]:
+    """Documents of a batch whose data give an error, each with it, by halves: a number of trials that grows with the failing ones."""
+    failed, todo = [], [[r.doc_id for r in docs.select("doc_id").distinct().collect()]]
+    while todo:
+        some = todo.pop()
+        if not some:
+            continue
+        mine = F.col("doc_id").isin(some)
+        try:
+            lore_chunks(pages.filter(mine), docs.filter(mine), limit, overlap, dims).write.format("noop").mode("overwrite").save()
+        except DATA_ERRORS as error:
+            if len(some) == 1 or isinstance(error, AnalysisException):  # this one is about the table, not its rows
+                failed += [(d, str(error)[:500]) for d in some]
+            else:
+                todo += [some[: len(some) // 2], some[len(some) // 2 :]]
+    return failed
+
+
 def stream_events(events: DataFrame, delay: str | None = None) -> DataFrame:
     """Session events with defaults and known enums, one row per id.
 
