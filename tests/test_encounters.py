@@ -118,3 +118,38 @@ def test_hit_points_in_parts_of_the_log(spark):
     for size in (100_000, 50, 1):
         assert {r.id: (r.current_hp, r.is_defeated) for r in oe.hp_ledger(log, rows, size).collect()} == want
     assert oe.hp_ledger(log.limit(0), rows).filter("current_hp > 0").count() == 8
+
+
+def test_joint_fold_in_parts_of_the_log(spark):
+    """Hit points and conditions in one fold, whatever the size of the parts; ties of ``seq`` go by the operation's fields."""
+    rng = random.Random(23)
+    names = ["prone", "stunned", "unconscious"]
+    who = [(f"p{i}", rng.randint(0, 20), 20, i == 2, rng.sample(names, rng.randint(0, 3))) for i in range(12)]
+    kinds = ["hp_delta", "hp_delta", "set_hp", "add_condition", "remove_condition"]
+    ops = []
+    for _ in range(1500):
+        op = rng.choice(kinds)
+        ops.append((f"p{rng.randrange(11)}", rng.randrange(900), op, rng.choice([-30, -7, -1, 0, 3, 25, None]) if "hp" in op else None, rng.choice([*names, None]) if "cond" in op else None))
+    least = lambda x: (x is not None, x if x is not None else 0)
+    want = {}
+    for name, hp, most, out, held in who:
+        held = list(held)
+        mine = sorted((o[1:] for o in ops if o[0] == name), key=lambda o: (o[0], o[1], least(o[2]), (o[3] is not None, o[3] or "")))
+        for _, op, amount, condition in mine:
+            if op in ("hp_delta", "set_hp") and amount is not None:
+                hp = min(max(0, amount + (hp if op == "hp_delta" else 0)), most)
+                if hp == 0:
+                    out = True
+                    held += [] if "unconscious" in held else ["unconscious"]
+            elif op == "add_condition" and condition is not None:
+                held += [] if condition in held else [condition]
+            elif op == "remove_condition" and condition is not None:
+                held = [c for c in held if c != condition]
+        want[name] = (hp, out, held)
+    log = spark.createDataFrame(ops, "participant_id string, seq long, op string, amount int, condition string")
+    rows = spark.createDataFrame(who, "id string, current_hp int, max_hp int, is_defeated boolean, conditions array<string>")
+    for size in (100_000, 60, 1):
+        assert {r.id: (r.current_hp, r.is_defeated, r.conditions) for r in oe.fold_ops(log, rows, ops_per_part=size).collect()} == want
+    empty = oe.fold_ops(log.limit(0), rows).collect()
+    assert {(r.id, r.current_hp, tuple(r.conditions)) for r in empty} == {(w[0], w[1], tuple(w[4])) for w in who}
+    assert rows.columns == oe.fold_ops(log, rows).columns

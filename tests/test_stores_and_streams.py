@@ -159,3 +159,31 @@ def test_stream_ledger_equals_batch(spark, tmp_path):
     people = spark.createDataFrame([(f"p{i}", 15, 25, False, []) for i in range(4)], "id string, current_hp int, max_hp int, is_defeated boolean, conditions array<string>")
     batch = oe.fold_ops(spark.createDataFrame(rows, schema).select("participant_id", "seq", "op", "amount", "condition"), people)
     assert sorted((r.id, *r.s) for r in last.collect()) == sorted((r.id, r.current_hp, r.is_defeated, r.conditions) for r in batch.collect())
+
+
+def live(spark, tmp_path, batches, late=None, block=8):
+    """The last row of each participant after a stream that takes the batches in turn."""
+    schema = "participant_id string, seq long, op string, amount int, condition string, start_hp int, max_hp int"
+    path, ops = str(tmp_path / "out"), str(tmp_path / "ops")
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(ops)
+        stream = flows.stream_ledger(spark.readStream.schema(schema).parquet(ops), late, block)
+        stream.writeStream.foreachBatch(lambda df, _: df.write.mode("append").parquet(path)).outputMode("update").option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start().awaitTermination()
+    return {r.id: r.s for r in spark.read.parquet(path).groupBy("id").agg(F.max_by(F.struct("current_hp", "is_defeated", "conditions", "refused", "seq"), "change").alias("s")).collect()}
+
+
+def test_stream_ledger_takes_operations_in_any_order(spark, tmp_path):
+    rng = random.Random(31)
+    rows = [(f"p{rng.randrange(3)}", i // 2, op, rng.choice([-20, -3, 0, 4, None]) if "hp" in op else None, rng.choice(["prone", "unconscious", None]) if "cond" in op else None, 15, 25) for i, op in enumerate(rng.choices(["hp_delta", "set_hp", "add_condition", "remove_condition"], k=160))]
+    people = spark.createDataFrame([(f"p{i}", 15, 25, False, []) for i in range(3)], "id string, current_hp int, max_hp int, is_defeated boolean, conditions array<string>")
+    want = {r.id: (r.current_hp, r.is_defeated, r.conditions) for r in oe.fold_ops(spark.createDataFrame([r[:5] for r in rows], "participant_id string, seq long, op string, amount int, condition string"), people).collect()}
+    mixed_up = rng.sample(rows, len(rows))
+    got = live(spark, tmp_path, [mixed_up[:50], mixed_up[50:90], mixed_up[90:]])
+    assert {n: (s.current_hp, s.is_defeated, s.conditions) for n, s in got.items()} == want
+    assert all(s.refused == 0 and s.seq == max(r[1] for r in rows if r[0] == n) for n, s in got.items())
+
+
+def test_stream_ledger_refuses_what_comes_too_late(spark, tmp_path):
+    op = lambda seq, amount: ("p", seq, "hp_delta", amount, None, 10, 30)
+    got = live(spark, tmp_path, [[op(0, 3), op(100, -4)], [op(93, 2), op(5, 7)], [op(99, 1)]], late=10, block=4)
+    assert (got["p"].current_hp, got["p"].refused, got["p"].seq) == (12, 1, 100)

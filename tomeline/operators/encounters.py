@@ -96,56 +96,36 @@ def request_ops(requests: DataFrame) -> DataFrame:
     return requests.select("encounter_id", "participant_id", F.inline(F.filter(ops, lambda x: x.isNotNull())))
 
 
-def fold_ops(ops: DataFrame, participants: DataFrame, key: str = "id") -> DataFrame:
-    """HP, defeat and conditions of every participant after its operations in order of ``seq``.
+def _place() -> Column:
+    """Where an operation stands in the order of a log: by ``seq``, then by its own fields."""
+    return F.struct("seq", "op", "amount", "condition")
 
-    ``ops(participant_id, seq, op, amount, condition)`` with op hp_delta, set_hp,
-    add_condition or remove_condition.  HP stays in 0..max at every step, so the
-    operations are folded, not summed.  Reaching 0 marks as defeated for good and adds
-    ``unconscious``.  The fold of a participant with very many operations runs over one
-    array, of numbers and condition names only.
-    """
-    log = ops.groupBy(F.col("participant_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("seq", "op", "amount", "condition"))).alias("_ops"))
-    rows = participants.join(log, key, "left")
-    start = F.struct(F.col("current_hp").cast("int").alias("hp"), F.col("is_defeated").alias("out"), F.col("conditions").alias("conditions"))
 
-    def step(state: Column, op: Column) -> Column:
-        moves = op["op"].isin("hp_delta", "set_hp")
-        target = F.when(op["op"] == "set_hp", op["amount"]).otherwise(state["hp"] + op["amount"])
-        hp = F.when(moves, clamp_hp(target, F.col("max_hp"))).otherwise(state["hp"]).cast("int")
-        down = moves & (hp == 0)
-        conditions = F.when(down, condition_add(state["conditions"], F.lit("unconscious"))).when(op["op"] == "add_condition", condition_add(state["conditions"], op["condition"])).when(op["op"] == "remove_condition", condition_remove(state["conditions"], op["condition"])).otherwise(state["conditions"])
-        return F.struct(hp.alias("hp"), (state["out"] | down).alias("out"), conditions.alias("conditions"))
+def _moves(ops: DataFrame) -> Column:
+    return F.col("op").isin("hp_delta", "set_hp") & F.col("amount").isNotNull()
 
-    folded = rows.withColumn("_s", F.aggregate(F.coalesce("_ops", F.array().cast(log.schema["_ops"].dataType)), start, step))
-    return folded.withColumns({"current_hp": F.col("_s.hp"), "is_defeated": F.col("_s.out"), "conditions": F.col("_s.conditions")}).drop("_s", "_ops")
 
+def _parts(ops: DataFrame, ops_per_part: int) -> Column:
+    """The part of a log in which an operation stands: ranges of ``seq`` that hold about ``ops_per_part`` of all operations."""
+    ends = ops.agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high")).first()
+    width = max(1, ((ends["high"] or 0) - (ends["low"] or 0)) // max(1, -(-ends["n"] // ops_per_part)) + 1)
+    return F.floor((F.col("seq") - F.lit(ends["low"] or 0)) / width)
 
-def hp_ledger(ops: DataFrame, participants: DataFrame, ops_per_part: int = 100_000) -> DataFrame:
-    """``id, current_hp, is_defeated`` after the HP operations.
 
-    Each operation maps hit points x to ``min(max(x + add, low), high)``, and so does any run of
-    them; a run takes x to 0 somewhere exactly where x is at most ``down``.  So the log is
-    folded in parts of ``seq``, each by its own task, and the parts are joined: no
-    participant's whole log is gathered.
-    """
-    log = ops.filter(F.col("op").isin("hp_delta", "set_hp") & F.col("amount").isNotNull())
-    ends = log.agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high")).first()
-    width = max(1, ((ends["high"] or 0) - (ends["low"] or 0)) // max(1, -(-ends["n"] // ops_per_part)) + 1)
-    most = participants.select(F.col("id").alias("participant_id"), F.col("max_hp").cast("long").alias("most"))
+def _run(most: Column) -> Column:
+    """A move as a run of moves: it maps hit points x to ``min(max(x + add, low), high)``."""
     fixed = F.col("op") == "set_hp"
-    to = F.greatest(F.lit(0).cast("long"), F.least("most", F.col("amount").cast("long")))
-    rows = log.join(most, "participant_id").select(
-        "participant_id",
-        F.floor((F.col("seq") - F.lit(ends["low"] or 0)) / width).alias("part"),
-        "seq",
-        F.struct(
-            F.when(fixed, F.lit(0)).otherwise(F.col("amount")).cast("long").alias("add"),
-            F.when(fixed, to).otherwise(F.lit(0)).cast("long").alias("low"),
-            F.when(fixed, to).otherwise(F.col("most")).alias("high"),
-            F.lit(None).cast("long").alias("down"),
-        ).alias("run"),
+    to = F.greatest(F.lit(0).cast("long"), F.least(most, F.col("amount").cast("long")))
+    return F.struct(
+        F.when(fixed, F.lit(0)).otherwise(F.col("amount")).cast("long").alias("add"),
+        F.when(fixed, to).otherwise(F.lit(0)).cast("long").alias("low"),
+        F.when(fixed, to).otherwise(most).alias("high"),
+        F.lit(None).cast("long").alias("down"),
     )
+
+
+def _composed(runs: Column) -> Column:
+    """Runs one after the other as one run, which takes x to 0 somewhere exactly where x is at most its ``down``."""
     never, always = F.lit(-(1 << 62)).cast("long"), F.lit(1 << 62).cast("long")
     same = F.struct(F.lit(0).cast("long").alias("add"), never.alias("low"), always.alias("high"), never.alias("down"))
 
@@ -157,14 +137,101 @@ def hp_ledger(ops: DataFrame, participants: DataFrame, ops_per_part: int = 100_0
         inner = F.when(first["low"] > then["down"], never).when(first["high"] <= then["down"], always).otherwise(then["down"] - first["add"])
         return F.struct(add.alias("add"), low.alias("low"), high.alias("high"), F.greatest(first["down"], F.when(then["down"].isNull(), ended).otherwise(inner)).alias("down"))
 
+    return F.aggregate(runs, same, after)
+
+
+def _applied(run: Column, hp: Column) -> Column:
+    return F.coalesce(F.least(F.greatest(hp + run["add"], run["low"]), run["high"]), hp)
+
+
+def fold_ops(ops: DataFrame, participants: DataFrame, key: str = "id", ops_per_part: int = 100_000) -> DataFrame:
+    """HP, defeat and conditions of every participant after its operations in order of ``seq``.
+
+    ``ops(participant_id, seq, op, amount, condition)`` with op hp_delta, set_hp,
+    add_condition or remove_condition; one without its amount or condition changes
+    nothing.  HP stays in 0..max at every step, so the operations are folded, not summed.
+    Reaching 0 marks as defeated for good and adds ``unconscious``.
+
+    The log is folded in parts of ``seq``, so no participant's whole log is gathered:
+
+    1. The moves of a part compose to one run (see ``hp_ledger``), and a participant's
+       runs in turn give the hit points with which each of its parts begins.
+    2. A part is folded from there, with what concerns ``unconscious``: the last removal,
+       and the first time after it that it is added or 0 is reached.
+    3. Any other condition is held since its first addition after its last removal, both
+       found by partial aggregation; conditions stand in the order of these additions,
+       after those of the start that were never removed.
+    """
+    down = F.lit("unconscious")
+    mine = F.col("op").isin("add_condition", "remove_condition")
+    hit = ops.filter(_moves(ops) | (mine & (F.col("condition") == down)))
+    start = participants.select(F.col(key).alias("participant_id"), F.col("current_hp").cast("long").alias("_hp"), F.col("max_hp").cast("long").alias("_most"))
+    rows = hit.join(start.select("participant_id", "_most"), "participant_id").select("participant_id", _parts(hit, ops_per_part).alias("part"), F.struct(_place().alias("at"), F.when(F.col("op").isin("hp_delta", "set_hp"), _run(F.col("_most"))).alias("run")).alias("o"))
+    parts = rows.groupBy("participant_id", "part").agg(F.array_sort(F.collect_list("o")).alias("log"))
+    runs = parts.select("participant_id", F.struct("part", _composed(F.transform(F.filter("log", lambda x: x["run"].isNotNull()), lambda x: x["run"])).alias("run")).alias("r"))
+    # the hit points at the start of each part, from a participant's runs in turn
+    begun = F.struct(F.col("_hp").alias("hp"), F.array().cast("array<struct<part:bigint,hp:bigint>>").alias("parts"))
+    scan = lambda s, r: F.struct(_applied(r["run"], s["hp"]).alias("hp"), F.array_append(s["parts"], F.struct(r["part"].alias("part"), s["hp"].alias("hp"))).alias("parts"))
+    turns = runs.groupBy("participant_id").agg(F.array_sort(F.collect_list("r")).alias("runs")).join(start, "participant_id")
+    starts = turns.select("participant_id", F.inline(F.aggregate("runs", begun, scan, lambda s: s["parts"])))
+    at_type = dict(rows.select("o.at").dtypes)["at"]
+    none = F.lit(None).cast(at_type)
+    first = F.struct(F.col("hp").alias("hp"), F.lit(False).alias("out"), none.alias("since"), none.alias("gone"))
+
+    def step(s: Column, o: Column) -> Column:
+        hp = _applied(o["run"], s["hp"])
+        zero = o["run"].isNotNull() & (hp == 0)
+        removed, added = o["at"]["op"] == "remove_condition", o["at"]["op"] == "add_condition"
+        since = F.when(removed, none).when(zero | added, F.coalesce(s["since"], o["at"])).otherwise(s["since"])
+        return F.struct(hp.alias("hp"), (s["out"] | zero).alias("out"), since.alias("since"), F.when(removed, o["at"]).otherwise(s["gone"]).alias("gone"))
+
+    folded = parts.join(starts, ["participant_id", "part"]).select("participant_id", "part", F.aggregate("log", first, step).alias("s"))
+    last = folded.groupBy("participant_id").agg(F.max_by("s.hp", "part").alias("_end"), F.bool_or("s.out").alias("_out"), F.max("s.gone").alias("gone"))
+    fainted = folded.select("participant_id", F.col("s.since").alias("since")).join(last.select("participant_id", "gone"), "participant_id").filter(F.col("since").isNotNull() & (F.col("gone").isNull() | (F.col("since") > F.col("gone"))))
+    fainted = fainted.groupBy("participant_id").agg(F.min("since").alias("since"))
+    faint = last.select("participant_id", down.alias("condition"), "gone").join(fainted, "participant_id", "left").filter("gone IS NOT NULL OR since IS NOT NULL")
+    held = _held(ops.filter(mine & (F.col("condition") != down))).unionByName(faint)
+    lists = held.groupBy("participant_id").agg(F.collect_list(F.struct("since", "condition", "gone")).alias("_c"))
+    every = participants.join(last.select(F.col("participant_id").alias(key), "_end", "_out"), key, "left").join(lists.withColumnRenamed("participant_id", key), key, "left")
+    gone = F.transform(F.filter("_c", lambda x: x["gone"].isNotNull()), lambda x: x["condition"])
+    kept = F.filter("conditions", lambda x: ~F.coalesce(F.array_contains(gone, x), F.lit(False)))
+    fresh = F.array_sort(F.filter("_c", lambda x: x["since"].isNotNull() & ~F.coalesce(F.array_contains(kept, x["condition"]), F.lit(False))))
+    conditions = F.when(F.col("_c").isNull(), F.col("conditions")).otherwise(F.concat(kept, F.transform(fresh, lambda x: x["condition"])))
+    return every.withColumns({"current_hp": F.coalesce("_end", F.col("current_hp")).cast("int"), "is_defeated": F.col("is_defeated") | F.coalesce("_out", F.lit(False)), "conditions": conditions}).drop("_end", "_out", "_c")
+
+
+def _held(rows: DataFrame) -> DataFrame:
+    """``participant_id, condition, since, gone`` of add and remove rows: the last removal, and the first addition after it.
+
+    A condition's removals shrink to one row before its additions meet it, so a log that
+    holds one condition over and over is not gathered.
+    """
+    keys = ["participant_id", "condition"]
+    gone = rows.filter("op = 'remove_condition'").groupBy(*keys).agg(F.max(_place()).alias("gone"))
+    added = rows.filter("op = 'add_condition'").select(*keys, _place().alias("at")).join(gone, keys, "left").filter("gone IS NULL OR at > gone")
+    since = added.groupBy(*keys).agg(F.min("at").alias("since"))
+    return since.join(gone, keys, "full").select(*keys, "since", "gone")
+
+
+def hp_ledger(ops: DataFrame, participants: DataFrame, ops_per_part: int = 100_000) -> DataFrame:
+    """``id, current_hp, is_defeated`` after the HP operations.
+
+    Each operation maps hit points x to ``min(max(x + add, low), high)``, and so does any run of
+    them; a run takes x to 0 somewhere exactly where x is at most ``down``.  So the log is
+    folded in parts of ``seq``, each by its own task, and the parts are joined: no
+    participant's whole log is gathered.
+    """
+    log = ops.filter(_moves(ops))
+    most = participants.select(F.col("id").alias("participant_id"), F.col("max_hp").cast("long").alias("most"))
+    rows = log.join(most, "participant_id").select("participant_id", _parts(log, ops_per_part).alias("part"), "seq", _run(F.col("most")).alias("run"))
+
     def folded(df: DataFrame, keys: list[str], order: str) -> DataFrame:
         runs = F.transform(F.array_sort(F.collect_list(F.struct(order, "run"))), lambda x: x["run"])
-        return df.groupBy(*keys).agg(F.aggregate(runs, same, after).alias("run"))
+        return df.groupBy(*keys).agg(_composed(runs).alias("run"))
 
     whole = folded(folded(rows, ["participant_id", "part"], "seq"), ["participant_id"], "part").withColumnRenamed("participant_id", "id")
     start = F.col("current_hp").cast("long")
-    hp = F.coalesce(F.least(F.greatest(start + F.col("run.add"), F.col("run.low")), F.col("run.high")), start)
-    return participants.join(whole, "id", "left").select("id", hp.cast("int").alias("current_hp"), (F.col("is_defeated") | F.coalesce(start <= F.col("run.down"), F.lit(False))).alias("is_defeated"))
+    return participants.join(whole, "id", "left").select("id", _applied(F.col("run"), start).cast("int").alias("current_hp"), (F.col("is_defeated") | F.coalesce(start <= F.col("run.down"), F.lit(False))).alias("is_defeated"))
 
 
 def condition_ledger(ops: DataFrame) -> DataFrame:
@@ -174,10 +241,7 @@ def condition_ledger(ops: DataFrame) -> DataFrame:
     first one after the last remove.  No participant's whole log is gathered.
     """
     rows = ops.filter(F.col("op").isin("add_condition", "remove_condition"))
-    removed = F.max(F.when(F.col("op") == "remove_condition", F.col("seq"))).over(Window.partitionBy("participant_id", "condition"))
-    live = rows.withColumn("_removed", removed).filter((F.col("op") == "add_condition") & (F.col("_removed").isNull() | (F.col("seq") > F.col("_removed"))))
-    since = live.groupBy("participant_id", "condition").agg(F.min("seq").alias("since"))
-    sets = since.groupBy("participant_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("since", "condition"))), lambda x: x["condition"]).alias("conditions"))
+    sets = _held(rows).filter("since IS NOT NULL").groupBy("participant_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("since", "condition"))), lambda x: x["condition"]).alias("conditions"))
     everyone = rows.select("participant_id").distinct()
     return everyone.join(sets, "participant_id", "left").select("participant_id", F.coalesce("conditions", F.array().cast("array<string>")).alias("conditions"))
 

@@ -130,7 +130,7 @@ def streamed_events(spark: SparkSession, d: str) -> DataFrame:
 )
 SELECT id AS participant_id, CAST(max_by(hp, i) AS INTEGER) AS current_hp, bool_or(down) AS is_defeated FROM s GROUP BY id""")
 def streamed_ledger(spark: SparkSession, d: str) -> DataFrame:
-    """The live ledger of every participant, from a stream of operations in two batches in order."""
+    """The live ledger of every participant, from a stream of operations in two batches, the later half of the log first."""
     path = new_folder(spark, "ledger")
     users = v.log_users(spark, d).select(F.col("id").alias("participant_id"), F.col("current_hp").alias("start_hp"), "max_hp")
     ops = v.log_ops(spark, d).join(users, "participant_id").withColumn("participant_id", F.col("participant_id").cast("string"))
@@ -139,10 +139,10 @@ def streamed_ledger(spark: SparkSession, d: str) -> DataFrame:
     before = spark.conf.get(state)
     spark.conf.set(state, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        for part in (F.col("seq") <= half, F.col("seq") > half):
+        for part in (F.col("seq") > half, F.col("seq") <= half):
             ops.filter(part).write.mode("append").parquet(f"{path}/in")
             found = _streamed(spark, flows.stream_ledger(spark.readStream.schema(ops.schema).parquet(f"{path}/in")), path, "out", "update")
     finally:
         spark.conf.set(state, before)
-    last = found.groupBy("id").agg(F.max_by(F.struct("current_hp", "is_defeated"), "seq").alias("s"))
+    last = found.groupBy("id").agg(F.max_by(F.struct("current_hp", "is_defeated"), "change").alias("s"))
     return last.select(F.col("id").cast("long").alias("participant_id"), "s.current_hp", "s.is_defeated")

@@ -17,7 +17,7 @@ from tomeline.sources.stores import claim_number, folder_entries
 DATA_ERRORS = (AnalysisException, ArithmeticException, DateTimeException, IllegalArgumentException, NumberFormatException, PythonException)
 PAGES = "doc_id string, page_num int, raw_text string, is_dm_only boolean"
 LEDGER_STATE = "hp int, out boolean, conditions array<string>"
-LEDGER = "id string, seq long, current_hp int, is_defeated boolean, conditions array<string>"
+LEDGER = "id string, seq long, current_hp int, is_defeated boolean, conditions array<string>, refused long, change long"
 
 
 def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str, docs: DataFrame, dims: int = 768, limit: int = 2048, overlap: int = 64):
@@ -86,41 +86,123 @@ def stream_events(events: DataFrame, delay: str | None = None) -> DataFrame:
     return rows.withWatermark("occurred_at", delay).dropDuplicatesWithinWatermark(["id"])
 
 
+Standing = tuple[int, bool, list[str]]
+Operation = tuple[int, str, int | None, str | None]
+
+
+def in_order(op: Operation) -> tuple:
+    """The order of a log, as in the batch fold: ``seq``, then the operation's own fields, null first."""
+    seq, kind, amount, name = op
+    return seq, kind, (amount is not None, amount or 0), (name is not None, name or "")
+
+
+def folded(standing: Standing, ops: list[Operation], most: int) -> Standing:
+    """HP, defeat and conditions after some operations in order."""
+    hp, out, conditions = standing[0], standing[1], list(standing[2])
+    for _, op, amount, name in ops:
+        if op in ("hp_delta", "set_hp"):
+            if amount is None:
+                continue
+            hp = min(max(0, amount + (hp if op == "hp_delta" else 0)), most)
+            if hp == 0:
+                out = True
+                conditions += [] if "unconscious" in conditions else ["unconscious"]
+        elif name is None:
+            continue
+        elif op == "add_condition" and name not in conditions:
+            conditions.append(name)
+        elif op == "remove_condition":
+            conditions = [c for c in conditions if c != name]
+    return hp, out, conditions
+
+
 class Ledger(StatefulProcessor):
-    """HP, defeat and conditions of one participant; rows of a call are folded in order of ``seq``."""
+    """HP, defeat and conditions of one participant, for operations that come in any order.
+
+    The log lies in blocks of ``block`` numbers of ``seq``, each with the standing at its
+    start.  Operations go to their blocks, and the log is folded again from the first
+    block that was touched until a block begins as it did before.  With ``late`` blocks
+    that lie wholly more than ``late`` behind the highest ``seq`` are dropped, their
+    operations being in the standing at the start of the next one; an operation that
+    comes later still cannot be put in its place and is counted as refused.
+    """
+
+    def __init__(self, late: int | None, block: int):
+        self.late, self.block = late, block
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("ledger", LEDGER_STATE)
+        self.now = handle.getValueState("now", f"{LEDGER_STATE}, most int, high long, closed long, refused long, change long")
+        self.blocks = handle.getMapState("blocks", "block long", f"{LEDGER_STATE}, seq array<long>, op array<string>, amount array<int>, name array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ops = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        first = ops.iloc[0]
-        hp, out, conditions = self.state.get() if self.state.exists() else (int(first["start_hp"]), False, [])
-        conditions = list(conditions)
-        for op, amount, name, most in zip(ops["op"], ops["amount"], ops["condition"], ops["max_hp"], strict=True):
-            if op in ("hp_delta", "set_hp"):
-                hp = min(max(0, int(amount) + (hp if op == "hp_delta" else 0)), int(most))
-                if hp == 0:
-                    out = True
-                    conditions += [] if "unconscious" in conditions else ["unconscious"]
-            elif op == "add_condition" and name not in conditions:
-                conditions.append(name)
-            elif op == "remove_condition":
-                conditions = [c for c in conditions if c != name]
-        self.state.update((hp, out, conditions))
-        yield pd.DataFrame({"id": [key[0]], "seq": [int(ops["seq"].max())], "current_hp": [hp], "is_defeated": [out], "conditions": [conditions]})
+        ops = pd.concat(list(rows))
+        if self.now.exists():
+            hp, out, conditions, most, high, closed, refused, change = self.now.get()
+            now = (hp, out, list(conditions))
+        else:
+            first = ops.iloc[0]
+            now, most, high, closed, refused, change = (int(first["start_hp"]), False, []), int(first["max_hp"]), None, None, 0, 0
+        given = [(int(s), o, None if pd.isna(a) else int(a), n) for s, o, a, n in zip(ops["seq"], ops["op"], ops["amount"], ops["condition"], strict=True)]
+        fresh: dict[int, list[Operation]] = {}
+        for op in given:
+            if closed is not None and op[0] < closed:
+                refused += 1
+            else:
+                fresh.setdefault(op[0] // self.block, []).append(op)
+        stored = sorted(int(k[0]) for k in self.blocks.keys())
+        now = self.fold_again(stored, fresh, now, most)
+        high = max([*([] if high is None else [high]), *(op[0] for op in given)])
+        if self.late is not None:
+            bound = (high - self.late) // self.block
+            for b in {*stored, *fresh}:
+                if b < bound:
+                    self.blocks.removeKey((b,))
+            closed = max(bound * self.block, bound * self.block if closed is None else closed)
+        change += 1
+        self.now.update((*now, most, high, closed, refused, change))
+        yield pd.DataFrame({"id": [key[0]], "seq": [high], "current_hp": [now[0]], "is_defeated": [now[1]], "conditions": [now[2]], "refused": [refused], "change": [change]})
+
+    def fold_again(self, stored: list[int], fresh: dict[int, list[Operation]], now: Standing, most: int) -> Standing:
+        """The standing after the log with the new operations of each block; blocks are brought up to date."""
+        if not fresh:
+            return now
+        begun = {b: self.blocks.getValue((b,)) for b in stored if b >= min(fresh)}
+        standing: Standing | None = None  # at the start of the block, where it may have changed
+        todo = sorted({*begun, *fresh})
+        for i, b in enumerate(todo):
+            value = begun.get(b)
+            before = None if value is None else (value[0], value[1], list(value[2]))
+            if b not in fresh:
+                if standing is None or standing == before:
+                    standing = None
+                    continue
+            if standing is not None:
+                begin = standing
+            elif before is not None:
+                begin = before
+            else:  # a new block begins as the next one did
+                after = next((begun[x] for x in todo[i:] if x in begun), None)
+                begin = now if after is None else (after[0], after[1], list(after[2]))
+            ops = list(zip(*(list(x) for x in value[3:]), strict=True)) if value is not None else []
+            ops = sorted([*ops, *fresh.get(b, [])], key=in_order)
+            self.blocks.updateValue((b,), (*begin, *(list(x) for x in zip(*ops, strict=True))))
+            standing = folded(begin, ops, most)
+        return now if standing is None else standing
 
     def close(self) -> None:
         pass
 
 
-def stream_ledger(ops: DataFrame) -> DataFrame:
+def stream_ledger(ops: DataFrame, late: int | None = None, block: int = 4096) -> DataFrame:
     """A running ledger row for each participant with new operations.
 
-    ``ops(participant_id, seq, op, amount, condition, start_hp, max_hp)``.  Equals the
-    batch fold where batches arrive in order of ``seq``.  Needs the RocksDB state store.
+    ``ops(participant_id, seq, op, amount, condition, start_hp, max_hp)``.  Rows have
+    ``change``, which rises with each; a participant's last one equals the batch fold of
+    all its operations so far, in whatever order they came, but for ``refused`` ones.
+    Without ``late`` none is refused and the state holds the whole log; with it the state
+    holds what lies within ``late`` of the highest ``seq``.  Needs the RocksDB state store.
     """
-    return ops.groupBy("participant_id").transformWithStateInPandas(Ledger(), LEDGER, "update", "none")
+    return ops.groupBy("participant_id").transformWithStateInPandas(Ledger(late, block), LEDGER, "update", "none")
 
 
 def stream_status(log: DataFrame) -> DataFrame:
