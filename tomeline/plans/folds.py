@@ -74,17 +74,28 @@ def built_participants(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("encounter_id", "character_id", "initiative_modifier", "initiative_roll", "initiative_total", "max_hp", F.col("action_budget.movement_remaining").alias("movement"))
 
 
-@query("""SELECT 'encounter' AS kind, CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'active' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderkey % 17 AS INTEGER) ELSE 0 END AS number FROM orders
-UNION ALL SELECT 'participant', encounter_id || '/' || id, CASE WHEN encounter_id % 5 = 0 AND initiative_modifier > 4 THEN 'true' ELSE CAST(is_defeated AS VARCHAR) END, CASE WHEN encounter_id % 5 = 0 AND initiative_modifier > 4 THEN 0 ELSE initiative_total END FROM """ + PARTICIPANTS)
-def applied_state(spark: SparkSession, d: str) -> DataFrame:
-    """The state columns of encounters and participants replaced, the others kept."""
+STATE_SQL = """SELECT 'encounter' AS kind, CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'active' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderkey % 17 AS INTEGER) ELSE 0 END AS number FROM orders
+UNION ALL SELECT 'participant', encounter_id || '/' || id, CASE WHEN encounter_id % 5 = 0 AND initiative_modifier > 4 THEN 'true' ELSE CAST(is_defeated AS VARCHAR) END, CASE WHEN encounter_id % 5 = 0 AND initiative_modifier > 4 THEN 0 ELSE initiative_total END FROM """ + PARTICIPANTS
+
+
+def states(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Encounters, participants, and new states of a fifth of the encounters and of some of their participants."""
     e = v.sessions(spark, d).select("id", "status", F.lit(0).alias("round"), F.lit("x").alias("name"))
     p = v.participants(spark, d).select(F.concat_ws("/", F.col("encounter_id").cast("string"), "id").alias("id"), "encounter_id", "initiative_modifier", F.col("initiative_total").alias("current_hp"), "is_defeated")
     new_e = e.filter("id % 5 = 0").select("id", F.lit("active").alias("status"), (F.col("id") % 17).cast("int").alias("round"), F.lit("ignored").alias("name"))
     new_p = p.filter("encounter_id % 5 = 0 AND initiative_modifier > 4").select("id", F.lit(0).alias("current_hp"), F.lit(True).alias("is_defeated"), F.lit(99).alias("initiative_modifier"))
-    one, many = oe.apply_state(e, p, new_e, new_p)
-    first = one.select(F.lit("encounter").alias("kind"), F.col("id").cast("string").alias("id"), "status", F.col("round").alias("number"))
-    return first.union(many.select(F.lit("participant"), "id", F.col("is_defeated").cast("string"), "current_hp"))
+    return e, p, new_e, new_p
+
+
+def states_as_rows(e: DataFrame, p: DataFrame) -> DataFrame:
+    first = e.select(F.lit("encounter").alias("kind"), F.col("id").cast("string").alias("id"), "status", F.col("round").alias("number"))
+    return first.union(p.select(F.lit("participant"), "id", F.col("is_defeated").cast("string"), "current_hp"))
+
+
+@query(STATE_SQL)
+def applied_state(spark: SparkSession, d: str) -> DataFrame:
+    """The state columns of encounters and participants replaced, the others kept."""
+    return states_as_rows(*oe.apply_state(*states(spark, d)))
 
 
 OPS = """(SELECT user_id, event_id AS seq, CASE WHEN event_type IN ('click', 'purchase') THEN 'hp_delta' ELSE 'set_hp' END AS op,

@@ -344,7 +344,7 @@ def task_requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT CASE WHEN label < 8 THEN 'campaign_' || label || '_lore' ELSE 'global_rules' END AS collection, count(*) AS n_chunks, CAST(sum(CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_new
-FROM embeddings JOIN documents ON vec_id = doc_id GROUP BY 1""")
+FROM embeddings GROUP BY 1""")
 def chunk_store(spark: SparkSession, d: str) -> DataFrame:
     """Chunks written by collection, a second write replaces some by id, then read back."""
     import uuid

@@ -25,8 +25,8 @@ def query(sql: str | None = None):
     return keep
 
 
-CHUNKS = """(SELECT vec_id AS id, CASE WHEN label < 8 THEN 'campaign_' || label || '_lore' ELSE 'global_rules' END AS collection, source AS section_path, text AS content, source AS scope,
-  vec_id % 4 <> 1 AS is_player_visible, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings JOIN documents ON vec_id = doc_id)"""
+CHUNKS = """(SELECT vec_id AS id, CASE WHEN label < 8 THEN 'campaign_' || label || '_lore' ELSE 'global_rules' END AS collection, coalesce(source, '') AS section_path, coalesce(text, '') AS content, coalesce(source, '') AS scope,
+  vec_id % 4 <> 1 AS is_player_visible, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings LEFT JOIN documents ON vec_id = doc_id)"""
 QUESTIONS = "(SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv, vec_id % 8 AS campaign_id, vec_id % 100 = 0 AS player_only FROM embeddings WHERE vec_id % 50 = 0)"
 
 
@@ -93,7 +93,7 @@ def federated_hits(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
-@query(RETRIEVED + " SELECT query_id, string_agg('[' || section_path || ']' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM r WHERE rank <= 5 GROUP BY 1")
+@query(RETRIEVED + " SELECT query_id, string_agg(CASE WHEN section_path = '' THEN content ELSE '[' || section_path || ']' || chr(10) || content END, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM r WHERE rank <= 5 GROUP BY 1")
 def retrieval_context(spark: SparkSession, d: str) -> DataFrame:
     """The context of every question."""
     return ov.assemble_context(ov.retrieve(v.questions(spark, d), v.chunks(spark, d)))

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tomeline.operators.retrieval import hits
 from tomeline.plans import views as v
-from tomeline.plans.folds import CHUNKED
-from tomeline.sources import stores
+from tomeline.plans.folds import CHUNKED, STATE_SQL, states, states_as_rows
+from tomeline.sources import snapshots, stores
 from tomeline.streaming import flows
 
 QUERIES = {}
@@ -85,6 +85,51 @@ def meta_index(spark: SparkSession, d: str) -> DataFrame:
     return found.select("scope", "doc_id", "doc_name", "summary")
 
 
+@query(STATE_SQL)
+def saved_state(spark: SparkSession, d: str) -> DataFrame:
+    """States saved as one new snapshot of both tables, and read from it; half of the participants' states come with a second save."""
+    path = new_folder(spark, "snapshots")
+    e, p, new_e, new_p = states(spark, d)
+    snapshots.create_snapshot(spark, path, {"encounters": e, "participants": p}, buckets=16)
+    half = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    snapshots.save_state(spark, path, new_e, new_p.filter(half))
+    snapshots.save_state(spark, path, new_e.limit(0), new_p.filter(~half))
+    _, tables = snapshots.read_snapshot(spark, path)
+    return states_as_rows(tables["encounters"], tables["participants"])
+
+
+@query("""SELECT r_name AS scope, 'n' || n_nationkey AS doc_id, n_name AS doc_name, CASE WHEN n_nationkey % 3 = 0 THEN 'third' WHEN n_nationkey % 2 = 0 THEN 'second' ELSE 'first' END AS summary FROM nation JOIN region ON r_regionkey = n_regionkey""")
+def added_meta_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Entries added to an index in three batches, the first of which is run again after the others: the latest batch of a document decides."""
+    path = new_folder(spark, "index")
+    rows = v.table(spark, d, "nation").join(v.table(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    entries = rows.select(F.col("r_name").alias("scope"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("doc_id"), F.col("n_name").alias("doc_name"), F.lit("f.pdf").alias("filename"), F.lit(None).cast("timestamp").alias("ingested_at"), "n_nationkey")
+    for name, some in (("first", "true"), ("second", "n_nationkey % 2 = 0"), ("third", "n_nationkey % 3 = 0"), ("first", "true")):
+        version = stores.claim_number(spark, f"{path}/_versions", name, 1)
+        stores.add_meta_entries(entries.filter(some).drop("n_nationkey").withColumn("summary", F.lit(name)), path, version)
+    found = None
+    for scope in [r.r_name for r in v.table(spark, d, "region").select("r_name").distinct().orderBy("r_name").collect()]:  # a folder each
+        one, _ = stores.read_meta_index(spark, path, scope)
+        found = one if found is None else found.unionByName(one)
+    return found.select("scope", "doc_id", "doc_name", "summary")
+
+
+@query("""SELECT CASE WHEN label < 8 THEN 'campaign_' || label || '_lore' ELSE 'global_rules' END AS collection, count(*) AS n_chunks,
+  CAST(count(CASE WHEN vec_id % 2 = 0 THEN 1 END) AS BIGINT) AS n_third, CAST(count(CASE WHEN vec_id % 2 = 1 AND vec_id % 3 = 0 THEN 1 END) AS BIGINT) AS n_second
+FROM embeddings GROUP BY 1""")
+def chunk_versions(spark: SparkSession, d: str) -> DataFrame:
+    """A plain write, then batches that overlap it, one of which is run again last; small files merged in between."""
+    path = new_folder(spark, "versions")
+    rows = v.chunks(spark, d).select("id", "collection", F.lit(0).alias("chunk_ix"))
+    stores.write_chunks(rows.withColumn("content", F.lit("first")), path)
+    stores.write_chunks(rows.filter("id % 3 = 0").withColumn("content", F.lit("second")), path, batch="a/0")
+    stores.write_chunks(rows.filter("id % 2 = 0").withColumn("content", F.lit("third")), path, batch="b/0")
+    stores.merge_small_files(spark, path, fan=3)
+    stores.write_chunks(rows.filter("id % 3 = 0").withColumn("content", F.lit("second")), path, batch="a/0")
+    count = lambda name: F.count(F.when(F.col("content") == name, 1)).alias(f"n_{name}")
+    return stores.read_chunks(spark, path).groupBy("collection").agg(F.count(F.lit(1)).alias("n_chunks"), count("third"), count("second"))
+
+
 @query(CHUNKED + """, counted AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n_chunks FROM o GROUP BY 1)
 SELECT conv_id AS doc_id, 'completed' AS status, CAST(count(*) AS INTEGER) AS page_count, max(n_chunks) AS n_chunks FROM conversations JOIN counted ON doc_id = conv_id GROUP BY 1""")
 def streamed_ingest(spark: SparkSession, d: str) -> DataFrame:

@@ -64,11 +64,12 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Embeddings as stored chunks, with the text of the document of the same number."""
+    """Embeddings as stored chunks, with the text of the document of the same number; empty where there is none."""
     e, docs = table(spark, d, "embeddings"), table(spark, d, "documents")
-    rows = e.join(docs, e["vec_id"] == docs["doc_id"])
+    rows = e.join(docs, e["vec_id"] == docs["doc_id"], "left")
+    text = lambda c: F.coalesce(c, F.lit(""))
     collection = F.when(F.col("label") < 8, F.concat(F.lit("campaign_"), F.col("label").cast("string"), F.lit("_lore"))).otherwise("global_rules")
-    return rows.select(F.col("vec_id").alias("id"), "doc_id", collection.alias("collection"), F.col("source").alias("section_path"), F.col("text").alias("content"), (F.col("vec_id") % 4 != 1).alias("is_player_visible"), F.col("source").alias("scope"), F.col("embedding").alias("vector"))
+    return rows.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("doc_id"), collection.alias("collection"), text("source").alias("section_path"), text("text").alias("content"), (F.col("vec_id") % 4 != 1).alias("is_player_visible"), text("source").alias("scope"), F.col("embedding").alias("vector"))
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:

@@ -177,6 +177,12 @@ def superseded(stored: DataFrame) -> DataFrame:
     return place.withColumn("_place", newest).filter("_place > 1").select("_file", "_row")
 
 
+def without(stored: DataFrame, gone: DataFrame) -> DataFrame:
+    """Stored rows but for those at the places ``gone(_file, _row)``."""
+    rows = stored.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    return rows.join(gone, ["_file", "_row"], "left_anti").drop("_file", "_row")
+
+
 def current_rows(stored: DataFrame, most_broadcast: int = 500_000) -> DataFrame:
     """The rows of a chunk table that a reader sees.
 
@@ -186,10 +192,8 @@ def current_rows(stored: DataFrame, most_broadcast: int = 500_000) -> DataFrame:
     """
     gone = superseded(stored)
     many = gone.limit(most_broadcast + 1).count()
-    rows = stored.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
-    if many:
-        rows = rows.join(F.broadcast(gone) if many <= most_broadcast else gone.hint("shuffle_hash"), ["_file", "_row"], "left_anti")
-    return rows.drop("_file", "_row", "_version")
+    rows = without(stored, F.broadcast(gone) if many <= most_broadcast else gone.hint("shuffle_hash")) if many else stored
+    return rows.drop("_version")
 
 
 def read_chunks(spark: SparkSession, path: str, collection: str | None = None) -> DataFrame:
@@ -221,8 +225,7 @@ def merge_small_files(spark: SparkSession, path: str, fan: int = 4, least_bytes:
                 tiers.setdefault(int(math.log(max(1, size / least_bytes), fan)), []).append(f"{path}/{folder}/{name}")
         for files in (f for f in tiers.values() if len(f) >= fan):
             rows = spark.read.option("basePath", path).parquet(*files)
-            kept = rows.join(superseded(rows).hint("shuffle_hash"), (F.col("_metadata.file_path") == F.col("_file")) & (F.col("_metadata.row_index") == F.col("_row")), "left_anti")
-            kept.coalesce(1).write.mode("append").partitionBy("collection").parquet(path)
+            without(rows, superseded(rows).hint("shuffle_hash")).coalesce(1).write.mode("append").partitionBy("collection").parquet(path)
             for file in files:
                 delete_path(spark, file)
             merged += len(files)
