@@ -146,7 +146,7 @@ def centroids_of(sample: np.ndarray, cells: int, rounds: int = 10) -> np.ndarray
     return centers
 
 
-def ann(queries: DataFrame, chunks: DataFrame, k: int, recall: float = 0.95, sample_rows: int = 16_384, part_rows: int = 8192, **filters) -> DataFrame:
+def ann(queries: DataFrame, chunks: DataFrame, k: int, recall: float = 0.95, sample_rows: int = 16_384, part_rows: int = 8192, query_rows: int = 4096, **filters) -> DataFrame:
     """The k nearest chunks among those in the cells nearest to the query, by their exact cosine.
 
     Cells are fitted on a bounded sample of ``sample_rows`` chunks, those with the
@@ -181,8 +181,11 @@ def ann(queries: DataFrame, chunks: DataFrame, k: int, recall: float = 0.95, sam
     # a query meets a chunk in one cell only, so no pair is made twice; a large cell is dealt over several parts
     dealt = dealt.withColumn("_part", F.pmod(F.xxhash64("id"), parts).cast("int"))
     spread = asked.select("query_id", "vector", F.explode(nearest(visits)(F.col("vector"))).alias("_cell"))
-    spread = spread.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return with_payload(top_k(score_pairs(spread, dealt, ["_cell", "_part"], k, query_rows=None, chunk_rows=None), k), rows)
+    # and many queries over blocks, so that no task has all that visit a cell
+    blocks = max(1, -(-asked.count() // query_rows))
+    spread = spread.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    dealt = dealt.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return with_payload(top_k(score_pairs(spread, dealt, ["_cell", "_part", "_block"], k, query_rows=None, chunk_rows=None), k), rows)
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, campaign_k: int = 5, global_k: int = 3) -> DataFrame:

@@ -10,10 +10,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeline.operators.retrieval import hits
+from tomeline.operators.retrieval import hits, knn
 from tomeline.plans import views as v
 from tomeline.plans.folds import CHUNKED, STATE_SQL, states, states_as_rows
-from tomeline.sources import snapshots, stores
+from tomeline.plans.retrieval import CHUNKS, QUESTIONS
+from tomeline.sources import cell_index, snapshots, stores
 from tomeline.streaming import flows
 
 QUERIES = {}
@@ -130,6 +131,36 @@ def chunk_versions(spark: SparkSession, d: str) -> DataFrame:
     return stores.read_chunks(spark, path).groupBy("collection").agg(F.count(F.lit(1)).alias("n_chunks"), count("third"), count("second"))
 
 
+def stored_index(spark: SparkSession, d: str) -> str:
+    """An index of the chunks: two thirds when it was built, the rest added, and a tenth added again."""
+    path = new_folder(spark, "cells")
+    rows = v.chunks(spark, d)
+    cell_index.build_index(rows.filter("id % 3 > 0"), path)
+    cell_index.add_to_index(rows.filter("id % 3 = 0"), path)
+    cell_index.add_to_index(rows.filter("id % 10 = 0"), path)
+    return path
+
+
+@query(f"""WITH s AS (SELECT query_id, id, list_cosine_similarity(qv, vector) AS score FROM {QUESTIONS}, {CHUNKS}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score IS NOT NULL)
+SELECT count(*) AS n_exact, count(*) AS n_found, true AS recall_reached FROM r WHERE rank <= 5""")
+def indexed_recall(spark: SparkSession, d: str) -> DataFrame:
+    """V3: whether a search of the stored index finds nine tenths of the exact one's hits."""
+    asked = v.questions(spark, d)
+    exact = knn(asked, v.chunks(spark, d), 5).select("query_id", "id")
+    near = cell_index.search_index(spark, stored_index(spark, d), asked, 5).select("query_id", "id")
+    both = exact.join(near.withColumn("met", F.lit(1)), ["query_id", "id"], "left").agg(F.count(F.lit(1)).alias("n_exact"), F.count("met").alias("n_met"))
+    found = near.agg(F.count(F.lit(1)).alias("n_found"))
+    return both.join(found, F.lit(True)).select("n_exact", "n_found", (F.col("n_met") >= 0.9 * F.col("n_exact")).alias("recall_reached"))
+
+
+@query(f"""SELECT query_id, CAST(least(4, count(*)) AS BIGINT) AS n_hits, true AS in_scope FROM {QUESTIONS}, {CHUNKS} WHERE scope = 'src7' AND is_player_visible GROUP BY 1""")
+def indexed_in_scopes(spark: SparkSession, d: str) -> DataFrame:
+    """V4: a search of the stored index among the visible chunks of one scope finds k wherever there are k."""
+    found = cell_index.search_index(spark, stored_index(spark, d), v.questions(spark, d), 4, scopes=["src7"], visible=True)
+    return found.groupBy("query_id").agg(F.count_distinct("id").alias("n_hits"), F.bool_and((F.col("scope") == "src7") & F.col("is_player_visible")).alias("in_scope"))
+
+
 @query(CHUNKED + """, counted AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n_chunks FROM o GROUP BY 1)
 SELECT conv_id AS doc_id, 'completed' AS status, CAST(count(*) AS INTEGER) AS page_count, max(n_chunks) AS n_chunks FROM conversations JOIN counted ON doc_id = conv_id GROUP BY 1""")
 def streamed_ingest(spark: SparkSession, d: str) -> DataFrame:
