@@ -39,7 +39,7 @@ LONGEST = 25  # words of a super-k-mer of 13-word windows under one place of its
 def pack_texts(ids: pa.Array, texts: list[bytes]) -> bytes:
     """A slice: ids, which of them are there, and the documents, one a line, words joined by one space."""
     lines = b"\n".join([b" ".join(t.split()) for t in texts] + [b""])
-    return pack(ids.fill_null(0).to_numpy().astype("<i8"), ids.is_valid().to_numpy(zero_copy_only=False).astype("u1"), lines)
+    return pack(ids.fill_null(0).to_numpy().astype("<i8"), ids.is_valid().to_numpy(zero_copy_only=False).astype("u1"), lines, level=3)
 
 
 class Words:
@@ -151,7 +151,7 @@ class Plan:
         """For each bucket the distinct super-k-mers of the slice, with the least and greatest id and the place in the slice."""
         s = self.open(data)[-1]
         for bucket, a, b in by_value(s.bucket):
-            yield bucket, pack(np.array([a], "<i4"), s.low[a:b].astype("<i8"), s.high[a:b].astype("<i8"), b"\n".join(s.text[a:b]) + b"\n")
+            yield bucket, pack(np.array([a], "<i4"), s.low[a:b].astype("<i8"), s.high[a:b].astype("<i8"), b"\n".join(s.text[a:b]) + b"\n", level=6)
 
     def answer(self, table: pa.Table) -> pa.Table:
         """The task of a bucket: for each slice the runs of windows that a smaller id than one of the slice's holds."""
