@@ -56,31 +56,39 @@ class ByteTokenizer:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.path, self.slow = path, None
         spec = json.loads(Path(path).read_text())
         letters = byte_letters()
-        special = {t["content"] for t in spec.get("added_tokens", [])}
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        whole = {i: t.encode() if t in special or not all(c in letters for c in t) else bytes(letters[c] for c in t) for t, i in vocab.items()}
-        self.bytes = [whole.get(i, b"") for i in range(max(whole) + 1)]
-        ranks = {b: i for i, b in whole.items() if self.tokenizer.id_to_token(i) not in special}
+        added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         model, split = spec["model"], spec.get("pre_tokenizer") or {}
+        vocab = model["vocab"] | added
+        whole = {i: t.encode() if t in added or not all(c in letters for c in t) else bytes(letters[c] for c in t) for t, i in vocab.items()}
+        self.bytes = [whole.get(i, b"") for i in range(max(whole) + 1)]
+        ranks = {whole[i]: i for t, i in vocab.items() if t not in added}
         plain = (split.get("type"), split.get("add_prefix_space"), split.get("use_regex"), spec.get("normalizer"), model.get("type"), model.get("dropout"), bool(model.get("ignore_merges"))) == ("ByteLevel", False, True, None, "BPE", None, False)
         merged = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model.get("merges", [])]
         in_order = all(a is not None for a in merged) and merged == sorted(set(merged)) and len(ranks) == len(merged) + 256
         self.fast = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={}) if plain and in_order else None
 
+    def library(self):
+        """The tokenizers library's reading of the file, loaded when a text first needs it."""
+        if self.slow is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+            self.slow.encode_special_tokens = True
+        return self.slow
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         slow = list(range(len(texts))) if self.fast is None else [i for i, t in enumerate(texts) if UNLIKE.search(t)]
         left = set(slow)
         out = [[] if i in left else self.fast.encode_ordinary(t) for i, t in enumerate(texts)]
-        for i, found in zip(slow, self.tokenizer.encode_batch_fast([texts[i] for i in slow], add_special_tokens=False), strict=True):
-            out[i] = found.ids
+        if slow:
+            for i, found in zip(slow, self.library().encode_batch_fast([texts[i] for i in slow], add_special_tokens=False), strict=True):
+                out[i] = found.ids
         return out
 
 
@@ -281,7 +289,7 @@ def totals(width: int, best: np.ndarray, buckets: int):
     return run
 
 
-def align_documents(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 4_000_000, bucket_bytes: int = 8_000_000, least_buckets: int = 64, digest: bool = False) -> DataFrame:
+def align_documents(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 2_000_000, bucket_bytes: int = 8_000_000, least_buckets: int = 64, digest: bool = False) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups`` for every row.
 
     A is the byte-level tokenizer, asked for a space and the text, B the SentencePiece
