@@ -39,6 +39,13 @@ def test_digests_read_back(spark):
     assert chat.digests(chat.read_back(chat.format_conversations(chat.message_events(spark.createDataFrame([], TURNS))))).count() == 0
 
 
+def test_roles_of_any_length_read_back(spark):
+    roles = ["r" * 1_000_000, "\\" * 200_000, "a\n" * 150_000, "<|im_end|>\n\\" * 50_000]
+    df = spark.createDataFrame([(i, 0, r, "<s> text\n") for i, r in enumerate(roles)], TURNS)
+    found = chat.read_back(chat.format_conversations(chat.message_events(df))).collect()
+    assert {r.conv_id: (r.role, r.text) for r in found} == {i: (r, "<s> text\n") for i, r in enumerate(roles)}
+
+
 def test_events_fold_to_final_messages(spark):
     log = [
         (1, 1, 1, "start", "user", None), (1, 1, 2, "delta", None, "hel"), (1, 1, 3, "delta", None, "lo"),

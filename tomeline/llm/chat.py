@@ -46,7 +46,8 @@ def message_events(conversations: DataFrame, revised: bool = False) -> DataFrame
     With ``revised`` as a service would log it: a trained turn has a draft, a regenerate and
     its text in two deltas, a user's turn a draft and an edit; the final texts are the same.
     Rows of a conversation are ordered by turn (null first); ties by role, then a hash of the
-    text.  Repeated rows are messages of their own, null roles and texts are empty.
+    text.  Repeated rows are messages of their own, null roles and texts are empty.  Other
+    columns, whatever their names, are not read.
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     # the last part only keeps repeated rows apart; both events of a row come from one task
@@ -71,8 +72,8 @@ def fold_events(events: DataFrame) -> DataFrame:
     ``message`` is any orderable key.  Of equal sequence numbers a start, edit or
     regenerate counts before a delta.  The last reset (start, edit, regenerate) opens
     the final text; deltas before it are dropped.  The role is that of the last event
-    that has one.  Null texts are empty; unknown kinds do nothing.  All messages of a
-    conversation come out in one partition.
+    that has one.  Null texts are empty; unknown kinds do nothing; other columns are not
+    read.  All messages of a conversation come out in one partition.
     """
     reset = F.col("kind").isin("start", "edit", "regenerate")
     order = F.struct("seq", F.when(reset, 0).otherwise(1).alias("after"), F.coalesce(F.when(F.col("kind").isin("edit", "delta"), F.col("text")), F.lit("")).alias("text"))
@@ -95,7 +96,8 @@ def render(messages: DataFrame) -> DataFrame:
 
 def read_back(rendered: DataFrame) -> DataFrame:
     """Role and text of every rendered turn, from its formatted text alone."""
-    shape = rf"(?s)^\Q{START}\E((?:[^\\\n]|\\.)*)\n(.*)\Q{END}\E\n$"
+    # possessive, so that Java matches a role of any length without recursion
+    shape = rf"(?s)^\Q{START}\E((?:[^\\\n]++|\\.)*+)\n(.*)\Q{END}\E\n$"
     part = lambda i: unescape(F.regexp_extract("formatted", shape, i))
     return rendered.select("conv_id", "message", part(1).alias("role"), part(2).alias("text"), F.length("formatted").alias("chars"))
 
