@@ -126,7 +126,7 @@ def test_probes_follow_the_data():
     centers = rng.normal(size=(40, 16)) * 4
     clustered = centers[rng.integers(0, 40, 4000)] + 0.3 * rng.normal(size=(4000, 16))
     noise = rng.normal(size=(4000, 16))
-    few, many = (ann.probes_for(x, ann.fit(x, 60, 4, 64, 1), 20, 0.95) for x in (clustered, noise))
+    few, many = (ann.probes_for(x, ann.fit(x, ann.kmeans(x, 60, 12, 1), 4, 64, 1), 20, 0.95) for x in (clustered, noise))
     assert few <= 12 < many
 
 
@@ -141,3 +141,28 @@ def test_exact_topk_lengths_and_repeated_ids(spark):
 def test_kmeans_keeps_all_points(k):
     points = np.repeat(np.array([[0.0, 0.0], [5.0, 5.0]]), 20, axis=0)
     assert len(ann.kmeans(points, k, 5, 1)) == min(k, 2)
+
+
+@pytest.mark.parametrize(("copies", "others", "dims"), [(1990, 100, 64), (4000, 40, 64), (4000, 200, 64), (6000, 60, 8)])
+def test_ann_where_most_rows_are_equal(spark, copies, others, dims):
+    """Queries outside and inside a large group of copies: k rows each, and recall measured apart."""
+    rng = np.random.default_rng(1)
+    v = np.vstack([np.repeat(rng.normal(size=(1, dims)), copies, axis=0), rng.normal(size=(others, dims))]).astype(np.float32)
+    ids = rng.permutation(len(v))
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<float>")
+    outside, inside = ids[copies:].tolist(), ids[:15].tolist()
+    found: dict = {}
+    for r in ann.ann_search(df, df.filter(df.vec_id.isin(outside + inside)), part_rows=1500, query_rows=50).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert all(len(found[q]) == min(20, len(v) - 1) for q in outside + inside)
+    at, wide = {int(i): j for j, i in enumerate(ids)}, v.astype(np.float64)
+
+    def recall(queries):
+        met = 0
+        for q in queries:
+            score = ann.double_scores(wide, wide[at[q]])
+            want = [int(ids[j]) for j in np.lexsort((ids, -score)) if ids[j] != q][:20]
+            met += len(found[q] & set(want))
+        return met / (20 * len(queries))
+
+    assert recall(outside) >= 0.9 and recall(inside) >= 0.9

@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: inverted file of coarse centroids with product-quantised residuals.
 
-Centroids and codebooks are fitted on a bounded sample (``sample_rows`` rows, those
-with the smallest hash of their id); every row is indexed.  The vectors are turned by a
+Coarse cells and codebooks are fitted on a bounded sample (``sample_rows`` rows, those
+with the smallest hash of their id); each coarse cell is cut into finer ones by its own
+task, on a bounded sample of its rows.  Every row is indexed.  The vectors are turned by a
 random rotation before they are cut into parts, so no part has all of the spread.  A
 query visits the cells nearest to it: how many is read off the sample too, as the least
 share of the cells that holds ``target`` of the sample's own nearest neighbours.  In a
@@ -26,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomeline.llm.common import materialize, matrix, usable_vectors
+from tomeline.llm.common import block_of, materialize, matrix, usable_vectors
 
 INDEX = "id long, v array<double>, code binary, cell int"
-VISITS = "id long, v array<double>, part int"
+VISITS = "id long, v array<double>, part int, block int"
 RESULT = "query_id long, vec_id long, score double"
 
 
@@ -72,9 +73,9 @@ def rotation(dims: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def fit(sample: np.ndarray, cells: int, width: int, codes: int, seed: int) -> Quantizer:
-    """Coarse centroids, then a codebook for each part of the turned residuals."""
-    centroids, turn = kmeans(sample, cells, 12, seed), rotation(sample.shape[1], seed)
+def fit(sample: np.ndarray, centroids: np.ndarray, width: int, codes: int, seed: int) -> Quantizer:
+    """A codebook for each part of the turned residuals."""
+    turn = rotation(sample.shape[1], seed)
     residual = parts((sample - centroids[nearest_cell(sample, centroids)]) @ turn, width)
     books = [kmeans(residual[:, p], codes, 8, seed + 1 + p) for p in range(residual.shape[1])]
     books = [np.pad(b, ((0, codes - len(b)), (0, 0)), mode="edge") for b in books]
@@ -82,14 +83,22 @@ def fit(sample: np.ndarray, cells: int, width: int, codes: int, seed: int) -> Qu
 
 
 def probes_for(sample: np.ndarray, model: Quantizer, k: int, target: float, most_queries: int = 256) -> int:
-    """The number of cells to visit so that ``target`` of the sample's own nearest neighbours are in them."""
-    asked = sample[:: max(1, len(sample) // most_queries)][:most_queries]
-    score = asked @ sample.T
-    score[score >= (asked * asked).sum(1)[:, None] - 1e-12] = -np.inf  # the row itself and its copies
-    nearest = np.argpartition(-score, min(k, len(sample) - 1), axis=1)[:, :k]
-    order = np.argsort(-(asked @ model.centroids.T), axis=1, kind="stable")
+    """The number of cells to visit so that ``target`` of the sample's own nearest neighbours are in them.
+
+    Copies of a vector count once, as a query and as a neighbour: however many there are,
+    they lie in one cell and say nothing of where the neighbours of others lie.
+    """
+    rows = np.unique(sample, axis=0)
+    asked = np.linspace(0, len(rows) - 1, min(most_queries, len(rows))).astype(int)
+    score = rows[asked] @ rows.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    near = min(k, len(rows) - 1)
+    if not near:
+        return 1
+    nearest = np.argpartition(-score, near - 1, axis=1)[:, :near]
+    order = np.argsort(-(rows[asked] @ model.centroids.T), axis=1, kind="stable")
     rank = np.argsort(order, axis=1, kind="stable")
-    visits = np.take_along_axis(rank, nearest_cell(sample, model.centroids)[nearest], axis=1)
+    visits = np.take_along_axis(rank, nearest_cell(rows, model.centroids)[nearest], axis=1)
     return int(np.quantile(visits, target, method="higher")) + 1
 
 
@@ -137,16 +146,25 @@ def pack_cells(sizes: dict[int, int], most: int) -> dict[int, tuple[int, int]]:
     return placed
 
 
-def visited(vectors: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarray:
-    """Queries x cells: which cells each query visits."""
-    order = np.argsort(-(vectors @ centroids.T), axis=1, kind="stable")[:, :probes]
-    visit = np.zeros((len(vectors), len(centroids)), dtype=bool)
-    np.put_along_axis(visit, order, True, axis=1)
-    return visit
+class Visits(NamedTuple):
+    """How queries find their cells: so many of the nearest, and on until they hold ``least`` rows; ``sizes`` has the rows of each cell."""
+
+    probes: int
+    least: int
+    sizes: np.ndarray
+
+    def cells(self, vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+        """Queries x cells: which cells each query visits."""
+        order = np.argsort(-(vectors @ centroids.T), axis=1, kind="stable")
+        held = self.sizes[order]
+        wanted = (np.arange(len(centroids)) < self.probes) | (np.cumsum(held, axis=1) - held < self.least)
+        visit = np.zeros(order.shape, dtype=bool)
+        np.put_along_axis(visit, order, wanted, axis=1)
+        return visit
 
 
-def prober(dims: int, model: Quantizer, probes: int, placed: dict[int, tuple[int, int]]):
-    """Each query once for every group that holds a cell it visits."""
+def prober(dims: int, model: Quantizer, visits: Visits, placed: dict[int, tuple[int, int]], blocks: int):
+    """Each query once for every group that holds a cell it visits, in a block of queries by a hash of its id."""
 
     def run(batches):
         groups = max((g + n for g, n in placed.values()), default=0)
@@ -154,10 +172,12 @@ def prober(dims: int, model: Quantizer, probes: int, placed: dict[int, tuple[int
         for cell, (first, n) in placed.items():
             holds[cell, first : first + n] = True
         for batch in batches:
-            visit = visited(matrix(batch["v"], dims), model.centroids, probes)
-            rows, part = np.nonzero(visit.astype(np.float32) @ holds.astype(np.float32) > 0)
-            at = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([batch["id"].take(at), batch["v"].take(at), pa.array(part, pa.int32())], ["id", "v", "part"])
+            vectors = matrix(batch["v"], dims)
+            for lo in range(0, len(vectors), 1024):
+                visit = visits.cells(vectors[lo : lo + 1024], model.centroids)
+                rows, part = np.nonzero(visit.astype(np.float32) @ holds.astype(np.float32) > 0)
+                at = pa.array(lo + rows)
+                yield pa.RecordBatch.from_arrays([batch["id"].take(at), batch["v"].take(at), pa.array(part, pa.int32()), batch["block"].take(at)], ["id", "v", "part", "block"])
 
     return run
 
@@ -177,8 +197,8 @@ def shortfall(vectors: np.ndarray, cell: np.ndarray, code: np.ndarray, model: Qu
     return np.where(sound, 1 / np.where(sound, a, 1), 1.0), np.where(sound, b / np.where(sound, a, 1), np.inf) / np.sqrt(max(1, vectors.shape[1] - 1))
 
 
-def group_search(dims: int, model: Quantizer, probes: int, k: int, spread: float):
-    """The task of one group of cells: all queries that visit one of them."""
+def group_search(dims: int, model: Quantizer, visits: Visits, k: int, spread: float):
+    """The task of one group of cells and one block of queries: those that visit one of the cells."""
 
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
@@ -191,7 +211,7 @@ def group_search(dims: int, model: Quantizer, probes: int, k: int, spread: float
             asked, wanted = queries["id"].to_numpy(), matrix(queries["v"], dims)
             starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
             ends = np.r_[starts[1:], len(cell)]
-            visit = visited(wanted, model.centroids, probes)[:, cell[starts]]
+            visit = visits.cells(wanted, model.centroids)[:, cell[starts]]
             coarse = (wanted @ model.centroids[cell[starts]].T).astype(np.float32)
             tables = np.einsum("qpw,pcw->pqc", parts(wanted @ model.turn, model.width), model.books, optimize=True).astype(np.float32)
             factor, beside = (x.astype(np.float32) for x in shortfall(vectors, cell, code, model))
@@ -215,10 +235,13 @@ def group_search(dims: int, model: Quantizer, probes: int, k: int, spread: float
                 score = double_scores(vectors[first], wanted[part][:, None, :])
                 score[np.take_along_axis(rough, first, 1) == -np.inf] = -np.inf
                 least = score.min(axis=1) if score.shape[1] == k else np.full(len(score), -np.inf)
-                # rows that could come near even for a query that lies wholly beside them, then those that do
-                q, row = np.nonzero((rough + spread * np.sqrt(reach[part])[:, None] * beside >= least[:, None]) & (rough > -np.inf))
+                # rows that could come near even for a query that lies wholly beside them, then those that do, and those scored
+                chosen = np.zeros(rough.shape, dtype=bool)
+                np.put_along_axis(chosen, first, True, axis=1)
+                blur = 1e-5 * np.sqrt(reach[part])[:, None] * np.sqrt(size)  # of single precision
+                q, row = np.nonzero((chosen | (rough + blur + spread * np.sqrt(reach[part])[:, None] * beside >= least[:, None])) & (rough > -np.inf))
                 apart = np.sqrt(np.maximum(reach[part][q] - rough[q, row] ** 2 / size[row], 0))
-                near = ~np.isfinite(beside[row]) | (rough[q, row] + spread * apart * beside[row] >= least[q])
+                near = chosen[q, row] | ~np.isfinite(beside[row]) | (rough[q, row] + blur[q, row] + spread * apart * beside[row] >= least[q])
                 q, row = q[near], row[near]
                 score = double_scores(vectors[row], wanted[part][q])
                 order = np.lexsort((ids[row], -score, q))
@@ -239,21 +262,24 @@ def ann_search(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     sample_rows: int = 16_384,
-    most_cells: int = 1024,
+    cell_sample: int = 2048,
     target: float = 0.95,
     width: int = 4,
     codes: int = 256,
     spread: float = 2.0,
     part_rows: int = 4096,
+    query_rows: int = 4096,
     seed: int = 7,
 ) -> DataFrame:
     """The k nearest rows found for every query, by inner product in double precision.
 
-    ``sample_rows`` bounds what the quantiser and the number of visits are fitted on;
-    every row is indexed.  There are as many cells as the root of the rows, up to
-    ``most_cells``.  A group has about ``part_rows`` rows; a larger cell is dealt over
+    ``sample_rows`` bounds what the coarse cells, the quantiser and the number of visits
+    are fitted on, ``cell_sample`` what a coarse cell is cut on; every row is indexed.
+    There are about as many cells as the root of the rows.  A group has about
+    ``part_rows`` rows, a block ``query_rows`` queries; a larger cell is dealt over
     several groups, so nothing in it is left out, and there is no cap on the rows scored
-    exactly.  Returns ``query_id long, rank int, vec_id long, score double``, nearest
+    exactly.  A query visits cells until they hold ``k`` candidates, so it finds ``k``
+    wherever there are so many.  Returns ``query_id long, rank int, vec_id long, score double``, nearest
     first, ties to the smaller id.
 
     Null, empty or zero vectors, those with null or non-finite components, and null
@@ -264,24 +290,57 @@ def ann_search(
     nonzero = F.exists("v", lambda x: x != 0)
     rows, asked = (usable_vectors(df.filter(F.coalesce(F.exists(vector_col, lambda x: x != 0), F.lit(False))), id_col, vector_col).filter(nonzero) for df in (vectors, queries))
     lengths = asked.select("d").distinct().join(rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")), "d").orderBy("d").collect()
-    found = [search_length(rows.filter(F.col("d") == x["d"]), asked.filter(F.col("d") == x["d"]), x["d"], x["n"], k, sample_rows, most_cells, target, width, codes, spread, part_rows, seed) for x in lengths]
+    found = [search_length(rows.filter(F.col("d") == x["d"]), asked.filter(F.col("d") == x["d"]), x["d"], x["n"], k, sample_rows, cell_sample, target, width, codes, spread, part_rows, query_rows, seed) for x in lengths]
     if not found:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def search_length(rows: DataFrame, asked: DataFrame, dims: int, n: int, k: int, sample_rows: int, most_cells: int, target: float, width: int, codes: int, spread: float, part_rows: int, seed: int) -> DataFrame:
+def cut_cell(dims: int, cells: int, rows: int, seed: int):
+    """The task of a coarse cell: its share of the centroids, fitted on a sample of its own."""
+
+    def run(sample: pa.Table) -> pa.Table:
+        points = matrix(sample["v"], dims)
+        wanted = max(1, round(cells * sample["n"][0].as_py() / rows))
+        found = kmeans(points, wanted, 8, seed)
+        return pa.table({"coarse": pa.array([sample["coarse"][0].as_py()] * len(found), pa.int32()), "c": pa.array(list(found), pa.list_(pa.float64()))})
+
+    return run
+
+
+def fit_centroids(rows: DataFrame, sample: np.ndarray, dims: int, n: int, cell_sample: int, seed: int) -> np.ndarray:
+    """About as many centroids as the root of the rows: coarse ones on the sample, then each coarse cell cut by its own task."""
+    cells = max(1, isqrt(n))
+    coarse = kmeans(sample, max(1, isqrt(cells)), 12, seed)
+
+    def place(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["v"], pa.array(nearest_cell(matrix(batch["v"], dims), coarse), pa.int32())], ["id", "v", "coarse"])
+
+    dealt = rows.select("id", "v").mapInArrow(place, "id long, v array<double>, coarse int")
+    # shares by distinct vectors: copies of one need one centroid
+    sizes = dealt.groupBy("coarse").agg(F.approx_count_distinct(F.xxhash64("v")).alias("n"))
+    first = F.row_number().over(Window.partitionBy("coarse").orderBy(F.xxhash64("id"), "id"))
+    some = dealt.withColumn("_i", first).filter(F.col("_i") <= cell_sample).join(sizes, "coarse").select("coarse", "n", "v")
+    distinct = sizes.agg(F.sum("n")).first()[0]
+    found = some.groupBy("coarse").applyInArrow(cut_cell(dims, cells, distinct, seed), "coarse int, c array<double>").orderBy("coarse", "c").toArrow()  # a row for each cell
+    return matrix(found["c"], dims)
+
+
+def search_length(rows: DataFrame, asked: DataFrame, dims: int, n: int, k: int, sample_rows: int, cell_sample: int, target: float, width: int, codes: int, spread: float, part_rows: int, query_rows: int, seed: int) -> DataFrame:
     """The best rows of every group for every query, all vectors having one length."""
     sample = matrix(rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").toArrow()["v"], dims)
-    cells = max(1, min(most_cells, isqrt(n), len(sample) // 8))
-    model = fit(sample, cells, width, min(codes, len(sample)), seed)
-    probes = probes_for(sample, model, k, target)
+    model = fit(sample, fit_centroids(rows, sample, dims, n, cell_sample, seed), width, min(codes, len(sample)), seed)
     # written, so that a row keeps its cell on whatever machine it is read
     index = materialize(rows.select("id", "v").mapInArrow(indexer(dims, model), INDEX), "ann-index")
-    sizes = index.groupBy("cell").count().collect()  # at most a row for each cell
-    placed = pack_cells({r["cell"]: r["count"] for r in sizes}, part_rows)
+    sizes = {r["cell"]: r["count"] for r in index.groupBy("cell").count().collect()}  # at most a row for each cell
+    placed = pack_cells(sizes, part_rows)
+    # a query's own row is no candidate, so one row more
+    visits = Visits(probes_for(sample, model, k, target), k + 1, np.array([sizes.get(c, 0) for c in range(len(model.centroids))], np.int64))
     place = lambda i: F.element_at(F.create_map(*[F.lit(x) for c, p in placed.items() for x in (c, p[i])]), F.col("cell"))
-    left = index.withColumn("part", (place(0) + F.pmod(F.xxhash64("id"), place(1))).cast("int"))
-    right = asked.select("id", "v").mapInArrow(prober(dims, model, probes, placed), VISITS)
-    return left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(group_search(dims, model, probes, k, spread), RESULT)
+    blocks = max(1, -(-asked.count() // query_rows))
+    left = index.withColumn("part", (place(0) + F.pmod(F.xxhash64("id"), place(1))).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = asked.select("id", "v", block_of(F.col("id"), blocks).alias("block")).mapInArrow(prober(dims, model, visits, placed, blocks), VISITS)
+    keys = ["part", "block"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(group_search(dims, model, visits, k, spread), RESULT)
