@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -79,3 +82,40 @@ def test_numbers(spark):
     assert values(spark, fr.normalize_enum(F.col("e"), "hook_priority"), [("high",), ("urgent",), (None,)], "e string") == ["high", "low", "low"]
     assert values(spark, fr.decode_ts(F.col("e")), [("x",), (None,)], "e string") == [None, None]
     assert values(spark, fr.flag(F.col("e")), [(0,), (1,), (None,)], "e int") == [False, True, None]
+
+
+def packed_plainly(text, limit):
+    """Sentence by sentence."""
+    done, now = [], ""
+    for s in [x for x in re.split(r"(?<=[.?!])", text) if x]:
+        if now and len(now) + len(s) > limit:
+            done, now = [*done, now.strip()], s
+        else:
+            now += s
+    done += [now.strip()] if now.strip() else []
+    return done or [text[i : i + limit] for i in range(0, len(text), limit)]
+
+
+def test_packing_and_windows(spark):
+    rng = random.Random(4)
+    alphabet = "ab .?!\n\u3000\u00e9\U0001d11e"
+    texts = ["".join(rng.choices(alphabet, weights=[6, 6, 3, 1, 1, 1, 1, 1, 1, 1], k=rng.choice([0, 1, 5, 40, 300]))) for _ in range(150)] + ["   ", "...", "a" * 50, "\n" * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for limit in (1, 7, 40):
+        got = [r.p for r in df.select("i", ft.pack_sentences(F.col("t"), limit).alias("p")).orderBy("i").collect()]
+        assert got == [packed_plainly(t, limit) for t in texts]
+        for step in (1, 3, limit):
+            got = [r.w for r in df.select("i", ft.windows(F.col("t"), limit, step).alias("w")).orderBy("i").collect()]
+            assert got == [[t[a : a + limit] for a in range(0, len(t), step)] for t in texts]
+    assert df.limit(1).select(ft.pack_sentences(F.lit(None).cast("string"), 5).alias("p"), ft.windows(F.lit(None).cast("string"), 5, 5).alias("w")).first() == (None, None)
+
+
+def test_a_long_section_is_packed_in_a_moment(spark):
+    text = " ".join(f"Sentence number {i} of a long section." for i in range(40_000))
+    df = spark.createDataFrame([(text,)], "t string")
+    took = []
+    for _ in range(2):
+        begin = time.time()
+        pieces = df.select(F.explode(ft.pack_sentences(F.col("t"), 600)).alias("p")).agg(F.count("p"), F.max(F.length("p"))).first()
+        took.append(time.time() - begin)
+    assert pieces[0] > 2000 and pieces[1] <= 600 and min(took) < 2

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,27 +44,48 @@ def pack_sentences(text: Column, limit: int) -> Column:
     """Sentences packed greedily into pieces of at most ``limit`` characters, trimmed.
 
     A longer sentence is a piece of its own and never cut.  Only a text of nothing but
-    white space is cut by length.
+    white space is cut by length.  The sentences' lengths alone tell where pieces end; each
+    piece is then cut out once, so the time follows the length of the text.
     """
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
 
-    def step(state: Column, sentence: Column) -> Column:
-        full = (F.length(state["now"]) + F.length(sentence) > limit) & (state["now"] != "")
-        done = F.when(full, F.concat(state["done"], F.array(trim(state["now"])))).otherwise(state["done"])
-        return F.struct(done.alias("done"), F.when(full, sentence).otherwise(F.concat(state["now"], sentence)).alias("now"))
+    @F.arrow_udf("array<string>")
+    def packed(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else packed_pieces(t, limit) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return packed(text)
+
 
-    def finish(state: Column) -> Column:
-        last = trim(state["now"])
-        return F.when(last != "", F.concat(state["done"], F.array(last))).otherwise(state["done"])
+SENTENCE = re.compile(r"[^.?!]*(?:[.?!]|$)")
+# what the trim of a piece takes away, as ``trim`` does
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
-    packed = F.aggregate(sentences(text), start, step, finish)
-    return F.when(F.size(packed) > 0, packed).otherwise(windows(text, limit, limit))
+
+def packed_pieces(text: str, limit: int) -> list[str]:
+    """The pieces of one text (see ``pack_sentences``)."""
+    ends = np.unique(np.array([m.end() for m in SENTENCE.finditer(text)], np.int64))
+    ends = ends[ends > 0]
+    out, start, at = [], 0, 0
+    while at < len(ends):
+        # the last sentence that ends within the limit, or one that is longer alone
+        last = max(at, int(np.searchsorted(ends, start + limit, side="right")) - 1)
+        out.append(text[start : ends[last]].strip(SPACE))
+        start, at = int(ends[last]), last + 1
+    if out and not out[-1]:
+        out.pop()
+    return out or [text[i : i + limit] for i in range(0, len(text), limit)]
 
 
 def windows(text: Column, limit: int, step: int) -> Column:
-    """Fixed windows of ``limit`` characters that start every ``step``; the last one may be shorter."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(step))
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.substring(text, i + 1, F.lit(limit))))
+    """Fixed windows of ``limit`` characters that start every ``step``; the last one may be shorter.
+
+    The text is cut once into pieces of ``step`` characters; a window is a piece and what
+    it needs of the next ones.
+    """
+    more = -(-max(0, limit - step) // step)
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    # bound to a name, so that it is worked out once
+    cut = lambda ps: F.transform(ps, lambda p, i: F.left(F.concat(p, F.array_join(F.slice(ps, i + 2, F.lit(more)), "")), F.lit(limit)))
+    return F.transform(F.array(pieces), cut)[0]
 
 
 def overlap_tail(text: Column, size: int) -> Column:

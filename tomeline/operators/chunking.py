@@ -69,7 +69,7 @@ def sectionize(pages: DataFrame) -> DataFrame:
 def split_sections(sections: DataFrame, limit: int = CHUNK_MAX) -> DataFrame:
     """Sections as pieces of at most ``limit`` characters, with ``piece`` and whether the section was ``split``."""
     long = F.length("content") > limit
-    pieces = F.when(long, pack_sentences(F.col("content"), limit)).otherwise(F.array("content"))
+    pieces = F.when(long, pack_sentences(F.when(long, F.col("content")), limit)).otherwise(F.array("content"))
     kept = [c for c in sections.columns if c != "content"]
     return sections.select(*kept, long.alias("split"), F.posexplode(pieces).alias("piece", "content"))
 
