@@ -333,21 +333,21 @@ def test_mix_keeps_all_rows_and_follows_weights(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_many_sources_share_a_place(spark):
-    rows = [(i, "t", "en", "big" if i % 2 else f"s{i % 60}", 1) for i in range(6000)]
-    mixed = mixing.mix(spark.createDataFrame(rows, DOCS), block_docs=4, most_sources=8)
-    got = mixed.collect()
+def test_every_source_of_many_is_within_a_block(spark):
+    """5,000 sources, one of them with half of all rows: no source is ever a block or more from its share."""
+    rows = [(i, "t", "en", "big" if i % 2 else f"s{(i // 2) % 5000}", 1) for i in range(40_000)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS), block_docs=1).select("doc_id", "mix_source", "mix_slot", "mix_offset").collect()
     assert Counter((r.doc_id, r.mix_source) for r in got) == Counter((r[0], r[3]) for r in rows)
     assert len({(r.mix_slot, r.mix_offset) for r in got}) == len(got)
-    counts = Counter(r[3] for r in rows)
-    alone = {s for s, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:7]}
-    others = sorted((r.mix_slot, r.mix_offset, r.mix_source) for r in got if r.mix_source not in alone)
-    for s in set(counts) - alone:  # each is spread evenly over what the others share
-        for part in range(4):
-            here = sum(1 for x in others[part * len(others) // 4 : (part + 1) * len(others) // 4] if x[2] == s)
-            assert abs(here - counts[s] / 4) <= 2
-    with pytest.raises(ValueError, match="more than"):
-        mixing.mix(mixed, weights={str(i): 1.0 for i in range(9)}, most_sources=8)
+    period, counts = 4 * 5001, Counter(r[3] for r in rows)
+    shares = mixing.whole_shares(mixing.temperature_weights(counts, 0.5), period)
+    assert sum(shares.values()) == period and min(shares.values()) >= 1
+    plan = mixing.schedule(shares, period)
+    assert len(plan) == period
+    for source, i, slot in plan:  # block i begins after i / weight slots and ends before (i + 1) / weight
+        assert i * period // shares[source] <= slot < -(-(i + 1) * period // shares[source])
+    first = {(s, i): slot for s, i, slot in plan}
+    assert all(r.mix_slot % period in {first[r.mix_source, i] for i in range(shares[r.mix_source])} for r in got[::97])
 
 
 def test_rows_of_one_id_are_numbered_by_many_tasks(spark):

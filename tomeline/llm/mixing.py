@@ -5,8 +5,8 @@ target weight w, block i of a source is released at slot ``floor(i / w)`` and du
 ``ceil((i + 1) / w)``; earliest deadline first among the released blocks gives every
 slot to one source, and at any slot each source has had its share to within less than
 one block.  Weights are rounded to multiples of ``1 / period``, so the schedule repeats
-after ``period`` slots: one period, a table of bounded size, is scheduled on the
-driver, and Spark places all blocks by arithmetic.
+after ``period`` slots: one period, of at least four slots for each source, is
+scheduled on the driver, and Spark places all blocks by arithmetic.
 
 No row is dropped or repeated: when a source has run out, its slots are skipped and
 the others go on in proportion.
@@ -14,12 +14,13 @@ the others go on in proportion.
 
 from __future__ import annotations
 
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush, heapreplace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NO_SOURCE, POOL = "\x00none", "\x00others"
+NO_SOURCE = "\x00none"
+MOST_BROADCAST = 200_000  # slots, some 100 bytes each
 
 
 def whole_shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -31,8 +32,15 @@ def whole_shares(weights: dict[str, float], period: int) -> dict[str, int]:
     while (short := period - sum(shares.values())) > 0:
         for s in by_rest[:short]:
             shares[s] += 1
-    while sum(shares.values()) > period:
-        shares[max(shares, key=lambda s: (shares[s], s))] -= 1
+    over = sum(shares.values()) - period
+    if over > 0:  # one at a time from the largest share, of equal ones from the last name
+        rank = {s: i for i, s in enumerate(sorted(shares, reverse=True))}
+        largest = [(-n, rank[s], s) for s, n in shares.items()]
+        heapify(largest)
+        for _ in range(over):
+            n, at, s = largest[0]
+            shares[s] -= 1
+            heapreplace(largest, (n + 1, at, s))
     return shares
 
 
@@ -95,18 +103,16 @@ def mix(
     power: float = 0.5,
     block_docs: int = 16,
     period: int = 1024,
-    most_sources: int = 4096,
     id_col: str = "doc_id",
     source_col: str = "source",
 ) -> DataFrame:
     """All columns of ``docs`` with ``mix_source, mix_block, mix_slot, mix_offset``.
 
-    Reading by (mix_slot, mix_offset) gives the mixture.  ``weights`` maps at most
-    ``most_sources`` sources to target weights; without it they follow the sources' row
-    counts to ``power``.  Sources without a weight come after all others.  ``period`` is
-    raised to at least four slots for each source.  Of more than ``most_sources`` sources
-    the heaviest are scheduled each on its own; the others share one place in the
-    schedule with their summed weight, inside which each is spread evenly over its rows.
+    Reading by (mix_slot, mix_offset) gives the mixture.  ``weights`` maps sources to
+    target weights; without it they follow the sources' row counts to ``power``.  Sources
+    without a weight come after all others.  ``period`` is raised to at least four slots
+    for each source, so every source, however many there are, is scheduled on its own.
+    The driver holds the schedule: a few hundred bytes for each source, none for a row.
 
     A null source is a source of its own.  The order within a source is that of
     ``md5(id)``, then id, then a hash of the row, so repeated rows keep their number.
@@ -120,36 +126,20 @@ def mix(
     whole_row = F.xxhash64(*[F.to_json(F.struct(F.col(c))) if "map" in t or "variant" in t else F.col(c) for c, t in docs.dtypes])
     order = [F.md5(F.coalesce(own, F.lit(""))), own, whole_row]
     rows = docs.withColumn("_name", source)
-    pooled = None
     if weights is None:
-        counts = rows.groupBy(F.col("_name").alias("s")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "s")
-        found = counts.limit(most_sources + 1).collect()
-        heavy = {r["s"]: r["c"] for r in (found if len(found) <= most_sources else found[: most_sources - 1])}
-        weights = temperature_weights(heavy, power)
-        if len(found) > most_sources:
-            named = spark.createDataFrame([(s,) for s in heavy], "_name string")
-            pooled = counts.withColumnRenamed("s", "_name").join(F.broadcast(named), "_name", "left_anti")
-            weights[POOL] = pooled.agg(F.sum(F.pow("c", F.lit(power)))).first()[0]
-    elif len(weights) > most_sources:
-        raise ValueError(f"weights for more than {most_sources} sources")
+        counts = rows.groupBy(F.col("_name").alias("s")).agg(F.count(F.lit(1)).alias("c")).collect()  # a row for each source
+        weights = temperature_weights({r["s"]: r["c"] for r in counts}, power)
     period = max(period, 4 * len(weights))
     shares = whole_shares(weights, period) if any(w > 0 for w in weights.values()) else {}
     plan = [(s, i, slot, shares[s]) for s, i, slot in schedule(shares, period)]
     slots = spark.createDataFrame(plan, "_s string, _i long, _slot long, _share long")
     share = spark.createDataFrame(sorted(shares.items()), "_s string, _share long")
-    if pooled is None:
-        ranked = source_rank(rows, F.col("_name"), order)
-    else:
-        # a pooled row's place among its source's rows, from 0 to 1, as hex digits
-        first = source_rank(rows, F.col("_name"), order).drop("_s").join(pooled, "_name", "left")
-        spread = F.lpad(F.lower(F.hex(F.floor((F.col("_n") + 0.5) / F.col("c") * F.lit(float(1 << 52))).cast("long"))), 13, "0")
-        place = F.when(F.col("c").isNotNull(), F.col("_name"))
-        rows = first.withColumn("_at", F.coalesce(spread, order[0])).withColumn("_tie", F.concat_ws("/", place, own)).drop("_n")
-        ranked = source_rank(rows, F.when(F.col("c").isNotNull(), F.lit(POOL)).otherwise(F.col("_name")), [F.col("_at"), F.col("_tie"), order[2]])
-    ranked = ranked.join(F.broadcast(share), "_s", "left").withColumn("_k", F.floor(F.col("_n") / block_docs))
+    # a schedule of bounded size goes to every task, a longer one is joined by shuffle
+    sent = F.broadcast if period <= MOST_BROADCAST else (lambda df: df)
+    ranked = source_rank(rows, F.col("_name"), order)
+    ranked = ranked.join(sent(share), "_s", "left").withColumn("_k", F.floor(F.col("_n") / block_docs))
     ranked = ranked.withColumn("_i", F.col("_k") % F.col("_share"))
-    # at most `period` rows, a bound that the data cannot move
-    placed = ranked.join(F.broadcast(slots.drop("_share")), ["_s", "_i"], "left")
+    placed = ranked.join(sent(slots.drop("_share")), ["_s", "_i"], "left")
     slot = F.when(F.col("_share").isNotNull(), F.floor(F.col("_k") / F.col("_share")) * period + F.col("_slot"))
     late = F.lit(1 << 62) + F.col("_k")
     return placed.select(
