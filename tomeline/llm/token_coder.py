@@ -27,7 +27,8 @@ import numpy as np
 
 MAGIC = b"TMB2"
 HEAD = struct.Struct("<4sIIIII")  # magic, documents, ids, lanes, length of the coded words, ids are below this
-MOST_IDS = 1 << 21  # ids are below this
+MOST_IDS = 1 << 21  # blocks with ids from here on code each id as two symbols of 16 bits
+WIDE = 0  # the limit written for such blocks
 BITS = 30  # of the whole distribution; so all of the model fits 32-bit integers
 WEIGHT = 1 << 10
 TOP, MASK = 1 << 32, (1 << 48) - 1
@@ -253,10 +254,14 @@ def decode_ids(coded: bytes, n: int, lanes: int, limit: int) -> np.ndarray:
 
 def write_block(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
     """A block of whole documents: header, documents, coded ids, CRC-32."""
-    if len(ids) and (ids.min() < 0 or ids.max() >= MOST_IDS):
-        raise ValueError(f"ids must be from 0 to {MOST_IDS - 1}")
+    if len(ids) and (ids.min() < 0 or ids.max() >= 1 << 32):
+        raise ValueError(f"ids must be from 0 to {(1 << 32) - 1}")
     limit = int(ids.max()) + 1 if len(ids) else 1
-    coded, lanes = encode_ids(ids, limit) if len(ids) else (b"", 0)
+    if limit > MOST_IDS:
+        limit = WIDE
+        coded, lanes = encode_ids(ids.astype("<u4").view("<u2").astype(np.int32), 1 << 16)
+    else:
+        coded, lanes = encode_ids(ids, limit) if len(ids) else (b"", 0)
     known = np.array([d is not None for d in doc_ids], dtype=np.uint8)
     body = HEAD.pack(MAGIC, len(doc_ids), len(ids), lanes, len(coded), limit) + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + known.tobytes() + np.array(counts, "<u4").tobytes() + coded
     return body + struct.pack("<I", zlib.crc32(body))
@@ -271,5 +276,8 @@ def read_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     doc_ids, known = np.frombuffer(block, "<i8", docs, at).tolist(), np.frombuffer(block, np.uint8, docs, at + 8 * docs)
     counts = np.frombuffer(block, "<u4", docs, at + 9 * docs).astype(np.int64)
     at += 13 * docs
-    ids = decode_ids(block[at : at + size], n, lanes, limit) if n else np.zeros(0, np.int32)
+    if limit == WIDE:
+        ids = decode_ids(block[at : at + size], 2 * n, lanes, 1 << 16).astype("<u2").view("<u4").astype(np.int64)
+    else:
+        ids = decode_ids(block[at : at + size], n, lanes, limit) if n else np.zeros(0, np.int32)
     return [d if k else None for d, k in zip(doc_ids, known, strict=True)], counts, ids
