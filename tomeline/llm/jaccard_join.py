@@ -382,7 +382,7 @@ def place_pairs(pairs: DataFrame, pairs_per_block: int, shingles_per_block: int)
     # at most 8 rows for each block
     parts = sizes.filter("8 * load > 1").select("a", F.ceil(8 * F.col("load")).alias("parts"))
     part = F.pmod(F.xxhash64(F.lit(1), "b"), F.coalesce("parts", F.lit(1)))
-    placed = pairs.join(F.broadcast(parts), "a", "left").withColumn("block", F.pmod(F.xxhash64("a", part), F.lit(blocks)).cast("int"))
+    placed = pairs.join(parts, "a", "left").withColumn("block", F.pmod(F.xxhash64("a", part), F.lit(blocks)).cast("int"))
     return placed.drop("parts")
 
 
