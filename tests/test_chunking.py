@@ -108,3 +108,25 @@ def test_windows(spark):
     parts = [r.content for r in rows if r.node_id == "n"]
     assert all(len(p) <= 2048 for p in parts) and all(a[-64:] == b[:64] for a, b in zip(parts, parts[1:], strict=False) if len(a) == 2048)
     assert {r.node_id: r.is_player_visible for r in rows} == {"n": True, "h": False}
+
+
+def test_large_documents_in_parts(spark):
+    """Documents cut into parts give the rows that one task gives, short pieces and headings across parts included."""
+    rng = random.Random(12)
+    rows = []
+    for doc in range(4):
+        for page in range(1, rng.randint(3, 9)):
+            lines = []
+            for _ in range(rng.randint(0, 40)):
+                kind = rng.random()
+                title = rng.choice(["## ", "### "]) + rng.choice(["A", "B", "C"]) if kind < 0.12 else None
+                lines.append(title or " ".join(rng.choice(["word.", "x!", "longer words here.", "y", ""]) for _ in range(rng.randint(0, 9))))
+            rows.append((f"d{doc}", page, "\n".join(lines), rng.random() < 0.1))
+    rows += [("plain", 1, "no heading. " * 30, False), ("plain", 2, None, False), ("none", 1, "## only", False)]
+    pages = spark.createDataFrame(rows, "doc_id string, page_num int, raw_text string, is_dm_only boolean")
+    for limit, overlap in ((60, 25), (30, 29), (200, 10), (40, None)):
+        want = sorted(tuple(r) for r in oc.chunk_pages(pages, limit, overlap).collect())
+        for part_lines, part_sections in ((5, 1), (7, 3), (1, 50)):
+            got = oc.chunk_pages(pages, limit, overlap, large_chars=300, part_lines=part_lines, part_sections=part_sections)
+            assert sorted(tuple(r) for r in got.collect()) == want
+    assert oc.chunk_pages(pages.limit(0), 60, 25).count() == 0

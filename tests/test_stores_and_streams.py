@@ -187,3 +187,21 @@ def test_stream_ledger_refuses_what_comes_too_late(spark, tmp_path):
     op = lambda seq, amount: ("p", seq, "hp_delta", amount, None, 10, 30)
     got = live(spark, tmp_path, [[op(0, 3), op(100, -4)], [op(93, 2), op(5, 7)], [op(99, 1)]], late=10, block=4)
     assert (got["p"].current_hp, got["p"].refused, got["p"].seq) == (12, 1, 100)
+
+
+def test_event_log_needs_no_state(spark, tmp_path):
+    schema = "id string, session_id string, event_type string, description string, significance string, is_player_visible boolean, involved_character_ids array<string>, occurred_at timestamp"
+    row = lambda i, day: (i, "s", "odd", f"e{i}", None, None, None, None if day is None else datetime(2024, 1, day))
+    log, events = str(tmp_path / "log"), str(tmp_path / "in")
+
+    def land(rows, mark, **options):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(events)
+        flows.log_events(spark.readStream.schema(schema).parquet(events), log, str(tmp_path / mark), **options).awaitTermination()
+        return sorted((r.id is not None, r.id or "") for r in spark.read.parquet(log).collect())
+
+    assert len(land([row("a", 1), row("a", 1), row("b", 2), row(None, 2), row("c", None)], "m1")) == 4
+    assert len(land([row("b", 2), row("d", 2), row("e", 9)], "m1")) == 6
+    assert len(land([row("f", 1)], "m2")) == 7  # a new checkpoint reads all again and adds what is new
+    assert len(land([row("a", 2)], "m3", days_apart=1)) == 7 and len(land([row("a", 5)], "m3", days_apart=1)) == 8
+    first = spark.read.parquet(log).filter("id = 'd'").first()
+    assert (first.event_type, first.significance, first.is_player_visible) == ("custom", "minor", True)

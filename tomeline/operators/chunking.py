@@ -18,7 +18,37 @@ def page_lines(text: Column) -> Column:
     return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
 
 
-def sectionize(pages: DataFrame) -> DataFrame:
+def headings(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines with the number of headings up to each, the last heading of either level and the first third-level one, within ``keys``."""
+    order = Window.partitionBy(*keys).orderBy("page_num", "line").rowsBetween(Window.unboundedPreceding, 0)
+    at = lambda level: F.when(F.col("level") == level, F.struct("page_num", "line", "title"))
+    return lines.withColumns(
+        {
+            "section": F.sum(F.when(F.col("level").isNotNull(), 1).otherwise(0)).over(order),
+            "h2": F.last(at(2), ignorenulls=True).over(order),
+            "h3": F.last(at(3), ignorenulls=True).over(order),
+            "first3": F.first(at(3), ignorenulls=True).over(order),
+        }
+    )
+
+
+def headings_in_parts(lines: DataFrame, part_lines: int) -> DataFrame:
+    """``headings`` of whole documents, worked out in parts of a page's lines.
+
+    Each part is scanned by itself; what the parts before it bring (headings so far, the
+    last and first ones) comes from a narrow table of one row for each part.
+    """
+    keys = ["doc_id", "page_num", "part"]
+    local = headings(lines.withColumn("part", F.floor(F.col("line") / part_lines)), keys)
+    at = F.struct("page_num", "line", "title")
+    ends = local.groupBy(*keys).agg(F.max("section").alias("n"), *[F.max(F.when(F.col("level") == i, at)).alias(f"h{i}") for i in (2, 3)], F.min(F.when(F.col("level") == 3, at)).alias("first3"))
+    before = Window.partitionBy("doc_id").orderBy("page_num", "part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n"), *[F.last(c, ignorenulls=True).over(before).alias(f"_{c}") for c in ("h2", "h3")], F.first("first3", ignorenulls=True).over(before).alias("_first3"))
+    rows = local.join(carried, keys)
+    return rows.withColumns({"section": F.col("section") + F.col("_n"), "h2": F.coalesce("h2", "_h2"), "h3": F.coalesce("h3", "_h3"), "first3": F.coalesce("_first3", "first3")}).drop("_n", "_h2", "_h3", "_first3", "part")
+
+
+def sectionize(pages: DataFrame, part_lines: int | None = None) -> DataFrame:
     """``doc_id, section, section_path, content, page_start, page_end, is_player_visible``.
 
     A section opens at every ``## `` or ``### `` line, which is no content itself, and is
@@ -26,21 +56,16 @@ def sectionize(pages: DataFrame) -> DataFrame:
     third-level one under it; a third-level heading before any second-level one takes
     its place.  It is hidden where a page it touches is marked.  A document without any
     section is one section of all its pages.
+
+    One task scans a document's lines; with ``part_lines`` many do (the same rows, and
+    one more shuffle).
     """
     lines = pages.select("doc_id", "page_num", "is_dm_only", F.posexplode(page_lines(F.col("raw_text"))).alias("line", "text"))
     bare = trim(F.col("text"))
     level = F.when(bare.startswith("## "), 2).when(bare.startswith("### "), 3)
     title = F.when(level == 2, F.regexp_replace(bare, "^(## )+", "")).when(level == 3, F.regexp_replace(bare, "^(### )+", ""))
     rows = lines.withColumns({"level": level, "title": title})
-    order = Window.partitionBy("doc_id").orderBy("page_num", "line").rowsBetween(Window.unboundedPreceding, 0)
-    heads = rows.withColumns(
-        {
-            "section": F.sum(F.when(F.col("level").isNotNull(), 1).otherwise(0)).over(order),
-            "h2": F.last(F.when(F.col("level") == 2, F.struct("page_num", "line", "title")), ignorenulls=True).over(order),
-            "h3": F.last(F.when(F.col("level") == 3, F.struct("page_num", "line", "title")), ignorenulls=True).over(order),
-            "first3": F.first(F.when(F.col("level") == 3, F.struct("page_num", "line", "title")), ignorenulls=True).over(order),
-        }
-    )
+    heads = headings(rows, ["doc_id"]) if part_lines is None else headings_in_parts(rows, part_lines)
     root = F.coalesce("h2", "first3")
     leaf = F.when(F.col("h3") > root, F.col("h3"))
     path = F.concat_ws(" > ", root["title"], leaf["title"])
@@ -74,42 +99,74 @@ def split_sections(sections: DataFrame, limit: int = CHUNK_MAX) -> DataFrame:
     return sections.select(*kept, long.alias("split"), F.posexplode(pieces).alias("piece", "content"))
 
 
-def add_overlap(pieces: DataFrame, size: int | None = CHUNK_OVERLAP) -> DataFrame:
+def add_overlap(pieces: DataFrame, size: int | None = CHUNK_OVERLAP, part_sections: int | None = None) -> DataFrame:
     """Numbered chunks, each after the end of the chunk before it in its document.
 
     After a whole section the end of its raw text counts, after a piece of a split
     section the end of the piece with its own overlap.  These differ only where such a
-    piece is shorter than ``size``; only documents with one are folded chunk by chunk.
-    ``size`` None adds no overlap.
+    piece is shorter than ``size``; only runs of these, with the chunk after each, are
+    folded chunk by chunk.  ``size`` None adds no overlap.  One task numbers a document's
+    chunks; with ``part_sections`` many do (the same rows, and one more shuffle).
     """
-    order = Window.partitionBy("doc_id").orderBy("section", "piece")
-    numbered = pieces.withColumn("chunk_ix", (F.row_number().over(order) - 1).cast("int"))
+    keys, rows, place = ["doc_id"], pieces, F.struct("section", "piece")
+    if part_sections is not None:
+        keys, rows = ["doc_id", "part"], pieces.withColumn("part", F.floor(F.col("section") / part_sections))
+    order = Window.partitionBy(*keys).orderBy("section", "piece")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    short = (F.col("split") & (F.length("content") < size)) if size is not None else F.lit(False)
+    tail = F.when(~short, overlap_tail(F.col("content"), size or 0))
+    marks = {
+        "chunk_ix": F.row_number().over(order) - 1,
+        # short pieces and the chunk that follows them have the same number of other chunks before them
+        "run": F.coalesce(F.sum(F.when(short, 0).otherwise(1)).over(before), F.lit(0)),
+        "tail": F.last(tail, ignorenulls=True).over(before),
+        "after_short": F.lag(short).over(order),
+    }
+    kept = [c for c in pieces.columns if c not in ("content", "split", "piece", "section")] + ["chunk_ix"]
+    rows = rows.withColumns(marks if size is not None else {"chunk_ix": marks["chunk_ix"]})
+    if part_sections is not None:
+        parts = pieces.withColumn("part", F.floor(F.col("section") / part_sections))
+        ends = parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(short, 0).otherwise(1)).alias("whole"), F.max_by(tail, F.when(~short, place)).alias("last"), F.max_by(short, place).alias("ends_short"))
+        earlier = Window.partitionBy("doc_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        total = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+        carried = ends.select(*keys, total("n").alias("_n"), total("whole").alias("_run"), F.last("last", ignorenulls=True).over(earlier).alias("_tail"), F.last("ends_short").over(earlier).alias("_short"))
+        rows = rows.join(carried, keys)
+        more = {"chunk_ix": F.col("chunk_ix") + F.col("_n")}
+        if size is not None:
+            more |= {"run": F.col("run") + F.col("_run"), "tail": F.coalesce("tail", "_tail"), "after_short": F.coalesce("after_short", "_short")}
+        rows = rows.withColumns(more).drop("_n", "_run", "_tail", "_short", "part")
+    rows = rows.withColumn("chunk_ix", F.col("chunk_ix").cast("int"))
     if size is None:
-        return numbered.drop("split", "piece", "section")
-    every = Window.partitionBy("doc_id")
-    short = F.col("split") & (F.length("content") < size)
-    marked = numbered.withColumns({"short": F.bool_or(short).over(every), "tail": overlap_tail(F.lag("content").over(order), size)})
-    kept = [c for c in numbered.columns if c not in ("content", "split", "piece", "section")]
-    plain = marked.filter(~F.col("short")).select(*kept, with_overlap(F.col("content"), F.col("tail")).alias("content"))
-
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("tail"))
+        return rows.select(*[c for c in kept if c != "chunk_ix"], "content", "chunk_ix")
+    folds = short | F.coalesce("after_short", F.lit(False))
+    plain = rows.filter(~folds).select(*kept, with_overlap(F.col("content"), F.col("tail")).alias("content"))
 
     def step(state: Column, row: Column) -> Column:
         text = with_overlap(row["content"], state["tail"])
-        return F.struct(F.concat(state["done"], F.array(text)).alias("done"), overlap_tail(F.when(row["split"], text).otherwise(row["content"]), size).alias("tail"))
+        return F.struct(F.array_append(state["done"], text).alias("done"), overlap_tail(F.when(row["split"], text).otherwise(row["content"]), size).alias("tail"))
 
-    row = F.struct("chunk_ix", "content", "split", *[F.col(c) for c in kept if c not in ("doc_id", "chunk_ix")])
-    grouped = marked.filter("short").groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    row = F.struct("chunk_ix", "content", "split", "tail", *[F.col(c) for c in kept if c not in ("doc_id", "chunk_ix")])
+    grouped = rows.filter(folds).groupBy("doc_id", "run").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.coalesce(F.col("rows")[0]["tail"], F.lit("")).alias("tail"))
     folded = grouped.select("doc_id", "rows", F.aggregate("rows", start, step, lambda s: s["done"]).alias("texts"))
     flat = folded.select("doc_id", F.explode(F.arrays_zip("rows", "texts")).alias("z"))
     exact = flat.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"z.rows.{c}").alias(c) for c in kept], F.col("z.texts").alias("content"))
     return plain.unionByName(exact)
 
 
-def chunk_pages(pages: DataFrame, limit: int = 0, overlap: int | None = 0) -> DataFrame:
-    """Pages to chunks ``doc_id, section_path, page_start, page_end, is_player_visible, chunk_ix, content``; 0 stands for the default size."""
-    sections = split_sections(sectionize(pages), limit or CHUNK_MAX)
-    return add_overlap(sections, overlap if overlap is None else overlap or CHUNK_OVERLAP)
+def chunk_pages(pages: DataFrame, limit: int = 0, overlap: int | None = 0, large_chars: int = 20_000_000, part_lines: int = 20_000, part_sections: int = 2_000) -> DataFrame:
+    """Pages to chunks ``doc_id, section_path, page_start, page_end, is_player_visible, chunk_ix, content``; 0 stands for the default size.
+
+    A document is the work of one task for most; documents of more than ``large_chars``
+    characters are cut in parts that many tasks take, with the same rows.
+    """
+    size, limit = overlap if overlap is None else overlap or CHUNK_OVERLAP, limit or CHUNK_MAX
+    large = pages.groupBy("doc_id").agg(F.sum(F.length("raw_text")).alias("_chars")).filter(F.col("_chars") > large_chars).select("doc_id")
+    if large.isEmpty():
+        return add_overlap(split_sections(sectionize(pages), limit), size)
+    usual = add_overlap(split_sections(sectionize(pages.join(large, "doc_id", "left_anti")), limit), size)
+    long = split_sections(sectionize(pages.join(large, "doc_id", "left_semi"), part_lines), limit)
+    return usual.unionByName(add_overlap(long, size, part_sections))
 
 
 def window_chunks(nodes: DataFrame, limit: int = 2048, overlap: int = 64, visible: bool = True) -> DataFrame:

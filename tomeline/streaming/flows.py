@@ -33,12 +33,8 @@ def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str,
     which takes the batch up again when it is started anew.
     """
 
-    def first_number() -> int:
-        told = spark.read.text(f"{checkpoint}/metadata").first()[0]  # names the checkpoint
-        return claim_number(spark, f"{out}/_streams", told, 0) * 1_000_000
-
     def batch(pages: DataFrame, number: int) -> None:
-        seq = first_number() + number
+        seq = numbered_on(spark, out, checkpoint, number)
         pages.persist()
         landed = docs.join(pages.select("doc_id").distinct(), "doc_id", "left_semi")
         try:
@@ -56,6 +52,12 @@ def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str,
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def numbered_on(spark: SparkSession, out: str, checkpoint: str, number: int) -> int:
+    """A batch's number among all streams that write to ``out``: each checkpoint counts from a million of its own."""
+    told = spark.read.text(f"{checkpoint}/metadata").first()[0]  # names the checkpoint
+    return claim_number(spark, f"{out}/_streams", told, 0) * 1_000_000 + number
+
+
 def failing_documents(pages: DataFrame, docs: DataFrame, limit: int, overlap: int, dims: int) -> list[tuple[str, str]]:
     """Documents of a batch whose data give an error, each with it, by halves: a number of trials that grows with the failing ones."""
     failed, todo = [], [[r.doc_id for r in docs.select("doc_id").distinct().collect()]]
@@ -86,6 +88,34 @@ def stream_events(events: DataFrame, delay: str | None = None) -> DataFrame:
     return rows.withWatermark("occurred_at", delay).dropDuplicatesWithinWatermark(["id"])
 
 
+def log_events(events: DataFrame, path: str, checkpoint: str, days_apart: int = 0):
+    """Append a stream of session events to a stored log, each id once, without any state but the log itself.
+
+    The log lies in folders by day of ``occurred_at`` and batch.  Of a batch's events those
+    stay whose id is not stored under a day within ``days_apart`` of its own: only the ids
+    of these days are read.  (An event that arrives again has its own time again; where
+    sources give other times, ``days_apart`` says how far.)  A batch that is run again
+    replaces what it wrote, and a stream that lost its checkpoint, or a second one, adds
+    nothing that is stored.  Ends when no more events are there.
+    """
+    spark = events.sparkSession
+    rows = normalized(with_defaults(events, "session_events"), event_type="event_type", significance="significance")
+
+    def batch(fresh: DataFrame, number: int) -> None:
+        seq = numbered_on(spark, path, checkpoint, number)
+        held = once = fresh.dropDuplicates(["id"]).withColumn("day", F.coalesce(F.date_format("occurred_at", "yyyy-MM-dd"), F.lit("none"))).persist()
+        near = once.select(F.explode(F.when(F.col("day") == "none", F.array("day")).otherwise(F.transform(F.sequence(F.lit(-days_apart), F.lit(days_apart)), lambda i: F.date_format(F.date_add(F.to_date("occurred_at"), i), "yyyy-MM-dd")))).alias("d"))
+        days = {r.d for r in near.distinct().collect()} & {n.partition("=")[2] for n, _ in folder_entries(spark, path) if n.startswith("day=")}  # a name for each day
+        if days:
+            stored = spark.read.schema(f"{once.select('id').schema.simpleString()[7:-1].replace(':', ' ')}, day string, batch long").option("basePath", path).parquet(*[f"{path}/day={d}" for d in sorted(days)])
+            known = stored.filter(F.col("batch") != seq).select(F.col("id").alias("_known"))
+            once = once.join(known, F.col("id").eqNullSafe(F.col("_known")), "left_anti")
+        once.withColumn("batch", F.lit(seq).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
+        held.unpersist()
+
+    return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 Standing = tuple[int, bool, list[str]]
 Operation = tuple[int, str, int | None, str | None]
 
