@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 
+import duckdb
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -154,3 +155,72 @@ def test_very_long_and_repeated_urls(spark):
     got = {r.page_id: r for r in url_filter.filter_urls(url_filter.judged_urls(pages, RULES), model).collect()}
     assert len(got) == 6 and got[0].block_score == got[2].block_score
     assert all(abs(r.block_score - plain_score(r.host, r.path, model)) < 1e-9 for r in got.values())
+
+
+URL_SQL = r"""
+WITH p AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
+), h AS (
+  SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p
+), r(rh, rp) AS (VALUES ('com', '/'), ('example.com', '/en/'), ('www.example.com', '/en/'), ('net', '/es/'), ('net', '/fr/')
+), f AS (
+  SELECT h.*, rh || rp AS name, row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC NULLS LAST) AS i
+  FROM h LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+)
+SELECT page_id, host, path, name FROM f WHERE i = 1
+"""
+
+
+def test_parts_and_rules_of_all_pages_as_sql(spark):
+    """Host, path and rule of every page in DuckDB; where a rule fits, its verdict holds, else the score's side of the threshold."""
+    con = duckdb.connect()
+    con.execute("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.1/pages.parquet'")
+    rows = queries.op5_url_filter(spark, "/root/testdata/sf0.1").collect()
+    assert sorted((r.page_id, r.host, r.path, r.rule or "") for r in rows) == sorted((a, b, c, d or "") for a, b, c, d in con.execute(URL_SQL).fetchall())
+    verdicts = {rule.name: rule.verdict for rule in RULES}
+    assert all(r.verdict == (verdicts[r.rule] if r.rule else "block" if r.block_score >= 0.5 else "allow") for r in rows)
+    assert {r.rule for r in rows} >= {"com/", "net/es/", "net/fr/", None}
+
+
+def test_the_fit_against_a_plain_one():
+    """Gradient descent over all n-grams of some rows, one by one, gives the same weights."""
+    rows = url_labels.labelled_urls(2).iloc[::9]
+    model = url_filter.fit(rows, bits=10, rounds=5)
+    rows = rows.sort_values(["host", "path", "block"], kind="stable")
+    examples = []
+    for host, path in zip(rows["host"], rows["path"], strict=True):
+        found = []
+        for salt, text in ((1, host), (2, path)):
+            _, bucket = url_filter.features([text], 10, salt)
+            found += bucket.tolist()
+        examples.append(found)
+    weights, bias, y = np.zeros(1024), 0.0, rows["block"].to_numpy(float)
+    for _ in range(5):
+        error = []
+        for found, label in zip(examples, y, strict=True):
+            z = sum(weights[b] for b in found) / math.sqrt(len(found)) + bias
+            error.append((1 / (1 + math.exp(-z)) - label) / len(y))
+        step = np.zeros(1024)
+        for found, e in zip(examples, error, strict=True):
+            for b in found:
+                step[b] += e / math.sqrt(len(found))
+        weights -= 20.0 * (step + 1e-5 * weights)
+        bias -= 20.0 * sum(error)
+    assert np.allclose(weights, model.weights) and abs(bias - model.bias) < 1e-9
+
+
+def test_words_that_the_table_lacks():
+    """Whole words held out: what share of their unwanted URLs is found, and how many ordinary ones are blocked."""
+    labels = url_labels.labelled_urls()
+    found = blocked = unwanted = ordinary = 0
+    for fold in range(4):
+        out = {w for words in (url_labels.UNWANTED, url_labels.ORDINARY) for i, w in enumerate(words) if i % 4 == fold}
+        held = labels["host"].map(lambda h: any(w in h for w in out))
+        model = url_filter.fit(labels[~held])
+        row, bucket, value = url_filter.design(labels[held]["host"].tolist(), labels[held]["path"].tolist(), model.bits)
+        z = np.bincount(row, model.weights[bucket] * value, int(held.sum())) + model.bias
+        y = labels[held]["block"].to_numpy() == 1
+        found, blocked = found + int((z[y] > 0).sum()), blocked + int((z[~y] > 0).sum())
+        unwanted, ordinary = unwanted + int(y.sum()), ordinary + int((~y).sum())
+    assert 0.2 < found / unwanted and blocked / ordinary < 0.1
+    print(found / unwanted, blocked / ordinary)

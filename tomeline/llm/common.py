@@ -20,12 +20,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+MADE: list[str] = []  # folders that this driver had tables written to
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one, for ``release_files`` to delete."""
+    MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of ``df``: write it as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release_files(spark: SparkSession) -> int:
+    """Delete the tables that operators of this driver wrote to the shared folder and that results read lazily.
+
+    To be called once the results are stored elsewhere; returns the folders deleted.
+    """
+    gone = 0
+    while MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(MADE.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 def discard(*frames: DataFrame) -> None:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeline.llm import alignment, ann, chat, exact_topk, jaccard_join, language_id, lexical, licenses, mixing, pieces, repeats, token_files, url_filter, url_labels
-from tomeline.llm.common import table
-from tomeline.sources.stores import shared_dir
+from tomeline.llm.common import new_folder, table
 
 RULES = [
     url_filter.Rule("com", "/", "allow"),
@@ -50,7 +48,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = new_folder(spark, "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path(WORD_TOKENIZER))
     return token_files.read_tokens(spark, path, want_ids=False)
 

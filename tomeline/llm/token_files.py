@@ -203,7 +203,7 @@ def encode_partition(path: str, end_id: int, block_ids: int, batch_chars: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 2_000_000, batch_chars: int = 6_000_000) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 2_000_000, batch_chars: int = 9_000_000) -> None:
     """Encode every whole text, append ``end_id``, and write all ids in ascending order of ``id_col``.
 
     Null texts are empty (the end id alone); null ids come first; rows that share an id

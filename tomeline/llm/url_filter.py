@@ -141,7 +141,9 @@ def filter_urls(parts: DataFrame, model: Model | None, threshold: float = 0.5) -
     """``page_id, host, path, rule, verdict, block_score`` for every row of ``judged_urls``.
 
     A null URL, or one without ``://``, has an empty host and path and is judged by the
-    model's bias alone.  Repeated rows give repeated rows; an empty table an empty one.
+    model's bias alone.  URLs of any length are judged whole.  Repeated rows give
+    repeated rows; an empty table an empty one; other columns of the pages, whatever
+    their names, do not go along.
     """
     flat = parts.select("page_id", "host", "path", F.col("found.name").alias("rule"), F.col("found.verdict").alias("ruled"))
     schema = ", ".join(f"`{n}` {t}" for n, t in flat.dtypes)
