@@ -329,14 +329,14 @@ def encoded_states(spark: SparkSession, d: str) -> DataFrame:
 TASK_ROWS = " UNION ALL ".join(f"SELECT '{name}' AS task, '{str(t['system']).replace(chr(39), chr(39) * 2)}' AS system, CAST({t['temperature']} AS DOUBLE) AS temperature, {t['max_tokens']} AS max_tokens" for name, t in orp.TASKS.items())
 
 
-@query(f"""SELECT r_regionkey AS request_id, task, md5(system || CASE WHEN n % 2 = 0 THEN chr(10) || chr(10) || names ELSE '' END) AS system_md5, 'about ' || r_name AS content, temperature, max_tokens
-FROM (SELECT r_regionkey, r_name, count(*) AS n, string_agg(c_name, ',' ORDER BY c_custkey) AS names FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2), ({TASK_ROWS})""")
+@query(f"""SELECT o_orderkey AS request_id, task, md5(system || CASE WHEN n % 2 = 0 THEN chr(10) || chr(10) || parts ELSE '' END) AS system_md5, 'about ' || o_orderpriority AS content, temperature, max_tokens
+FROM (SELECT o_orderkey, o_orderpriority, count(*) AS n, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS parts FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2), ({TASK_ROWS})""")
 def task_requests(spark: SparkSession, d: str) -> DataFrame:
-    """The request of every task, with a context (the names of a region's customers) where there is one."""
-    joined = v.table(spark, d, "customer").join(v.table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(v.table(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
-    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: x["c_name"]), ",")
-    rows = joined.groupBy("r_regionkey", "r_name").agg(F.count(F.lit(1)).alias("n"), names.alias("names"))
-    built = [orp.build_requests(rows, task, F.concat(F.lit("about "), F.col("r_name")), F.when(F.col("n") % 2 == 0, F.col("names")), "r_regionkey") for task in orp.TASKS]
+    """The request of every task about each order, with a context (its parts) where there is one."""
+    joined = v.table(spark, d, "orders").join(v.table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"].cast("string")), ",")
+    rows = joined.groupBy("o_orderkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), parts.alias("parts"))
+    built = [orp.build_requests(rows, task, F.concat(F.lit("about "), F.col("o_orderpriority")), F.when(F.col("n") % 2 == 0, F.col("parts")), "o_orderkey") for task in orp.TASKS]
     every = built[0]
     for more in built[1:]:
         every = every.union(more)
