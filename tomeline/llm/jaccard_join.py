@@ -126,6 +126,7 @@ SEGMENTS = "fragment int, doc_id long, n int, node long, nodes binary, counts bi
 NAMES = ["fragment", "doc_id", "n", "node", "nodes", "counts", "hashes", "common", "entries"]
 KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 ENTRY = np.dtype([("node", "<i8"), ("n", "<i4"), ("df", "<i4"), ("h", "<u8")])
+MOST_BROADCAST = 100_000  # rows of two numbers
 COMMON = (1 << 31) - 1  # stands for the number of nodes of a shingle that many nodes of one batch have
 
 
@@ -379,10 +380,10 @@ def place_pairs(pairs: DataFrame, pairs_per_block: int, shingles_per_block: int)
     load = lambda count, size: F.greatest(count / F.lit(pairs_per_block), size / F.lit(shingles_per_block))
     blocks = max(1, -(-total[0] // pairs_per_block), -(-(total[1] or 0) // shingles_per_block))
     sizes = pairs.groupBy("a").agg(load(F.count(F.lit(1)), F.sum(F.col("nb").cast("long"))).alias("load"))
-    # at most 8 rows for each block
+    # at most 8 rows for each block; so few as to go to every task, or else joined by shuffle
     parts = sizes.filter("8 * load > 1").select("a", F.ceil(8 * F.col("load")).alias("parts"))
     part = F.pmod(F.xxhash64(F.lit(1), "b"), F.coalesce("parts", F.lit(1)))
-    placed = pairs.join(parts, "a", "left").withColumn("block", F.pmod(F.xxhash64("a", part), F.lit(blocks)).cast("int"))
+    placed = pairs.join(F.broadcast(parts) if 8 * blocks <= MOST_BROADCAST else parts, "a", "left").withColumn("block", F.pmod(F.xxhash64("a", part), F.lit(blocks)).cast("int"))
     return placed.drop("parts")
 
 
