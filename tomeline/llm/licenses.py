@@ -57,6 +57,11 @@ TEMPLATES = {
     "BSD-notice": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
     ),
+    "BSL-1.0-text": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: "
+        "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. "
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
     "CC0-1.0": "This work is released under CC0 1.0 Universal.",
     "EPL-2.0": "Licensed under the Eclipse Public License, Version 2.0.",
     "ISC": (
@@ -66,12 +71,19 @@ TEMPLATES = {
         "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
     ),
     "MIT": "Released under the MIT License.",
+    "MIT-short": "MIT licensed",
     "MIT-0": MIT_GRANT + MIT_END,
     "MIT-notice": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
         "(the Software), to deal in the Software without restriction"
     ),
     "MIT-text": MIT_GRANT + MIT_TERMS + MIT_END,
+    "Zlib-text": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+    ),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": (
         "This is free and unencumbered software released into the public domain. "
@@ -92,13 +104,16 @@ TELLING = {
     "BSD-2-Clause": ("provided with the distribution this software is provided",),
     "BSD-3-Clause": ("provided with the distribution", "neither the name", "endorse or promote products derived from this software"),
     "BSD-notice": ("redistribution and use in source and binary forms",),
+    "BSL-1.0-text": ("to permit third parties to whom the software is furnished", "source language processor"),
     "CC0-1.0": ("cc0 1 0",),
     "EPL-2.0": (named("eclipse public license", "2 0"),),
     "ISC": ("permission to use copy modify and or distribute this software|permission to use copy modify and distribute this software", "permission notice appear in all copies"),
     "MIT": ("mit license",),
+    "MIT-short": ("mit licensed",),
     "MIT-0": ("furnished to do so the software is provided",),
     "MIT-notice": ("deal in the software",),
     "MIT-text": ("permission notice shall be included in all copies",),
+    "Zlib-text": ("the origin of this software must not be misrepresented", "altered source versions must be plainly marked"),
     "MPL-2.0": (named("mozilla public license", "2 0"),),
     "Unlicense": ("free and unencumbered software",),
 }
@@ -114,6 +129,14 @@ for _key, _name in [("BY", ""), ("BY-NC", "-NonCommercial"), ("BY-SA", "-ShareAl
     TELLING[_short] = (f"cc {_key.lower().replace('-', ' ')} 4 0",)
     TEMPLATES[_words] = f"This work is licensed under a Creative Commons Attribution{_name} 4.0 International License."
     TELLING[_words] = (f"creative commons attribution{_name.lower().replace('-', ' ')} 4 0",)
+# Tags of public source files, by the list's own names.
+SPDX = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later",
+    "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-2.0", "Unlicense", "Zlib",
+)
+for _key in SPDX:
+    TEMPLATES[f"{_key}-tag"] = f"SPDX-License-Identifier: {_key}"
+    TELLING[f"{_key}-tag"] = (f"spdx license identifier {_key.lower().replace('-', ' ').replace('.', ' ')}",)
 # Full texts, one file each in license_texts, told by their headings.
 TEXTS = {
     "Apache-2.0": "apache license version 2 0 january 2004",
