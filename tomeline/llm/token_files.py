@@ -209,7 +209,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     Null texts are empty (the end id alone); null ids come first; rows that share an id
     are ordered by text, and many such rows are dealt over several tasks.  An empty table
     writes an empty dataset.  A block holds about ``block_ids`` ids, more only where a
-    single batch of texts has more.
+    single batch of texts has more.  Batches have ``batch_chars`` characters: the words
+    that a worker knows are looked up by a table that is built anew for each.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
     # a prefix of the text keeps the order and lets the rows of one id spread over partitions
