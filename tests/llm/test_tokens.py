@@ -21,7 +21,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, (1 << 32) - 1) | st.integers(0, token_coder.MOST_IDS - 1) | st.integers(0, 65535) | st.integers(0, 3), max_size=400))
 def test_blocks_round_trip(values):
-    ids = np.array(values, dtype=np.int32)
+    ids = np.array(values, dtype=np.int64)
     block = token_coder.write_block([7, None], [len(values), 0], ids)
     docs, counts, back = token_coder.read_block(block)
     assert docs == [7, None] and counts.tolist() == [len(values), 0] and back.tolist() == values
