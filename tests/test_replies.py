@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tomeline.operators import replies as orp
+from tomeline.plans import records
 from tomeline.sources.stores import write_requests
 
 GOOD = {"title": "Ambush", "description": "d", "encounter_type": "combat", "challenge_rating": None, "suggested_enemies": [{"name": "wolf", "count": 2, "cr": 0.25}], "narrative_hook": "h", "alternative": None}
@@ -89,3 +90,15 @@ def test_index_documents_of_bounded_size(spark):
     sizes = [(r.scope, len(r.entries), [e.doc_id for e in r.entries]) for r in index.collect()]
     assert sum(n for s, n, _ in sizes if s == "big") == 100 and max(n for _, n, _ in sizes) <= 40 and all(x == sorted(x) for _, _, x in sizes)
     assert orp.entries_of(index).count() == 101 and orp.index_of(rows.limit(0)).count() == 0
+
+
+def test_requests_of_many_tasks_in_one_pass(spark):
+    df = spark.createDataFrame([("r1", "hello", "ctx"), ("r2", "hi", None)], "request_id string, q string, c string")
+    every = orp.build_requests(df, list(orp.TASKS), F.col("q"), F.col("c"))
+    one = [r for t in orp.TASKS for r in orp.build_requests(df, t, F.col("q"), F.col("c")).collect()]
+    assert sorted(map(str, every.collect())) == sorted(map(str, one)) and len(one) == 2 * len(orp.TASKS)
+
+
+def test_task_requests_join_once(spark):
+    plan = records.task_requests(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Union" not in plan

@@ -28,19 +28,23 @@ BACKSTORY = "motivations array<string>, key_relationships array<string>, secrets
 PAGE = "raw_text string, headings array<string>, is_dm_only boolean"
 
 
-def build_requests(df: DataFrame, task: str, content: Column, context: Column | None = None, key: str = "request_id") -> DataFrame:
-    """One request row per input row: messages (system and user), task, temperature and token limit."""
-    setting = TASKS[task]
-    system = F.lit(setting["system"])
-    if context is not None:
-        system = F.when(F.coalesce(context, F.lit("")) == "", system).otherwise(F.concat(system, F.lit("\n\n"), context))
+def build_requests(df: DataFrame, task: str | list[str], content: Column, context: Column | None = None, key: str = "request_id") -> DataFrame:
+    """One request row per input row and task: messages (system and user), task, temperature and token limit.
+
+    Several tasks are asked in one pass over the rows, which are worked out once.
+    """
+    tasks = [task] if isinstance(task, str) else task
+    setting = lambda t: F.struct(F.lit(t).alias("task"), *[F.lit(TASKS[t][c]).alias(c) for c in ("system", "temperature", "max_tokens")])
+    rows = df.select(F.col(key).alias("request_id"), content.alias("_content"), (F.lit("") if context is None else F.coalesce(context, F.lit(""))).alias("_context"))
+    rows = rows.withColumn("_s", F.explode(F.array(*[setting(t) for t in tasks])))
+    system = F.when(F.col("_context") == "", F.col("_s.system")).otherwise(F.concat("_s.system", F.lit("\n\n"), "_context"))
     message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
-    return df.select(
-        F.col(key).alias("request_id"),
-        F.lit(task).alias("task"),
-        F.array(message("system", system), message("user", content)).alias("messages"),
-        F.lit(setting["temperature"]).alias("temperature"),
-        F.lit(setting["max_tokens"]).alias("max_tokens"),
+    return rows.select(
+        "request_id",
+        "_s.task",
+        F.array(message("system", system), message("user", F.col("_content"))).alias("messages"),
+        "_s.temperature",
+        "_s.max_tokens",
     )
 
 

@@ -336,10 +336,7 @@ def task_requests(spark: SparkSession, d: str) -> DataFrame:
     joined = v.table(spark, d, "orders").join(v.table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
     parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"].cast("string")), ",")
     rows = joined.groupBy("o_orderkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), parts.alias("parts"))
-    built = [orp.build_requests(rows, task, F.concat(F.lit("about "), F.col("o_orderpriority")), F.when(F.col("n") % 2 == 0, F.col("parts")), "o_orderkey") for task in orp.TASKS]
-    every = built[0]
-    for more in built[1:]:
-        every = every.union(more)
+    every = orp.build_requests(rows, list(orp.TASKS), F.concat(F.lit("about "), F.col("o_orderpriority")), F.when(F.col("n") % 2 == 0, F.col("parts")), "o_orderkey")
     return every.select("request_id", "task", F.md5(F.col("messages")[0]["content"]).alias("system_md5"), F.col("messages")[1]["content"].alias("content"), F.col("temperature").cast("double").alias("temperature"), "max_tokens")
 
 
