@@ -102,3 +102,9 @@ def test_requests_of_many_tasks_in_one_pass(spark):
 def test_task_requests_join_once(spark):
     plan = records.task_requests(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and "Union" not in plan
+
+
+def test_replies_are_parsed_once(spark):
+    for name in ("generated_encounters", "encounter_enemies", "page_responses"):
+        plan = getattr(records, name)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 1 and plan.count("^.*</think>") == 1, name

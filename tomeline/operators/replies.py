@@ -57,15 +57,19 @@ def fallback_responses(primary: DataFrame, secondary: DataFrame, key: str = "req
     return both.select(key, "_r.*")
 
 
+def worked_out(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """The rows with a column more that is worked out once a row: the optimizer would repeat it wherever it is used."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def parse_page_responses(replies: DataFrame) -> DataFrame:
     """Pages from OCR replies ``doc_id, page_num, content``.
 
     A reply that is no JSON object of a page is the page's text as it stands; a failed
     page (null content) is an empty text that keeps its place.
     """
-    reply = strip_reasoning(F.col("content"))
-    read = F.from_json(strip_fences(reply), PAGE)
-    page = replies.withColumns({"_p": read, "_reply": reply})
+    said = worked_out(replies, "_reply", strip_reasoning(F.col("content")))
+    page = worked_out(said, "_p", F.from_json(strip_fences(F.col("_reply")), PAGE))
     return page.select(
         "doc_id",
         "page_num",
@@ -80,21 +84,28 @@ def split_parsed(rows: DataFrame, whole: Column, reason: Column) -> Parts:
     return marked.filter("_ok").drop("_ok"), marked.filter(~F.col("_ok")).withColumn("reject_reason", reason).drop("_ok")
 
 
-def parse_generated_encounters(replies: DataFrame) -> Parts:
-    """Typed encounters from ``request_id, content``, and the replies that hold none.
+def read_generated_encounters(replies: DataFrame) -> DataFrame:
+    """``request_id, content``, the encounter that each reply holds, and why it holds none, in one pass.
 
     Needed: title, description, hook, a known type, and a list of enemies that each have
     a name and a count.  The challenge rating, an enemy's rating and the alternative may
     be missing.
     """
-    text = strip_fences(strip_reasoning(F.col("content")))
-    rows = replies.withColumn("_json", F.coalesce(text, F.lit(""))).withColumn("_e", F.from_json("_json", ENCOUNTER))
-    e = lambda c: F.col(f"_e.{c}")
+    said = worked_out(replies, "_reply", strip_reasoning(F.col("content")))
+    rows = worked_out(said, "_json", F.coalesce(strip_fences(F.col("_reply")), F.lit("")))
+    rows = worked_out(rows, "encounter", F.from_json("_json", ENCOUNTER))
+    e = lambda c: F.col(f"encounter.{c}")
     whole = e("title").isNotNull() & e("description").isNotNull() & e("narrative_hook").isNotNull() & e("encounter_type").isin(ENCOUNTER_TYPES) & e("suggested_enemies").isNotNull()
     whole &= F.forall(e("suggested_enemies"), lambda x: x["name"].isNotNull() & x["count"].isNotNull() & (x["count"] >= 0))
-    reason = F.when(F.col("_json") == "", "empty reply").otherwise("not an encounter")
-    good, bad = split_parsed(rows, whole, reason)
-    return good.select("request_id", "_e.*"), bad.select("request_id", "content", "reject_reason")
+    reason = F.when(F.coalesce(whole, F.lit(False)), None).when(F.col("_json") == "", "empty reply").otherwise("not an encounter")
+    return rows.select("request_id", "content", "encounter", reason.alias("reject_reason"))
+
+
+def parse_generated_encounters(replies: DataFrame) -> Parts:
+    """Typed encounters from ``request_id, content``, and the replies that hold none."""
+    rows = read_generated_encounters(replies)
+    good, bad = rows.filter("reject_reason IS NULL"), rows.filter("reject_reason IS NOT NULL")
+    return good.select("request_id", "encounter.*"), bad.select("request_id", "content", "reject_reason")
 
 
 def suggested_enemies(encounters: DataFrame) -> DataFrame:
@@ -105,7 +116,7 @@ def suggested_enemies(encounters: DataFrame) -> DataFrame:
 
 def parse_backstories(replies: DataFrame, characters: DataFrame) -> Parts:
     """Backstories from ``character_id, content``, with the characters' own texts, and the replies that hold none."""
-    rows = replies.withColumn("_b", F.from_json(trim(F.col("content")), BACKSTORY))
+    rows = worked_out(replies, "_b", F.from_json(trim(F.col("content")), BACKSTORY))
     b = lambda c: F.col(f"_b.{c}")
     whole = b("motivations").isNotNull() & b("key_relationships").isNotNull() & b("secrets").isNotNull() & b("plot_hooks").isNotNull()
     whole &= F.forall(b("plot_hooks"), lambda h: h["description"].isNotNull() & h["priority"].isNotNull())
