@@ -6,6 +6,7 @@ import json
 import random
 from datetime import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +190,70 @@ def test_stream_ledger_refuses_what_comes_too_late(spark, tmp_path):
     assert (got["p"].current_hp, got["p"].refused, got["p"].seq) == (12, 1, 100)
 
 
+class Held:
+    """A value or a map of a state store, held here; counts what is written."""
+
+    def __init__(self):
+        self.rows, self.writes = {}, 0
+
+    def exists(self):
+        return None in self.rows
+
+    def get(self):
+        return self.rows[None]
+
+    def update(self, value):
+        self.rows[None] = value
+
+    def keys(self):
+        return iter(list(self.rows))
+
+    def containsKey(self, key):
+        return key in self.rows
+
+    def getValue(self, key):
+        return self.rows.get(key)
+
+    def updateValue(self, key, value):
+        self.rows[key], self.writes = value, self.writes + 1
+
+    def removeKey(self, key):
+        del self.rows[key]
+
+
+def taken(ledger, rows):
+    return next(ledger.handleInputRows(("p",), iter([pd.DataFrame(rows, columns=["seq", "op", "amount", "condition", "start_hp", "max_hp"])]), None)).iloc[0]
+
+
+def test_ledger_blocks_follow_operations_not_numbers():
+    rng = random.Random(5)
+    kinds = ["hp_delta", "set_hp", "add_condition", "remove_condition"]
+    for case in range(60):
+        size, late = rng.choice([1, 3, 8]), rng.choice([None, None, 30])
+        ledger = flows.Ledger(late, 4, size)
+        ledger.now, ledger.blocks = Held(), Held()
+        rows = [(rng.randrange(120), op, rng.choice([-20, -3, 0, 4]) if "hp" in op else None, rng.choice(["prone", "unconscious"]) if "cond" in op else None, 15, 25) for op in rng.choices(kinds, k=80)]
+        kept, closed, high = [], None, None
+        for i in range(0, 80, 16):
+            part = rows[i : i + 16]
+            got = taken(ledger, part)
+            kept += [r for r in part if closed is None or r[0] >= closed]
+            high = max(r[0] for r in rows[: i + 16])
+            if late is not None:
+                closed = max((high - late) // 4 * 4, (high - late) // 4 * 4 if closed is None else closed)
+            want = flows.folded((15, False, []), sorted([tuple(r[:4]) for r in kept], key=flows.in_order), 25)
+            assert (got.current_hp, got.is_defeated, got.conditions, got.seq, got.refused) == (*want, high, i + len(part) - len(kept)), case
+        if late is not None:
+            assert len(ledger.blocks.rows) <= 80 / size + 2
+
+
+def test_ledger_writes_a_sparse_log_in_few_blocks():
+    ledger = flows.Ledger(None, 4096, 1024)
+    ledger.now, ledger.blocks = Held(), Held()
+    taken(ledger, [(i * 5000, "hp_delta", -1, None, 15, 25) for i in range(100)])
+    assert ledger.blocks.writes == 1
+
+
 def test_event_log_needs_no_state(spark, tmp_path):
     schema = "id string, session_id string, event_type string, description string, significance string, is_player_visible boolean, involved_character_ids array<string>, occurred_at timestamp"
     row = lambda i, day: (i, "s", "odd", f"e{i}", None, None, None, None if day is None else datetime(2024, 1, day))

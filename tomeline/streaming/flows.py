@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.errors import AnalysisException, ArithmeticException, DateTimeException, IllegalArgumentException, NumberFormatException, PythonException
@@ -146,19 +148,31 @@ def folded(standing: Standing, ops: list[Operation], most: int) -> Standing:
     return hp, out, conditions
 
 
+def pieces(ops: list[Operation], size: int) -> list[list[Operation]]:
+    """Operations in order in pieces of ``size``, longer where a number has more: none is cut within a number."""
+    found: list[list[Operation]] = []
+    for op in ops:
+        if not found or len(found[-1]) >= size and found[-1][-1][0] != op[0]:
+            found.append([])
+        found[-1].append(op)
+    return found
+
+
 class Ledger(StatefulProcessor):
     """HP, defeat and conditions of one participant, for operations that come in any order.
 
-    The log lies in blocks of ``block`` numbers of ``seq``, each with the standing at its
-    start.  Operations go to their blocks, and the log is folded again from the first
-    block that was touched until a block begins as it did before.  With ``late`` blocks
-    that lie wholly more than ``late`` behind the highest ``seq`` are dropped, their
-    operations being in the standing at the start of the next one; an operation that
-    comes later still cannot be put in its place and is counted as refused.
+    The log lies in blocks, each with the standing at its start and named by its lowest
+    ``seq`` when it was made; one of more than ``size`` operations is cut, but never within
+    a number.  So the calls to the state follow the operations, however far apart their
+    numbers are.  Operations go to their blocks, and the log is folded again from the first
+    block that was touched until a block begins as it did before.  With ``late`` the log is
+    closed up to the last multiple of ``block`` that is ``late`` behind the highest ``seq``:
+    what comes for it later is counted as refused, and blocks that lie wholly in it are
+    dropped, their operations being in the standing at the start of the next one.
     """
 
-    def __init__(self, late: int | None, block: int):
-        self.late, self.block = late, block
+    def __init__(self, late: int | None, block: int, size: int):
+        self.late, self.block, self.size = late, block, size
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.now = handle.getValueState("now", f"{LEDGER_STATE}, most int, high long, closed long, refused long, change long")
@@ -173,66 +187,67 @@ class Ledger(StatefulProcessor):
             first = ops.iloc[0]
             now, most, high, closed, refused, change = (int(first["start_hp"]), False, []), int(first["max_hp"]), None, None, 0, 0
         given = [(int(s), o, None if pd.isna(a) else int(a), n) for s, o, a, n in zip(ops["seq"], ops["op"], ops["amount"], ops["condition"], strict=True)]
-        fresh: dict[int, list[Operation]] = {}
-        for op in given:
-            if closed is not None and op[0] < closed:
-                refused += 1
-            else:
-                fresh.setdefault(op[0] // self.block, []).append(op)
-        stored = sorted(int(k[0]) for k in self.blocks.keys())
-        now = self.fold_again(stored, fresh, now, most)
+        taken = [op for op in given if closed is None or op[0] >= closed]
+        refused += len(given) - len(taken)
+        starts = sorted(int(k[0]) for k in self.blocks.keys())
+        now = self.fold_again(starts, taken, now, most)
         high = max([*([] if high is None else [high]), *(op[0] for op in given)])
         if self.late is not None:
-            bound = (high - self.late) // self.block
-            for b in {*stored, *fresh}:
-                if b < bound:
+            bound = (high - self.late) // self.block * self.block
+            closed = bound if closed is None else max(bound, closed)
+            for b, after in pairwise(starts):
+                if after <= closed:
                     self.blocks.removeKey((b,))
-            closed = max(bound * self.block, bound * self.block if closed is None else closed)
         change += 1
         self.now.update((*now, most, high, closed, refused, change))
         yield pd.DataFrame({"id": [key[0]], "seq": [high], "current_hp": [now[0]], "is_defeated": [now[1]], "conditions": [now[2]], "refused": [refused], "change": [change]})
 
-    def fold_again(self, stored: list[int], fresh: dict[int, list[Operation]], now: Standing, most: int) -> Standing:
-        """The standing after the log with the new operations of each block; blocks are brought up to date."""
-        if not fresh:
+    def fold_again(self, starts: list[int], taken: list[Operation], now: Standing, most: int) -> Standing:
+        """The standing after the log with the new operations; blocks and the list of their names are brought up to date."""
+        if not taken:
             return now
-        begun = {b: self.blocks.getValue((b,)) for b in stored if b >= min(fresh)}
-        standing: Standing | None = None  # at the start of the block, where it may have changed
-        todo = sorted({*begun, *fresh})
-        for i, b in enumerate(todo):
-            value = begun.get(b)
-            before = None if value is None else (value[0], value[1], list(value[2]))
-            if b not in fresh:
-                if standing is None or standing == before:
-                    standing = None
-                    continue
-            if standing is not None:
-                begin = standing
-            elif before is not None:
-                begin = before
-            else:  # a new block begins as the next one did
-                after = next((begun[x] for x in todo[i:] if x in begun), None)
-                begin = now if after is None else (after[0], after[1], list(after[2]))
-            ops = list(zip(*(list(x) for x in value[3:]), strict=True)) if value is not None else []
+        if not starts:
+            starts.append(min(op[0] for op in taken))
+        fresh: dict[int, list[Operation]] = {}
+        for op in taken:  # what is before the first block belongs to it
+            fresh.setdefault(starts[max(0, bisect_right(starts, op[0]) - 1)], []).append(op)
+        last, standing = max(fresh), None  # the standing at the start of a block, where it may have changed
+        for b in [b for b in starts if b >= min(fresh)]:
+            if standing is None and b not in fresh:
+                if b > last:
+                    break
+                continue
+            value = self.blocks.getValue((b,)) if self.blocks.containsKey((b,)) else None
+            before = now if value is None else (value[0], value[1], list(value[2]))
+            if b not in fresh and standing == before:
+                standing = None
+                continue
+            ops = [] if value is None else list(zip(*(list(x) for x in value[3:]), strict=True))
             ops = sorted([*ops, *fresh.get(b, [])], key=in_order)
-            self.blocks.updateValue((b,), (*begin, *(list(x) for x in zip(*ops, strict=True))))
-            standing = folded(begin, ops, most)
+            standing = before if standing is None else standing
+            for i, piece in enumerate(pieces(ops, self.size)):
+                name = piece[0][0] if i else b
+                starts += [name] if i else []
+                self.blocks.updateValue((name,), (*standing, *(list(x) for x in zip(*piece, strict=True))))
+                standing = folded(standing, piece, most)
+        starts.sort()
         return now if standing is None else standing
 
     def close(self) -> None:
         pass
 
 
-def stream_ledger(ops: DataFrame, late: int | None = None, block: int = 4096) -> DataFrame:
+def stream_ledger(ops: DataFrame, late: int | None = None, block: int = 4096, size: int = 1024) -> DataFrame:
     """A running ledger row for each participant with new operations.
 
     ``ops(participant_id, seq, op, amount, condition, start_hp, max_hp)``.  Rows have
     ``change``, which rises with each; a participant's last one equals the batch fold of
     all its operations so far, in whatever order they came, but for ``refused`` ones.
     Without ``late`` none is refused and the state holds the whole log; with it the state
-    holds what lies within ``late`` of the highest ``seq``.  Needs the RocksDB state store.
+    holds what lies within ``late`` of the highest ``seq``, in whole blocks of about
+    ``size`` operations.  Needs the RocksDB state store.
     """
-    return ops.groupBy("participant_id").transformWithStateInPandas(Ledger(late, block), LEDGER, "update", "none")
+    return ops.groupBy("participant_id").transformWithStateInPandas(Ledger(late, block, size), LEDGER, "update", "none")
 
 
 def stream_status(log: DataFrame) -> DataFrame:
