@@ -103,6 +103,29 @@ def test_pairs_of_one_leader_are_dealt_over_blocks(spark, monkeypatch):
     assert sum(placed) == 400 and max(placed) <= 120
 
 
+def test_jaccard_lists_without_pairs_that_could_link_take_no_rounds(spark, monkeypatch):
+    rng, sets = random.Random(5), []
+    for n in (18, 24, 32, 42, 56, 75):  # six groups of near copies that share words, each too large for the one before
+        base = rng.sample(range(90), n)
+        sets += [set(base) - {rng.choice(base)} | {rng.randrange(90)} for _ in range(40)]
+    rounds, leaders = [], jaccard_join.round_leaders
+    monkeypatch.setattr(jaccard_join, "round_leaders", lambda open_, i: (rounds.append(i), leaders(open_, i))[1])
+    rows = [(i, " ".join(f"w{k}" for k in s)) for i, s in enumerate(sets)]
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words=1).collect()}
+    assert len(rounds) <= 3  # it was seven
+    least = list(range(len(sets)))
+    for a, b in ((a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])):
+        low, high = sorted((least[a], least[b]))
+        least = [low if x == high else x for x in least]
+    assert got == dict(enumerate(least)) and len(set(least)) == 6
+
+
+def test_stars_are_told_from_other_edges(spark):
+    edges = lambda *e: spark.createDataFrame(e, "v long, m long")
+    assert jaccard_join.are_stars(edges((2, 1), (3, 1), (5, 4))) and jaccard_join.are_stars(edges((2, 1)).limit(0))
+    assert not jaccard_join.are_stars(edges((2, 1), (3, 2))) and not jaccard_join.are_stars(edges((3, 1), (3, 2)))
+
+
 def test_copies_of_a_text_are_dealt_over_fragments():
     batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([*range(400), None], pa.int64()), "text": ["a b c d e f"] * 401})
     rows = [r for b in jaccard_join.cut_texts(5, 8, 10_000, 16)([batch]) for r in b.to_pylist() if r["node"] is not None]

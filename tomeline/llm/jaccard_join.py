@@ -17,8 +17,9 @@ global order of shingles is cut into fragments, so no task holds a whole corpus:
    leaders in later rounds), and only where both are not yet known to be connected; links
    found connect them.  A leader leaves the lists it has led, and a list that holds one
    component only is done, so all lists come to an end.  As soon as all pairs left that
-   are not yet connected are few against the postings, they are tested at once.  No link
-   between components is lost.
+   are not yet connected and could be linked are few against the postings, they are tested
+   at once; they are counted where the meetings in the lists are not too many for that.
+   No link between components is lost.
 4. A pair's overlap is counted fragment by fragment over its shared shingles, and the
    partial counts are summed per pair.  Pairs are dealt into blocks of bounded pairs
    and shingles; a leader's pairs go to as many blocks as they need.
@@ -398,15 +399,20 @@ def linked_pairs(pairs: DataFrame, nodes: DataFrame, percent: int, fragments: in
     return overlap.join(placed, ["a", "b"]).filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether each ``v`` of distinct ``edges(v, m)`` has one edge and is the ``m`` of none."""
+    ends = edges.select(F.col("v").alias("node"), F.lit(1).alias("c")).union(edges.select("m", F.lit(0)).distinct())
+    return ends.groupBy("node").agg(F.sum("c").alias("c"), F.min("c").alias("least")).filter("c > least").isEmpty()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """``node, root``: the smallest node reachable, for every node of ``edges(a, b)``.
 
-    Alternate large-star and small-star steps until the edges stand still; each step
-    is an aggregation and a join, written to the shared folder.
+    Alternate large-star and small-star steps until each component is a star about its
+    smallest node; each step is an aggregation and a join, written to the shared folder.
     """
     now = materialize(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct(), "edges")
-    before = None
-    while True:
+    while not are_stars(now):
         both = now.union(now.select("m", "v"))
         least = both.groupBy("v").agg(F.min("m").alias("low")).select("v", F.least("v", "low").alias("low"))
         large = both.filter(F.col("m") > F.col("v")).join(least, "v").select(F.col("m").alias("v"), F.col("low").alias("m"))
@@ -415,11 +421,7 @@ def connected(edges: DataFrame) -> DataFrame:
         small = large.join(low, "v").select(F.when(F.col("m") == F.col("low"), F.col("v")).otherwise(F.col("m")).alias("v"), F.col("low").alias("m"))
         old, now = now, materialize(small.filter(F.col("v") != F.col("m")).distinct(), "edges")
         discard(old)
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    roots = now.groupBy("v").agg(F.min("m").alias("root")).select(F.col("v").alias("node"), "root")
+    roots = now.select(F.col("v").alias("node"), F.col("m").alias("root"))
     return roots.union(now.select(F.col("m").alias("node"), F.col("m").alias("root")).distinct())
 
 
@@ -453,11 +455,11 @@ def leader_pairs(open_: DataFrame, leaders: DataFrame, percent: int) -> DataFram
 
 
 def all_pairs_left(open_: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that meet in a shingle; a pair once."""
+    """All pairs of different components that meet in a shingle and could be linked; a pair for each such shingle."""
     side = lambda x: open_.select("h", *[F.col(c).alias(c + x) for c in ("node", "n", "comp", "ahead")])
     a, b = (lambda c: F.col(c + "_a")), (lambda c: F.col(c + "_b"))
     met = side("_a").join(side("_b"), "h").filter((a("node") < b("node")) & (a("comp") != b("comp")) & may_link(a, b, percent))
-    return met.select(a("node").alias("a"), b("node").alias("b"), a("n").alias("na"), b("n").alias("nb")).distinct()
+    return met.select(a("node").alias("a"), b("node").alias("b"), a("n").alias("na"), b("n").alias("nb"))
 
 
 def still_open(postings: DataFrame) -> DataFrame:
@@ -480,6 +482,7 @@ def jaccard_components(
     pairs_per_block: int = 60_000,
     batch_chars: int = 1_500_000,
     common_nodes: int = 16,
+    meetings_per_pair: int = 64,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row: the size of its set of distinct
     ``words``-word shingles, and the smallest id reachable over links, where two
@@ -512,9 +515,10 @@ def jaccard_components(
         if not count:
             break
         few = few or 2 * count
-        last = meetings <= few
+        # most meetings of a list that is common to many sizes of sets are no pairs that could be linked
+        last = meetings <= few or (round_ > 0 and meetings <= meetings_per_pair * few and all_pairs_left(open_, percent).count() <= few)
         leaders = None if last else materialize(round_leaders(open_, round_), "leaders")
-        pairs = materialize(all_pairs_left(open_, percent) if last else leader_pairs(open_, leaders, percent), "pairs")
+        pairs = materialize(all_pairs_left(open_, percent).distinct() if last else leader_pairs(open_, leaders, percent), "pairs")
         links = materialize(linked_pairs(pairs, nodes, percent, pair_fragments, pairs_per_block), "links")
         discard(pairs)
         if not links.isEmpty():
