@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -123,3 +124,12 @@ def test_selection(spark):
 def test_top_k_puts_nan_last(spark):
     rows = spark.createDataFrame([("q", "a", float("nan")), ("q", "b", -1.0), ("q", "c", None), ("q", "d", 2.0), ("q", "e", 2.0)], "query_id string, id string, score double")
     assert [r.id for r in ov.top_k(rows, 5).orderBy("rank").collect()] == ["d", "e", "b", "a", "c"]
+
+
+def test_the_length_of_a_vector_is_worked_out_once(spark):
+    rows = spark.range(1000).select("id", F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda i: (i * 7919 + F.col("id")) % 101 - 50.0).alias("v"))
+    begin = time.time()
+    total = rows.select(ov.unit(F.col("v")).alias("u")).agg(F.sum(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
+    assert abs(total - 1000) < 1e-6 and time.time() - begin < 30  # 18 billion steps if worked out for each component
+    odd = spark.createDataFrame([(0, [3.0, 4.0]), (1, [0.0, 0.0]), (2, []), (3, None)], "i int, v array<float>")
+    assert [r.u for r in odd.orderBy("i").select(ov.unit(F.col("v")).alias("u")).collect()] == [[0.6, 0.8], [0.0, 0.0], [], None]

@@ -51,7 +51,8 @@ def unit(vector: Column) -> Column:
     """The vector in double precision at length 1; a zero vector stays as it is."""
     wide = F.transform(vector, lambda x: x.cast("double"))
     length = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(wide, lambda x: F.when(length > 0, x / length).otherwise(F.lit(0.0)))
+    # the length as a variable of an outer function: within the inner one it would be worked out again for each component
+    return F.transform(F.array(length), lambda n: F.transform(wide, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))[0]
 
 
 def payload_filter(chunks: DataFrame, visible: bool = False, scopes: list[str] | None = None, doc_ids: list[str] | None = None) -> DataFrame:
