@@ -246,8 +246,13 @@ def condition_ledger(ops: DataFrame) -> DataFrame:
     return everyone.join(sets, "participant_id", "left").select("participant_id", F.coalesce("conditions", F.array().cast("array<string>")).alias("conditions"))
 
 
-def apply_state(encounters: DataFrame, participants: DataFrame, new_encounters: DataFrame, new_participants: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Encounter and participant rows with the listed state columns replaced."""
-    state = [c for c in ("id", "status", "round", "current_turn_index", "updated_at") if c in new_encounters.columns]
-    own = [c for c in ("id", "current_hp", "conditions", "action_budget", "has_taken_turn", "is_defeated") if c in new_participants.columns]
-    return patch(encounters, new_encounters.select(*state), "id"), patch(participants, new_participants.select(*own), "id")
+def apply_state(encounters: DataFrame, participants: DataFrame, new_encounters: DataFrame, new_participants: DataFrame, dealt: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Encounter and participant rows with the listed state columns replaced.
+
+    ``dealt`` names a column of all four that follows from the id: tables dealt by it alike
+    are joined where they lie.
+    """
+    keys = ["id", dealt] if dealt else ["id"]
+    state = [c for c in (*keys, "status", "round", "current_turn_index", "updated_at") if c in new_encounters.columns]
+    own = [c for c in (*keys, "current_hp", "conditions", "action_budget", "has_taken_turn", "is_defeated") if c in new_participants.columns]
+    return patch(encounters, new_encounters.select(*state), keys), patch(participants, new_participants.select(*own), keys)

@@ -185,10 +185,11 @@ def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order_by: str |
     return base.join(changes.select(*keys), keys, "left_anti").select(*base.columns).unionByName(changes.select(*base.columns))
 
 
-def patch(base: DataFrame, changes: DataFrame, key: str, touched: Column | None = None) -> DataFrame:
+def patch(base: DataFrame, changes: DataFrame, key: str | list[str], touched: Column | None = None) -> DataFrame:
     """Fields that ``changes`` supplies (not null) replace those of ``base``; ``updated_at`` becomes ``touched`` there."""
-    fields = [c for c in changes.columns if c != key]
-    rows = base.join(changes.select(key, *[F.col(c).alias(f"_{c}") for c in fields], F.lit(True).alias("_hit")), key, "left")
+    keys = [key] if isinstance(key, str) else key
+    fields = [c for c in changes.columns if c not in keys]
+    rows = base.join(changes.select(*keys, *[F.col(c).alias(f"_{c}") for c in fields], F.lit(True).alias("_hit")), keys, "left")
     out = []
     for c in base.columns:
         if c in fields:
