@@ -6,12 +6,14 @@ import json
 import random
 from datetime import datetime
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tomeline.operators import encounters as oe
 from tomeline.operators.ingest import ingest, lore_chunks, status_log
+from tomeline.plans import stored
 from tomeline.sources import stores
 from tomeline.streaming import flows
 
@@ -270,3 +272,30 @@ def test_event_log_needs_no_state(spark, tmp_path):
     assert len(land([row("a", 2)], "m3", days_apart=1)) == 7 and len(land([row("a", 5)], "m3", days_apart=1)) == 8
     first = spark.read.parquet(log).filter("id = 'd'").first()
     assert (first.event_type, first.significance, first.is_player_visible) == ("custom", "minor", True)
+
+
+def test_ingest_keeps_what_a_document_repeats(spark, tmp_path):
+    """Six chunks of one path, five of which begin alike: each is stored, and the same batch again changes nothing."""
+    name = "00000000-0000-0000-0000-000000000001"
+    text = "## A\n" + "The same sentence comes again and again, and then some more of it. " * 12
+    pages = spark.createDataFrame([(name, n, text, False) for n in range(2)], flows.PAGES)
+    docs = spark.createDataFrame([(name, None, "One")], "doc_id string, campaign_id string, title string")
+    named, own = (lore_chunks(pages, docs, 300, 64, 16, own_ids=own).collect() for own in (False, True))
+    assert len(named) == 6 and len({r.id for r in named}) == 2 and len({r.id for r in own}) == 6
+    first = {i: min((r for r in named if r.id == i), key=lambda r: r.chunk_ix).chunk_ix for i in {r.id for r in named}}
+    assert {r.id: r.chunk_ix for r in own if r.id in first} == first  # the first of them keeps the id
+    for _ in range(2):
+        ingest(pages, docs.unionByName(docs), str(tmp_path), 0, None, 300, 64, 16)
+        kept = stores.read_chunks(spark, f"{tmp_path}/chunks").collect()
+        assert sorted((r.id, r.chunk_ix, r.content) for r in kept) == sorted((r.id, r.chunk_ix, r.content) for r in own)
+
+
+def test_streamed_ingest_counts_every_chunk_as_its_sql(spark, tmp_path):
+    con = duckdb.connect()
+    turns = [(2, i, ("user", "assistant")[i % 2], ("Hi there.", "Ok, done.")[i % 2]) for i in range(6)]
+    turns += [(i, 0, "assistant", "The same long sentence comes again and again here. " * 60) for i in (0, -7, 10**12 + 5, 10**12 + 6, 10**13 + 60, -(2**63), 2**63 - 1)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = con.execute(stored.SQL["streamed_ingest"]).fetchall()
+    got = stored.QUERIES["streamed_ingest"](spark, str(tmp_path)).select("doc_id", "status", "page_count", "n_chunks").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(got) == 8

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomeline.functions.text import CHUNK_MAX, CHUNK_OVERLAP, chunk_id, overlap_tail, pack_sentences, trim, windows, with_overlap
+from tomeline.functions.text import CHUNK_MAX, CHUNK_OVERLAP, chunk_id, overlap_tail, pack_sentences, trim, uuid5, windows, with_overlap
 
 
 def page_lines(text: Column) -> Column:
@@ -181,6 +181,17 @@ def with_chunk_ids(chunks: DataFrame, document: Column) -> DataFrame:
     return chunks.withColumn("chunk_id", chunk_id(document, F.col("section_path"), F.col("content")))
 
 
+def with_own_ids(chunks: DataFrame) -> DataFrame:
+    """Chunks of a document that share a ``chunk_id`` (one path, the same first 64 characters) get an id each.
+
+    The first of them keeps it; those after it are named by it and their number, so the
+    same document gives the same ids again.  Rows of one ``chunk_ix`` are one chunk.
+    """
+    nth = F.dense_rank().over(Window.partitionBy("doc_id", "chunk_id").orderBy("chunk_ix"))
+    own = F.when(F.col("_nth") > 1, uuid5(F.col("chunk_id"), F.col("_nth").cast("string"))).otherwise(F.col("chunk_id"))
+    return chunks.withColumn("_nth", nth).withColumn("chunk_id", own).drop("_nth")
+
+
 def doc_counts(pages: DataFrame, chunks: DataFrame) -> DataFrame:
     """Pages and chunks of every document."""
     counted = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))

@@ -8,21 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomeline.functions.text import collection_name
-from tomeline.operators.chunking import chunk_pages, with_chunk_ids
+from tomeline.operators.chunking import chunk_pages, with_chunk_ids, with_own_ids
 from tomeline.operators.replies import doc_summaries
 from tomeline.operators.retrieval import Embedder, embed_text
 from tomeline.sources.stores import add_meta_entries, claim_number, write_chunks
 
 
-def lore_chunks(pages: DataFrame, docs: DataFrame, limit: int = 2048, overlap: int = 64, dims: int = 768, fn: Embedder | None = None) -> DataFrame:
+def lore_chunks(pages: DataFrame, docs: DataFrame, limit: int = 2048, overlap: int = 64, dims: int = 768, fn: Embedder | None = None, own_ids: bool = False) -> DataFrame:
     """Chunk rows ready for the store.
 
     ``docs(doc_id, campaign_id, title, document_kind)``: a null campaign is a rulebook,
-    whose chunks are mechanics and visible to all; campaign chunks are plot.
+    whose chunks are mechanics and visible to all; campaign chunks are plot.  A document's
+    chunks of one path that begin alike share an id, and a store keeps the last of them;
+    with ``own_ids`` each has its own and is kept.
     """
-    chunks = chunk_pages(pages, limit, overlap).join(docs.select("doc_id", "campaign_id", F.col("title").alias("doc_title")), "doc_id")
+    chunks = with_chunk_ids(chunk_pages(pages, limit, overlap), F.col("doc_id"))
+    chunks = with_own_ids(chunks) if own_ids else chunks  # before the join: chunks still lie by document, those of large ones by part
+    rows = chunks.join(docs.select("doc_id", "campaign_id", F.col("title").alias("doc_title")), "doc_id").withColumn("id", F.col("chunk_id"))
     rules = F.col("campaign_id").isNull()
-    rows = with_chunk_ids(chunks, F.col("doc_id")).withColumn("id", F.col("chunk_id"))
     rows = rows.withColumns(
         {
             "collection": collection_name(F.col("campaign_id")),
@@ -49,11 +52,12 @@ def ingest(pages: DataFrame, docs: DataFrame, out: str, seq: int, replies: DataF
     Every document of ``docs`` gets a status; each that has pages gets a meta row, with
     the summary of ``replies(request_id, content)`` where there is one.  The same batch
     (``seq``) run again leaves the same rows behind: chunks and index entries keep the
-    version of its first attempt.
+    version of its first attempt.  Every chunk is stored, also where a document repeats
+    itself.
     """
     spark = pages.sparkSession
     version = claim_number(spark, f"{out}/chunks/_versions", str(seq), time.time_ns())
-    write_chunks(lore_chunks(pages, docs, limit, overlap, dims, fn), f"{out}/chunks", version=version)
+    write_chunks(lore_chunks(pages, docs, limit, overlap, dims, fn, own_ids=True), f"{out}/chunks", version=version)
     log = status_log(pages, docs, seq, F.current_timestamp())
     log.write.mode("overwrite").parquet(f"{out}/status/batch={seq}")
     scope = F.coalesce(F.col("campaign_id").cast("string"), F.lit("global"))

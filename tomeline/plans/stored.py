@@ -164,7 +164,7 @@ def indexed_in_scopes(spark: SparkSession, d: str) -> DataFrame:
 @query(CHUNKED + """, counted AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n_chunks FROM o GROUP BY 1)
 SELECT conv_id AS doc_id, 'completed' AS status, CAST(count(*) AS INTEGER) AS page_count, max(n_chunks) AS n_chunks FROM conversations JOIN counted ON doc_id = conv_id GROUP BY 1""")
 def streamed_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """Pages land as files, the stream ingests each once, documents get their status."""
+    """Pages land as files, the stream ingests each once, documents get their status; every chunk is stored."""
     path = new_folder(spark, "ingest")
     p = v.pages(spark, d).withColumn("doc_id", _uuid(F.col("doc_id")))
     p.repartition("doc_id").write.json(f"{path}/landing")
@@ -174,11 +174,17 @@ def streamed_ingest(spark: SparkSession, d: str) -> DataFrame:
     log = spark.readStream.schema("id string, seq int, status string, error string, page_count int, at timestamp, batch int").parquet(f"{path}/status")
     latest = _streamed(spark, flows.stream_status(log), path, "latest", "complete")
     chunks = hits(stores.read_chunks(spark, f"{path}/chunks")).groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n_chunks"))
-    return latest.join(chunks, "id").select(F.substring("id", 25, 12).cast("long").alias("doc_id"), "status", "page_count", "n_chunks")
+    return latest.join(chunks, "id").select(_number(F.col("id")).alias("doc_id"), "status", "page_count", "n_chunks")
 
 
 def _uuid(number: Column) -> Column:
-    return F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(number.cast("string"), 12, "0"))
+    """Any long in the last sixteen digits of a UUID."""
+    digits = F.lower(F.lpad(F.hex(number), 16, "0"))
+    return F.concat(F.lit("00000000-0000-0000-"), F.left(digits, F.lit(4)), F.lit("-"), F.right(digits, F.lit(12)))
+
+
+def _number(uuid: Column) -> Column:
+    return F.conv(F.replace(F.right(uuid, F.lit(17)), F.lit("-"), F.lit("")), 16, -10).cast("long")
 
 
 def _streamed(spark: SparkSession, stream: DataFrame, path: str, name: str, mode: str) -> DataFrame:
